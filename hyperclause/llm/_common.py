@@ -146,3 +146,49 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     out = np.arange(total, dtype=np.int64)
     return out + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+
+
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The Unicode code points of the texts, and the offsets of the texts in them."""
+    codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    heads = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=heads[1:])
+    return codes, heads[offsets]
+
+
+def gram_hashes(codes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all n-grams of code points that lie inside a text, and each text's place among them."""
+    total = len(codes) - n + 1
+    if total <= 0:
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    h = codes[:total].astype(np.uint64)
+    for k in range(1, n):
+        h = h * np.uint64(0x100000001B3) + codes[k : k + total]
+    sizes = np.maximum(np.diff(offsets) - n + 1, 0)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    if bounds[-1] != total:
+        h = h[ragged(offsets[:-1], sizes)]
+    return (h + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15), bounds
+
+
+def sample_share(rows: int, most: int) -> float:
+    """The share of rows that a sample of about `most` rows takes."""
+    return min(1.0, most / rows) if rows else 1.0
+
+
+def chosen(key: Column, share: Column | float, seed: int) -> Column:
+    """Whether a row is in a random sample with this share: the same rows for the same key and seed."""
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < F.lit(share) * 1_000_000
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int, seed: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """y (0 or 1) and text of about `most` labelled documents outside the held-out fold, chosen at random by id.
+
+    Of several labels of a document the largest counts; null labels and ids take no part. The chosen ids are bounded by
+    `most`, so they are broadcast."""
+    known = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("__id").isNotNull())
+    known = known.where(remainder(F.col("__id"), folds) != held)
+    share = sample_share(known.count(), most)
+    ids = known.where(chosen(F.col("__id"), share, seed)).groupBy("__id").agg(F.max("y").alias("y"))
+    texts = documents.select(F.col(f"`{doc_id}`").alias("__id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(ids), "__id").select("__id", "y", "text")

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 import corpus_pipeline
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, simhash, topk
-from ._common import table
+from . import langid, packing, quality, sharding, simhash, topk, toxicity
+from ._common import remainder, table
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,12 +22,29 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def held_out(folds: int, held: int) -> Column:
+    """Whether a document is in the held-out fold; false for a null id."""
+    return F.coalesce(remainder(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality.train(documents, table(spark, sf_dir, "labels"), "quality", folds=4, held=2)
+    return quality.score(documents, model).select("doc_id", held_out(4, 2), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary, end_id=2, capacity=4096, with_ids=False)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.train(documents, table(spark, sf_dir, "labels"), "toxic", folds=3, held=1)
+    return toxicity.score(documents, model).select("doc_id", held_out(3, 1), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
@@ -35,11 +52,20 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = langid.train(documents, remainder(F.col("doc_id"), 4) != 2)
+    return langid.predict(documents, model).select("doc_id", held_out(4, 2), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op3_simhash": op3_simhash,
+    "op4_quality": op4_quality,
     "op5_packing": op5_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
+    "op10_langid": op10_langid,
 }
 
 ORACLE_SQL: dict[str, str] = {
