@@ -22,9 +22,7 @@ BUCKETS = 1 << BITS
 SKIPS = (1, 2, 3)
 #: At most about so many labelled documents are learned from.
 SAMPLE = 12_000
-ALPHA, BETA, L2, EPOCHS = 10.0, 1.0, 0.01, 10
-#: The L1 penalty in proportion to the rows learned from, 1 at least.
-L1_SHARE = 1 / 1500
+ALPHA, BETA, L1, L2, EPOCHS = 10.0, 1.0, 6.0, 0.1, 10
 
 
 def features(data: np.ndarray, offsets: np.ndarray, active: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -55,10 +53,9 @@ def fit(texts: list[np.ndarray], y: np.ndarray, seed: int) -> tuple[np.ndarray,
     rng = np.random.default_rng(seed)
     z, n = np.zeros(BUCKETS), np.zeros(BUCKETS)
     bz = bn = 0.0
-    l1 = max(1.0, L1_SHARE * len(texts))
 
     def weight(z: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+        return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
     for _ in range(EPOCHS):
         for i in rng.permutation(len(texts)):
