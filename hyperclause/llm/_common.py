@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text is worked on in slices of whole documents of about this many bytes; one longer document is a slice by itself.
 SLICE_BYTES = 2 << 20
@@ -30,12 +31,12 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that spark.checkpoint.dir names; only a session without one gets a temporary folder."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only a session without one gets a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return named or spark.sparkContext.getCheckpointDir()
 
 
 def fixed(df: DataFrame) -> DataFrame:
@@ -192,3 +193,28 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds:
     ids = known.where(chosen(F.col("__id"), share, seed)).groupBy("__id").agg(F.max("y").alias("y"))
     texts = documents.select(F.col(f"`{doc_id}`").alias("__id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     return texts.join(F.broadcast(ids), "__id").select("__id", "y", "text")
+
+
+def annotated(df: DataFrame, carry: list[str], text: str, fields: list[T.StructField], compute: Callable[[int, np.ndarray, np.ndarray], list[pa.Array]]) -> DataFrame:
+    """The columns `carry` of df, and `fields` computed from the bytes of the texts (rows, bytes, offsets) slice by slice.
+
+    A carried column that is named like a field gives way to it."""
+    schema = df.schema
+    fresh = {f.name for f in fields}
+    kept = [c for c in carry if c not in fresh]
+    sent = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]
+    place = kept.index(text) if text in kept and isinstance(schema[text].dataType, T.StringType) else len(kept)
+    if place == len(kept):
+        sent.append(F.col(f"`{text}`").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(place))
+            for a, b in slices(offsets):
+                part = batch.slice(a, b - a)
+                made = compute(b - a, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *made], names=names)
+
+    names = [f"c{i}" for i in range(len(kept))] + [f"f{i}" for i in range(len(fields))]
+    made = T.StructType([*[T.StructField(n, schema[c].dataType) for n, c in zip(names, kept)], *[T.StructField(n, f.dataType) for n, f in zip(names[len(kept) :], fields)]])
+    return df.select(*sent).mapInArrow(run, made).toDF(*kept, *[f.name for f in fields])

@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import chosen, code_points, gram_hashes, segment_sums, text_slices
+from ._common import annotated, chosen, code_points, gram_hashes, segment_sums, text_slices
 
 BITS = 17
 BUCKETS = 1 << BITS
@@ -96,26 +97,24 @@ def train(df: DataFrame, learn: Column, most: int = DOCUMENTS, seed: int = 7, do
     return names, np.stack([learned[n] for n in names]), np.log(np.array([sizes[n] / total for n in names]))
 
 
-def predict(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, lang_pred and score (the posterior of lang_pred, 0 to 1) of every row; a null text, one without letters, or
-    a model without languages gives `und` with score 0. Ties go to the language first in alphabetical order."""
+def predict(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], carry: list[str] | None = None, text: str = "text") -> DataFrame:
+    """The columns `carry` of df (doc_id by default), lang_pred and score (the posterior of lang_pred, 0 to 1) of every
+    row; a null text, one without letters, or a model without languages gives `und` with score 0. Ties go to the language
+    first in alphabetical order."""
     held = df.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compute(rows: int, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
         names, logs, shares = held.value
-        for batch, data, offsets in text_slices(batches):
-            codes, bounds, known = stream(data, offsets)
-            points = np.tile(shares, (len(known), 1))
-            for index, places in grams(codes, bounds):
-                for k in range(len(names)):
-                    points[:, k] += segment_sums(logs[k][index], places)
-            found, score = [UNDETERMINED] * len(known), np.zeros(len(known))
-            if names:
-                top = points.argmax(axis=1)
-                sure = known > 0
-                score[sure] = 1 / np.exp(points[sure] - points[sure].max(axis=1, keepdims=True)).sum(axis=1)
-                found = [names[t] if s else UNDETERMINED for t, s in zip(top, sure)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
-
-    rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+        codes, bounds, known = stream(data, offsets)
+        points = np.tile(shares, (rows, 1))
+        for index, places in grams(codes, bounds):
+            for k in range(len(names)):
+                points[:, k] += segment_sums(logs[k][index], places)
+        found, score = [UNDETERMINED] * rows, np.zeros(rows)
+        if names:
+            top, sure = points.argmax(axis=1), known > 0
+            score[sure] = 1 / np.exp(points[sure] - points[sure].max(axis=1, keepdims=True)).sum(axis=1)
+            found = [names[t] if s else UNDETERMINED for t, s in zip(top, sure)]
+        return [pa.array(found, pa.string()), pa.array(score)]
+
+    return annotated(df, carry or ["doc_id"], text, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], compute)

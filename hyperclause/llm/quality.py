@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import SPACE_TABLE, code_points, gram_hashes, labelled_sample, run_hashes, segment_sums, text_slices, words
+from ._common import SPACE_TABLE, annotated, code_points, gram_hashes, labelled_sample, run_hashes, segment_sums, text_slices, words
 
 BITS = 18
 BUCKETS = 1 << BITS
@@ -93,20 +94,18 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", folds
     return np.frombuffer(found[0]["projection"], np.float32), found[0]["bias"]
 
 
-def score(df: DataFrame, model: tuple[np.ndarray, float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and score (the probability of label 1) of every row. A null or empty text has no features: its score is the
-    bias's. Repeated rows keep a row each."""
+def score(df: DataFrame, model: tuple[np.ndarray, float], carry: list[str] | None = None, text: str = "text") -> DataFrame:
+    """The columns `carry` of df (doc_id by default) and score, the probability of label 1, of every row. A null or empty
+    text has no features: its score is the bias's. Repeated rows keep a row each."""
     held = df.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compute(rows: int, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
         projection, bias = held.value
-        for batch, data, offsets in text_slices(batches):
-            sums, counts = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for index, places in features(data, offsets):
-                sums += segment_sums(projection[index], places)
-                counts += np.diff(places)
-            logit = np.clip(sums / (counts + PRIOR) + bias, -500, 500)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-logit)))], names=["doc_id", "score"])
-
-    rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double")
+        sums, counts = np.zeros(rows), np.zeros(rows)
+        for index, places in features(data, offsets):
+            sums += segment_sums(projection[index], places)
+            counts += np.diff(places)
+        logit = np.clip(sums / (counts + PRIOR) + bias, -500, 500)
+        return [pa.array(1 / (1 + np.exp(-logit)))]
+
+    return annotated(df, carry or ["doc_id"], text, [T.StructField("score", T.DoubleType())], compute)

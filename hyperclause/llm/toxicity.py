@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import LOWER_TABLE, WORD_TABLE, labelled_sample, run_hashes, text_slices, words
+from ._common import LOWER_TABLE, WORD_TABLE, annotated, labelled_sample, run_hashes, text_slices, words
 
 BITS = 20
 BUCKETS = 1 << BITS
@@ -95,21 +96,17 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", folds:
     return np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["weights"], np.float32), r["bias"]
 
 
-def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and score (the probability of label 1) of every row. A null text, or one without words, has the bias's
-    score (0.5 from a model without labelled documents). Repeated rows keep a row each."""
+def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], carry: list[str] | None = None, text: str = "text") -> DataFrame:
+    """The columns `carry` of df (doc_id by default) and score, the probability of label 1, of every row. A null text, or
+    one without words, has the bias's score (0.5 from a model without labelled documents). Repeated rows keep a row each."""
     held = df.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compute(rows: int, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
         buckets, weights, bias = held.value
         dense = np.zeros(BUCKETS, np.float32)
         dense[buckets] = weights
-        active = dense != 0
-        for batch, data, offsets in text_slices(batches):
-            index, owner = features(data, offsets, active)
-            sums = np.bincount(owner, dense[index], minlength=batch.num_rows) if len(index) else np.zeros(batch.num_rows)
-            logit = np.clip(sums + bias, -500, 500)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-logit)))], names=["doc_id", "score"])
-
-    rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double")
+        index, owner = features(data, offsets, dense != 0)
+        sums = np.bincount(owner, dense[index], minlength=rows) if len(index) else np.zeros(rows)
+        return [pa.array(1 / (1 + np.exp(-np.clip(sums + bias, -500, 500))))]
+
+    return annotated(df, carry or ["doc_id"], text, [T.StructField("score", T.DoubleType())], compute)
