@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, packing, quality, sharding, simhash, topk, toxicity
+from . import ctw, decontam, langid, licenses, packing, quality, sharding, simhash, topk, toxicity
 from ._common import remainder, table
 
 
@@ -44,6 +44,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op6_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ctw.score(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 10) != 0)
+    return scored.select("doc_id", held_out(10, 0), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
+    "op6_ctw": op6_ctw,
     "op7_decontam": op7_decontam,
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
