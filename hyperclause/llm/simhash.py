@@ -3,9 +3,10 @@
 Two fingerprints that differ in two bits at most differ in one bit at most in one of their two 32-bit segments. Each
 segment is indexed whole and with every single bit deleted, so that such a pair meets in an equality join, and the full
 fingerprints are then compared. Only distinct fingerprints are indexed: copies cost one row. In a key that more than
-SMALL fingerprints share (near copies of one text), they are indexed again, by the deletions in the other segment that
-the rest of the distance allows; at that depth all that share a key are linked by definition and a star of links joins
-them, so no pairs are listed and no link is lost.
+SMALL fingerprints share (near copies of one text), they are indexed again by the halves of the other segment, in the
+same way; and where that is crowded too, by all deletions in the other segment that the rest of the distance allows. At
+that depth all that share a key are linked by definition and a star of links joins them. So a fingerprint has a bounded
+number of keys and of partners in each, and no link is lost.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from ._common import LOWER_TABLE, SPACE_TABLE, fixed, text_slices, words
 SEED = 42
 WORDS = 3
 #: Up to so many fingerprints in a key are compared pairwise; more are indexed further.
-SMALL = 8
+SMALL = 16
 
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -70,8 +71,9 @@ def _half(fp: Column, segment: Column | int) -> Column:
     return F.when(F.lit(segment) == 0, high).otherwise(low) if isinstance(segment, int) else F.when(segment == 0, high).otherwise(low)
 
 
-#: Masks of a segment: whole, and with each single bit deleted; then with each pair of bits deleted.
+#: Masks of a segment: whole, and with each single bit deleted; of its halves, likewise; with each pair of bits deleted.
 _ONE = [0xFFFFFFFF] + [0xFFFFFFFF & ~(1 << i) for i in range(32)]
+_HALVES = [half & mask for half in (0xFFFF0000, 0x0000FFFF) for mask in [half, *(half & ~(1 << i) for i in range(32) if half >> i & 1)]]
 _PAIRS = [0xFFFFFFFF & ~(1 << i) & ~(1 << j) for i in range(32) for j in range(i)]
 
 
@@ -82,29 +84,40 @@ def variants(fps: DataFrame) -> DataFrame:
     return rows.select("fp", "segment", "place", _half(F.col("fp"), F.col("segment")).bitwiseAND(F.col("mask")).alias("part"))
 
 
+def _met(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """From rows of a fingerprint fp, a key and the value of its deleted bit (null: none): the linked pairs in keys that up
+    to SMALL of them share, and the rows of keys that more share. Nearly all keys have one fingerprint, and only the others
+    are gathered; nor are those whose members all agree in the deleted bit, for they also share the whole segment."""
+    sums = rows.groupBy(*key).agg(F.sum(F.lit(1) + F.coalesce("bit", F.lit(0)) * F.lit(1 << 32)).alias("s"), F.max(F.col("bit").isNotNull()).alias("deleted"))
+    n, ones = F.col("s").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright("s", 32)
+    shared = fixed(sums.where((n > 1) & (~F.col("deleted") | ((ones > 0) & (ones < n)))).select(*key, n.alias("n")))
+    met = fixed(rows.join(shared, key))
+    few = met.where(F.col("n") <= SMALL).groupBy(*key).agg(F.array_sort(F.collect_list("fp")).alias("fps"))
+    place = few.select("fps", F.posexplode("fps").alias("i", "a"))
+    pairs = place.select("a", F.explode(F.slice("fps", F.col("i") + 2, F.lit(SMALL))).alias("b"))
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2), met.where(F.col("n") > SMALL).drop("n")
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints at two differing bits or fewer that connect exactly the fingerprints that all
     such pairs connect. fps: one column, fp, of distinct values."""
-    key = ["segment", "place", "part"]
     keyed = variants(fps).withColumn("key", F.col("segment") * F.lit(1 << 40) + F.col("place") * F.lit(1 << 33) + F.col("part"))
-    # Nearly all keys have one fingerprint; only the others are looked at again.
-    shared = fixed(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    met = fixed(keyed.join(shared, "key"))
-
-    few = met.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
-    place = few.select("fps", F.posexplode("fps").alias("i", "a"))
-    pairs = place.select("a", F.explode(F.slice("fps", F.col("i") + 2, F.lit(SMALL))).alias("b"))
-    close = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
-
-    # Whole segments leave a distance of two for the other segment, deleted bits leave one.
-    many = met.where(F.col("n") > SMALL)
-    masks = F.when(F.col("place") == 0, F.array(*[F.lit(m) for m in _PAIRS])).otherwise(F.array(*[F.lit(m) for m in _ONE[1:]]))
-    finer = many.select("fp", *key, F.posexplode(masks).alias("finer", "mask"))
-    other = _half(F.col("fp"), 1 - F.col("segment")).bitwiseAND(F.col("mask"))
-    finer = finer.select("fp", F.struct(*key, "finer", other.alias("other")).alias("cell"))
-    stars = finer.groupBy("cell").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("fps"))  # eight members at most
+    value = F.getbit(_half(F.col("fp"), F.col("segment")), F.greatest(F.col("place") - 1, F.lit(0))).cast("long")
+    close, many = _met(keyed.select("fp", "key", "segment", "place", F.when(F.col("place") > 0, value).alias("bit")), ["key"])
+
+    # A whole segment leaves a distance of two for the other segment, of which one half differs by one bit at most; a
+    # deleted bit leaves one, and one half is equal.
+    def finer(whole: list[int], deleted: list[int], frame: DataFrame) -> DataFrame:
+        masks = F.when(F.col("place") == 0, F.array(*[F.lit(m) for m in whole])).otherwise(F.array(*[F.lit(m) for m in deleted]))
+        frame = frame.select("fp", "key", "segment", "place", F.posexplode(masks).alias("finer", "mask"))
+        return frame.withColumn("other", _half(F.col("fp"), 1 - F.col("segment")).bitwiseAND(F.col("mask"))).drop("mask")
+
+    halves_close, crowded = _met(finer(_HALVES, [0xFFFF0000, 0x0000FFFF], many).withColumn("bit", F.lit(None).cast("long")), ["key", "finer", "other"])
+    # Where even these are crowded: all deletions. Those that share one are linked by definition, eight at most.
+    cells = finer(_PAIRS, _ONE[1:], crowded.select("fp", "key", "segment", "place").distinct())
+    stars = cells.groupBy("key", "finer", "other").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("fps"))
     stars = stars.where(F.size("fps") > 1).select("a", F.explode("fps").alias("b")).where("a <> b")
-    return close.unionByName(stars).distinct()
+    return close.unionByName(halves_close).unionByName(stars).distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
