@@ -1,0 +1 @@
+"""Column functions: hashing and bit vectors."""

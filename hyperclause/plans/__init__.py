@@ -1,0 +1 @@
+"""Tables that the registered queries derive from the sample data, and the queries themselves."""
