@@ -227,11 +227,11 @@ def agg15(spark, sf_dir):
     return metrics.accuracy(rows, "quality", "student").select(F.round("accuracy", 9).alias("accuracy"))
 
 
-@query("jn11_metrics_by_seed", f"WITH {_MEMBERS}, d AS (SELECT seed, avg(margin) AS v FROM members WHERE graph_id % 2 = 0 GROUP BY seed), t AS (SELECT seed, avg(margin) AS v FROM members WHERE graph_id % 2 = 1 GROUP BY seed) SELECT seed, round(t.v - d.v, 6) AS gain FROM d JOIN t USING (seed)")
+@query("jn11_metrics_by_seed", f"WITH {_MEMBERS}, d AS (SELECT seed, avg(margin) AS v FROM members JOIN documents ON doc_id = graph_id WHERE lang = 'en' GROUP BY seed), t AS (SELECT seed, avg(margin) AS v FROM members JOIN documents ON doc_id = graph_id WHERE lang <> 'en' GROUP BY seed) SELECT seed, round(t.v - d.v, 6) AS gain FROM d JOIN t USING (seed)")
 def jn11(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(42), F.lit(46))).alias("seed")).withColumn("margin", mix(F.col("doc_id"), F.col("seed"), 5) % 201 - 100)
-    means = lambda odd, name: docs.where(F.col("doc_id") % 2 == odd).groupBy("seed").agg(F.avg("margin").alias(name))
-    return means(0, "d").join(means(1, "t"), "seed").select("seed", F.round(F.col("t") - F.col("d"), 6).alias("gain"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(F.sequence(F.lit(42), F.lit(46))).alias("seed")).withColumn("margin", mix(F.col("doc_id"), F.col("seed"), 5) % 201 - 100)
+    means = lambda arm, name: docs.where(arm).groupBy("seed").agg(F.avg("margin").alias(name))
+    return means("lang = 'en'", "d").join(means("lang <> 'en'", "t"), "seed").select("seed", F.round(F.col("t") - F.col("d"), 6).alias("gain"))
 
 
 @query("tr17_best_epoch", f"WITH h AS (SELECT CAST(c_mktsegment AS VARCHAR) AS seed, c_custkey AS epoch, c_custkey * 7919 % 101 AS value FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY value DESC, epoch) AS r FROM h) SELECT seed, epoch, value FROM r WHERE r = 1")
@@ -245,16 +245,16 @@ def win_offsets(spark, sf_dir):
     return messages.offsets(derived.nodes(spark, sf_dir))
 
 
-@query("set_union_splits", f"{BASE} SELECT graph_id FROM graphs WHERE graph_id % 3 = 0 UNION ALL SELECT graph_id FROM graphs WHERE graph_id % 3 = 1")
+@query("set_union_splits", f"{BASE} SELECT graph_id FROM graphs WHERE y = 1 UNION ALL SELECT graph_id FROM graphs WHERE y = 0")
 def set_union(spark, sf_dir):
-    g = derived.graphs(spark, sf_dir).select("graph_id")
-    return g.where("graph_id % 3 = 0").unionAll(g.where("graph_id % 3 = 1"))
+    g = derived.graphs(spark, sf_dir)
+    return g.where("y = 1").select("graph_id").unionAll(g.where("y = 0").select("graph_id"))
 
 
-@query("set_intersect_disjoint", f"{BASE} SELECT graph_id FROM graphs WHERE graph_id % 2 = 0 INTERSECT SELECT graph_id FROM graphs WHERE graph_id % 3 = 0")
+@query("set_intersect_disjoint", f"{BASE} SELECT graph_id FROM graphs WHERE y = 1 INTERSECT SELECT graph_id FROM nodes WHERE atom_type = 0")
 def set_intersect(spark, sf_dir):
-    g = derived.graphs(spark, sf_dir).select("graph_id")
-    return g.where("graph_id % 2 = 0").intersect(g.where("graph_id % 3 = 0"))
+    positive = derived.graphs(spark, sf_dir).where("y = 1").select("graph_id")
+    return positive.intersect(derived.nodes(spark, sf_dir).where("atom_type = 0").select("graph_id"))
 
 
 @query("set_except_chosen", f"{BASE} SELECT graph_id FROM graphs EXCEPT SELECT graph_id FROM nodes WHERE atom_type = 0")
@@ -304,10 +304,10 @@ def exp06(spark, sf_dir):
     return texts.select(explain.parse_literal(F.col("text")).alias("p")).select("p.feature", "p.polarity")
 
 
-@query("exp07_fired_leaves", f"{_FLAT} SELECT vec_id, clause, j, k, l, m, CAST((pos & ({(1 << SPEC.features) - 1} - x)) = 0 AND (neg & x) = 0 AS INTEGER) AS fired FROM input CROSS JOIN leaf WHERE (pos > 0 OR neg > 0) AND vec_id % 10 = 0")
+@query("exp07_fired_leaves", f"{_FLAT} SELECT vec_id, clause, j, k, l, m, CAST((pos & ({(1 << SPEC.features) - 1} - x)) = 0 AND (neg & x) = 0 AS INTEGER) AS fired FROM input CROSS JOIN leaf WHERE pos > 0 OR neg > 0")
 def exp07(spark, sf_dir):
     signs = F.transform(F.slice("embedding", 1, SPEC.features), lambda v: (v > 0).cast("int"))
-    rows = read(spark, sf_dir, "embeddings").where("vec_id % 10 = 0").select("vec_id", bits.pack(signs).getItem(0).alias("x"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", bits.pack(signs).getItem(0).alias("x"))
     return explain.fired_leaves(rows, machine.automata(spark), SPEC, machine.INCLUDE).select("vec_id", "clause", "j", "k", "l", "m", "fired")
 
 

@@ -1,0 +1 @@
+"""Tables, models and reports from and to files."""

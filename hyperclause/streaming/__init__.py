@@ -1,0 +1 @@
+"""Scoring of streams with a fixed model."""
