@@ -131,7 +131,7 @@ def search(nodes: DataFrame, bonds: DataFrame, edits: DataFrame, state: DataFram
 
 def trace(steps: DataFrame, tried: DataFrame) -> DataFrame:
     """graph_id, tried, flips, committed: how many candidates were tried, how many of them flip, how many edits were committed."""
-    counts = tried.groupBy("graph_id").agg(F.count(F.lit(1)).alias("tried"), F.count_if("flips").alias("flips"))
+    counts = tried.groupBy("graph_id").agg(F.count(F.lit(1)).alias("tried"), F.count_if(F.col("flips")).alias("flips"))
     edits = steps.groupBy("graph_id").agg(F.count(F.lit(1)).alias("committed"))
     return counts.join(edits, "graph_id", "left").fillna(0, ["committed"])
 

@@ -13,8 +13,8 @@ from .machine import DIM, SEED, SPEC
 from .registry import query
 
 BASE = f"WITH {derived.SQL}"
-WORDS = [F.col("words")[0].alias("w0"), F.col("words")[1].alias("w1")]
-HV = [F.col("hv")[0].alias("w0"), F.col("hv")[1].alias("w1")]
+WORDS = ["words[0] AS w0", "words[1] AS w1"]
+HV = ["hv[0] AS w0", "hv[1] AS w1"]
 _coin = f"CAST(({mix_sql('p_partkey', 'i', SEED)} // 8) % 2 AS INTEGER)"
 #: Random bits of each part, and of its brand-mate by number.
 PART_BITS = f"WITH b AS (SELECT p_partkey, CAST(i AS INTEGER) AS bit, {_coin} AS v FROM part CROSS JOIN range({DIM}) t(i))"
@@ -26,7 +26,7 @@ def _part_bits(spark, sf_dir):
 
 @query("enc01_random_bits", f"{PART_BITS} SELECT p_partkey, {machine.WORDS_SQL} FROM b GROUP BY p_partkey")
 def enc01(spark, sf_dir):
-    return _part_bits(spark, sf_dir).withColumn("words", bits.pack(F.col("bits"))).select("p_partkey", *WORDS)
+    return _part_bits(spark, sf_dir).withColumn("words", bits.pack(F.col("bits"))).selectExpr("p_partkey", *WORDS)
 
 
 @query(
@@ -37,7 +37,7 @@ def enc01(spark, sf_dir):
 )
 def enc02(spark, sf_dir):
     other = bits.pack(bits.random_bits(F.col("p_size"), DIM, SEED))
-    return _part_bits(spark, sf_dir).withColumn("words", bits.bind(bits.pack(F.col("bits")), other)).select("p_partkey", *WORDS)
+    return _part_bits(spark, sf_dir).withColumn("words", bits.bind(bits.pack(F.col("bits")), other)).selectExpr("p_partkey", *WORDS)
 
 
 @query(
@@ -51,12 +51,12 @@ def enc03(spark, sf_dir):
 
     parts = read(spark, sf_dir, "part").select("p_brand", "p_partkey", bits.pack(bits.random_bits(F.col("p_partkey"), DIM, SEED)).alias("hv"))
     parts = parts.withColumn("lead", F.col("p_partkey") == F.min("p_partkey").over(Window.partitionBy("p_brand")))
-    return encoding.majority(parts, ["p_brand"], "hv", F.col("lead"), DIM).select("p_brand", *HV)
+    return encoding.majority(parts, ["p_brand"], "hv", F.col("lead"), DIM).selectExpr("p_brand", *HV)
 
 
 @query("enc04_codebook", f"WITH {machine.CODES_SQL} SELECT kind, code, CAST(sum(v) AS INTEGER) AS set_bits, {machine.WORDS_SQL} FROM codes GROUP BY kind, code")
 def enc04(spark, sf_dir):
-    return machine.book(spark).select("kind", "code", F.aggregate("bits", F.lit(0), lambda a, b: a + b).alias("set_bits"), *WORDS)
+    return machine.book(spark).selectExpr("kind", "code", "aggregate(bits, 0, (a, b) -> a + b) AS set_bits", *WORDS)
 
 
 @query(
@@ -64,7 +64,7 @@ def enc04(spark, sf_dir):
     f"{PART_BITS}, s AS (SELECT p_partkey, (bit + p_size) % {DIM} AS bit, v FROM b JOIN part USING (p_partkey)) SELECT p_partkey, {machine.WORDS_SQL} FROM s GROUP BY p_partkey",
 )
 def enc05(spark, sf_dir):
-    return _part_bits(spark, sf_dir).withColumn("words", bits.pack(bits.permute(F.col("bits"), F.col("p_size")))).select("p_partkey", *WORDS)
+    return _part_bits(spark, sf_dir).withColumn("words", bits.pack(bits.permute(F.col("bits"), F.col("p_size")))).selectExpr("p_partkey", *WORDS)
 
 
 @query(
@@ -107,7 +107,7 @@ def enc09(spark, sf_dir):
 )
 def enc11(spark, sf_dir):
     near = encoding.adjacency(derived.bonds(spark, sf_dir))
-    return encoding.edge_vectors(derived.nodes(spark, sf_dir), near, machine.book(spark)).select("graph_id", "src", "dst", *HV)
+    return encoding.edge_vectors(derived.nodes(spark, sf_dir), near, machine.book(spark)).selectExpr("graph_id", "src", "dst", *HV)
 
 
 @query("enc12_adjacency", f"{BASE}, {machine.ADJACENCY_SQL} SELECT graph_id, src, dst, bond_type, CAST(edge_id AS INTEGER) AS edge_id FROM adjacent")
@@ -123,7 +123,7 @@ def enc13(spark, sf_dir):
 
 @query("enc14_node_vectors", f"{BASE}, {machine.CODES_SQL}, {machine.ADJACENCY_SQL}, {machine.HOPS_SQL}, {machine.bits_sql(2, DIM)} SELECT graph_id, node_id, {machine.WORDS_SQL} FROM node_bits GROUP BY graph_id, node_id")
 def enc14(spark, sf_dir):
-    return machine.vectors(spark, sf_dir).select("graph_id", "node_id", *HV)
+    return machine.vectors(spark, sf_dir).selectExpr("graph_id", "node_id", *HV)
 
 
 @query("enc16_bit_test", f"{PART_BITS} SELECT p_partkey, v AS bit FROM b JOIN part USING (p_partkey) WHERE b.bit = p_size % {DIM}")
