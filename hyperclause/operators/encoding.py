@@ -86,21 +86,18 @@ def neighbourhoods(nodes: DataFrame, adjacent: DataFrame, book: DataFrame, k: in
     chain that finds it first (by the order of its parents, then of the bonds) bound together. The root itself has hop 0."""
     if k < 0:
         raise ValueError("k must not be negative")
-    steps = adjacent.join(codes_of(book, "bond", "b"), F.col("bond_type") == F.col("b_code")).select("graph_id", "src", "dst", "edge_id", "b_hv")
+    steps = adjacent.join(codes_of(book, "bond", "b"), F.col("bond_type") == F.col("b_code")).select("graph_id", F.col("src").alias("node_id"), "dst", "edge_id", "b_hv")
     none = F.transform(F.sequence(F.lit(1), F.lit(_words(book))), lambda i: F.lit(0).cast("long"))
-    found = nodes.select("graph_id", F.col("node_id").alias("root"), "node_id", F.lit(0).alias("hop"), none.alias("chain"), F.lit(1).alias("rank"))
+    found = nodes.select("graph_id", F.col("node_id").alias("root"), "node_id", F.struct(F.lit(0).alias("hop"), F.array().cast("array<int>").alias("path"), none.alias("chain")).alias("best"))
     frontier = found
     for hop in range(1, k + 1):
-        met = frontier.join(steps, (frontier.graph_id == steps.graph_id) & (frontier.node_id == steps.src)).select(
-            frontier.graph_id, "root", F.col("dst").alias("node_id"), F.lit(hop).alias("hop"), bits.bind(F.col("chain"), F.col("b_hv")).alias("chain"), "rank", "edge_id"
-        )
-        fresh = met.join(found.select("graph_id", "root", "node_id"), ["graph_id", "root", "node_id"], "left_anti")
-        first = Window.partitionBy("graph_id", "root", "node_id").orderBy("rank", "edge_id")
-        fresh = fresh.withColumn("place", F.row_number().over(first)).where("place = 1")
-        order = Window.partitionBy("graph_id", "root").orderBy("rank", "edge_id")
-        frontier = fresh.select("graph_id", "root", "node_id", "hop", "chain", F.row_number().over(order).alias("rank"))
-        found = found.unionByName(frontier)
-    return found.drop("rank")
+        # A path is the bonds on the way: paths compare as their parents do, then by the last bond.
+        path, chain = F.concat("best.path", F.array("edge_id")), bits.bind(F.col("best.chain"), F.col("b_hv"))
+        met = frontier.join(steps, ["graph_id", "node_id"]).select("graph_id", "root", F.col("dst").alias("node_id"), F.struct(F.lit(hop).alias("hop"), path.alias("path"), chain.alias("chain")).alias("best"))
+        # What was met before has a lesser hop, so the least of all is kept: one aggregate finds new nodes and first chains.
+        found = found.unionByName(met).groupBy("graph_id", "root", "node_id").agg(F.min("best").alias("best"))
+        frontier = found.where(F.col("best.hop") == hop)
+    return found.select("graph_id", "root", "node_id", "best.hop", "best.chain")
 
 
 def _words(book: DataFrame) -> int:
