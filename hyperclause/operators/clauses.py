@@ -204,3 +204,17 @@ def bit_planes(state: Column, planes: int = 8) -> Column:
 def from_planes(planes: Column) -> Column:
     """The state that bit planes hold."""
     return F.aggregate(F.transform(planes, lambda b, i: b.cast("long") * bits.power(i)), F.lit(0).cast("long"), lambda acc, v: acc + v)
+
+
+def trace(inputs: DataFrame, leaves: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The inner nodes of all trees as tables, from inputs x (a long of the bits that literals read) of any id columns: OR over
+    the leaves by (clause, j, k, l), AND by (clause, j, k), OR by (clause, j), AND by clause. For looking into few inputs: it
+    has a row for every leaf of every input, while `fires` has none."""
+    ids = inputs.columns
+    held = (F.col("pos").bitwiseAND(F.bitwise_not(F.col("x"))) == 0) & (F.col("neg").bitwiseAND(F.col("x")) == 0)
+    rows = inputs.join(F.broadcast(leaves), F.lit(True)).withColumn("v", held.cast("long"))
+    product = F.aggregate(F.collect_list("v"), F.lit(1).cast("long"), lambda acc, v: acc * v)
+    ors = rows.groupBy(*ids, "clause", "j", "k", "l").agg(F.sum("v").alias("v"))
+    ands = ors.groupBy(*ids, "clause", "j", "k").agg(product.alias("v"))
+    inner = ands.groupBy(*ids, "clause", "j").agg(F.sum("v").alias("v"))
+    return ors, ands, inner, inner.groupBy(*ids, "clause").agg(product.alias("v"))

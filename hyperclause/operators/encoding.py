@@ -153,3 +153,17 @@ def property_vectors(properties: DataFrame, size: int, hot: int, seed: int, comp
     found = places.agg(F.collect_set("place").alias("places"))
     own = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.array_contains("places", i).cast("int"))
     return found.select("graph_id", "node_id", (bits.with_complement(own) if complement else own).alias("bits"))
+
+
+def packed(rows: DataFrame, keys: list[str], bit: str, value: str) -> DataFrame:
+    """keys, word, bits: a row for each 32-bit word of vectors that are given bit by bit."""
+    grouped = rows.groupBy(*keys, F.floor(F.col(bit) / bits.WORD).cast("int").alias("word"))
+    return grouped.agg(F.sum(F.col(value) * bits.power(F.col(bit) % bits.WORD)).alias("bits"))
+
+
+def one_hot_features(nodes: DataFrame, adjacent: DataFrame, atoms: int, bonds: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes and directed edges with x, the one-hot array of their type."""
+    return (
+        nodes.select("graph_id", "node_id", bits.one_hot(F.col("atom_type"), atoms).alias("x")),
+        adjacent.select("graph_id", "src", "dst", bits.one_hot(F.col("bond_type"), bonds).alias("x")),
+    )

@@ -406,3 +406,87 @@ def src11(spark, sf_dir):
     edges = bonds.groupBy("graph_id").agg(F.count(F.lit(1)).alias("edges_declared"))
     declared = nodes.groupBy("graph_id").agg((F.count(F.lit(1)) + (F.col("graph_id") % 5 == 0).cast("int")).alias("nodes_declared"))
     return messages.reconciled(nodes, bonds, declared.join(edges, "graph_id", "left").fillna(0, ["edges_declared"]))
+
+
+# Intermediate tables of the trees, and pairings
+
+
+def _trace(spark, sf_dir):
+    signs = F.transform(F.slice("embedding", 1, SPEC.features), lambda v: (v > 0).cast("int"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", bits.pack(signs).getItem(0).alias("x"))
+    return clauses.trace(rows, clauses.leaves(machine.automata(spark), SPEC, machine.INCLUDE))
+
+
+@query("cl03_leaf_ors", f"{_FLAT} SELECT vec_id, clause, j, k, l, CAST(s AS BIGINT) AS v FROM hit")
+def cl03(spark, sf_dir):
+    return _trace(spark, sf_dir)[0].select("vec_id", "clause", "j", "k", "l", "v")
+
+
+@query("cl04_inner_ands", f"{_FLAT} SELECT vec_id, clause, j, k, CAST(s AS BIGINT) AS v FROM conj")
+def cl04(spark, sf_dir):
+    return _trace(spark, sf_dir)[1].select("vec_id", "clause", "j", "k", "v")
+
+
+@query("cl05_inner_ors", f"{_FLAT} SELECT vec_id, clause, j, CAST(s AS BIGINT) AS v FROM disj")
+def cl05(spark, sf_dir):
+    return _trace(spark, sf_dir)[2].select("vec_id", "clause", "j", "v")
+
+
+@query("cl06_root_ands", f"{_FLAT} SELECT vec_id, clause, ways AS v FROM tree")
+def cl06(spark, sf_dir):
+    return _trace(spark, sf_dir)[3].select("vec_id", "clause", "v")
+
+
+@query("jn01_literal_gather", f"WITH {machine.AUTOMATA_SQL} SELECT vec_id, clause, j, k, l, m, n, CAST(CASE WHEN n < {SPEC.leaf_and} THEN embedding[feature + 1] > 0 ELSE NOT embedding[feature + 1] > 0 END AS INTEGER) AS value FROM ta CROSS JOIN embeddings WHERE state > {machine.INCLUDE}")
+def jn01(spark, sf_dir):
+    literals = clauses.included(machine.automata(spark), machine.INCLUDE).select("clause", "j", "k", "l", "m", "n", "feature")
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, SPEC.features)).alias("feature", "x"))
+    positive = F.col("x") > 0
+    value = F.when(F.col("n") < SPEC.leaf_and, positive).otherwise(~positive).cast("int")
+    return rows.join(F.broadcast(literals), "feature").select("vec_id", "clause", "j", "k", "l", "m", "n", value.alias("value"))
+
+
+@query("jn06_missing_bonds", f"{BASE} SELECT a.graph_id, a.node_id AS u, b.node_id AS v FROM nodes a JOIN nodes b ON a.graph_id = b.graph_id AND b.node_id = a.node_id + 2 WHERE NOT EXISTS (SELECT 1 FROM bonds x WHERE x.graph_id = a.graph_id AND x.u = a.node_id AND x.v = b.node_id)")
+def jn06(spark, sf_dir):
+    nodes, bonds = derived.nodes(spark, sf_dir), derived.bonds(spark, sf_dir)
+    second = nodes.select("graph_id", (F.col("node_id") - 2).alias("u"), F.col("node_id").alias("v")).where("u >= 0")
+    return second.join(bonds, ["graph_id", "u", "v"], "left_anti")
+
+
+@query("exp05_firing_union", f"{FIRED} SELECT CAST(s AS INTEGER) AS member, graph_id, clause, count(*) AS clause_output FROM node_fired CROSS JOIN range(2) t(s) WHERE ways > s GROUP BY s, graph_id, clause")
+def exp05(spark, sf_dir):
+    """Two members: clauses that hold, and clauses that hold in more than one way; duplicates stay."""
+    hv = machine.vectors(spark, sf_dir, 1, SPEC.features)
+    x, nx = clauses.literal_inputs(F.col("hv"), SPEC, "complement")
+    held = clauses.with_model(hv.select("graph_id", "node_id", x.alias("x"), nx.alias("nx")), clauses.model(machine.automata(spark), SPEC, machine.INCLUDE))
+    rows = held.select("graph_id", "node_id", F.posexplode(F.transform("clauses", lambda c: clauses.multiplicity(c, F.col("x"), F.col("nx")))).alias("clause", "ways"))
+    parts = None
+    for member in (0, 1):
+        fired = rows.select("graph_id", "node_id", "clause", (F.col("ways") > member).cast("int").alias("output"))
+        one = explain.firing_clauses(fired, SPEC.classes).select(F.lit(member).alias("member"), "graph_id", "clause", "clause_output")
+        parts = one if parts is None else parts.unionAll(one)
+    return parts
+
+
+@query("exp11_states_of_a_clause", f"WITH {machine.AUTOMATA_SQL} SELECT j, k, l, m, n, state, CAST(state > {machine.INCLUDE} AS INTEGER) AS action FROM ta WHERE clause = 3")
+def exp11(spark, sf_dir):
+    return machine.automata(spark).where("clause = 3").select("j", "k", "l", "m", "n", "state", (F.col("state") > machine.INCLUDE).cast("int").alias("action"))
+
+
+@query("enc15_pack_rows", f"{BASE}, {machine.CODES_SQL} SELECT kind, code, CAST(bit // 32 AS INTEGER) AS word, CAST(sum(CAST(v AS BIGINT) << (bit % 32)) AS BIGINT) AS bits FROM codes GROUP BY kind, code, bit // 32")
+def enc15(spark, sf_dir):
+    rows = machine.book(spark).select("kind", "code", F.posexplode("bits").alias("bit", "v"))
+    return encoding.packed(rows, ["kind", "code"], "bit", "v")
+
+
+@query("enc18_complements", f"{BASE}, own AS (SELECT DISTINCT graph_id, node_id, {_place('atom_type', 'i', SEED)} AS place FROM nodes CROSS JOIN range({HOT}) t(i)) SELECT n.graph_id, n.node_id, CAST(count(DISTINCT o.place) AS BIGINT) AS plain, CAST({SIZE} - count(DISTINCT o.place) AS BIGINT) AS negated FROM nodes n LEFT JOIN own o ON o.graph_id = n.graph_id AND o.node_id = n.node_id GROUP BY n.graph_id, n.node_id")
+def enc18(spark, sf_dir):
+    nodes, places, _, _, _ = _flat_machine(spark, sf_dir)
+    every = messages.with_negations(places, nodes, SIZE)
+    return every.groupBy("graph_id", "node_id").agg(F.count_if(F.col("place") < SIZE).alias("plain"), F.count_if(F.col("place") >= SIZE).alias("negated"))
+
+
+@query("enc23_one_hot_features", f"{BASE} SELECT graph_id, node_id, CAST(CAST(1 AS BIGINT) << atom_type AS BIGINT) AS x FROM nodes")
+def enc23(spark, sf_dir):
+    features, _ = encoding.one_hot_features(derived.nodes(spark, sf_dir), encoding.adjacency(derived.bonds(spark, sf_dir)), derived.ATOMS, derived.BONDS)
+    return features.select("graph_id", "node_id", bits.pack(F.col("x")).getItem(0).alias("x"))
