@@ -97,6 +97,78 @@ class MultiClass:
         return np.array([int(np.argmax([m.score(row) for m in self.machines])) for row in x])
 
 
+class FlatMachine:
+    """Conjunctions over all literals, shared by the classes, with a weight for each class and clause.
+
+    most: a clause that includes so many literals takes no more. q: how many other classes a sample counts against, on
+    average. fit(..., incremental=True) goes on from the present state."""
+
+    def __init__(self, features: int, clauses: int, classes: int, threshold: int, s: float, seed: int, q: float = 1.0, most: int | None = None, states: int = 128, boost: bool = True) -> None:
+        self.features, self.classes, self.threshold, self.s, self.q, self.states, self.boost, self.seed = features, classes, threshold, s, q, states, boost, seed
+        self.most, self.shape = most or 2 * features, (clauses, 2 * features)
+        self.reset()
+
+    def reset(self) -> None:
+        self.rng = np.random.default_rng(self.seed)
+        self.state = np.full(self.shape, self.states - 1, np.int32)
+        self.weights = self.rng.choice([-1, 1], (self.classes, self.shape[0])).astype(np.int64)
+
+    def literals(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([x.astype(bool), ~x.astype(bool)])
+
+    def outputs(self, lit: np.ndarray, learning: bool = False) -> np.ndarray:
+        """Which clauses hold; an empty clause holds only while it learns."""
+        include = self.state >= self.states
+        return (lit | ~include).all(axis=1) & (include.any(axis=1) | learning)
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        return self.weights @ self.outputs(self.literals(x))
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return np.array([int(self.sums(r).argmax()) for r in x])
+
+    def transform(self, x: np.ndarray) -> np.ndarray:
+        """The clauses' outputs as features."""
+        return np.stack([self.outputs(self.literals(r)) for r in x]).astype(np.uint8)
+
+    def _update(self, lit: np.ndarray, k: int, sign: int) -> None:
+        out, t = self.outputs(lit, learning=True), self.threshold
+        total = max(-t, min(t, int(self.weights[k] @ out)))
+        chosen = self.rng.random(len(out)) < (t - sign * total) / (2 * t)
+        agrees = self.weights[k] * sign >= 0
+        draw = self.rng.random(self.state.shape)
+        include = self.state >= self.states
+        room = (include.sum(axis=1) < self.most)[:, None] | include
+        first, second = (chosen & agrees)[:, None], (chosen & ~agrees & out)[:, None]
+        up = first & out[:, None] & lit & ((draw < (self.s - 1) / self.s) | self.boost) & room
+        up |= second & ~lit & ~include & room
+        down = first & (~out[:, None] | ~lit) & (draw < 1 / self.s)
+        self.weights[k] += sign * (chosen & out)
+        self.state = np.clip(self.state + up - down.astype(np.int32), 0, 2 * self.states - 1).astype(np.int32)
+
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, incremental: bool = False) -> FlatMachine:
+        if not incremental:
+            self.reset()
+        for _ in range(epochs):
+            for i in self.rng.permutation(len(x)):
+                lit = self.literals(x[i])
+                self._update(lit, int(y[i]), 1)
+                for k in range(self.classes):
+                    if k != y[i] and self.rng.random() < self.q / max(1, self.classes - 1):
+                        self._update(lit, k, -1)
+        return self
+
+    def fit_outputs(self, x: np.ndarray, y: np.ndarray, epochs: int) -> FlatMachine:
+        """Several outputs at once: y has a column for each class, and each is learned for or against."""
+        self.reset()
+        for _ in range(epochs):
+            for i in self.rng.permutation(len(x)):
+                lit = self.literals(x[i])
+                for k in range(self.classes):
+                    self._update(lit, k, 1 if y[i, k] else -1)
+        return self
+
+
 def graph_fit(machine: Machine, graphs: list[np.ndarray], y: np.ndarray, epochs: int) -> Machine:
     """graphs: the bits of each graph's nodes. A clause counts once if it fires at any node; one of these nodes, at random,
     gives its literals to the feedback."""
@@ -131,6 +203,12 @@ def train_ensemble(rows: DataFrame, spec: Spec, seeds: list[int], epochs: int, f
     return each.groupBy("seed").applyInPandas(train, HISTORY)
 
 
+def distill(rows: DataFrame, teacher: DataFrame, spec: Spec, seeds: list[int], epochs: int) -> DataFrame:
+    """The history of machines that learn the teacher's hard labels. rows: id, split, bits; teacher: graph_id, hard."""
+    taught = rows.drop("y").join(teacher.select(F.col("graph_id").alias("id"), F.col("hard").alias("y")), "id")
+    return train_ensemble(taught, spec, seeds, epochs)
+
+
 def _auroc(y: np.ndarray, s: np.ndarray) -> float:
     p, n = int((y == 1).sum()), int((y == 0).sum())
     if not p or not n:

@@ -82,6 +82,19 @@ def signature(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), F.sum(row).alias("s")).select("n", F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("s").cast("string")), 256).alias("signature"))
 
 
+def load(spark: SparkSession, candidates: list[tuple[str, str]], seed: int, train: float = 0.8, valid: float = 0.1, task: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """A labelled table with id and split, and one row of metadata: the source's tag, the rows, and the rows of either class.
+
+    task: the column of a wide assay table; None: a table of texts and labels."""
+    from ..operators.metrics import class_balance, random_split
+
+    tag, path = first_source(spark, candidates)
+    raw = spark.read.csv(path, header=True)
+    rows = (labelled(raw) if task is None else assay(raw, task)).withColumn("id", F.crc32("smiles"))
+    out = random_split(rows, "id", seed, train, valid)
+    return out, class_balance(rows, "y").withColumn("source", F.lit(tag))
+
+
 # Generators: every value follows from the row's number, so any partitioning gives the same table.
 
 

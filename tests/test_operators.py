@@ -300,3 +300,38 @@ def test_stream(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.sql("select * from scored").collect()) == want
     rates = scoring.windowed_rates(scoring.score_stream(rows, model, spec), "ts", "5 minutes", "10 minutes")
     assert sum(r.n for r in rates.collect()) == 20
+
+
+def test_flat_machine_learns():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 2, (900, 6))
+    y = x[:, 0] ^ x[:, 1]
+    machine = training.FlatMachine(6, 20, 2, 15, 3.9, seed=2, most=4).fit(x[:700], y[:700], 8)
+    assert (machine.predict(x[700:]) == y[700:]).mean() > 0.95
+    assert ((machine.state >= machine.states).sum(axis=1) <= 4).all()
+    assert machine.transform(x[:5]).shape == (5, 20)
+    several = training.FlatMachine(6, 40, 2, 15, 3.9, seed=3).fit_outputs(x[:700], np.stack([x[:, 0], 1 - x[:, 2]], axis=1)[:700], 5)
+    sums = np.stack([several.sums(r) for r in x[700:]]) >= 0
+    assert (sums == np.stack([x[700:, 0], 1 - x[700:, 2]], axis=1)).mean() > 0.95
+
+
+def test_load_and_snapshots(spark, tmp_path):
+    lines = ["Drug,Y"] + [f"{'C' * (i + 1)},{i % 2}" for i in range(20)]
+    (tmp_path / "t.csv").write_text("\n".join(lines))
+    rows, meta = readers.load(spark, [("cache", str(tmp_path / "t.csv"))], 3)
+    assert {r.split: r["count"] for r in rows.groupBy("split").count().collect()} == {"train": 16, "valid": 2, "test": 2}
+    assert tuple(meta.first()) == (20, 10, 10, "cache")
+    spec = clauses.Spec()
+    ta = clauses.hashed_states(clauses.addresses(spark, spec), 1, 150, 3)
+    writers.save_automata(ta, str(tmp_path / "ta"))
+    assert sorted(map(tuple, writers.load_automata(spark, str(tmp_path / "ta")).collect())) == sorted(map(tuple, ta.collect()))
+
+
+def test_distillation_follows_the_teacher(spark):
+    rng = np.random.default_rng(1)
+    spec = clauses.Spec(clauses=10, threshold=8, root=1, inner_or=1, inner_and=2, leaf_or=2, leaf_and=2)
+    x = rng.integers(0, 2, (120, spec.features))
+    rows = spark.createDataFrame([(i, "train" if i < 100 else "valid", r.tolist()) for i, r in enumerate(x)], "id long, split string, bits array<int>")
+    teacher = spark.createDataFrame([(i, int(r[0])) for i, r in enumerate(x)], "graph_id long, hard int")
+    best = metrics.best_epoch(training.distill(rows.withColumn("y", F.lit(0)), teacher, spec, [1, 2], 6).select("seed", "epoch", F.col("valid_auroc").alias("value")), ["seed"])
+    assert {r.seed for r in best.collect()} == {1, 2} and min(r.value for r in best.collect()) > 0.8
