@@ -7,8 +7,6 @@ broadcast, BUCKETS at most. Texts are scored whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
