@@ -31,6 +31,8 @@ BLOCK_BYTES = 32 << 20
 BROADCAST = 4_000_000
 #: About so many grams are in a task that builds subtrees.
 TASK_GRAMS = 300_000
+#: A block's partial counts are summed whenever they hold so many more keys.
+COMPACT = 1_000_000
 WORD, GRAM, END = 0, 1, 0
 
 
@@ -87,19 +89,20 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a in range(0, len(keys), 1 << 16):
                 own = keys[a : a + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), at)), pa.array(np.full(len(own), kind, np.int32)), pa.array(own), pa.array(n[a : a + (1 << 16)])], names=["block", "kind", "key", "n"])
-            parts.clear()
 
     for block, batch, data, offsets in blocks(batches, "text"):
         if block != at:
             if at is not None:
                 yield from flushed()
-            at = block
+            at, held = block, {WORD: [], GRAM: []}
         learn = batch.column(batch.schema.get_field_index("learn")).to_numpy(zero_copy_only=False).astype(bool)
         text, bounds = normal(data, offsets)
         for kind, (keys, places) in ((WORD, tokens(text, bounds)), (GRAM, grams(text, bounds))):
             counted = np.repeat(learn, np.diff(places))
             own, n = np.unique(keys[counted], return_counts=True)
             held[kind] += [(own, n), (z := np.unique(keys[~counted]), np.zeros(len(z), np.int64))]
+            if sum(len(k) for k, _ in held[kind][1:]) > COMPACT:
+                held[kind] = [summed(np.concatenate([k for k, _ in held[kind]]), np.concatenate([c for _, c in held[kind]]))]
         held[WORD].append((np.array([END]), np.array([learn.sum()])))
     if at is not None:
         yield from flushed()
@@ -197,30 +200,29 @@ class Lookup:
     """Values by 64-bit keys, all of which are known: two hash tables, then a search for what they have no room for."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.bits = max(10, int(len(keys)).bit_length() + 1)
         self.tables = []
         for factor in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
-            slot = self.slots(keys, factor)
-            known, value = np.zeros(1 << self.bits, np.int64), np.zeros(1 << self.bits, np.float32)
+            bits = max(10, int(len(keys)).bit_length() + 1)  # the second table holds what is left, so it is smaller
+            slot = self.slots(keys, factor, bits)
+            # An empty slot must not look like a key that lies elsewhere.
+            empty = np.int64(-1) if not len(keys) or keys.min() >= 0 else np.int64(0x5555555555555555)
+            known, value = np.full(1 << bits, empty), np.zeros(1 << bits, np.float32)
             known[slot], value[slot] = keys, values
-            # An empty slot must not look like key 0 that lies elsewhere.
-            empty = np.ones(1 << self.bits, bool)
-            empty[slot] = False
-            known[empty] = -1 if not len(keys) or keys.min() >= 0 else np.int64(0x5555555555555555)
-            self.tables.append((factor, known, value))
+            self.tables.append((factor, bits, known, value))
             rest = known[slot] != keys
             keys, values = keys[rest], values[rest]
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order].astype(np.float32)
 
-    def slots(self, keys: np.ndarray, factor: int) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(factor)) >> np.uint64(64 - self.bits)).astype(np.int64)
+    @staticmethod
+    def slots(keys: np.ndarray, factor: int, bits: int) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(factor)) >> np.uint64(64 - bits)).astype(np.int64)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         out, left = np.zeros(len(keys), np.float32), None
-        for factor, known, value in self.tables:
+        for factor, bits, known, value in self.tables:
             own = keys if left is None else keys[left]
-            slot = self.slots(own, factor)
+            slot = self.slots(own, factor, bits)
             hit = known[slot] == own
             if left is None:
                 out, left = np.where(hit, value[slot], np.float32(0)), np.flatnonzero(~hit)
