@@ -30,7 +30,7 @@ BLOCK_BYTES = 32 << 20
 #: Up to so many grams are broadcast (12 bytes each); more are joined.
 BROADCAST = 4_000_000
 #: About so many grams are in a task that builds subtrees.
-TASK_GRAMS = 300_000
+TASK_GRAMS = 150_000
 #: A block's partial counts are summed whenever they hold so many more keys.
 COMPACT = 1_000_000
 WORD, GRAM, END = 0, 1, 0
