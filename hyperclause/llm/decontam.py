@@ -173,11 +173,12 @@ class Items:
                     b += 1
                 item, own = size.items[pairs[a, 0]]
                 low, high = max(0, int(pairs[a, 1]) - k), min(len(symbols), int(pairs[b - 1, 1]) + n + k)
-                got = best_match(own, symbols[low:high], k)
-                if got is not None:
-                    first = int(np.searchsorted(spot, low + got[0]))
-                    last = int(np.searchsorted(spot, low + got[1]))
-                    found.append((int(text[first]), item, first - int(places[text[first]]), last - first, got[2]))
+                # A region may run over the bounds of texts; each text's share of its words is searched by itself.
+                first, last = np.searchsorted(spot, [low, high])
+                for t in range(int(text[first]), int(text[last - 1]) + 1) if last > first else ():
+                    base = int(max(first, places[t]))
+                    for start, end, edits in matches(own, hashes[base : int(min(last, places[t + 1]))], k):
+                        found.append((t, item, base + start - int(places[t]), end - start, edits))
                 a = b
         return found
 
@@ -191,7 +192,7 @@ def _ends(pattern: np.ndarray, text: np.ndarray, free: bool) -> Iterator[tuple[i
         masks[h] = masks.get(h, 0) | 1 << i
     full, top = (1 << n) - 1, 1 << (n - 1)
     up, down, score = full, 0, n
-    for j, h in enumerate(text.tolist(), 1):
+    for j, h in enumerate(map(int, text), 1):
         eq = masks.get(h, 0)
         diagonal = (((eq & up) + up) ^ up) | eq | down
         plus, minus = down | (full & ~(diagonal | up)), up & diagonal
@@ -203,15 +204,34 @@ def _ends(pattern: np.ndarray, text: np.ndarray, free: bool) -> Iterator[tuple[i
 
 
 def best_match(pattern: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
-    """(start, end, edits) of the stretch nearest to the pattern, the first of several, if within `most` edits.
-
-    Gaps (0) at its ends are never part of it."""
+    """(start, end, edits) of the stretch nearest to the pattern, the first of several, if within `most` edits."""
     end, edits = min(_ends(pattern, text, True), key=lambda x: (x[1], x[0]), default=(0, most + 1))
-    if edits > most:
-        return None
-    back = text[:end][::-1]
-    reach, _ = min((x for x in _ends(pattern[::-1], back, False) if x[1] == edits), key=lambda x: x[0])
-    return end - reach, end, edits
+    return None if edits > most else (end - _reach(pattern, text[:end], edits), end, edits)
+
+
+def _reach(pattern: np.ndarray, text: np.ndarray, edits: int) -> int:
+    """The length of the shortest stretch at the end of the text that is so many edits from the pattern."""
+    return next(j for j, score in _ends(pattern[::-1], text[::-1], False) if score == edits)
+
+
+def matches(pattern: np.ndarray, text: np.ndarray, most: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, edits) of the stretches within `most` edits of the pattern, in order and without overlap: of stretches
+    that overlap the nearest, the first of several. The search goes on before and after each."""
+    least, at = len(pattern) - most, 0
+    while len(text) - at >= least:
+        end, edits = 0, most + 1
+        for j, score in _ends(pattern, text[at:], True):
+            if score < edits:
+                end, edits = j, score
+            # Stretches that end later don't overlap this one, or only one that the rest of the text may hold.
+            if edits <= most and j - end >= least - 1:
+                break
+        if edits > most:
+            return
+        start = end - _reach(pattern, text[at : at + end], edits)
+        yield from ((at + a, at + b, c) for a, b, c in matches(pattern, text[at : at + start], most))
+        yield at + start, at + end, edits
+        at += end
 
 
 def batches_of(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text") -> Iterator[list[tuple[int, str]]]:
@@ -226,7 +246,7 @@ def batches_of(benchmark: DataFrame, item_id: str = "item_id", item_text: str =
 def contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each passage of a document that matches an item: doc_id, item_id, first_word (from 0), words, edits.
 
-    Overlapping windows of an item in a document are one passage: the nearest stretch. Null or empty texts match nothing;
+    Overlapping stretches of a document that match an item are one passage, the nearest; others are a row each. Null or empty texts match nothing;
     items without LEAST_WORDS words, or with a null id, take no part; repeated rows of documents each give their matches;
     repeated items count once. Empty tables give no rows.
     """

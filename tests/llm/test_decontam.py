@@ -71,3 +71,24 @@ def test_no_rows(spark):
     assert decontam.contamination(docs.where("doc_id > 1"), bench).count() == 0
     assert decontam.contamination(docs, bench.where("item_id > 1")).count() == 0
     assert decontam.decontaminated(docs, bench.where("item_id > 1")).count() == 1
+
+
+def test_neighbouring_copies():
+    """Every text of a group of copies is reported, and every copy within a text."""
+    rng = random.Random(3)
+    item = [f"w{rng.randrange(10**6)}" for _ in range(59)]
+    near = [[*item[:k], "other", *item[k + 1 :]] for k in range(3, 57, 3)]
+    texts = [*[item] * 40, *near, item[:25], ["a", "b"], near[4] + item + ["x"] + near[9], item]
+    raw = [" ".join(t).encode() for t in texts]
+    hashes, _, _, places = decontam.word_hashes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    shorter = [f"v{k}" for k in range(300)]  # its gap is wider
+    for rows in ([(7, " ".join(item))], [(7, " ".join(item)), (8, " ".join(shorter))]):
+        got = sorted(decontam.Items(rows).search(hashes, places))
+        assert got == sorted([(t, 7, 0, 59, int(t >= 40)) for t in range(58)] + [(60, 7, 0, 59, 1), (60, 7, 59, 59, 0), (60, 7, 119, 59, 1), (61, 7, 0, 59, 0)])
+
+
+def test_all_matches():
+    p = np.arange(1, 11, dtype=np.uint64)
+    cut = np.delete(p, 0)
+    assert list(decontam.matches(p, np.concatenate([cut, p, p[:5], cut]), 2)) == [(0, 9, 1), (9, 19, 0), (24, 33, 1)]
+    assert list(decontam.matches(p, p[:7], 2)) == [] and list(decontam.matches(np.array([5, 5], np.uint64), np.full(5, 5, np.uint64), 0)) == [(0, 2, 0), (2, 4, 0)]
