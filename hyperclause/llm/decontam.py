@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 from ._common import LOWER_TABLE, WORD_TABLE, annotated, mixed, ragged, run_hashes, text_slices, words
 
 EDITS = 0.2
-#: Items of fewer words take no part: they are no passages.
-LEAST_WORDS = 8
+#: Items of fewer words must match word by word; those of even fewer are phrases of any text, so a text must equal them.
+LEAST_WORDS, LEAST_PASSAGE = 8, 3
 WALKS, SAMPLES, PLACES = 3, 10, 3
 #: A word that at most so many items hold counts as rare.
 RARE = 4
@@ -37,13 +37,43 @@ SEED = 17
 
 
 def allowed(n: int) -> int:
-    return int(EDITS * n + 1e-9)
+    return int(EDITS * n + 1e-9) if n >= LEAST_WORDS else 0
+
+
+#: Code points (first, last) of scripts without spaces: Thai, Lao, Tibetan, Burmese, Khmer, Tai, kana and Han.
+UNSPACED = [(0xE00, 0xEFF), (0xF00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x3035), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF)]
+#: Their punctuation, which separates words.
+MARKS = [(0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0x3036, 0x303F), (0x30FB, 0x30FB), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65)]
+
+
+def _unspaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the characters of UNSPACED, and the bytes of MARKS."""
+    heads = np.flatnonzero(data >= 0xE0)
+    if not len(heads):
+        return heads, heads, heads
+    size = np.where(data[heads] >= 0xF0, 4, 3)
+    code = (data[heads] & np.where(size == 4, 0x07, 0x0F)).astype(np.int64)
+    for k in range(1, 4):
+        code = np.where(k < size, code << 6 | data[np.minimum(heads + k, len(data) - 1)] & 0x3F, code)
+
+    def among(ranges: list[tuple[int, int]]) -> np.ndarray:
+        first, last = np.array(ranges).T
+        at = np.searchsorted(first, code, "right") - 1
+        return (at >= 0) & (code <= last[at])
+
+    mark = among(MARKS)
+    own = among(UNSPACED) & ~mark
+    return heads[own], (heads + size)[own], ragged(heads[mark], size[mark])
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words (never 0), their starts and ends in the data, and each text's place among them."""
     data = LOWER_TABLE[data]
-    starts, ends, places = words(data, offsets, WORD_TABLE[data])
+    inside = WORD_TABLE[data]
+    first, last, marks = _unspaced(data)
+    inside[marks] = False
+    starts, ends, _ = words(data, np.unique(np.concatenate([offsets, first, last])) if len(first) else offsets, inside)
+    places = np.searchsorted(starts, offsets)
     return np.maximum(run_hashes(data, starts, ends), 1), starts, ends, places
 
 
@@ -72,8 +102,12 @@ class Size:
         self.items = items
         symbols = np.concatenate([h for _, h in items])
         starts = np.arange(len(items)) * n
-        self.walks = []
-        for _ in range(WALKS):
+        self.walks, self.whole = [], None
+        if not allowed(n):  # equal windows are all there is to find
+            signature = self.sums(symbols, starts)
+            order = np.argsort(signature, kind="stable")
+            self.whole = signature[order], order
+        for _ in range(WALKS if allowed(n) else 0):
             steps = rng.integers(0, 1 << 63, 3 * n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
             # Walks are alike at their beginning for longer than at their end; the end may be padding, so the first 2 n.
             samples = np.stack([rng.choice(2 * n, PLACES, replace=False) for _ in range(SAMPLES)])
@@ -91,13 +125,21 @@ class Size:
         shown = walk(symbols, starts, self.n, steps, places)
         return np.stack([mixed((shown[:, s] * factors).sum(axis=1, dtype=np.uint64)) for s in samples], axis=1)
 
+    def sums(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """A hash of each whole window."""
+        total = np.zeros(len(starts), np.uint64)
+        for k in range(self.n):
+            total = mixed(total + symbols[starts + k])
+        return total
+
     def candidates(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Pairs (item, start) that agree in a sample of a walk, each once, in order."""
+        """Pairs (item, start) that agree in a sample of a walk, or as a whole where no edit is allowed; each once, in order."""
         found = []
         for a in range(0, len(starts), 1 << 16):
             part = starts[a : a + (1 << 16)]
-            for line, tables in self.walks:
-                for signature, (known, order) in zip(self.signatures(symbols, part, line).T, tables):
+            tests = [(self.sums(symbols, part)[None], [self.whole])] if self.whole else ((self.signatures(symbols, part, line).T, tables) for line, tables in self.walks)
+            for signatures, tables in tests:
+                for signature, (known, order) in zip(signatures, tables):
                     low, high = np.searchsorted(known, signature, "left"), np.searchsorted(known, signature, "right")
                     hit = np.flatnonzero(high > low)
                     if len(hit):
@@ -116,7 +158,7 @@ class Items:
         by_size, rarity = defaultdict(list), Counter()
         for k, (item, _) in enumerate(rows):
             own = hashes[places[k] : places[k + 1]]
-            if len(own) >= LEAST_WORDS:
+            if len(own):
                 by_size[len(own)].append((item, own))
                 rarity.update(set(own.tolist()))
         self.vocabulary = np.array(sorted(rarity), np.uint64)
@@ -159,6 +201,9 @@ class Items:
             if size.rare:
                 fits &= rare[n:] - rare[:-n] >= size.rare
             starts = np.flatnonzero(fits)
+            if n < LEAST_PASSAGE:
+                alone = np.isin(starts, spot[places[:-1][np.diff(places) == n]])
+                starts = starts[alone]
             if size.rare and len(starts):
                 own = rare_at[size.own[rare_word]]
                 starts = starts[np.searchsorted(own, starts + n) - np.searchsorted(own, starts) >= size.rare]
@@ -247,7 +292,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     """A row for each passage of a document that matches an item: doc_id, item_id, first_word (from 0), words, edits.
 
     Overlapping stretches of a document that match an item are one passage, the nearest; others are a row each. Null or empty texts match nothing;
-    items without LEAST_WORDS words, or with a null id, take no part; repeated rows of documents each give their matches;
+    items without words, or with a null id, take no part; repeated rows of documents each give their matches;
     repeated items count once. Empty tables give no rows.
     """
     rows, found = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")), None

@@ -92,3 +92,15 @@ def test_all_matches():
     cut = np.delete(p, 0)
     assert list(decontam.matches(p, np.concatenate([cut, p, p[:5], cut]), 2)) == [(0, 9, 1), (9, 19, 0), (24, 33, 1)]
     assert list(decontam.matches(p, p[:7], 2)) == [] and list(decontam.matches(np.array([5, 5], np.uint64), np.full(5, 5, np.uint64), 0)) == [(0, 2, 0), (2, 4, 0)]
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    han = "".join(chr(0x4E00 + 37 * k) for k in range(40))
+    thai = "".join(chr(0xE01 + k % 40) for k in range(30))
+    items = [(1, "one two Three four five"), (2, "of the"), (3, "word"), (4, han), (5, thai), (6, "\U00020001\U00020002\U00020003x"), (7, "")]
+    docs = ["a one, two three FOUR five b", "one two x four five", "and of the and", "Of the!", "WORD.", "word word", "一" + han[:20] + "，" + han[20:] + "丁 end", han[:10] + "乙乙" + han[12:], han[:20], "see " + thai, "\U00020001\U00020002\U00020003X", ""]
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r) for r in decontam.contamination(rows, bench).collect()}
+    assert got == {(0, 1, 1, 5, 0), (3, 2, 0, 2, 0), (4, 3, 0, 1, 0), (6, 4, 1, 40, 0), (7, 4, 0, 40, 2), (9, 5, 1, 30, 0), (10, 6, 0, 4, 0)}
+    assert {r.doc_id for r in decontam.decontaminated(rows, bench).collect()} == {1, 2, 5, 8, 11}
