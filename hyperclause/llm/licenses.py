@@ -1,17 +1,20 @@
-"""Licence notices in documents, paragraph by paragraph.
+"""Licence notices in documents, on a line or wrapped over several.
 
-A paragraph is a line. A logistic regression over hashed word n-grams gives each paragraph a probability for every licence
+A notice is a stretch of words that holds a share CONFIRM of the neighbouring word pairs of a template: on one line, or over
+consecutive lines (a line without words ends them) within twice the template's words. A logistic regression over hashed word
+n-grams gives the words of overlapping stretches, or of their line if it holds no others, a probability for every licence
 family and for `unknown`. It learns from the templates below, varied at random, and from paragraphs of the corpus as
 examples of the unknown class (a bounded random sample of documents, NEGATIVES). A temperature fitted on held-out
-variations and paragraphs calibrates the probabilities. A prediction stands only if the paragraph also holds a share
-CONFIRM of the neighbouring word pairs of a template of that family.
+variations and paragraphs calibrates the probabilities. A prediction stands only for a family of these stretches. Other
+families of theirs stand beside it if they also hold that share of the pairs that the first one's templates lack, and if
+the words without those that only the first one's templates have give them the probability.
 
-Paragraphs without any keyword of the templates can't be confirmed (every template has more pairs with a keyword than may
-be missing), so only the others are scored.
+Words without pairs of the templates can't be confirmed, so only the others are scored.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +37,7 @@ TEMPLATES = {
     "AGPL-3.0": [
         "This program is licensed under the GNU Affero General Public License, version 3",
         "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0",
@@ -54,14 +58,21 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 2",
         "either version 2 of the License, or (at your option) any later version",
         "Released under the GPL version 2",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3",
         "either version 3 of the License, or (at your option) any later version",
         "Released under the GPL version 3",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     ],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License"],
-    "LGPL": ["This library is licensed under the GNU Lesser General Public License", "Released under the LGPL"],
+    "LGPL": [
+        "This library is licensed under the GNU Lesser General Public License",
+        "Released under the LGPL",
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version",
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    ],
     "MIT": [
         "Released under the MIT License",
         "Licensed under the MIT license",
@@ -70,8 +81,6 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License 2.0"],
     "Unlicense": ["This is free and unencumbered software released into the public domain"],
 }
-# Words of the templates that are no keywords.
-PLAIN = "a an and any are as at be by can either for from in into is it may not of on or other that the this to under use with without you your 0 1 2 3 4".split()
 
 
 def _hashes(texts: list[str]) -> list[np.ndarray]:
@@ -84,15 +93,24 @@ def _hashes(texts: list[str]) -> list[np.ndarray]:
 
 
 def _pairs(h: np.ndarray) -> set[int]:
-    return set((h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]).tolist())
+    return set(_pair(h).tolist())
+
+
+def _pair(h: np.ndarray) -> np.ndarray:
+    return h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
 
 
 FAMILIES = sorted(TEMPLATES)
 _forms = [(FAMILIES.index(f), h) for f in FAMILIES for h in _hashes(TEMPLATES[f])]
 _form_pairs = [(f, _pairs(h)) for f, h in _forms]
-_plain = set(np.concatenate(_hashes(PLAIN)).tolist())
-KEYWORDS = np.array(sorted({x for _, h in _forms for x in h.tolist()} - _plain), np.uint64)
-assert all(np.mean([a in _plain and b in _plain for a, b in zip(h[:-1].tolist(), h[1:].tolist())]) < CONFIRM for _, h in _forms), "a template of too few keywords"
+_templates_of: dict[int, list[int]] = defaultdict(list)
+for _k, (_, _own) in enumerate(_form_pairs):
+    for _x in _own:
+        _templates_of[_x].append(_k)
+PAIRS = np.array(sorted(_templates_of), np.uint64)
+#: All pairs and words of each family's templates.
+_family_pairs = [set().union(*(x for f, x in _form_pairs if f == k)) for k in range(len(FAMILIES))]
+_family_words = [set().union(*(h.tolist() for f, h in _forms if f == k)) for k in range(len(FAMILIES))]
 
 
 def similarity(h: np.ndarray) -> np.ndarray:
@@ -164,6 +182,85 @@ def _paragraphs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return bounds, np.searchsorted(bounds, offsets)
 
 
+def _stretches(k: int, at: list[int], pairs: list[int], lines: list[int]) -> Iterator[tuple[int, int, float]]:
+    """(first word, end, share) of the stretches that hold enough pairs of template k. at, pairs and lines: the first word
+    of each of its pairs in a paragraph, the pair, and the line on which the pair ends."""
+    total, reach, i = len(_form_pairs[k][1]), 2 * len(_forms[k][1]), 0
+    while i < len(at):
+        for wrapped in (False, True):
+            seen, last = {pairs[i]}, i
+            for j in range(i + 1, len(at)):
+                if (at[j] + 2 - at[i] > reach) if wrapped else (lines[j] != lines[i]):
+                    break
+                if pairs[j] not in seen:
+                    seen.add(pairs[j])
+                    last = j
+            if len(seen) / total >= CONFIRM:
+                while pairs[i] in pairs[i + 1 : last + 1]:
+                    i += 1
+                yield at[i], at[last] + 2, len(seen) / total
+                i = last
+                break
+        i += 1
+
+
+def notices(h: np.ndarray, line: np.ndarray, hits: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, int, float, float]]:
+    """(line, family, probability, share) of the notices in a paragraph. h and line: the words and their lines, of more
+    text too; hits: the first words of the paragraph's pairs that templates hold."""
+    held: dict[int, list[int]] = defaultdict(list)
+    values = dict(zip(hits.tolist(), (h[hits] * np.uint64(0x9E3779B97F4A7C15) + h[hits + 1]).tolist()))
+    for at, pair in values.items():
+        for k in _templates_of[pair]:
+            held[k].append(at)
+    found = []
+    for k, at in held.items():
+        if len(at) / len(_form_pairs[k][1]) >= CONFIRM:
+            found += [(a, b, k, share) for a, b, share in _stretches(k, at, [values[x] for x in at], line[np.array(at) + 1].tolist())]
+    groups: list[list[tuple[int, int, int, float]]] = []
+    end = 0
+    for one in sorted(found):  # those that overlap compete
+        if not groups or one[0] >= end:
+            groups.append([])
+        groups[-1].append(one)
+        end = max(end if len(groups[-1]) > 1 else 0, one[1])
+    bounds = [(g[0][0], max(x[1] for x in g)) for g in groups]
+    shared = Counter(x for a, b in bounds for x in range(int(line[a]), int(line[b - 1]) + 1))
+    for group, (a, b) in zip(groups, bounds):
+        if line[a] == line[b - 1] and shared[int(line[a])] == 1:
+            a, b = np.searchsorted(line, line[a]), np.searchsorted(line, line[a], "right")
+        yield from _families(h[a:b], group, line, model)
+
+
+def _families(own: np.ndarray, group: list[tuple[int, int, int, float]], line: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, int, float, float]]:
+    """The families of stretches that overlap, the likeliest first."""
+    weights, bias = model
+    best: dict[int, tuple[float, int, int]] = {}
+    for a, _, k, share in group:
+        family = _form_pairs[k][0]
+        best[family] = max(best.get(family, (0.0, 0, 0)), (share, -a, k))
+    pairs, taken, told = _pairs(own), set(), set()
+    while best and len(own):
+        index = buckets(own)
+        z = weights[index].sum(axis=0) / np.sqrt(len(index)) + bias
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        family = int(p[:-1].argmax())
+        if family not in best or p[family] < PROBABLE:
+            return
+        share, a, _ = best.pop(family)
+        yield int(line[-a]), family, float(p[family]), share
+        taken |= _family_pairs[family]
+        told |= _family_words[family]
+        left = {}
+        for f, x in best.items():
+            lacking = _form_pairs[x[2]][1] - taken
+            if lacking and len(lacking & pairs) / len(lacking) >= CONFIRM:
+                left[f] = x
+        best = left
+        others = set().union(*(_family_words[f] for f in best))
+        own = own[[w not in told or w in others for w in own.tolist()]]
+
+
 def train(df: DataFrame, seed: int = 23, doc_id: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray]:
     rows = df.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").cast("string").alias("text")).where(F.col("__id").isNotNull() & F.col("text").isNotNull())
     sample = rows.where(chosen(F.col("__id"), sample_share(rows.count(), NEGATIVES), seed))
@@ -182,40 +279,39 @@ def train(df: DataFrame, seed: int = 23, doc_id: str = "doc_id", text: str = "te
 
 
 def scan(df: DataFrame, model: tuple[np.ndarray, np.ndarray], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each licence notice: doc_id, paragraph (its line in the text, from 0), family, score (the calibrated
-    probability of the family) and similarity (the share of a template's word pairs that it holds).
+    """A row for each licence notice: doc_id, paragraph (the line of the text, from 0, on which it begins), family, score (the
+    calibrated probability of the family) and similarity (the share of a template's word pairs that it holds).
 
-    Null or empty texts have none; repeated rows each give theirs; ties go to the family first in alphabetical order."""
+    Null or empty texts have none; repeated rows each give theirs."""
     held = df.sparkSession.sparkContext.broadcast(model)
     first = np.zeros(1 << 16, bool)
-    first[(KEYWORDS >> np.uint64(48)).astype(np.int64)] = True
+    first[(PAIRS >> np.uint64(48)).astype(np.int64)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = held.value
         for batch, data, offsets in text_slices(batches):
             data = LOWER_TABLE[data]
             bounds, place = _paragraphs(data, offsets)
-            starts, ends, _ = words(data, offsets, WORD_TABLE[data])
+            starts, ends, texts = words(data, offsets, WORD_TABLE[data])
             own = run_hashes(data, starts, ends)
-            maybe = np.flatnonzero(first[(own >> np.uint64(48)).astype(np.int64)])
-            hit = maybe[np.isin(own[maybe], KEYWORDS)]
-            lines = np.unique(np.searchsorted(bounds, starts[hit], side="right") - 1)
+            pairs = _pair(own)
+            maybe = np.flatnonzero(first[(pairs >> np.uint64(48)).astype(np.int64)])
+            hits = maybe[np.isin(pairs[maybe], PAIRS)]
+            if not len(hits):
+                continue
+            line = np.searchsorted(bounds, starts, side="right") - 1
+            cut = np.diff(line) > 1  # a line without words, or another text
+            heads = texts[(texts > 0) & (texts < len(own))]
+            cut[heads - 1] = True
+            hits = hits[~cut[hits]]
+            part = np.cumsum(cut)[hits]
             found = []
-            for line in lines.tolist():
-                h = own[np.searchsorted(starts, bounds[line]) : np.searchsorted(starts, bounds[line + 1])]
-                index = buckets(h)
-                z = weights[index].sum(axis=0) / np.sqrt(len(index)) + bias
-                p = np.exp(z - z.max())
-                p /= p.sum()
-                family = int(p[:-1].argmax())
-                if p[family] >= PROBABLE:
-                    share = float(similarity(h)[family])
-                    if share >= CONFIRM:
-                        doc = int(np.searchsorted(place, line, side="right")) - 1
-                        found.append((doc, line - int(place[doc]), FAMILIES[family], float(p[family]), share))
+            for group in np.split(hits, np.flatnonzero(np.diff(part)) + 1) if len(hits) else ():
+                for at, family, p, share in notices(own, line, group, held.value):
+                    doc = int(np.searchsorted(place, at, side="right")) - 1
+                    found.append((doc, at - int(place[doc]), FAMILIES[family], p, share))
             if found:
-                doc, line, family, p, share = zip(*found)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(line, pa.int64()), pa.array(family), pa.array(p, pa.float64()), pa.array(share, pa.float64())], names=["doc_id", "paragraph", "family", "score", "similarity"])
+                doc, at, family, p, share = zip(*found)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(at, pa.int64()), pa.array(family), pa.array(p, pa.float64()), pa.array(share, pa.float64())], names=["doc_id", "paragraph", "family", "score", "similarity"])
 
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, paragraph long, family string, score double, similarity double")

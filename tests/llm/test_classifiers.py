@@ -84,3 +84,27 @@ def test_licences(spark, corpus):
     assert sorted((r.doc_id, r.paragraph, r.family) for r in found) == [(0, 2, "MIT"), (1, 2, "CC-BY-NC"), (2, 2, "Apache-2.0"), (3, 2, "GPL-3.0")]
     assert all(r.score > 0.5 and r.similarity >= licenses.CONFIRM for r in found)
     assert licenses.scan(docs.where("doc_id < 0"), licenses.train(docs.where("doc_id < 0"))).count() == 0
+
+
+def test_wrapped_licences(spark, corpus):
+    docs, _, _ = corpus
+    header = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version."
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are\n * met:"
+    texts = [
+        header.format("", 3),
+        "one\n\n" + header.format("", 2),
+        header.format("Affero ", 3),
+        header.format("Lesser ", 3),
+        bsd,
+        "Released\nunder\nthe\nMIT\nLicense",
+        "Released under the MIT License.\n" + bsd + "\nLicensed under the Apache License, Version 2.0",
+        "Released under the MIT License or the Apache License, Version 2.0",
+        "Licensed under the MIT license, Apache License Version 2.0",
+        bsd.replace("\n", "\n\n"),
+        bsd.split("\n")[0],
+        bsd.split("\n")[1],
+        "Redistribution and use are permitted by\nthe following forms\nof the License",
+    ]
+    found = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), licenses.train(docs)).collect()
+    want = [(0, 0, "GPL-3.0"), (1, 2, "GPL-2.0"), (2, 0, "AGPL-3.0"), (3, 0, "LGPL"), (4, 0, "BSD"), (5, 0, "MIT"), (6, 0, "MIT"), (6, 1, "BSD"), (6, 4, "Apache-2.0"), (7, 0, "Apache-2.0"), (7, 0, "MIT"), (8, 0, "Apache-2.0"), (8, 0, "MIT")]
+    assert sorted((r.doc_id, r.paragraph, r.family) for r in found) == want
