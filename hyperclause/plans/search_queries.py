@@ -128,11 +128,11 @@ def _fixed(spark):
 
 @query("rc06_search")
 def rc06_search(spark, sf_dir):
-    """Two rounds for every graph that is predicted positive."""
+    """Up to three rounds for every graph that is predicted positive."""
     fixed = _fixed(spark)
     state = fixed(_state(spark, sf_dir).where("target = 1"))
     edits = fixed(_candidates(spark, sf_dir).join(state.select("graph_id"), "graph_id", "left_semi"))
-    return recourse.search(derived.nodes(spark, sf_dir), derived.bonds(spark, sf_dir), edits, state, _score(spark), fixed, max_flips=2)
+    return recourse.search(derived.nodes(spark, sf_dir), derived.bonds(spark, sf_dir), edits, state, _score(spark), fixed, max_flips=3)
 
 
 @query("rc02_removed_bonds", f"{BASE}, {machine.ADJACENCY_SQL}, e AS (SELECT graph_id, u, v, edge_id FROM numbered) SELECT b.graph_id, CAST(e.edge_id AS INTEGER) AS ordinal, b.u, b.v, b.bond_type FROM bonds b JOIN e ON e.graph_id = b.graph_id WHERE NOT (e.u = b.u AND e.v = b.v)")

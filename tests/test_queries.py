@@ -52,3 +52,24 @@ def test_entry(spark):
 
 def test_every_sql_has_its_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_search_goes_three_rounds(spark, monkeypatch):
+    """The registered search takes as many edits as the operator does by default."""
+    import inspect
+
+    from hyperclause.operators import recourse
+    from hyperclause.plans import search_queries
+
+    asked = {}
+    most = inspect.signature(recourse.search).parameters["max_flips"].default
+    rows = spark.range(1).selectExpr("id as graph_id", "1 as target")
+    monkeypatch.setattr(search_queries, "_fixed", lambda spark: lambda df: df)
+    for name in ("_state", "_candidates"):
+        monkeypatch.setattr(search_queries, name, lambda spark, sf_dir: rows)
+    monkeypatch.setattr(search_queries, "_score", lambda spark: None)
+    for name in ("nodes", "bonds"):
+        monkeypatch.setattr(search_queries.derived, name, lambda spark, sf_dir: rows)
+    monkeypatch.setattr(recourse, "search", lambda *a, max_flips=most: asked.update(most=max_flips))
+    search_queries.rc06_search(spark, "")
+    assert asked["most"] == most == 3
