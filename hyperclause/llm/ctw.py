@@ -7,9 +7,10 @@ bit is a mixture over all depths whose weights the training texts decide. The ba
 words.
 
 The whole corpus is counted: blocks of text give their distinct (DEPTH + 1)-grams and words with counts, which are summed
-by key. A context's subtree lies in one task; what is above depth SPLIT is bounded (256^2 contexts) and mixed on the
-driver. Every gram of every text thus gets its probability once. The values go back to the blocks by a join on the keys;
-the grams' are broadcast instead where there are no more than BROADCAST of them.
+by key. They are written once, compressed, for the sums and for the way back. A context's subtree lies in one task; what is
+above depth SPLIT is bounded (256^2 contexts) and mixed on the driver. Every gram of every text thus gets its probability
+once. The values go back to the blocks by a join on the keys; the grams' are broadcast instead where there are no more than
+BROADCAST of them. Keys of words are negative and keys of grams are not.
 """
 
 from __future__ import annotations
@@ -26,14 +27,18 @@ from ._common import SPACE_TABLE, fixed, run_hashes, slices, utf8, words
 
 DEPTH, SPLIT = 5, 3
 #: Text in a block; a block never spans two input partitions.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
+#: Text that is worked on at once: its grams take some twenty times its size.
+SLICE = 512 << 10
 #: Up to so many grams are broadcast (12 bytes each); more are joined.
 BROADCAST = 4_000_000
 #: About so many grams are in a task that builds subtrees.
 TASK_GRAMS = 150_000
 #: A block's partial counts are summed whenever they hold so many more keys.
 COMPACT = 1_000_000
-WORD, GRAM, END = 0, 1, 0
+#: Keys are written in chunks of so many.
+CHUNK = 1 << 16
+END = -(1 << 63)
 
 
 def normal(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,9 +51,9 @@ def normal(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def tokens(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the words (never END), and each text's place among them."""
+    """Keys of the words (negative, never END), and each text's place among them."""
     starts, ends, places = words(text, bounds, ~SPACE_TABLE[text])
-    return np.maximum(run_hashes(text, starts, ends), 1).view(np.int64), places
+    return (run_hashes(text, starts, ends) | np.uint64(1 << 63 | 1)).view(np.int64), places
 
 
 def grams(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,40 +79,66 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int,
     before, part = 0, TaskContext.get().partitionId() << 24
     for batch in batches:
         data, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
-        for a, b in slices(offsets):
+        for a, b in slices(offsets, SLICE):
             yield part + before // BLOCK_BYTES, batch.slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             before += int(offsets[b] - offsets[a])
 
 
+def shrunk(x: np.ndarray) -> bytes:
+    """64-bit values in few bytes: each byte's place by itself, compressed. Small values and steps take little room."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def grown(raw: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(raw, 8 * n, codec="zstd"), np.uint8).reshape(8, n).T).reshape(-1).view(np.int64)
+
+
+CHUNKS = "block long, words boolean, size int, keys binary, counts binary"
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """block, kind, key, n: a block's distinct words and grams and how often its training texts have them."""
-    at, held = None, {WORD: [], GRAM: []}
+    """Chunks of a block's distinct words and grams, ascending, and of how often its training texts have them."""
+    at, held = None, ([], [])
 
     def flushed() -> Iterator[pa.RecordBatch]:
-        for kind, parts in held.items():
+        for kind, parts in enumerate(held):
             keys, n = summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
-            for a in range(0, len(keys), 1 << 16):
-                own = keys[a : a + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), at)), pa.array(np.full(len(own), kind, np.int32)), pa.array(own), pa.array(n[a : a + (1 << 16)])], names=["block", "kind", "key", "n"])
+            for a in range(0, len(keys), CHUNK):
+                own, times = keys[a : a + CHUNK], n[a : a + CHUNK]
+                steps = np.diff(own, prepend=np.int64(0))  # modulo 2^64
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([kind == 0]), pa.array([len(own)], pa.int32()), pa.array([shrunk(steps)], pa.binary()), pa.array([shrunk(times)], pa.binary())], names=["block", "words", "size", "keys", "counts"])
 
     for block, batch, data, offsets in blocks(batches, "text"):
         if block != at:
             if at is not None:
                 yield from flushed()
-            at, held = block, {WORD: [], GRAM: []}
+            at, held = block, ([], [])
         learn = batch.column(batch.schema.get_field_index("learn")).to_numpy(zero_copy_only=False).astype(bool)
         text, bounds = normal(data, offsets)
-        for kind, (keys, places) in ((WORD, tokens(text, bounds)), (GRAM, grams(text, bounds))):
+        for kind, (keys, places) in enumerate((tokens(text, bounds), grams(text, bounds))):
             counted = np.repeat(learn, np.diff(places))
             own, n = np.unique(keys[counted], return_counts=True)
-            held[kind] += [(own, n), (z := np.unique(keys[~counted]), np.zeros(len(z), np.int64))]
+            held[kind].extend([(own, n), (z := np.unique(keys[~counted]), np.zeros(len(z), np.int64))])
             if sum(len(k) for k, _ in held[kind][1:]) > COMPACT:
-                held[kind] = [summed(np.concatenate([k for k, _ in held[kind]]), np.concatenate([c for _, c in held[kind]]))]
-        held[WORD].append((np.array([END]), np.array([learn.sum()])))
+                held[kind][:] = [summed(np.concatenate([k for k, _ in held[kind]]), np.concatenate([c for _, c in held[kind]]))]
+        held[0].append((np.array([END]), np.array([learn.sum()])))
     if at is not None:
         yield from flushed()
 
 
+def _keys(name: str):
+    """From chunks: a row for each key with its count (name: n) or its block (name: block)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in batch.to_pylist():
+                keys = np.cumsum(grown(chunk["keys"], chunk["size"]))
+                other = grown(chunk["counts"], chunk["size"]) if name == "n" else np.full(len(keys), chunk["block"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(other)], names=["key", name])
+
+    return run
+
+
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """ln of the gamma function for x >= 1/2, by Stirling's series at x + 7."""
     shift = np.ones_like(x)
@@ -202,10 +233,10 @@ class Lookup:
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         self.tables = []
         for factor in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
-            bits = max(10, int(len(keys)).bit_length() + 1)  # the second table holds what is left, so it is smaller
+            bits = max(10, int(len(keys)).bit_length())  # the second table holds what is left, so it is smaller
             slot = self.slots(keys, factor, bits)
             # An empty slot must not look like a key that lies elsewhere.
-            empty = np.int64(-1) if not len(keys) or keys.min() >= 0 else np.int64(0x5555555555555555)
+            empty = np.int64(-2)  # grams are not negative, and words are odd but for END
             known, value = np.full(1 << bits, empty), np.zeros(1 << bits, np.float32)
             known[slot], value[slot] = keys, values
             self.tables.append((factor, bits, known, value))
@@ -238,22 +269,23 @@ class Lookup:
 
 
 def score(df: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of the text) of every row.
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of the text) and bits_per_byte (the
+    code length of the normalised text with its end mark) of every row.
 
     learn: which rows are learned from (null: not). A null text is empty: it has the end alone. Repeated rows count each
     time. Without rows to learn from, train_tokens and n_known are 0 and every bit is even. df is read twice and must
-    give its rows in the same order both times, as a table in files does; the job fails otherwise.
+    give its rows in the same order both times, as a table in files does; the job fails otherwise. A null doc_id stays null.
     """
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     spark = df.sparkSession
-    found = rows.mapInArrow(_counts, "block long, kind int, key long, n long")
-    counts = fixed(found.groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    total, distinct, size = counts.agg(F.sum(F.when(F.col("kind") == WORD, F.col("n"))), F.count_if((F.col("kind") == WORD) & (F.col("n") > 0)), F.count_if(F.col("kind") == GRAM)).first()
+    chunks = fixed(rows.mapInArrow(_counts, CHUNKS))
+    counts = fixed(chunks.mapInArrow(_keys("n"), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    total, distinct, size = counts.agg(F.sum(F.when(F.col("key") < 0, F.col("n"))), F.count_if((F.col("key") < 0) & (F.col("n") > 0)), F.count_if(F.col("key") >= 0)).first()
     total = total or 0
 
     tasks = max(1, -(-size // TASK_GRAMS))
     subtree = F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(F.lit((1 << (8 * SPLIT)) - 1))), F.lit(tasks)).alias("task")
-    parts = counts.where(F.col("kind") == GRAM).select("key", "n", subtree).groupBy("task")
+    parts = counts.where(F.col("key") >= 0).select("key", "n", subtree).groupBy("task")
     sums = parts.applyInArrow(_roots, "node long, zeros double, ones double, weighted double").groupBy("node").agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted"))
     roots = sums.toArrow()  # 256^(SPLIT - 1) * 255 nodes at most
     keys = roots.column(0).to_numpy()
@@ -264,37 +296,40 @@ def score(df: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
         top.append(top[-1].parent(8 * depth))
     values = parts.applyInArrow(_valued(spark.sparkContext.broadcast(top)), "key long, value double")
 
-    table = counts.where(F.col("kind") == WORD).select("kind", "key", F.col("n").cast("double").alias("value"))
+    table = counts.where(F.col("key") < 0).select("key", F.col("n").cast("double").alias("value"))
     known = None
     if size <= BROADCAST:
         got = values.toArrow()
         known = spark.sparkContext.broadcast((got.column(0).to_numpy(), got.column(1).to_numpy().astype(np.float32)))
-        found = found.where(F.col("kind") == WORD)
+        chunks = chunks.where("words")
     else:
-        table = table.unionByName(values.select(F.lit(GRAM).alias("kind"), "key", "value"))
-    sent = found.select("block", "kind", "key").join(table, ["kind", "key"]).select("block", "kind", "key", F.col("value").cast("float").alias("value"))
+        table = table.unionByName(values)
+    found = chunks.mapInArrow(_keys("block"), "key long, block long")
+    sent = found.join(table, "key").select("block", "key", F.col("value").cast("float").alias("value"))
     in_blocks = rows.mapInArrow(_with_block, "block long, doc_id long, text string")
     each = 1 / (total + 0.1 * (distinct + 1))
 
     def scored(texts: pa.Table, values: pa.Table) -> pa.Table:
-        kind, key, value = (values.column(c).to_numpy() for c in ("kind", "key", "value"))
-        of_word = Lookup(key[kind == WORD], value[kind == WORD])
-        of_gram = Lookup(key[kind == GRAM], value[kind == GRAM]) if known is None else broadcast_lookup(*known.value)
+        key, value = values.column("key").to_numpy(), values.column("value").to_numpy()
+        of_word = Lookup(key[key < 0], value[key < 0])
+        of_gram = Lookup(key[key >= 0], value[key >= 0]) if known is None else broadcast_lookup(*known.value)
         end, out = of_word(np.array([END]))[0] if len(key) else np.float32(0), []
+        del key, value, values
         data, offsets = utf8(texts.column("text"))
-        for a, b in slices(offsets):
+        for a, b in slices(offsets, SLICE):
             text, bounds = normal(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             keys, places = tokens(text, bounds)
             c = of_word(keys).astype(np.float64)
             logs, seen = np.concatenate([[0], np.cumsum(np.log10((c + 0.1) * each))]), np.concatenate([[0], np.cumsum(c > 0)])
             codes, at = grams(text, bounds)
             bits = np.concatenate([[0], np.cumsum(of_gram(codes), dtype=np.float64)])
-            out.append((np.diff(places) + 1, np.diff(seen[places]) + int(end > 0), np.diff(logs[places]) + np.log10((float(end) + 0.1) * each), np.diff(bits[at])))
-        n, n_known, base, model = (np.concatenate(x) for x in zip(*out))
-        return pa.table({"doc_id": texts.column("doc_id"), "n_tokens": pa.array(n), "n_known": pa.array(n_known), "train_tokens": pa.array(np.full(len(n), total)), "base_score": pa.array(base), "score": pa.array(model)})
+            model = np.diff(bits[at])
+            out.append((np.diff(places) + 1, np.diff(seen[places]) + int(end > 0), np.diff(logs[places]) + np.log10((float(end) + 0.1) * each), model, -model * np.log2(10) / np.diff(at)))
+        n, n_known, base, model, rate = (np.concatenate(x) for x in zip(*out))
+        return pa.table({"doc_id": texts.column("doc_id"), "n_tokens": pa.array(n), "n_known": pa.array(n_known), "train_tokens": pa.array(np.full(len(n), total)), "base_score": pa.array(base), "score": pa.array(model), "bits_per_byte": pa.array(rate)})
 
     pairs = in_blocks.groupBy("block").cogroup(sent.groupBy("block"))
-    return pairs.applyInArrow(scored, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return pairs.applyInArrow(scored, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 
 #: The last broadcast keys and their table, kept in this Python worker.

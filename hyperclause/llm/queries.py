@@ -46,7 +46,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = ctw.score(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 10) != 0)
-    return scored.select("doc_id", held_out(10, 0), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", held_out(10, 0), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,7 +66,7 @@ def model(texts):
     return score
 
 
-TEXTS = ["The cat sat on the mat.", "the cat\tate the  rat", "Ein Haus", "", None, "é à la carte", "the the the", "zzz qqq unseen words", "The cat sat on the mat.", "x" * 40]
+TEXTS = ["The cat sat on the mat.", "the cat\tate the  rat", "Ein Haus", "", None, "é à la carte", "the the the", "zzz qqq unseen words", "The cat sat on the mat.", "x" * 40, "so long " * 3000]
 
 
 @pytest.mark.parametrize("broadcast", [0, 4_000_000])
@@ -89,10 +89,13 @@ def test_scores(spark, monkeypatch, tmp_path, broadcast, block):
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(own), sum(c > 0 for c in own), total)
         assert got[i].base_score == pytest.approx(sum(math.log10((c + 0.1) / (total + 0.1 * (distinct + 1))) for c in own), rel=1e-5)
         assert got[i].score == pytest.approx(score(t), rel=1e-5)
+        assert got[i].bits_per_byte == pytest.approx(-score(t) / math.log10(2) / len(normal(t)), rel=1e-5)
 
 
 def test_no_rows_and_nothing_learned(spark):
     df = spark.createDataFrame([(1, "ab")], "doc_id long, text string")
     assert ctw.score(df.where("doc_id > 1"), F.lit(True)).count() == 0
+    null = ctw.score(spark.createDataFrame([(None, "ab"), (1, "ab"), (1, "ab")], "doc_id long, text string"), F.col("doc_id").isNull()).collect()
+    assert sorted(r.doc_id or 0 for r in null) == [0, 1, 1] and len({r.score for r in null}) == 1 and {r.train_tokens for r in null} == {2}
     r = ctw.score(df, F.lit(False)).first()
     assert (r.train_tokens, r.n_known) == (0, 0) and r.score == pytest.approx(24 * math.log10(0.5), rel=1e-6)
