@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text is worked on in slices of whole documents of about this many bytes; one longer document is a slice by itself.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -32,11 +33,14 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only a session without one gets a temporary folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return named or spark.sparkContext.getCheckpointDir()
+    """The folder that spark.checkpoint.dir names, or else the one that the session was given by setCheckpointDir. Without
+    either, a temporary folder where all runs in one process, and an error on a cluster, whose executors would not share it."""
+    context, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return named or context.getCheckpointDir()
 
 
 def fixed(df: DataFrame) -> DataFrame:
@@ -49,6 +53,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def remainder(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n."""
     return F.crc32(key.cast("string")) % F.lit(n)
@@ -183,10 +191,10 @@ def chosen(key: Column, share: Column | float, seed: int) -> Column:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int, seed: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """y (0 or 1) and text of about `most` labelled documents outside the held-out fold, chosen at random by id.
+    """__id, y (0 or 1) and text of about `most` labelled documents outside the held-out fold, chosen at random by id.
 
     Of several labels of a document the largest counts; null labels and ids take no part. The chosen ids are bounded by
-    `most`, so they are broadcast."""
+    `most`, so they are broadcast. A document of several rows has as many here."""
     known = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("__id").isNotNull())
     known = known.where(remainder(F.col("__id"), folds) != held)
     share = sample_share(known.count(), most)
@@ -195,17 +203,45 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds:
     return texts.join(F.broadcast(ids), "__id").select("__id", "y", "text")
 
 
+def learned(sample: DataFrame, prepare: Callable[[np.ndarray, np.ndarray], list[pa.Array]], learn: Callable[[list[int], list[pa.Array]], list[pa.Array]], made: str) -> Row | None:
+    """What `learn` makes of a labelled sample in one task; nothing of an empty one.
+
+    `prepare` turns the texts of a slice into two binary columns (a text's features), where the texts are read; a document
+    of several rows counts once (its least features). `learn` gets the labels and these columns in the order of the ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in text_slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *prepare(data, offsets)], names=["__id", "y", "a", "b"])
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by("__id")  # the same order whatever the partitioning
+        return pa.table(learn(table.column("y").to_pylist(), [table.column("a"), table.column("b")]), names=[x.split()[0] for x in made.split(", ")])
+
+    kind = sample.schema["__id"].dataType.simpleString()
+    rows = sample.select("__id", "y", "text").mapInArrow(run, f"__id {kind}, y int, a binary, b binary")
+    once = rows.groupBy("__id").agg(F.min(F.struct("y", "a", "b")).alias("one")).select("__id", "one.*", F.lit(0).alias("__all"))
+    return once.groupBy("__all").applyInArrow(fit, made).first()
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """These names, each with as many underscores behind it as make it differ from all columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while any(n.lower() in taken for n in names):
+        names = tuple(f"{n}_" for n in names)
+    return list(names)
+
+
 def annotated(df: DataFrame, carry: list[str], text: str, fields: list[T.StructField], compute: Callable[[int, np.ndarray, np.ndarray], list[pa.Array]]) -> DataFrame:
     """The columns `carry` of df, and `fields` computed from the bytes of the texts (rows, bytes, offsets) slice by slice.
 
-    A carried column that is named like a field gives way to it."""
+    A carried column that is named like a field, in any case, gives way to it."""
     schema = df.schema
-    fresh = {f.name for f in fields}
-    kept = [c for c in carry if c not in fresh]
-    sent = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]
+    fresh = {f.name.lower() for f in fields}
+    kept = [c for c in carry if c.lower() not in fresh]
+    sent = [column(c).alias(f"c{i}") for i, c in enumerate(kept)]
     place = kept.index(text) if text in kept and isinstance(schema[text].dataType, T.StringType) else len(kept)
     if place == len(kept):
-        sent.append(F.col(f"`{text}`").cast("string").alias("text"))
+        sent.append(column(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
