@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import LOWER_TABLE, WORD_TABLE, annotated, mixed, ragged, run_hashes, text_slices, words
+from ._common import LOWER_TABLE, WORD_TABLE, annotated, column, mixed, ragged, run_hashes, text_slices, unused, words
 
 EDITS = 0.2
 #: Items of fewer words must match word by word; those of even fewer are phrases of any text, so a text must equal them.
@@ -318,6 +318,7 @@ def _searcher(held):
 def decontaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of documents, with all their columns, that hold no passage of an item; null and empty texts stay."""
     columns, left = documents.columns, documents
+    (name,) = unused(columns, "passages")
     for part in batches_of(benchmark):
         held, ready = documents.sparkSession.sparkContext.broadcast(part), []
 
@@ -330,5 +331,5 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text
                 count[match[0]] += 1
             return [pa.array(count)]
 
-        left = annotated(left, columns, text, [T.StructField("__passages", T.LongType())], compute).where("__passages = 0").select(*[F.col(f"`{c}`") for c in columns])
+        left = annotated(left, columns, text, [T.StructField(name, T.LongType())], compute).where(column(name) == 0).select(*map(column, columns))
     return left

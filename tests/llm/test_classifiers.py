@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,16 @@ def test_language(spark, corpus):
     assert {r.lang_pred for r in none} == {"und"}
 
 
+def test_language_of_a_text_does_not_depend_on_its_neighbours(spark):
+    """Lower case by code points: a final sigma, and letters whose lower case is several, are alike everywhere."""
+    texts = ["ΟΔΟΣ", "οδος οδοσ", "İSTANBUL", "ΟΔΟΣ ΑΒ", "aΣ", "Straße", ""]
+    alone = [b"".join(langid.stream(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[:1]).hex() for t in texts]
+    raw = [t.encode() for t in texts]
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+    codes, places, _ = langid.stream(np.frombuffer(b"".join(raw), np.uint8), bounds)
+    assert [codes[a:b].tobytes().hex() for a, b in zip(places[:-1], places[1:])] == alone
+
+
 def test_licences(spark, corpus):
     docs, _, _ = corpus
     lines = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "licensed under the APACHE license, version 2.0", "This work is licensed under the GNU General Public License, version 3.", "You need a driving license to work for the public.", "version 2 of the and the license under"]
