@@ -28,9 +28,10 @@ BLOCK_ROWS = 50_000
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
-    """How many good ones `draws` draws without replacement give: an exact draw at any size.
+    """How many good ones `draws` draws without replacement give.
 
-    Inversion from the lower end for small counts, else ratio-of-uniforms rejection against the exact density.
+    Ratio-of-uniforms rejection against the density, which is exact up to the rounding of the logarithms of the gamma
+    function (some 1e-16 of their values: 3e-5 in the logarithm of the density at 10^10 rows).
     """
     total = good + bad
     if draws == 0 or good == 0:

@@ -153,7 +153,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     marked = fixed(fingerprints(df, doc_id, text))
     known = marked.where(F.col("doc_id").isNotNull())
     groups = fixed(known.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(groups.select("fp")))
+    # Few bytes, but each row is multiplied: spread over all tasks rather than by size.
+    spread = groups.select("fp").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    roots = components(links(spread))
     placed = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = placed.join(named, "root").select("fp", "component_id")

@@ -1,6 +1,7 @@
 """Exact top-k search by inner product: tiled matrix products and a tree of merges.
 
-Vectors are packed into blocks of bounded size. A tile is one block of queries against one block of candidates: one
+Vectors of like length are packed into blocks of bounded size, in the least integers that hold them; so one very long
+vector widens its own block alone. A tile is one block of queries against one block of candidates: one
 matrix product, of which each query keeps its best k. The lists of a block of queries are then merged in rounds of
 MERGE lists each, so that no task ever holds more than MERGE lists for a block. The queries are a stated set, taken in
 blocks; no pair of rows is ever materialised outside a tile.
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 
 from ._common import fixed
 
-QUERY_BLOCK, CANDIDATE_BLOCK, MERGE = 2048, 16384, 8
+#: Rows of a block of vectors of up to WIDTH components; blocks of longer ones have fewer.
+QUERY_BLOCK, CANDIDATE_BLOCK, WIDTH = 2048, 16384, 512
+MERGE = 8
 
 
 def quantised(df: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
@@ -29,8 +32,14 @@ def quantised(df: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFra
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def _matrix(blob: bytes, ids: bytes) -> np.ndarray:
-    return np.frombuffer(blob, np.int64).reshape(len(ids) // 8, -1)
+def _matrix(blob: bytes, kind: str, ids: bytes) -> np.ndarray:
+    return np.frombuffer(blob, kind).reshape(len(ids) // 8, -1)
+
+
+def _least_kind(m: np.ndarray) -> str:
+    """The least integer type that holds all of m."""
+    low, high = m.min(initial=0), m.max(initial=0)
+    return next(k for k in ("int8", "int16", "int32", "int64") if np.iinfo(k).min <= low and high <= np.iinfo(k).max)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
@@ -46,14 +55,21 @@ def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
     return kept[np.lexsort((ids[kept], -scores[kept]))][:k]
 
 
+def largest(m: np.ndarray) -> float:
+    """The largest absolute value."""
+    return max(-float(m.min(initial=0)), float(m.max(initial=0)))
+
+
 def product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact integer inner products; in floating point where no sum can leave its exact range."""
-    most = max(1, q.shape[1]) * float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0))
+    width = min(q.shape[1], c.shape[1])  # what one lacks counts as zero
+    q, c = q[:, :width], c[:, :width]
+    most = max(1, width) * largest(q) * largest(c)
     kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
     return (q.astype(kind) @ c.astype(kind).T).astype(np.int64)
 
 
-PACKED = "block int, ids binary, vectors binary"
+PACKED = "block int, ids binary, kind string, vectors binary"
 #: Lists of a block of queries against some candidates: k places a query, of which `used` hold something.
 LISTS = "q int, c int, ids binary, used binary, best binary, scores binary"
 
@@ -66,18 +82,30 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, scale: int = 64, vec_id:
     once. Missing components of shorter vectors count as zero. Fewer candidates than k: all. Empty table: no rows.
     """
     rows = fixed(quantised(df, vec_id, embedding, scale))
-    n, queries, width = rows.agg(F.count(F.lit(1)), F.count_if(is_query), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    shards, blocks = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-queries // QUERY_BLOCK))
+    # Lengths by powers of two, each with its own blocks: a row for each of some 30 classes.
+    rows = rows.withColumn("class", F.greatest(F.ceil(F.log2(F.greatest(F.size("v"), F.lit(1)).cast("double"))).cast("int"), F.lit(int(np.log2(WIDTH)))))
+    sizes = rows.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("queries")).orderBy("class").collect()
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
-        m = np.zeros((len(pdf), width), np.int64)
+        m = np.zeros((len(pdf), pdf["v"].map(len).max()), np.int64)
         for i, v in enumerate(pdf["v"]):
             m[i, : len(v)] = v
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "vectors": [m.tobytes()]})
-
-    def packed(frame: DataFrame, count: int) -> DataFrame:
-        return frame.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")).groupBy("block").applyInPandas(pack, PACKED)
+        kind = _least_kind(m)
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "kind": [kind], "vectors": [m.astype(kind).tobytes()]})
+
+    def packed(frame: DataFrame, found: list[tuple[int, int]], most: int) -> tuple[DataFrame, int]:
+        """The frame's blocks and their number."""
+        block, before = F.lit(None).cast("int"), 0
+        for power, n in found:
+            count = -(-n // max(1, most * WIDTH >> power))
+            if count:
+                block = F.when(F.col("class") == power, F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int") + before).otherwise(block)
+                before += count
+        return frame.withColumn("block", block).groupBy("block").applyInPandas(pack, PACKED), max(1, before)
+
+    asked, blocks = packed(rows.where(is_query), [(r["class"], r["queries"]) for r in sizes], QUERY_BLOCK)
+    held, shards = packed(rows, [(r["class"], r["n"]) for r in sizes], CANDIDATE_BLOCK)
 
     def sent(frame: DataFrame, own: str, other: str, count: int) -> DataFrame:
         """Each block to the tiles of its line."""
@@ -88,7 +116,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, scale: int = 64, vec_id:
             return pd.DataFrame({name.split()[0]: [] for name in LISTS.split(", ")})
         a, b = asked.iloc[0], held.iloc[0]
         own, ids = np.frombuffer(a["ids"], np.int64), np.frombuffer(b["ids"], np.int64)
-        q, c = _matrix(a["vectors"], a["ids"]), _matrix(b["vectors"], b["ids"])
+        q, c = (_matrix(x["vectors"], x["kind"], x["ids"]) for x in (a, b))
         used, found, scores = np.zeros(len(own), np.int64), np.zeros((len(own), k), np.int64), np.zeros((len(own), k), np.int64)
         for strip in range(0, len(own), 256):  # a tile's product is held in strips
             for i, line in enumerate(product(q[strip : strip + 256], c), strip):
@@ -112,8 +140,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, scale: int = 64, vec_id:
         line, place = np.nonzero(np.arange(k) < used[:, None])
         return pd.DataFrame({"query_id": np.frombuffer(ids, np.int64)[line], "rank": (place + 1).astype(np.int32), "vec_id": found[line, place], "score": scores[line, place]})
 
-    asked = sent(packed(rows.where(is_query), blocks), "q", "c", shards)
-    held = sent(packed(rows, shards), "c", "q", blocks)
+    asked, held = sent(asked, "q", "c", shards), sent(held, "c", "q", blocks)
     lists = asked.groupBy("q", "c").cogroup(held.groupBy("q", "c")).applyInPandas(multiply, LISTS)
     left = shards
     while left > MERGE:

@@ -104,3 +104,25 @@ def test_short_items_and_scripts_without_spaces(spark):
     got = {tuple(r) for r in decontam.contamination(rows, bench).collect()}
     assert got == {(0, 1, 1, 5, 0), (3, 2, 0, 2, 0), (4, 3, 0, 1, 0), (6, 4, 1, 40, 0), (7, 4, 0, 40, 2), (9, 5, 1, 30, 0), (10, 6, 0, 4, 0)}
     assert {r.doc_id for r in decontam.decontaminated(rows, bench).collect()} == {1, 2, 5, 8, 11}
+
+
+def test_windows_that_match_are_found():
+    """Against the edit distance of every stretch of every text: no pair beyond, all equal ones, and 0.95 of the others."""
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(60)]
+    prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(k, prose(rng.choice([5, 9, 14, 20, 30]))) for k in range(25)]
+    texts = []
+    for _ in range(120):
+        own = list(rng.choice(items)[1])
+        for _ in range(rng.randrange(len(own) // 3)):
+            k = rng.randrange(len(own))
+            own[k : k + rng.randrange(2)] = [rng.choice(vocabulary)] * rng.randrange(2)
+        texts.append(prose(rng.randrange(8)) + own + prose(rng.randrange(8)))
+    raw = [" ".join(t).encode() for t in texts]
+    hashes, _, _, places = decontam.word_hashes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    got = {(t, i) for t, i, *_ in decontam.Items([(i, " ".join(x)) for i, x in items]).search(hashes, places)}
+    least = {(t, i): min(min(distances(x, w[a:])) for a in range(len(w))) for t, w in enumerate(texts) for i, x in items}
+    want = {k for k, d in least.items() if d <= decontam.allowed(len(items[k[1]][1]))}
+    assert got <= want and {k for k in want if least[k] == 0} <= got
+    assert len(want) > 60 and len(got) >= 0.95 * len(want)

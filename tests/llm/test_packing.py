@@ -56,6 +56,41 @@ def test_assignment_fills_sequences():
     assert count * 4096 - int(lengths.sum()) < 4096
 
 
+def cheapest(lengths, capacity):
+    """Each descending document to the sequence of least cost with room, cut where none has: step by step."""
+    count = -(-sum(lengths) // capacity)
+    held, left, pieces, fresh = [[] for _ in range(count)], [], [], 0
+    for d in sorted(range(len(lengths)), key=lambda d: (-lengths[d], d)):
+        start = 0
+        while lengths[d] - start >= capacity:
+            held[fresh].append(capacity)
+            pieces.append((d, start, capacity, fresh))
+            start, fresh = start + capacity, fresh + 1
+        if start < lengths[d]:
+            left.append((lengths[d] - start, d, start))
+    while left:
+        size, d, start = min(left, key=lambda x: (-x[0], x[1], x[2]))
+        left.remove((size, d, start))
+        cost = lambda k: sum(n + n * n / 2048 for n in held[k])
+        room = [capacity - sum(x) for x in held]
+        fits = [k for k in range(count) if room[k] >= size] or [k for k in range(count) if room[k] > 0]
+        k = min(fits, key=lambda k: (cost(k), k))
+        part = min(size, room[k])
+        held[k].append(part)
+        pieces.append((d, start, part, k))
+        if part < size:
+            left.append((size - part, d, start + part))
+    return pieces
+
+
+def test_documents_go_to_the_cheapest_sequence():
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        lengths = rng.integers(1, rng.choice([20, 90, 300]), rng.integers(1, 60))
+        pieces, _ = packing.assign(lengths, 64)
+        assert [x[:4] for x in pieces] == cheapest(lengths.tolist(), 64)
+
+
 @pytest.mark.parametrize("group", [64, 2 << 20])
 def test_round_trip(spark, monkeypatch, group):
     monkeypatch.setattr(packing, "GROUP_TOKENS", group)

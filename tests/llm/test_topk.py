@@ -38,6 +38,16 @@ def test_matches_sorting(spark, monkeypatch, block, merge):
     assert {tuple(r) for r in got.collect()} == expected(rows, 4, 5)
 
 
+def test_lengths_far_apart(spark, monkeypatch):
+    """Vectors of any length; a very long one has a block of its own."""
+    monkeypatch.setattr(topk, "WIDTH", 4)
+    rng = random.Random(5)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(rng.choice([0, 1, 3, 4, 5, 9, 33]))]) for i in range(60)] + [(60, [0.5] * 20_000), (61, [0.25] * 30_000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    exact = [(r.vec_id, r.embedding) for r in df.collect()]
+    assert {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 5 == 0, k=3).collect()} == expected(exact, 3, 5)
+
+
 def test_few_and_no_candidates(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 1, 64 * 128)]
