@@ -41,6 +41,12 @@ def words_of(bits: list[Column]) -> Column:
     return F.array(*out)
 
 
+def from_places(places: Column, dim: int) -> Column:
+    """Words of `dim` bits of which those at the places are set; a place may come up several times."""
+    own = lambda w: F.aggregate(F.filter(places, lambda p: F.floor(p / WORD) == w), F.lit(0).cast("long"), lambda acc, p: acc.bitwiseOR(power(p % WORD)))
+    return F.array(*[own(w) for w in range(-(-dim // WORD))])
+
+
 def unpack(words: Column, dim: int) -> Column:
     """The first `dim` bits as an array of 0 and 1."""
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: bit(words, i))

@@ -1,8 +1,10 @@
 """The flat graph machine: clauses over node properties that send messages along typed edges, layer by layer.
 
-Vectors are sets of places, a row each: absence is 0, and the negation of place p is p + size. A clause matches a node if
-all places that it includes are there: relational division by counting. Messages of a layer are the fired clauses' codes
-at the receiving nodes, shifted by the edge's type.
+A node's properties are the bits of a vector, 32 in a word. A clause includes places: p < size asks for the bit p, p + size
+for its absence; so it is two masks, and it matches if pos & ~x = 0 and neg & x = 0. The model is one row of masks, which is
+broadcast: matching is an expression in each row of nodes, without a row for a place. A graph is small, so for messages its
+nodes and edges are gathered in a row, once, and every layer is an expression there: nothing shuffles between layers.
+Messages of a layer are the fired clauses' codes at the receiving nodes, shifted by the edge's type.
 """
 
 from __future__ import annotations
@@ -10,44 +12,93 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bits
 
-def with_negations(places: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """graph_id, node_id, place: the places that are set, and place + size for each that is not."""
-    every = nodes.select("graph_id", "node_id", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("place"))
-    missing = every.join(places, ["graph_id", "node_id", "place"], "left_anti").withColumn("place", F.col("place") + size)
-    return places.select("graph_id", "node_id", F.col("place").cast("int")).unionByName(missing)
 
+def masks(includes: DataFrame, size: int) -> DataFrame:
+    """One row: clauses, an array of clause, pos and neg in the order of clauses. includes: clause, place (null: none)."""
+    grouped = includes.groupBy("clause").agg(F.collect_set("place").alias("places"))
+    plain, negated = F.filter("places", lambda p: p < size), F.transform(F.filter("places", lambda p: p >= size), lambda p: p - size)
+    own = grouped.select(F.struct("clause", bits.from_places(plain, size).alias("pos"), bits.from_places(negated, size).alias("neg")).alias("c"))
+    return own.agg(F.array_sort(F.collect_list("c")).alias("clauses"))
 
-def matches(nodes: DataFrame, places: DataFrame, includes: DataFrame, gate: Column | None = None) -> DataFrame:
+
+def holds(clause: Column, x: Column, size: int) -> Column:
+    """Whether a clause's masks match the words x."""
+    out = F.lit(True)
+    for w in range(-(-size // bits.WORD)):
+        word = F.get(x, F.lit(w))
+        out = out & (F.get(clause["pos"], F.lit(w)).bitwiseAND(F.bitwise_not(word)) == 0) & (F.get(clause["neg"], F.lit(w)).bitwiseAND(word) == 0)
+    return out
+
+
+def _beside(rows: DataFrame, model: DataFrame, name: str) -> DataFrame:
+    """Every row with the model's masks, which are broadcast: their size is the machine's."""
+    return rows.join(F.broadcast(model.select(F.col("clauses").alias(name)).limit(1)), F.lit(True))
+
+
+def matches(vectors: DataFrame, includes: DataFrame, size: int, gate: Column | None = None) -> DataFrame:
     """graph_id, node_id, clause of every clause all of whose included places the node holds; clauses that include nothing
-    match all. includes: clause, place, and sizes of all clauses in `need` (clause, need). gate: a condition on node_type and
-    clause."""
-    need = includes.groupBy("clause").agg(F.count("place").alias("need"))
-    wanted = includes.where(F.col("place").isNotNull())
-    met = places.join(F.broadcast(wanted), "place").groupBy("graph_id", "node_id", "clause").agg(F.count(F.lit(1)).alias("met"))
-    found = met.join(F.broadcast(need), "clause").where("met = need").select("graph_id", "node_id", "clause")
-    empty = need.where("need = 0").select("clause")
-    found = found.unionByName(nodes.join(F.broadcast(empty), F.lit(True)).select("graph_id", "node_id", "clause"))
+    match all. vectors: graph_id, node_id, words, and what the gate reads; gate: a condition on these and clause."""
+    held = F.transform(F.filter("__clauses", lambda c: holds(c, F.col("words"), size)), lambda c: c["clause"])
+    found = _beside(vectors, masks(includes, size), "__clauses").withColumn("clause", F.explode(held))
+    return (found if gate is None else found.where(gate)).select("graph_id", "node_id", "clause")
+
+
+def gathered(vectors: DataFrame, adjacent: DataFrame, includes: DataFrame, size: int, gate: Column | None = None) -> DataFrame:
+    """graph_id, nodes (node_id and the clauses that match there) and edges (src, dst, bond_type) of every graph, a row each.
+
+    Where nodes and edges are already dealt out by graph nothing shuffles."""
+    held = F.transform(F.filter("__clauses", lambda c: holds(c, F.col("words"), size)), lambda c: c["clause"])
+    rows = _beside(vectors, masks(includes, size), "__clauses").withColumn("fired", held)
     if gate is not None:
-        found = found.join(nodes, ["graph_id", "node_id"]).where(gate).select("graph_id", "node_id", "clause")
-    return found
+        one = rows.select("*", F.posexplode_outer("fired").alias("__at", "clause")).groupBy("graph_id", "node_id")
+        rows = one.agg(F.array_sort(F.collect_list(F.when(gate, F.col("clause")))).alias("fired"))
+    nodes = rows.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "fired"))).alias("nodes"))
+    edges = adjacent.groupBy("graph_id").agg(F.collect_list(F.struct("src", "dst", "bond_type")).alias("edges"))
+    return nodes.join(edges, "graph_id", "left").withColumn("edges", F.coalesce("edges", F.filter(F.array(F.struct(F.lit(0).alias("src"), F.lit(0).alias("dst"), F.lit(0).alias("bond_type"))), lambda e: F.lit(False))))
+
+
+def received(graphs: DataFrame, codes: DataFrame, size: int) -> DataFrame:
+    """graphs with, in each node, inbox: the places of the messages that reach it. codes: clause, code; it is broadcast."""
+    table = codes.agg(F.map_from_entries(F.collect_list(F.struct("clause", "code"))).alias("__codes"))
+    rows = graphs.join(F.broadcast(table), F.lit(True)).withColumn("__at", F.map_from_arrays(F.transform("nodes", lambda n: n["node_id"]), F.transform("nodes", lambda n: n["fired"])))
+
+    def inbox(n: Column) -> Column:
+        come = F.filter("edges", lambda e: e["dst"] == n["node_id"])
+        sent = F.transform(come, lambda e: F.transform(F.col("__at")[e["src"]], lambda c: F.pmod(F.col("__codes")[c] + e["bond_type"], F.lit(size)).cast("int")))
+        return F.array_distinct(F.flatten(sent))
+
+    return rows.withColumn("nodes", F.transform("nodes", lambda n: F.struct(n["node_id"].alias("node_id"), n["fired"].alias("fired"), inbox(n).alias("inbox")))).drop("__at", "__codes")
+
+
+def exchange(graphs: DataFrame, codes: DataFrame, size: int) -> DataFrame:
+    """graph_id, node_id, place: the codes of the clauses that match at neighbours, shifted by the type of the edge they come
+    along. graphs: as `gathered` gives them."""
+    rows = received(graphs, codes, size).select("graph_id", F.explode("nodes").alias("n"))
+    return rows.select("graph_id", "n.node_id", F.explode("n.inbox").alias("place"))
+
+
+def packed_inboxes(graphs: DataFrame, codes: DataFrame, size: int) -> DataFrame:
+    """graph_id, node_id, words: the same messages, 32 places in a word; nodes that none reaches have zeros."""
+    rows = received(graphs, codes, size).select("graph_id", F.explode("nodes").alias("n"))
+    return rows.select("graph_id", "n.node_id", bits.from_places(F.col("n.inbox"), size).alias("words"))
 
 
-def exchange(fired: DataFrame, adjacent: DataFrame, codes: DataFrame, size: int) -> DataFrame:
-    """graph_id, node_id, place: the codes of the clauses that fire at neighbours, shifted by the type of the edge they come
-    along. codes: clause, code."""
-    sent = fired.join(F.broadcast(codes), "clause").join(adjacent, (fired.graph_id == adjacent.graph_id) & (fired.node_id == adjacent.src))
-    return sent.select(fired.graph_id, F.col("dst").alias("node_id"), F.pmod(F.col("code") + F.col("bond_type"), F.lit(size)).cast("int").alias("place")).distinct()
+def layers(graphs: DataFrame, includes: list[DataFrame], codes: DataFrame, size: int) -> DataFrame:
+    """graph_id, node_id, clause of what matches in the last layer. graphs hold what matches in the first (`gathered`); each
+    further layer (includes) keeps what matched before and also matches the messages of the layer before."""
+    for k, layer in enumerate(includes):
+        graphs = _beside(received(graphs, codes, size), masks(layer, size), f"__layer{k}")
+        read = F.transform("nodes", lambda n: F.struct(n["node_id"].alias("node_id"), n["fired"].alias("fired"), bits.from_places(n["inbox"], size).alias("x")))
+        graphs = graphs.withColumn("nodes", read)
 
+        def kept(n: Column, k: int = k) -> Column:
+            return F.transform(F.filter(f"__layer{k}", lambda c: F.array_contains(n["fired"], c["clause"]) & holds(c, n["x"], size)), lambda c: c["clause"])
 
-def layers(nodes: DataFrame, places: DataFrame, size: int, adjacent: DataFrame, includes: list[DataFrame], codes: DataFrame, message_size: int, gate: Column | None = None) -> DataFrame:
-    """What matches in the last layer: the first layer matches properties, each further one keeps what matched before and also
-    matches the messages of the layer before. The number of layers is fixed, so the plan is one."""
-    fired = matches(nodes, with_negations(places, nodes, size), includes[0], gate)
-    for layer in includes[1:]:
-        sent = with_negations(exchange(fired, adjacent, codes, message_size), nodes, message_size)
-        fired = fired.join(matches(nodes, sent, layer), ["graph_id", "node_id", "clause"], "left_semi")
-    return fired
+        graphs = graphs.withColumn("nodes", F.transform("nodes", lambda n: F.struct(n["node_id"].alias("node_id"), kept(n).alias("fired")))).drop(f"__layer{k}")
+    rows = graphs.select("graph_id", F.explode("nodes").alias("n"))
+    return rows.select("graph_id", "n.node_id", F.explode("n.fired").alias("clause"))
 
 
 def to_features(fired: DataFrame, graphs: DataFrame, clauses: int) -> DataFrame:

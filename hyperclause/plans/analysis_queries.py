@@ -337,7 +337,7 @@ _FLAT_MACHINE = f"""{BASE}, {machine.ADJACENCY_SQL},
 
 def _flat_machine(spark, sf_dir):
     nodes = derived.nodes(spark, sf_dir)
-    places = nodes.select("graph_id", "node_id", F.explode(bits.hot_bits(F.col("atom_type"), HOT, SIZE, SEED)).alias("place")).distinct()
+    vectors = nodes.withColumn("words", bits.from_places(bits.hot_bits(F.col("atom_type"), HOT, SIZE, SEED), SIZE))
     every = spark.range(CLAUSES).select(F.col("id").cast("int").alias("clause"))
 
     def layer(size, first, seed, plain):
@@ -347,37 +347,44 @@ def _flat_machine(spark, sf_dir):
         return every.join(got, "clause", "left")
 
     codes = every.withColumn("code", mix(F.col("clause"), F.lit(0), 13) % MESSAGES)
-    return nodes, places, encoding.adjacency(derived.bonds(spark, sf_dir)), [layer(SIZE, 0, 11, 20), layer(MESSAGES, 1, 12, 10)], codes
+    return vectors, encoding.adjacency(derived.bonds(spark, sf_dir)), [layer(SIZE, 0, 11, 20), layer(MESSAGES, 1, 12, 10)], codes
 
 
 @query("cl13_flat_matches", f"{_FLAT_MACHINE} SELECT graph_id, node_id, clause FROM fired0")
 def cl13(spark, sf_dir):
-    nodes, places, _, includes, _ = _flat_machine(spark, sf_dir)
-    return messages.matches(nodes, messages.with_negations(places, nodes, SIZE), includes[0])
+    vectors, _, includes, _ = _flat_machine(spark, sf_dir)
+    return messages.matches(vectors, includes[0], SIZE)
 
 
 @query("flt09_gated_matches", f"{_FLAT_MACHINE} SELECT graph_id, node_id, clause FROM fired0 JOIN nodes USING (graph_id, node_id) WHERE atom_type % 2 = clause % 2")
 def flt09(spark, sf_dir):
-    nodes, places, _, includes, _ = _flat_machine(spark, sf_dir)
-    return messages.matches(nodes, messages.with_negations(places, nodes, SIZE), includes[0], F.col("atom_type") % 2 == F.col("clause") % 2)
+    vectors, _, includes, _ = _flat_machine(spark, sf_dir)
+    return messages.matches(vectors, includes[0], SIZE, F.col("atom_type") % 2 == F.col("clause") % 2)
 
 
 @query("cl17_messages", f"{_FLAT_MACHINE} SELECT graph_id, node_id, CAST(place AS INTEGER) AS place FROM sent")
 def cl17(spark, sf_dir):
-    nodes, places, near, includes, codes = _flat_machine(spark, sf_dir)
-    return messages.exchange(messages.matches(nodes, messages.with_negations(places, nodes, SIZE), includes[0]), near, codes, MESSAGES)
+    vectors, near, includes, codes = _flat_machine(spark, sf_dir)
+    return messages.exchange(messages.gathered(vectors, near, includes[0], SIZE), codes, MESSAGES)
+
+
+@query("cl18_packed_messages", f"{_FLAT_MACHINE} SELECT n.graph_id, n.node_id, CAST(coalesce(sum(CAST(1 AS BIGINT) << CAST(s.place AS INTEGER)), 0) AS BIGINT) AS word FROM nodes n LEFT JOIN sent s USING (graph_id, node_id) GROUP BY n.graph_id, n.node_id")
+def cl18(spark, sf_dir):
+    vectors, near, includes, codes = _flat_machine(spark, sf_dir)
+    packed = messages.packed_inboxes(messages.gathered(vectors, near, includes[0], SIZE), codes, MESSAGES)
+    return packed.select("graph_id", "node_id", F.col("words")[0].alias("word"))
 
 
 @query("cl19_two_layers", f"{_FLAT_MACHINE} SELECT graph_id, node_id, clause FROM fired1")
 def cl19(spark, sf_dir):
-    nodes, places, near, includes, codes = _flat_machine(spark, sf_dir)
-    return messages.layers(nodes, places, SIZE, near, includes, codes, MESSAGES)
+    vectors, near, includes, codes = _flat_machine(spark, sf_dir)
+    return messages.layers(messages.gathered(vectors, near, includes[0], SIZE), includes[1:], codes, MESSAGES)
 
 
 @query("cl21_graph_features", f"{_FLAT_MACHINE} SELECT g.graph_id, CAST(c AS INTEGER) AS clause, CAST(f.clause IS NOT NULL AS INTEGER) AS output FROM graphs g CROSS JOIN range({CLAUSES}) t(c) LEFT JOIN (SELECT DISTINCT graph_id, clause FROM fired0) f ON f.graph_id = g.graph_id AND f.clause = c")
 def cl21(spark, sf_dir):
-    nodes, places, _, includes, _ = _flat_machine(spark, sf_dir)
-    return messages.to_features(messages.matches(nodes, messages.with_negations(places, nodes, SIZE), includes[0]), derived.graphs(spark, sf_dir), CLAUSES)
+    vectors, _, includes, _ = _flat_machine(spark, sf_dir)
+    return messages.to_features(messages.matches(vectors, includes[0], SIZE), derived.graphs(spark, sf_dir), CLAUSES)
 
 
 @query("cl20_multi_output", f"{_FLAT_MACHINE}, s AS (SELECT graph_id, CAST(c AS INTEGER) AS class_id, sum({mix_sql('clause', 'c', 7)} % 21 - 10) AS score FROM (SELECT DISTINCT graph_id, clause FROM fired0) CROSS JOIN range(3) t(c) GROUP BY graph_id, c) SELECT graph_id, class_id, CAST(score >= 0 AS INTEGER) AS pred FROM s")
@@ -389,14 +396,14 @@ def cl20(spark, sf_dir):
 
 @query("exp09_symbol_counts", f"{_FLAT_MACHINE}, codes9 AS (SELECT DISTINCT CAST(s AS INTEGER) AS symbol, {_place('s', 'i', SEED)} AS place FROM range(9) a(s) CROSS JOIN range({HOT}) b(i)) SELECT clause, symbol, CAST(inc0.place < {SIZE} AS INTEGER) AS polarity, count(*) AS n FROM inc0 JOIN codes9 ON codes9.place = inc0.place % {SIZE} GROUP BY clause, symbol, inc0.place < {SIZE}")
 def exp09(spark, sf_dir):
-    includes = _flat_machine(spark, sf_dir)[3][0]
+    includes = _flat_machine(spark, sf_dir)[2][0]
     symbols = spark.range(9).select(F.col("id").cast("int").alias("symbol"), F.explode(bits.hot_bits(F.col("id"), HOT, SIZE, SEED)).alias("place")).distinct()
     return messages.symbol_counts(includes, symbols, SIZE)
 
 
 @query("exp10_message_sources", f"{_FLAT_MACHINE} SELECT inc1.clause, CAST(e AS INTEGER) AS edge_type, code.clause AS source, CAST(place < {MESSAGES} AS INTEGER) AS polarity, count(*) AS n FROM inc1 CROSS JOIN range(4) t(e) JOIN code ON code = (place % {MESSAGES} - e + {MESSAGES}) % {MESSAGES} GROUP BY inc1.clause, e, code.clause, place < {MESSAGES}")
 def exp10(spark, sf_dir):
-    _, _, _, includes, codes = _flat_machine(spark, sf_dir)
+    _, _, includes, codes = _flat_machine(spark, sf_dir)
     return messages.message_sources(includes[1], codes, 4, MESSAGES)
 
 
@@ -481,9 +488,9 @@ def enc15(spark, sf_dir):
 
 @query("enc18_complements", f"{BASE}, own AS (SELECT DISTINCT graph_id, node_id, {_place('atom_type', 'i', SEED)} AS place FROM nodes CROSS JOIN range({HOT}) t(i)) SELECT n.graph_id, n.node_id, CAST(count(DISTINCT o.place) AS BIGINT) AS plain, CAST({SIZE} - count(DISTINCT o.place) AS BIGINT) AS negated FROM nodes n LEFT JOIN own o ON o.graph_id = n.graph_id AND o.node_id = n.node_id GROUP BY n.graph_id, n.node_id")
 def enc18(spark, sf_dir):
-    nodes, places, _, _, _ = _flat_machine(spark, sf_dir)
-    every = messages.with_negations(places, nodes, SIZE)
-    return every.groupBy("graph_id", "node_id").agg(F.count_if(F.col("place") < SIZE).alias("plain"), F.count_if(F.col("place") >= SIZE).alias("negated"))
+    vectors = _flat_machine(spark, sf_dir)[0].withColumn("both", bits.with_complement(bits.unpack(F.col("words"), SIZE)))
+    count = lambda first: F.aggregate(F.slice("both", first, SIZE), F.lit(0).cast("long"), lambda a, v: a + v)
+    return vectors.select("graph_id", "node_id", count(1).alias("plain"), count(SIZE + 1).alias("negated"))
 
 
 @query("enc23_one_hot_features", f"{BASE} SELECT graph_id, node_id, CAST(CAST(1 AS BIGINT) << atom_type AS BIGINT) AS x FROM nodes")

@@ -138,7 +138,7 @@ def test_wrapping(spark):
     assert exact == 15**16 != wrapped
 
 
-@pytest.mark.parametrize("bad", [{"clauses": 3}, {"clauses": 0}, {"classes": 0}, {"s": 1.0}, {"threshold": 0}, {"states": 1}, {"leaf_or": 0}])
+@pytest.mark.parametrize("bad", [{"clauses": 3}, {"clauses": 0}, {"classes": 0}, {"s": 1.0}, {"threshold": 0}, {"states": 1}, {"leaf_or": 0}, {"root": 8, "inner_and": 8, "leaf_and": 2}])
 def test_specs(bad):
     with pytest.raises(ValueError):
         clauses.Spec(**bad)
