@@ -81,23 +81,63 @@ def edge_vectors(nodes: DataFrame, adjacent: DataFrame, book: DataFrame) -> Data
     return joined.select("graph_id", "src", "dst", bits.bind(bits.bind(F.col("a_hv"), F.col("b_hv")), F.col("c_hv")).alias("hv"))
 
 
-def neighbourhoods(nodes: DataFrame, adjacent: DataFrame, book: DataFrame, k: int) -> DataFrame:
-    """graph_id, root, node_id, hop, chain: every node within k hops of a root once, at its least hop, with the bonds along the
-    chain that finds it first (by the order of its parents, then of the bonds) bound together. The root itself has hop 0."""
+def _code_map(book: DataFrame, kind: str, name: str) -> DataFrame:
+    """One row: a map of one kind's codes to words; it is broadcast."""
+    return F.broadcast(book.where(F.col("kind") == kind).agg(F.map_from_entries(F.collect_list(F.struct("code", "words"))).alias(name)))
+
+
+def _near(nodes: DataFrame, adjacent: DataFrame, book: DataFrame, k: int) -> DataFrame:
+    """What `neighbourhoods` gives, and atom_type. A graph is small (molecules have some 60 atoms at most), so its nodes and
+    edges are gathered in a row and each root walks its hops there: nothing shuffles where rows are dealt out by graph."""
     if k < 0:
         raise ValueError("k must not be negative")
-    steps = adjacent.join(codes_of(book, "bond", "b"), F.col("bond_type") == F.col("b_code")).select("graph_id", F.col("src").alias("node_id"), "dst", "edge_id", "b_hv")
-    none = F.transform(F.sequence(F.lit(1), F.lit(_words(book))), lambda i: F.lit(0).cast("long"))
-    found = nodes.select("graph_id", F.col("node_id").alias("root"), "node_id", F.struct(F.lit(0).alias("hop"), F.array().cast("array<int>").alias("path"), none.alias("chain")).alias("best"))
-    frontier = found
+    own = nodes.groupBy("graph_id").agg(F.collect_list(F.struct("node_id", "atom_type")).alias("__nodes"))
+    edge = "struct<src:int,dst:int,bond_type:int,edge_id:int>"
+    edges = adjacent.groupBy("graph_id").agg(F.collect_list(F.struct("src", "dst", "bond_type", "edge_id")).cast(f"array<{edge}>").alias("__edges"))
+    rows = own.join(edges, "graph_id", "left").withColumn("__edges", F.coalesce("__edges", F.array().cast(f"array<{edge}>")))
+    rows = rows.withColumn("__atoms", F.map_from_entries("__nodes")).withColumn("root", F.explode(F.transform("__nodes", lambda n: n["node_id"])))
+    # The bonds on the way to a node are a byte each, so that nodes that are met again cost no vector.
+    if k > 7:
+        raise ValueError("k is 7 at most")
+    none = F.lit(0).cast("long")
+    rows = rows.withColumn("__found", F.array(F.struct(F.col("root").alias("node_id"), F.lit(0).alias("hop"), none.alias("way"))))
+    rows = rows.withColumn("__last", F.array(F.struct(none.alias("key"), F.col("root").alias("node_id"), none.alias("way"))))
     for hop in range(1, k + 1):
-        # A path is the bonds on the way: paths compare as their parents do, then by the last bond.
-        path, chain = F.concat("best.path", F.array("edge_id")), bits.bind(F.col("best.chain"), F.col("b_hv"))
-        met = frontier.join(steps, ["graph_id", "node_id"]).select("graph_id", "root", F.col("dst").alias("node_id"), F.struct(F.lit(hop).alias("hop"), path.alias("path"), chain.alias("chain")).alias("best"))
-        # What was met before has a lesser hop, so the least of all is kept: one aggregate finds new nodes and first chains.
-        found = found.unionByName(met).groupBy("graph_id", "root", "node_id").agg(F.min("best").alias("best"))
-        frontier = found.where(F.col("best.hop") == hop)
-    return found.select("graph_id", "root", "node_id", "best.hop", "best.chain")
+
+        def on(f: Column, i: Column) -> Column:
+            """The steps from the i-th node of the last hop. Paths compare as their parents do, then by the last bond."""
+            out = F.filter("__edges", lambda e: e["src"] == f["node_id"])
+            return F.transform(out, lambda e: F.struct(e["dst"].alias("node_id"), (i * F.lit(1 << 32) + e["edge_id"]).alias("key"), (f["way"] * 256 + e["bond_type"]).alias("way")))
+
+        rows = rows.withColumn("__seen", F.transform("__found", lambda f: f["node_id"])).withColumn("__met", F.flatten(F.transform("__last", on)))
+        rows = rows.withColumn("__met", F.array_sort(F.filter("__met", lambda m: ~F.array_contains("__seen", m["node_id"]))))
+        rows = rows.withColumn("__met", F.filter("__met", lambda x, i: (i == 0) | (F.get("__met", i - 1)["node_id"] != x["node_id"])))
+        rows = rows.withColumn("__found", F.concat("__found", F.transform("__met", _at_hop(hop))))
+        if hop < k:
+            rows = rows.withColumn("__last", F.array_sort(F.transform("__met", lambda m: F.struct(m["key"].alias("key"), m["node_id"].alias("node_id"), m["way"].alias("way")))))
+    rows = rows.select("graph_id", "root", "__atoms", F.explode("__found").alias("f")).join(_code_map(book, "bond", "__bonds"), F.lit(True))
+    bond = [F.when(F.col("f.hop") > i, F.col("__bonds")[F.shiftright("f.way", 8 * i).bitwiseAND(F.lit(255)).cast("int")]).alias(f"__b{i}") for i in range(k)]
+    rows = rows.select("graph_id", "root", "f.node_id", "f.hop", F.col("__atoms")[F.col("f.node_id")].alias("atom_type"), *bond)
+    chain = F.array(*[_word(w, k) for w in range(_words(book))])
+    return rows.select("graph_id", "root", "node_id", "hop", chain.alias("chain"), "atom_type")
+
+
+def _word(w: int, k: int) -> Column:
+    """A word of the bonds on the way, bound together."""
+    out = F.lit(0).cast("long")
+    for i in range(k):
+        out = out.bitwiseXOR(F.coalesce(F.get(f"__b{i}", F.lit(w)), F.lit(0).cast("long")))
+    return out
+
+
+def _at_hop(hop: int):
+    return lambda m: F.struct(m["node_id"].alias("node_id"), F.lit(hop).alias("hop"), m["way"].alias("way"))
+
+
+def neighbourhoods(nodes: DataFrame, adjacent: DataFrame, book: DataFrame, k: int) -> DataFrame:
+    """graph_id, root, node_id, hop, chain: every node within k hops of a root once, at its least hop, with the bonds along the
+    chain that finds it first (by the order of its parents, then of the bonds) bound together. The root itself has hop 0."""
+    return _near(nodes, adjacent, book, k).drop("atom_type")
 
 
 def _words(book: DataFrame) -> int:
@@ -117,11 +157,9 @@ def majority(df: DataFrame, keys: list[str], words: str, first: Column, read_bit
 def node_vectors(nodes: DataFrame, adjacent: DataFrame, book: DataFrame, k: int, dim: int, read_bits: int | None = None) -> DataFrame:
     """graph_id, node_id, hv (words; dim is a multiple of 32): the majority of the node's own code and, for each node within k hops, its code bound to
     the bonds on the way and shifted by the hop. Nothing but the first read_bits bits is computed."""
-    near = neighbourhoods(nodes, adjacent, book, k)
-    ends = nodes.select("graph_id", "node_id", F.col("atom_type").alias("a_code"))
-    joined = near.join(ends, ["graph_id", "node_id"]).join(codes_of(book, "atom", "a"), "a_code")
-    bound = bits.bind(F.col("a_hv"), F.col("chain"))
-    rows = joined.select("graph_id", F.col("root").alias("node_id"), "hop", bound.alias("bound"))
+    near = _near(nodes, adjacent, book, k).join(_code_map(book, "atom", "__codes"), F.lit(True))
+    bound = bits.bind(F.col("__codes")[F.col("atom_type")], F.col("chain"))
+    rows = near.select("graph_id", F.col("root").alias("node_id"), "hop", bound.alias("bound"))
     rows = rows.select("graph_id", "node_id", "hop", bits.permute_words(F.col("bound"), F.col("hop")).alias("hv"))
     return majority(rows, ["graph_id", "node_id"], "hv", F.col("hop") == 0, read_bits or dim)
 

@@ -103,9 +103,9 @@ def layers(graphs: DataFrame, includes: list[DataFrame], codes: DataFrame, size:
 
 def to_features(fired: DataFrame, graphs: DataFrame, clauses: int) -> DataFrame:
     """graph_id, clause, output (0 or 1) of every clause of every graph."""
-    every = graphs.select("graph_id", F.explode(F.sequence(F.lit(0), F.lit(clauses - 1))).alias("clause"))
-    hit = fired.select("graph_id", "clause").distinct().withColumn("output", F.lit(1))
-    return every.join(hit, ["graph_id", "clause"], "left").select("graph_id", "clause", F.coalesce("output", F.lit(0)).alias("output"))
+    hit = fired.groupBy("graph_id").agg(F.collect_set("clause").alias("__hit"))
+    output = F.transform(F.sequence(F.lit(0), F.lit(clauses - 1)), lambda c: F.coalesce(F.array_contains("__hit", c), F.lit(False)).cast("int"))
+    return graphs.join(hit, "graph_id", "left").select("graph_id", F.posexplode(output).alias("clause", "output"))
 
 
 def multi_output(sums: DataFrame) -> DataFrame:
