@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,16 +15,34 @@ def accuracy(df: DataFrame, y: str, pred: str) -> DataFrame:
     return df.agg(F.coalesce(F.avg((F.col(y) == F.col(pred)).cast("int")), F.lit(float("nan"))).alias("accuracy"))
 
 
+#: A running count goes through about so many ranges of the ordering value, each a task's share.
+RANGES = 64
+
+
+def _counted_below(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """counts with below: the sum of n over the lesser values of the same keys. counts: keys, value, n, a row for each value.
+
+    Values are cut into ranges at quantiles (a few numbers, on the driver), so that no task orders all of them: a range is
+    summed by itself and starts after the sums of the ranges below it."""
+    number = counts.withColumn("__v", F.col(value).cast("double"))
+    bounds = sorted(set(number.approxQuantile("__v", [i / RANGES for i in range(1, RANGES)], 0.005)))
+    own = number.withColumn("__r", F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<double>"), lambda b: b < F.col("__v"))))
+    sums = own.groupBy(*keys, "__r").agg(F.sum("n").alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*keys, "__r", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))  # RANGES rows a key
+    within = Window.partitionBy(*keys, "__r").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = own.withColumn("__own", F.coalesce(F.sum("n").over(within), F.lit(0))).join(starts, [*keys, "__r"])
+    return placed.withColumn("below", F.col("__start") + F.col("__own")).drop("__v", "__r", "__own", "__start")
+
+
 def rank_sums(df: DataFrame, keys: list[str], y: str, score: str) -> DataFrame:
     """keys, positives, negatives and rank_sum: twice the sum of the positives' ranks by score, ties at their average.
 
-    Scores are counted first, so equal ones cost one row and the ordered pass runs over distinct scores: a running count of
-    what lies below is all that is needed, and it is an integer."""
+    Scores are counted first, so equal ones cost one row and the ordered pass runs over distinct scores, in ranges: a running
+    count of what lies below is all that is needed, and it is an integer."""
     counts = df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(y) == 1).alias("p"))
-    below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0)))
     twice = F.col("p") * (2 * F.col("below") + F.col("n") + 1)
-    return ranked.groupBy(*keys).agg(F.sum("p").alias("positives"), F.sum(F.col("n") - F.col("p")).alias("negatives"), F.sum(twice).alias("rank_sum"))
+    return _counted_below(counts, keys, score).groupBy(*keys).agg(F.sum("p").alias("positives"), F.sum(F.col("n") - F.col("p")).alias("negatives"), F.sum(twice).alias("rank_sum"))
 
 
 def auroc(df: DataFrame, keys: list[str], y: str, score: str, degenerate: float = 0.5) -> DataFrame:
@@ -48,9 +68,22 @@ def ensemble(members: DataFrame) -> DataFrame:
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """p50, p90, p95, p99 by linear interpolation, mean and max."""
-    points = {f"p{q}": F.percentile(value, F.lit(q / 100)) for q in (50, 90, 95, 99)}
-    return df.groupBy(*keys).agg(*[v.alias(k) for k, v in points.items()], F.avg(value).alias("mean"), F.max(value).alias("max"))
+    """p50, p90, p95, p99 by linear interpolation, mean and max; nulls take no part.
+
+    Exact: values are counted, and of each key only those at the two places around a percentile are kept."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    ranked = _counted_below(counts, keys, value)
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("__all"), (F.sum(F.col("n") * F.col(value)) / F.sum("n")).alias("mean"), F.max(value).alias("max"))
+    v, at = F.col(value).cast("double"), {}
+    rows = ranked.join(totals.select(*keys, "__all"), keys) if keys else ranked.join(F.broadcast(totals.select("__all")), F.lit(True))
+    for q in (50, 90, 95, 99):
+        place = F.lit(q / 100) * (F.col("__all") - 1)
+        for name, k in ((f"l{q}", F.floor(place)), (f"h{q}", F.ceil(place))):
+            at[name] = F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("n")), v)).alias(name)
+    found = rows.groupBy(*keys).agg(*at.values())
+    both = found.join(totals, keys) if keys else found.join(F.broadcast(totals), F.lit(True))
+    part = lambda q: F.lit(q / 100) * (F.col("__all") - 1) - F.floor(F.lit(q / 100) * (F.col("__all") - 1))
+    return both.select(*keys, *[(F.col(f"l{q}") + part(q) * (F.col(f"h{q}") - F.col(f"l{q}"))).alias(f"p{q}") for q in (50, 90, 95, 99)], "mean", "max")
 
 
 def rate(df: DataFrame, keys: list[str], condition: Column) -> DataFrame:
@@ -110,15 +143,19 @@ def random_split(df: DataFrame, key: str, seed: int, train: float, valid: float)
     return ranked.join(n, F.lit(True)).withColumn("split", F.when(rank <= a, "train").when(rank <= a + b, "valid").otherwise("test")).drop("n", "rank")
 
 
-def hash_rank(df: DataFrame, key: str, seed: int, ranges: int = 1024) -> DataFrame:
-    """df with rank, from 1, in the order of a hash of the key (ties by key)."""
+def hash_rank(df: DataFrame, key: str, seed: int, ranges: int = 1024, by: list[str] | None = None) -> DataFrame:
+    """df with rank, from 1, in the order of a hash of the key (ties by key); for each value of the columns `by` apart."""
+    by = by or []
     hashed = df.withColumn("__h", mix(F.col(key), F.lit(1), seed))
     hashed = hashed.withColumn("__r", F.floor(F.col("__h") * ranges / 2147483647).cast("int"))
-    counts = hashed.groupBy("__r").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("__r", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))  # one row for each range
-    own = F.row_number().over(Window.partitionBy("__r").orderBy("__h", key))
-    return hashed.withColumn("__own", own).join(F.broadcast(starts), "__r").withColumn("rank", F.col("__start") + F.col("__own")).drop("__h", "__r", "__n", "__own", "__start")
+    counts = hashed.groupBy(*by, "__r").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*by).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*by, "__r", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))  # one row for each range
+    own = F.row_number().over(Window.partitionBy(*by, "__r").orderBy("__h", key))
+    placed = hashed.withColumn("__own", own)
+    same = [placed[c].eqNullSafe(starts[c]) for c in by] + [placed["__r"] == starts["__r"]]
+    joined = placed.join(F.broadcast(starts) if not by else starts, same)
+    return joined.select(*[placed[c] for c in df.columns], (F.col("__start") + F.col("__own")).alias("rank"))
 
 
 def subsample(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
@@ -130,33 +167,38 @@ def stratified_holdout(df: DataFrame, key: str, y: str, share: float, seed: int)
     """df with held: of each class about `share` of its rows, max(1, round(share * n)) in all; what rounding leaves over comes
     from the negatives. Rounding is half to even."""
     sizes = df.agg(F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * F.lit(share))).cast("long").alias("want"), F.bround(F.count_if(F.col(y) == 1) * F.lit(share)).cast("long").alias("positives"))
-    own = F.row_number().over(Window.partitionBy(y).orderBy(mix(F.col(key), F.lit(1), seed), key))
+    ranked = hash_rank(df, key, seed, by=[y])
     quota = F.when(F.col(y) == 1, F.least("positives", "want")).otherwise(F.greatest(F.lit(0), F.col("want") - F.col("positives")))
-    return df.withColumn("__own", own).join(F.broadcast(sizes), F.lit(True)).withColumn("held", (F.col("__own") <= quota).cast("int")).drop("__own", "want", "positives")
+    return ranked.join(F.broadcast(sizes), F.lit(True)).withColumn("held", (F.col("rank") <= quota).cast("int")).drop("rank", "want", "positives")
 
 
 def group_split(df: DataFrame, group: str, seed: int, train: float, valid: float) -> DataFrame:
     """group and split: whole groups by descending size (ties by hash, then name) go to train while they fit, else to
     valid while they fit, else to test.
 
-    The fill depends on all that went before, so it is one fold over the groups' sizes: a row for each group, not each row
-    of data."""
+    Groups of one size are alike: of each size a number goes to train, then a number to valid. These numbers come from one
+    pass over the distinct sizes on the driver (fewer than the root of twice the rows), and a group's place among those of
+    its size says where it goes."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     # The hash of a name must be alike in any engine: its first and last characters and its length.
     name = F.col(group).cast("string")
     tie = mix(F.ascii(name) * 256 + F.ascii(F.substring(name, -1, 1)), F.length(name), seed)
-    listed = sizes.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("size"), tie.alias("tie"), F.col(group).alias("name")))).alias("groups"), F.sum("n").alias("total"))
-    first, second = F.floor(F.col("total") * train), F.floor(F.col("total") * valid)
-    start = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.array().cast("array<string>").alias("to"))
-
-    def step(acc: Column, g: Column) -> Column:
-        n = -g["size"]
-        to_train, to_valid = acc["a"] + n <= F.col("first"), acc["b"] + n <= F.col("second")
-        return F.struct(
-            F.when(to_train, acc["a"] + n).otherwise(acc["a"]).alias("a"),
-            F.when(~to_train & to_valid, acc["b"] + n).otherwise(acc["b"]).alias("b"),
-            F.concat(acc["to"], F.array(F.when(to_train, "train").when(to_valid, "valid").otherwise("test"))).alias("to"),
-        )
-
-    folded = listed.select("groups", first.alias("first"), second.alias("second")).withColumn("to", F.aggregate("groups", start, step)["to"])
-    return folded.select(F.explode(F.arrays_zip(F.transform("groups", lambda g: g["name"]).alias("name"), F.col("to"))).alias("z")).select(F.col("z.name").alias(group), F.col("z.to").alias("split"))
+    runs = [(r["n"], r["m"]) for r in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("n")).collect()]
+    total = sum(n * m for n, m in runs)
+    room, plan = [math.floor(total * train), math.floor(total * valid)], []
+    for n, m in runs:
+        taken = []
+        for k in (0, 1):
+            taken.append(min(m - sum(taken), room[k] // n))
+            room[k] -= taken[k] * n
+        plan.append((n, *taken))
+    quotas = df.sparkSession.createDataFrame(plan, "n long, first long, second long")
+    # Places in ranges of the tie, so that no task orders all groups of a size.
+    tied = sizes.withColumn("__t", tie)
+    counts = tied.groupBy("n", "__t").agg(F.count(F.lit(1)).alias("__m"))
+    before = Window.partitionBy("n").orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("n", "__t", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__start"))
+    own = F.row_number().over(Window.partitionBy("n", "__t").orderBy(group))
+    placed = tied.withColumn("__own", own).join(starts, ["n", "__t"]).join(quotas, "n")
+    at = F.col("__start") + F.col("__own")
+    return placed.select(group, F.when(at <= F.col("first"), "train").when(at <= F.col("first") + F.col("second"), "valid").otherwise("test").alias("split"))
