@@ -131,3 +131,14 @@ def with_complement(bits: Column) -> Column:
 def target(label: Column, positive: Column | int, threshold: int) -> Column:
     """The vote target of a label: threshold for the positive class, else its negative."""
     return F.when(label == positive, F.lit(threshold)).otherwise(F.lit(-threshold))
+
+
+def one_hot_place(number: Column) -> Column:
+    """The single place of a symbol in a one-hot code: its number."""
+    return F.array(number.cast("int"))
+
+
+def random_places(key: Column, count: int, dim: int, seed: int) -> Column:
+    """`count` different places for a symbol: those with the least hashes, in order."""
+    ranked = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.struct(mix(key, i, seed).alias("h"), i.alias("i"))))
+    return F.array_sort(F.transform(F.slice(ranked, 1, count), lambda s: s["i"].cast("int")))

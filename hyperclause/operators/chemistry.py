@@ -5,6 +5,7 @@ score are left null; a check that lacks its number passes."""
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -93,8 +94,9 @@ def parse(text: str | None) -> tuple[list[tuple[str, bool, int, int]], list[tupl
 
 
 def scaffold(atoms: list, bonds: list) -> str:
-    """A key of the rings and what links them: leaves are pruned until none is left, then neighbourhoods are refined to a
-    fixed point. Empty without rings; equal for equal cores however they are numbered."""
+    """A key of the rings and what links them: leaves are pruned until none is left, then atoms are told apart by their
+    distances to all others and by neighbourhoods refined to a fixed point. Empty without rings; equal for equal cores however
+    they are numbered. Cores that agree in all of this share a key; no pair of different ones is known to."""
     near: dict[int, dict[int, float]] = {i: {} for i in range(len(atoms))}
     for u, v, o in bonds:
         near[u][v] = near[v][u] = o
@@ -103,17 +105,24 @@ def scaffold(atoms: list, bonds: list) -> str:
             for j in near.pop(i):
                 if j in near:
                     near[j].pop(i, None)
-    colour = {i: atoms[i][0] for i in near}
+    def profile(start: int) -> str:
+        """The symbol, and how many atoms of each symbol lie at each distance."""
+        away, wave = {start: 0}, {start}
+        while wave := {j for i in wave for j in near[i]} - away.keys():
+            d = max(away.values()) + 1
+            away.update((j, d) for j in wave)
+        return atoms[start][0] + "".join(f";{d}{s}{n}" for (d, s), n in sorted(Counter((d, atoms[j][0]) for j, d in away.items()).items()))
+
+    first = {i: profile(i) for i in near}
+    colour = dict(first)
     for _ in range(len(near)):
         colour = {i: f"{colour[i]}({','.join(sorted(f'{o}{colour[j]}' for j, o in n.items()))})" for i, n in near.items()}
         names = {c: f"{k}" for k, c in enumerate(sorted(set(colour.values())))}
         if len(names) == len(colour):
             break
-        colour = {i: f"{atoms[i][0]}{names[c]}" for i, c in colour.items()}
+        colour = {i: f"{first[i]}#{names[c]}" for i, c in colour.items()}
     edges = sorted("-".join(sorted((colour[u], colour[v]))) + NAMES[o][0] for u, n in near.items() for v, o in n.items() if u < v)
-    import zlib
-
-    return f"{len(near)}:{zlib.crc32('|'.join(sorted(colour.values()) + edges).encode()):08x}" if near else ""
+    return f"{len(near)}:{hashlib.sha256('|'.join(sorted(colour.values()) + edges).encode()).hexdigest()[:32]}" if near else ""
 
 
 def molecules(df: DataFrame, id_: str, smiles: str) -> DataFrame:

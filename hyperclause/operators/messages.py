@@ -9,7 +9,7 @@ Messages of a layer are the fired clauses' codes at the receiving nodes, shifted
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits
@@ -145,8 +145,6 @@ def subset(graphs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def offsets(nodes: DataFrame) -> DataFrame:
     """graph_id, n, first: where each graph's nodes start if graphs lie one after another by id."""
-    from pyspark.sql import Window
-
     counts = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
     # In ranges of ids, so that no task orders all graphs: ranges are counted first.
     ranged = counts.withColumn("__r", F.floor(F.col("graph_id") / 4096))
@@ -154,3 +152,11 @@ def offsets(nodes: DataFrame) -> DataFrame:
     starts = ranged.groupBy("__r").agg(F.sum("n").alias("__n")).select("__r", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     own = Window.partitionBy("__r").orderBy("graph_id").rowsBetween(Window.unboundedPreceding, -1)
     return ranged.withColumn("__own", F.coalesce(F.sum("n").over(own), F.lit(0))).join(starts, "__r").select("graph_id", "n", (F.col("__start") + F.col("__own")).alias("first"))
+
+
+def truncated(nodes: DataFrame, adjacent: DataFrame, most_nodes: int, most_edges: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The first nodes of each graph and the first directed edges between them, by number; 8 edges a node by default."""
+    most_edges = 8 * most_nodes if most_edges is None else most_edges
+    inside = adjacent.where((F.col("src") < most_nodes) & (F.col("dst") < most_nodes))
+    rank = F.row_number().over(Window.partitionBy("graph_id").orderBy("edge_id", "src"))
+    return nodes.where(F.col("node_id") < most_nodes), inside.withColumn("__r", rank).where(F.col("__r") <= most_edges).drop("__r")

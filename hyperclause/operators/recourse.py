@@ -45,12 +45,19 @@ def edge_candidates(adjacent: DataFrame, bond_types: int) -> DataFrame:
     return one.select("graph_id", "edge_id", "i", "j", F.explode(edits).alias("e")).select("graph_id", "edge_id", "e.kind", "e.op", "i", "j", "e.new_value")
 
 
-def candidates(firing: DataFrame, nodes: DataFrame, adjacent: DataFrame, atom_types: int, most: int = 50) -> DataFrame:
+def candidates(firing: DataFrame, nodes: DataFrame, adjacent: DataFrame, atom_types: int, most: int = 50, firing_edges: DataFrame | None = None, bond_types: int = 1) -> DataFrame:
     """graph_id, ordinal (from 1) and the edit: the first `most` distinct edits in the order of clauses, nodes and bonds.
-    firing: graph_id, clause, node_id. A node comes up first with its least clause, so that is all that is joined."""
+    firing: graph_id, clause, node_id. firing_edges: graph_id, clause, edge_id, if clauses also fire on edges; the edits of a
+    clause's edges follow those of its nodes. A node or edge comes up first with its least clause: that is all that is joined."""
     first = firing.groupBy("graph_id", "node_id").agg(F.min("clause").alias("clause"))
-    found = node_candidates(nodes, adjacent, atom_types).join(first, ["graph_id", "node_id"])
-    distinct = found.groupBy("graph_id", *EDIT).agg(F.min(F.struct("clause", "node_id", "kind", "place")).alias("at"))
+    at = F.struct("clause", F.lit(0).alias("edges"), F.col("node_id").cast("long").alias("where"), F.col("kind"), F.col("place").cast("long").alias("place"))
+    found = node_candidates(nodes, adjacent, atom_types).join(first, ["graph_id", "node_id"]).select("graph_id", *EDIT, at.alias("at"))
+    if firing_edges is not None:
+        first = firing_edges.groupBy("graph_id", "edge_id").agg(F.min("clause").alias("clause"))
+        at = F.struct("clause", F.lit(1).alias("edges"), F.col("edge_id").cast("long").alias("where"), F.col("kind"), F.lit(0).cast("long").alias("place"))
+        more = edge_candidates(adjacent, bond_types).where((F.col("op") == "remove_bond") | F.lit(bond_types > 1))
+        found = found.unionByName(more.join(first, ["graph_id", "edge_id"]).select("graph_id", *EDIT, at.alias("at")))
+    distinct = found.groupBy("graph_id", *EDIT).agg(F.min("at").alias("at"))
     rank = F.row_number().over(Window.partitionBy("graph_id").orderBy("at"))
     return distinct.withColumn("ordinal", rank).where(F.col("ordinal") <= most).select("graph_id", "ordinal", *EDIT)
 
@@ -63,9 +70,24 @@ def applicable(edits: DataFrame, bonds: DataFrame) -> DataFrame:
     return there.unionByName(absent).unionByName(edits.where(F.col("op") == "swap_atom"))
 
 
-def apply_edits(nodes: DataFrame, bonds: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+def checked(edits: DataFrame, nodes: DataFrame, bonds: DataFrame) -> DataFrame:
+    """The edits as they are; an error if one removes or changes a bond that is not there, adds one that is, or swaps an atom
+    that its graph lacks."""
+    pairs = bonds.select("graph_id", F.least("u", "v").alias("__i"), F.greatest("u", "v").alias("__j"), F.lit(True).alias("__bond")).distinct()
+    atoms = nodes.select("graph_id", F.col("node_id").alias("__i"), F.lit(True).alias("__atom"))
+    i, j = F.least("i", F.coalesce("j", "i")), F.greatest("i", F.coalesce("j", "i"))
+    joined = edits.withColumn("__i", i).withColumn("__j", j).join(pairs, ["graph_id", "__i", "__j"], "left")
+    joined = joined.withColumn("__i", F.col("i")).join(atoms, ["graph_id", "__i"], "left")
+    bond, atom = F.col("__bond").isNotNull(), F.col("__atom").isNotNull()
+    fits = F.when(F.col("op").isin("remove_bond", "swap_bond_order"), bond).when(F.col("op") == "add_bond", ~bond).when(F.col("op") == "swap_atom", atom).otherwise(F.lit(False))
+    what = F.concat_ws(" ", F.lit("edit does not apply:"), F.col("op"), F.col("i").cast("string"), F.col("j").cast("string"), F.lit("in graph"), F.col("graph_id").cast("string"))
+    return joined.withColumn("op", F.when(fits, F.col("op")).otherwise(F.raise_error(what))).select(*edits.columns)
+
+
+def apply_edits(nodes: DataFrame, bonds: DataFrame, edits: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes and bonds of a variant for each edit: graph_id, ordinal and what nodes and bonds have. edits: graph_id, ordinal, edit.
-    Edits that don't apply must be removed before (`applicable`)."""
+    strict: an edit that doesn't apply is an error (`checked`); else the caller has removed these (`applicable`)."""
+    edits = checked(edits, nodes, bonds) if strict else edits
     atoms = nodes.join(edits, "graph_id").select("graph_id", "ordinal", "node_id", F.when((F.col("op") == "swap_atom") & (F.col("node_id") == F.col("i")), F.col("new_value")).otherwise(F.col("atom_type")).alias("atom_type"))
     at = (F.col("u") == F.col("i")) & (F.col("v") == F.col("j"))
     joined = bonds.join(edits, "graph_id").where(~((F.col("op") == "remove_bond") & F.coalesce(at, F.lit(False))))
@@ -129,6 +151,50 @@ def search(nodes: DataFrame, bonds: DataFrame, edits: DataFrame, state: DataFram
     return committed.join(done, "graph_id", "left_semi").select("graph_id", "step", *EDIT)
 
 
+def first_valid(nodes: DataFrame, bonds: DataFrame, edits: DataFrame, fixed: Callable[[DataFrame], DataFrame], max_flips: int = 3, most: int = 50, valid: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """graph_id, step and edit: without an encoder nothing can be scored, so each step commits the first remaining edit that
+    applies and is valid, up to max_flips of them; graphs without any have no row. All graphs take a step together."""
+    committed = None
+    for step in range(1, max_flips + 1):
+        usable = applicable(edits, bonds)
+        if valid is not None:
+            atoms, left = apply_edits(nodes, bonds, usable)
+            good = valid(_numbered(atoms, most), _numbered(left, most)).select(F.col("graph_id").alias("variant"))
+            usable = usable.withColumn("variant", F.col("graph_id") * (most + 1) + F.col("ordinal")).join(good, "variant", "left_semi").drop("variant")
+        steps = usable.groupBy("graph_id").agg(F.min_by(F.struct("ordinal", *EDIT), "ordinal").alias("b")).select("graph_id", "b.*")
+        steps = fixed(steps.withColumn("step", F.lit(step)))
+        committed = steps if committed is None else committed.unionByName(steps)
+        if step < max_flips:
+            atoms, left = apply_edits(nodes, bonds, steps)
+            nodes, bonds = fixed(atoms.drop("ordinal")), fixed(left.drop("ordinal"))
+            edits = edits.join(steps, ["graph_id", "ordinal"], "left_anti").join(steps.select("graph_id"), "graph_id", "left_semi")
+    return committed.select("graph_id", "step", *EDIT)
+
+
+def evaluation(asked: DataFrame, steps: DataFrame, seconds: DataFrame | None = None) -> DataFrame:
+    """One row: n_evaluated, successes, success_rate, mean_flips, flips_p50 and flips_p95 of a search, and latency_ms_p50, p95
+    and p99 if seconds (graph_id, seconds) are given. asked: graph_id of all graphs that were searched for; steps: as `search`
+    gives them. Rates are null without graphs, means without successes."""
+    from .metrics import percentiles
+
+    flips = steps.groupBy("graph_id").agg(F.count(F.lit(1)).cast("double").alias("flips"))
+    own = asked.select("graph_id").distinct().join(flips, "graph_id", "left")
+    out = own.agg(F.count(F.lit(1)).alias("n_evaluated"), F.count("flips").alias("successes"), F.avg("flips").alias("mean_flips"))
+    out = out.withColumn("success_rate", F.col("successes") / F.nullif(F.col("n_evaluated"), F.lit(0)))
+    out = out.join(percentiles(own, [], "flips").select(F.col("p50").alias("flips_p50"), F.col("p95").alias("flips_p95")), F.lit(True))
+    if seconds is not None:
+        ms = percentiles(seconds.withColumn("ms", F.col("seconds") * 1000), [], "ms")
+        out = out.join(ms.select(*[F.col(f"p{q}").alias(f"latency_ms_p{q}") for q in (50, 95, 99)]), F.lit(True))
+    return out
+
+
+def top_edits(steps: DataFrame, k: int = 10) -> DataFrame:
+    """op, i, j and n of the k edits that are committed most, ties by the edit."""
+    from .metrics import top_counts
+
+    return top_counts(steps, ["op", "i", "j"], k)
+
+
 def trace(steps: DataFrame, tried: DataFrame) -> DataFrame:
     """graph_id, tried, flips, committed: how many candidates were tried, how many of them flip, how many edits were committed."""
     counts = tried.groupBy("graph_id").agg(F.count(F.lit(1)).alias("tried"), F.count_if(F.col("flips")).alias("flips"))

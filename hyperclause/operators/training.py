@@ -169,6 +169,21 @@ class FlatMachine:
         return self
 
 
+    def tables(self) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """Its automata (clause, literal, state) and weights (clause, class_id, weight)."""
+        clause, literal = np.indices(self.state.shape).reshape(2, -1)
+        class_id, own = np.indices(self.weights.shape).reshape(2, -1)
+        return pd.DataFrame({"clause": clause, "literal": literal, "state": self.state.ravel()}), pd.DataFrame({"clause": own, "class_id": class_id, "weight": self.weights.ravel()})
+
+    def restore(self, automata: pd.DataFrame, weights: pd.DataFrame) -> FlatMachine:
+        """Goes on from such tables, in any order of rows; shapes must agree."""
+        if len(automata) != self.state.size or len(weights) != self.weights.size:
+            raise ValueError("the tables are of a machine of another shape")
+        self.state[automata["clause"], automata["literal"]] = automata["state"]
+        self.weights[weights["class_id"], weights["clause"]] = weights["weight"]
+        return self
+
+
 def graph_fit(machine: Machine, graphs: list[np.ndarray], y: np.ndarray, epochs: int) -> Machine:
     """graphs: the bits of each graph's nodes. A clause counts once if it fires at any node; one of these nodes, at random,
     gives its literals to the feedback."""
@@ -270,11 +285,13 @@ def fit_forest(fingerprints: DataFrame, size: int, label: str = "y", trees: int
 
 
 def sparse(df: DataFrame, size: int, bits: str = "bits") -> DataFrame:
-    """df with `features`, the vector with ones at the places in bits."""
-    from pyspark.ml.functions import array_to_vector
+    """df with `features`, the sparse vector with ones at the places in bits."""
+    from pyspark.ml.feature import CountVectorizerModel
 
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.array_contains(F.col(bits), i).cast("double"))
-    return df.withColumn("features", array_to_vector(dense))
+    names = [str(i) for i in range(size)]
+    model = CountVectorizerModel.from_vocabulary(names, inputCol="__names", outputCol="features")
+    model.setBinary(True)
+    return model.transform(df.withColumn("__names", F.col(bits).cast("array<string>"))).drop("__names")
 
 
 def teacher_labels(model, features: DataFrame) -> DataFrame:

@@ -26,6 +26,12 @@ def flt02(spark, sf_dir):
     return derived.nodes(spark, sf_dir).where("node_id < 4")
 
 
+@query("flt02_truncated_edges", f"{BASE}, {machine.ADJACENCY_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY edge_id, src) AS r FROM adjacent WHERE src < 4 AND dst < 4) SELECT graph_id, src, dst, bond_type FROM r WHERE r <= 5")
+def flt02_edges(spark, sf_dir):
+    near = encoding.adjacency(derived.bonds(spark, sf_dir))
+    return messages.truncated(derived.nodes(spark, sf_dir), near, 4, 5)[1].select("graph_id", "src", "dst", "bond_type")
+
+
 @query("flt03_split_subset", f"{BASE}, r AS (SELECT graph_id, y, row_number() OVER (ORDER BY {mix_sql('graph_id', '1', SEED)}, graph_id) AS r, count(*) OVER () AS n FROM graphs) SELECT r.graph_id, y FROM r WHERE r > floor(n * 0.8) AND r <= floor(n * 0.8) + floor(n * 0.1)")
 def flt03(spark, sf_dir):
     return metrics.random_split(derived.graphs(spark, sf_dir), "graph_id", SEED, 0.8, 0.1).where("split = 'valid'").select("graph_id", "y")

@@ -141,6 +141,16 @@ def enc19(spark, sf_dir):
     return codes.select("symbol", F.posexplode(bits.hot_bits(F.col("symbol"), 3, 32, SEED)).alias("i", "place"))
 
 
+@query("enc19_one_hot_codes", "SELECT range AS symbol, CAST(range AS INTEGER) AS place FROM range(50)")
+def enc19_one_hot(spark, sf_dir):
+    return spark.range(50).withColumnRenamed("id", "symbol").select("symbol", F.explode(bits.one_hot_place(F.col("symbol"))).alias("place"))
+
+
+@query("enc19_random_codes", f"WITH r AS (SELECT s AS symbol, CAST(p AS INTEGER) AS place, row_number() OVER (PARTITION BY s ORDER BY {mix_sql('s', 'p', SEED)}, p) AS r FROM range(50) a(s) CROSS JOIN range(32) b(p)) SELECT symbol, place FROM r WHERE r <= 3")
+def enc19_random(spark, sf_dir):
+    return spark.range(50).withColumnRenamed("id", "symbol").select("symbol", F.explode(bits.random_places(F.col("symbol"), 3, 32, SEED)).alias("place"))
+
+
 _PROPERTIES = f"""places AS (SELECT DISTINCT graph_id, node_id, {_hot("atom_type", "i")} AS place FROM nodes CROSS JOIN range(3) t(i)),
     property_bits AS (SELECT n.graph_id, n.node_id, b.range AS bit, CAST(p.place IS NOT NULL AS INTEGER) AS v FROM nodes n CROSS JOIN range(32) b
         LEFT JOIN places p ON p.graph_id = n.graph_id AND p.node_id = n.node_id AND p.place = b.range)"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from ..functions.hashing import mix_sql
 from ..operators import chemistry, clauses, encoding, metrics, recourse, training
 from ..sources import readers, writers
 from ..streaming import scoring
-from . import derived, machine
+from . import derived, machine, smoke
 from .core_queries import BASE, FIRED
 from .derived import read
 from .machine import INCLUDE, SEED, SPEC
@@ -63,6 +64,59 @@ def rc05(spark, sf_dir):
     return _candidates(spark, sf_dir)
 
 
+#: A clause fires on a bond if it fires at both ends.
+_EDGE_CANDIDATES = f"""{_NODE_EDITS},
+    fires_at AS (SELECT graph_id, node_id, clause FROM node_fired WHERE ways > 0),
+    node_first AS (SELECT graph_id, node_id, min(clause) AS clause FROM fires_at GROUP BY graph_id, node_id),
+    edge_first AS (SELECT a.graph_id, edge_id, src, dst, bond_type, min(x.clause) AS clause FROM adjacent a JOIN fires_at x ON x.graph_id = a.graph_id AND x.node_id = a.src
+        JOIN fires_at z ON z.graph_id = a.graph_id AND z.node_id = a.dst AND z.clause = x.clause WHERE src < dst GROUP BY a.graph_id, edge_id, src, dst, bond_type),
+    every AS (
+        SELECT graph_id, op, i, j, CAST(new_value AS INTEGER) AS new_value, clause, 0 AS e, node_id AS w, kind, place FROM edits JOIN node_first USING (graph_id, node_id)
+        UNION ALL SELECT graph_id, 'remove_bond', src, dst, NULL, clause, 1, edge_id, 0, 0 FROM edge_first
+        UNION ALL SELECT graph_id, 'swap_bond_order', src, dst, (bond_type + 1) % {derived.BONDS}, clause, 1, edge_id, 1, 0 FROM edge_first),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY graph_id, op, i, j, new_value ORDER BY clause, e, w, kind, place) AS r FROM every),
+    candidate AS (SELECT * FROM (SELECT graph_id, op, i, j, new_value, CAST(row_number() OVER (PARTITION BY graph_id ORDER BY clause, e, w, kind, place) AS INTEGER) AS ordinal FROM ordered WHERE r = 1) WHERE ordinal <= 50)"""
+
+
+def _edge_candidates(spark, sf_dir):
+    firing, near = _fixed(spark)(_firing(spark, sf_dir)), _near(spark, sf_dir)
+    ends = near.where("src < dst").select("graph_id", "edge_id", "src", "dst")
+    at = lambda end: firing.select("graph_id", F.col("node_id").alias(end), "clause")
+    on_edges = ends.join(at("src"), ["graph_id", "src"]).join(at("dst"), ["graph_id", "dst", "clause"]).select("graph_id", "clause", "edge_id")
+    found = recourse.candidates(firing, derived.nodes(spark, sf_dir), near, derived.ATOMS, firing_edges=on_edges, bond_types=derived.BONDS)
+    return found.withColumn("new_value", F.col("new_value").cast("int"))
+
+
+@query("rc05_edge_candidates", f"{FIRED}, {_EDGE_CANDIDATES} SELECT graph_id, ordinal, op, i, j, new_value FROM candidate")
+def rc05_edges(spark, sf_dir):
+    return _edge_candidates(spark, sf_dir)
+
+
+#: What the search without an encoder commits: the first three, as no candidate of a graph undoes another.
+_FIRST = f"{FIRED}, {_CANDIDATES}, first AS (SELECT graph_id, ordinal AS step, op, i, j, new_value FROM candidate WHERE ordinal <= 3)"
+
+
+def _first_valid(spark, sf_dir):
+    fixed = _fixed(spark)
+    return recourse.first_valid(derived.nodes(spark, sf_dir), derived.bonds(spark, sf_dir), fixed(_candidates(spark, sf_dir)), fixed)
+
+
+@query("rc07_first_valid", f"{_FIRST} SELECT graph_id, step, op, i, j, new_value FROM first")
+def rc07(spark, sf_dir):
+    return _first_valid(spark, sf_dir)
+
+
+@query("rc14_evaluation", f"{_FIRST}, f AS (SELECT graph_id, CAST(count(*) AS DOUBLE) AS flips FROM first GROUP BY graph_id) SELECT count(*) AS n_evaluated, count(flips) AS successes, round(avg(flips), 9) AS mean_flips, round(count(flips) / CAST(count(*) AS DOUBLE), 9) AS success_rate, quantile_cont(flips, 0.5) AS flips_p50, quantile_cont(flips, 0.95) AS flips_p95 FROM graphs LEFT JOIN f USING (graph_id)")
+def rc14(spark, sf_dir):
+    got = recourse.evaluation(derived.graphs(spark, sf_dir), _fixed(spark)(_first_valid(spark, sf_dir)))
+    return got.select("n_evaluated", "successes", F.round("mean_flips", 9).alias("mean_flips"), F.round("success_rate", 9).alias("success_rate"), "flips_p50", "flips_p95")
+
+
+@query("rc14_top_edits", f"{_FIRST} SELECT op, i, j, count(*) AS n FROM first GROUP BY op, i, j ORDER BY n DESC, op, i, j NULLS FIRST LIMIT 10")
+def rc14_top(spark, sf_dir):
+    return recourse.top_edits(_first_valid(spark, sf_dir))
+
+
 #: Variants as graphs of their own, numbered as the search numbers them, and the same tables over them.
 _VARIANTS = """
     variant_nodes AS (SELECT n.graph_id * 51 + ordinal AS graph_id, node_id, CASE WHEN op = 'swap_atom' AND node_id = i THEN new_value ELSE atom_type END AS atom_type FROM nodes n JOIN candidate USING (graph_id)),
@@ -118,11 +172,12 @@ def _state(spark, sf_dir):
 
 
 def _fixed(spark):
-    """Small tables between rounds go to the shared checkpoint folder."""
-    import tempfile
-
+    """Small tables between rounds go to the shared checkpoint folder; only a session in one process may do without a name for it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return lambda df: df.checkpoint()
 
 
@@ -209,22 +264,28 @@ def tr08(spark, sf_dir):
     return every.join(picked, ["graph_id", "clause"], "left").select("graph_id", "clause", F.coalesce("node_id", F.lit(-1)).alias("node_id"))
 
 
-def _history(spark, sf_dir):
+#: A machine is trained by one task on so many rows at most, chosen by hash.
+TRAINED_ROWS = 50_000
+
+
+def _training_rows(spark, sf_dir):
     signs = F.transform(F.slice("embedding", 1, SPEC.features), lambda v: (v > 0).cast("int"))
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") == 0).cast("int").alias("y"), signs.alias("bits"))
-    split = metrics.random_split(rows, "id", SEED, 0.8, 0.2).where("split <> 'test'")
-    return training.train_ensemble(split, SPEC, [42, 43, 44], 2)
+    return metrics.random_split(metrics.subsample(rows, "id", SEED, TRAINED_ROWS), "id", SEED, 0.8, 0.2).where("split <> 'test'")
 
 
 @query("tr18_ensemble_history")
 def tr18(spark, sf_dir):
-    return _history(spark, sf_dir).drop("state")
+    return training.train_ensemble(_training_rows(spark, sf_dir), SPEC, [42, 43, 44], 2).drop("state")
 
 
 @query("tr21_distilled_states")
 def tr21(spark, sf_dir):
-    """The best epoch of each seed, as tables of automata."""
-    history = _fixed(spark)(_history(spark, sf_dir))
+    """The best epoch of each seed of machines that learn a teacher's hard labels, as tables of automata."""
+    fixed, rows = _fixed(spark), _training_rows(spark, sf_dir)
+    rows = fixed(rows.join(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector")), "id"))
+    teacher = training.teacher_labels(training.fit_teacher(rows.where("split = 'train'")), rows.withColumnRenamed("id", "graph_id"))
+    history = fixed(training.distill(rows.drop("vector"), teacher, SPEC, [42, 43, 44], 2))
     best = metrics.best_epoch(history.select("seed", "epoch", F.col("valid_auroc").alias("value")), ["seed"])
     return training.states_table(history.join(best.select("seed", "epoch"), ["seed", "epoch"], "left_semi"), SPEC)
 
@@ -232,7 +293,7 @@ def tr21(spark, sf_dir):
 @query("tr20_teacher_labels")
 def tr20(spark, sf_dir):
     features = training.neighbour_sums(derived.nodes(spark, sf_dir), _near(spark, sf_dir), derived.ATOMS, 2).join(derived.graphs(spark, sf_dir), "graph_id")
-    return training.teacher_labels(training.fit_teacher(features, max_iter=10), features)
+    return training.teacher_labels(training.fit_teacher(features), features)
 
 
 _sums = ", ".join(f"round(avg(CAST(atom_type = {i} AS INTEGER)), 9) AS a{i}" for i in range(derived.ATOMS))
@@ -244,6 +305,16 @@ def tr19(spark, sf_dir):
     return pooled.select("graph_id", "size", *[F.round(F.col("vector")[i], 9).alias(f"a{i}") for i in range(derived.ATOMS)])
 
 
+_layer = ", ".join(f"avg(ln(1 + own{i} + coalesce(near{i}, 0))) AS b{i}" for i in range(derived.ATOMS))
+
+
+@query("tr19_one_layer", f"{BASE}, {machine.ADJACENCY_SQL}, s AS (SELECT a.graph_id, a.src AS node_id, {', '.join(f'sum(CAST(n.atom_type = {i} AS INTEGER)) AS near{i}' for i in range(derived.ATOMS))} FROM adjacent a JOIN nodes n ON n.graph_id = a.graph_id AND n.node_id = a.dst GROUP BY a.graph_id, a.src), o AS (SELECT graph_id, node_id, {', '.join(f'CAST(atom_type = {i} AS INTEGER) AS own{i}' for i in range(derived.ATOMS))} FROM nodes), p AS (SELECT o.graph_id, {_layer} FROM o LEFT JOIN s USING (graph_id, node_id) GROUP BY o.graph_id) SELECT graph_id, {', '.join(f'round(b{i}, 9) AS b{i}' for i in range(derived.ATOMS))} FROM p")
+def tr19_layer(spark, sf_dir):
+    """The part of the pooled vectors that the first layer gives: neighbours summed, log(1 + x), mean over the graph."""
+    pooled = training.neighbour_sums(derived.nodes(spark, sf_dir), _near(spark, sf_dir), derived.ATOMS, 1)
+    return pooled.select("graph_id", *[F.round(F.col("vector")[derived.ATOMS + i], 9).alias(f"b{i}") for i in range(derived.ATOMS)])
+
+
 @query("enc22_fingerprints")
 def enc22(spark, sf_dir):
     return encoding.circular_fingerprints(derived.nodes(spark, sf_dir), _near(spark, sf_dir), 2, 2048).select("graph_id", F.size("bits").alias("n"), F.array_join(F.transform("bits", lambda b: b.cast("string")), ",").alias("bits"))
@@ -252,40 +323,57 @@ def enc22(spark, sf_dir):
 @query("tr23_forest_labels")
 def tr23(spark, sf_dir):
     prints = encoding.circular_fingerprints(derived.nodes(spark, sf_dir), _near(spark, sf_dir), 1, 64).join(derived.graphs(spark, sf_dir), "graph_id")
-    model = training.fit_forest(prints, 64, trees=10)
+    model = training.fit_forest(prints, 64)
     return training.teacher_labels(model, training.sparse(prints, 64))
 
 
 # Molecules
 
-SMILES = ["CCO", "c1ccccc1", "CC(=O)Oc1ccccc1C(=O)O", "C1CCCCC1CC", "CCC1CCCCC1", "[NH4+]", "C(C)(C)(C)(C)C", "not smiles", "", "O=C=O", "CC.O", "c1ccc2ccccc2c1"]
+#: A molecule for each part: an alcohol, a substituted cyclohexane or benzene, an amine, or text that is no molecule.
+_KINDS = ["C{c}O", "C1CCCCC1{c}", "c1ccccc1{c}", "NC{c}", "C{c}("]
+_PART = """part_molecules AS (SELECT p_partkey AS id, p_partkey % 5 AS kind, p_size AS n FROM part),
+    m AS (SELECT id, kind, n, kind < 4 AS ok,
+        CASE kind WHEN 0 THEN n + 2 WHEN 1 THEN n + 6 WHEN 2 THEN n + 6 WHEN 3 THEN n + 2 ELSE 0 END AS atoms,
+        CASE kind WHEN 0 THEN n + 1 WHEN 1 THEN n + 6 WHEN 2 THEN n + 6 WHEN 3 THEN n + 1 ELSE 0 END AS bonds,
+        CASE kind WHEN 0 THEN (n + 1) * 12.011::DOUBLE + 15.999 + (2 * n + 4) * 1.008 WHEN 1 THEN (n + 6) * 12.011::DOUBLE + (2 * n + 12) * 1.008
+            WHEN 2 THEN (n + 6) * 12.011::DOUBLE + (2 * n + 6) * 1.008 WHEN 3 THEN (n + 1) * 12.011::DOUBLE + 14.007 + (2 * n + 5) * 1.008 ELSE 0 END AS mw,
+        CASE WHEN kind IN (0, 3) THEN 1 ELSE 0 END AS polar FROM part_molecules)"""
 
 
-def _parsed(spark):
-    return chemistry.molecules(spark.createDataFrame(list(enumerate(SMILES)), "id long, smiles string"), "id", "smiles")
+def _parsed(spark, sf_dir):
+    carbons = F.expr("repeat('C', p_size)")
+    text = F.element_at(F.array(*[F.concat(F.lit(k.split("{c}")[0]), carbons, F.lit(k.split("{c}")[1])) for k in _KINDS]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return chemistry.molecules(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("smiles")), "id", "smiles")
 
 
-@query("src07_molecules", "SELECT * FROM (VALUES (0, true, 3, 2), (1, true, 6, 6), (2, true, 13, 13), (3, true, 8, 8), (4, true, 8, 8), (5, true, 1, 0), (6, false, 0, 0), (7, false, 0, 0), (8, false, 0, 0), (9, true, 3, 2), (10, true, 3, 1), (11, true, 10, 11)) t(id, ok, atoms, bonds)")
+@query("src07_molecules", f"WITH {_PART} SELECT id, ok, CAST(atoms AS INTEGER) AS atoms, CAST(bonds AS INTEGER) AS bonds FROM m")
 def src07(spark, sf_dir):
-    return _parsed(spark).select("id", "ok", F.size("atoms").alias("atoms"), F.size("bonds").alias("bonds"))
+    return _parsed(spark, sf_dir).select("id", "ok", F.size("atoms").alias("atoms"), F.size("bonds").alias("bonds"))
 
 
-@query("rc10_rule_of_five", "SELECT * FROM (VALUES (0, 46.069::DOUBLE, 1, 1, true), (1, 78.114, 0, 0, true), (2, 180.159, 4, 1, true)) t(id, mw, hba, hbd, lipinski_ok)")
+@query("rc10_rule_of_five", f"WITH {_PART} SELECT id, round(mw, 3) AS mw, CAST(polar AS INTEGER) AS hba, CAST(polar AS INTEGER) AS hbd, mw < 500 AS lipinski_ok FROM m")
 def rc10(spark, sf_dir):
-    return chemistry.properties(_parsed(spark)).where("id < 3").select("id", F.round("mw", 3).alias("mw"), "hba", "hbd", "lipinski_ok")
+    return chemistry.properties(_parsed(spark, sf_dir)).select("id", F.round("mw", 3).alias("mw"), "hba", "hbd", "lipinski_ok")
 
 
-@query("rc12_validity", "SELECT * FROM (VALUES (0, true, 'sascore_unavailable'), (1, true, 'sascore_unavailable'), (2, true, 'sascore_unavailable'), (3, true, 'sascore_unavailable'), (4, true, 'sascore_unavailable'), (5, true, 'sascore_unavailable'), (6, false, 'valence_of_C'), (7, false, 'unknown_text'), (8, false, 'empty'), (9, true, 'sascore_unavailable'), (10, true, 'sascore_unavailable'), (11, true, 'sascore_unavailable')) t(id, overall_ok, notes)")
+@query("rc12_validity", f"WITH {_PART} SELECT id, ok AND mw < 500 AS overall_ok, CASE WHEN NOT ok THEN 'incomplete' WHEN mw < 500 THEN 'sascore_unavailable' ELSE 'lipinski_fail' END AS notes FROM m")
 def rc12(spark, sf_dir):
-    return chemistry.validity(_parsed(spark)).select("id", "overall_ok", "notes")
+    return chemistry.validity(_parsed(spark, sf_dir)).select("id", "overall_ok", "notes")
 
 
-@query("sp01_scaffolds", "SELECT * FROM (VALUES (1, true), (3, false), (4, false)) t(id, aromatic)")
+@query("sp01_scaffolds", "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 1 THEN 'cyclohexane' WHEN 2 THEN 'benzene' WHEN 4 THEN NULL ELSE 'none' END AS core FROM part")
 def sp01(spark, sf_dir):
-    """Rings 3 and 4 are the same core written differently; benzene is another."""
-    found = _parsed(spark).where(F.col("id").isin(1, 3, 4))
-    aromatic = found.where("id = 1").select(F.col("scaffold").alias("key"))
-    return found.join(F.broadcast(aromatic), F.lit(True)).select("id", (F.col("scaffold") == F.col("key")).alias("aromatic"))
+    """Each molecule's core by its key; text that is no molecule has none (null)."""
+    found = _parsed(spark, sf_dir)
+    key = lambda smiles: F.lit(chemistry.scaffold(*chemistry.parse(smiles)))
+    core = F.when(~F.col("ok"), None).when(F.col("scaffold") == key("C1CCCCC1"), "cyclohexane").when(F.col("scaffold") == key("c1ccccc1"), "benzene").when(F.col("scaffold") == "", "none").otherwise("other")
+    return found.select("id", core.alias("core"))
+
+
+@query("fn_run_tags", "SELECT o_orderkey, strftime(CAST(o_orderdate AS TIMESTAMP), '%Y%m%d_%H%M%S') AS tag, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS days FROM orders")
+def fn_run_tags(spark, sf_dir):
+    day = F.col("o_orderdate").cast("timestamp")
+    return read(spark, sf_dir, "orders").select("o_orderkey", writers.tag_of(day).alias("tag"), F.year(day).alias("y"), F.date_diff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).alias("days"))
 
 
 # Sources and sinks
@@ -372,3 +460,8 @@ def stream_scores(spark, sf_dir):
     x, _ = clauses.literal_inputs(F.col("hv"), SPEC, "complement")
     rows = hv.groupBy("graph_id").agg(F.collect_list(x).alias("nodes"))
     return scoring.score_stream(rows, clauses.model(machine.automata(spark), SPEC, INCLUDE), SPEC)
+
+
+@query("smoke_run")
+def smoke_run(spark, sf_dir):
+    return smoke.run(spark, sf_dir)

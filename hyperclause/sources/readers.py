@@ -64,8 +64,11 @@ def rules(spark: SparkSession, path: str, least: int = 8) -> DataFrame:
     for k, what in ((0, "ids"), (1, "names")):
         if len({r[k] for r in rows}) != len(rows):
             raise ValueError(f"{what} are not unique")
-    if len(rows) < least or not all(r[2] for r in rows):
+    if len(rows) < least or not all(r[2] and r[2].strip() for r in rows):
         raise ValueError("too few alerts, or one without a pattern")
+    for r in rows:  # what any pattern language asks for
+        if any(r[2].count(a) != r[2].count(b) for a, b in ("()", "[]")):
+            raise ValueError(f"unbalanced pattern: {r[2]}")
     return spark.createDataFrame(rows, RULE)
 
 
@@ -90,11 +93,21 @@ def load(spark: SparkSession, candidates: list[tuple[str, str]], seed: int, trai
 
     tag, path = first_source(spark, candidates)
     raw = spark.read.csv(path, header=True)
-    rows = (labelled(raw) if task is None else assay(raw, task)).withColumn("id", F.crc32("smiles"))
+    rows = (labelled(raw) if task is None else assay(raw, task)).withColumn("id", F.shiftrightunsigned(F.xxhash64("smiles"), 1))
     out = random_split(rows, "id", seed, train, valid)
     return out, class_balance(rows, "y").withColumn("source", F.lit(tag))
 
 
+def molecule_graphs(df: DataFrame, id_: str = "id", smiles: str = "smiles") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes and bonds of the molecules that can be read, and one row of counts: read and dropped."""
+    from ..operators import chemistry, encoding
+
+    parsed = chemistry.molecules(df, id_, smiles)
+    rows = parsed.where("ok").select(F.col("id").alias("graph_id"), F.transform("atoms", lambda a: a["symbol"]).alias("atom_types"), F.transform("bonds", lambda b: F.struct(b["u"].alias("u"), b["v"].alias("v"), b["bond"].alias("bond"))).alias("edges"))
+    nodes, bonds = encoding.from_arrays(rows)
+    return nodes, bonds, parsed.agg(F.count_if("ok").alias("read"), F.count_if(~F.col("ok")).alias("dropped"))
+
+
 # Generators: every value follows from the row's number, so any partitioning gives the same table.
 
 

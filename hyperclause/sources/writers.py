@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime, timezone
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .readers import ensure_inside
@@ -31,6 +33,46 @@ def load_automata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def save_machine(spark: SparkSession, machine, path: str) -> None:
+    """A flat machine's automata and weights as two tables."""
+    for name, table in zip(("automata", "weights"), machine.tables()):
+        spark.createDataFrame(table).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_machine(spark: SparkSession, machine, path: str):
+    """The machine with the states and weights that were saved; their size is the machine's, so they come to the driver."""
+    return machine.restore(*(spark.read.parquet(f"{path}/{name}").toPandas() for name in ("automata", "weights")))
+
+
+def save_teacher(model, labels: DataFrame, path: str) -> None:
+    """A fitted teacher and its predictions (graph_id, soft, hard)."""
+    model.write().overwrite().save(f"{path}/model")
+    labels.write.mode("overwrite").parquet(f"{path}/predictions")
+
+
+def load_teacher(spark: SparkSession, path: str):
+    """The teacher that was saved: a logistic head or a forest."""
+    from pyspark.ml.util import DefaultParamsReader
+
+    return DefaultParamsReader.loadParamsInstance(f"{path}/model", spark)
+
+
+def save_student(history: DataFrame, states: DataFrame, path: str) -> None:
+    """A student's automata, and its metrics as JSON lines: a row for each seed and epoch (without the packed states)."""
+    states.write.mode("overwrite").parquet(f"{path}/automata")
+    history.select("seed", "epoch", "train_accuracy", "valid_auroc").orderBy("seed", "epoch").coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
+
+
+def run_tag(at: datetime | None = None) -> str:
+    """A compact UTC tag for file names: 20240131_235959."""
+    return (at or datetime.now(timezone.utc)).astimezone(timezone.utc).strftime("%Y%m%d_%H%M%S")
+
+
+def tag_of(time: Column) -> Column:
+    """The same tag of a timestamp column, in the session's time zone."""
+    return F.date_format(time, "yyyyMMdd_HHmmss")
+
+
 def node_text(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """graph_id and text: each node with its type and its bonds, in order."""
     near = edges.groupBy("graph_id", F.col("src").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("dst", "bond_type"))).alias("near"))
