@@ -144,14 +144,32 @@ def _words(book: DataFrame) -> int:
     return book.select(F.size("words")).first()[0]
 
 
+#: Bits of a count in a sum.
+LANE = 21
+
+
 def majority(df: DataFrame, keys: list[str], words: str, first: Column, read_bits: int) -> DataFrame:
     """hv: the majority of each bit over the vectors of a group; a tie takes the bit of the row for which `first` holds.
 
-    Each of the bits is one sum, so vectors are never exploded: a bit wins if twice its sum, and once more where the first
-    row sets it, exceeds the number of rows."""
-    sums = [F.sum(bits.bit(F.col(words), F.lit(i)) * (F.lit(2) + first.cast("int"))).alias(f"s{i}") for i in range(read_bits)]
-    grouped = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums)
-    return grouped.select(*keys, bits.words_of([F.col(f"s{i}") > F.col("n") for i in range(read_bits)]).alias("hv"))
+    Vectors are never exploded: three bits of a word share a sum, LANE bits apart. A bit wins if twice its count, and once
+    more where the first row sets it, exceeds the number of rows, which must stay under 2^(LANE - 1)."""
+    weight, third, sums = F.lit(2) + first.cast("int"), -(-bits.WORD // 3), {}
+    for w in range(-(-read_bits // bits.WORD)):
+        word = F.get(F.col(words), F.lit(w))
+        for j in range(min(third, read_bits - w * bits.WORD)):
+            own = [F.shiftright(word, j + third * lane).bitwiseAND(F.lit(1)) * F.lit(1 << (LANE * lane)) for lane in range(3) if j + third * lane < bits.WORD]
+            total = own[0]
+            for x in own[1:]:
+                total = total + x
+            sums[w, j] = F.sum(total * weight).alias(f"s{w}_{j}")
+    grouped = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums.values())
+    n = F.when(F.col("n") < 1 << (LANE - 1), F.col("n")).otherwise(F.raise_error(F.lit("too many vectors in a group")))
+
+    def wins(i: int) -> Column:
+        w, place = divmod(i, bits.WORD)
+        return F.shiftright(F.col(f"s{w}_{place % third}"), LANE * (place // third)).bitwiseAND(F.lit((1 << LANE) - 1)) > F.col("n")
+
+    return grouped.withColumn("n", n).select(*keys, bits.words_of([wins(i) for i in range(read_bits)]).alias("hv"))
 
 
 def node_vectors(nodes: DataFrame, adjacent: DataFrame, book: DataFrame, k: int, dim: int, read_bits: int | None = None) -> DataFrame:

@@ -287,12 +287,21 @@ def exp03(spark, sf_dir):
     return explain.firing_clauses(rows, SPEC.classes).withColumn("node_ids", F.array_join(F.transform("node_ids", lambda n: n.cast("string")), ","))
 
 
-@query("exp04_clause_literals")
+def _tree_sql(empty: bool) -> str:
+    """The nested lists of literal texts, as JSON text."""
+    text = f"'\"' || CASE WHEN n >= {SPEC.leaf_and} THEN '~' ELSE '' END || 'X' || CAST(feature AS VARCHAR) || '=1\"'"
+    levels = [f"t0 AS (SELECT clause, j, k, l, m, '[' || coalesce(string_agg({text}, ',' ORDER BY n) FILTER (WHERE state > {machine.INCLUDE}), '') || ']' AS t FROM ta GROUP BY clause, j, k, l, m)"]
+    for i, (above, own) in enumerate((("clause, j, k, l", "m"), ("clause, j, k", "l"), ("clause, j", "k"), ("clause", "j"))):
+        levels.append(f"t{i + 1} AS (SELECT {above}, '[' || string_agg(t, ',' ORDER BY {own}) || ']' AS t FROM t{i} {'' if empty or i else "WHERE t <> '[]'"} GROUP BY {above})")
+    return f"WITH {machine.AUTOMATA_SQL}, {', '.join(levels)} SELECT clause, t AS tree FROM t4"
+
+
+@query("exp04_clause_literals", _tree_sql(True))
 def exp04(spark, sf_dir):
     return explain.clause_literals(machine.automata(spark), SPEC, machine.INCLUDE, empty=True).select("clause", F.to_json("tree").alias("tree"))
 
 
-@query("exp01_clause_trees")
+@query("exp01_clause_trees", _tree_sql(False))
 def exp01(spark, sf_dir):
     return explain.clause_literals(machine.automata(spark), SPEC, machine.INCLUDE).select("clause", F.to_json("tree").alias("tree"))
 

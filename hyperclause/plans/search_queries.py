@@ -46,7 +46,7 @@ def rc04(spark, sf_dir):
 _CANDIDATES = f"""{_NODE_EDITS},
     firing AS (SELECT graph_id, node_id, min(clause) AS clause FROM node_fired WHERE ways > 0 GROUP BY graph_id, node_id),
     ordered AS (SELECT graph_id, op, i, j, new_value, row_number() OVER (PARTITION BY graph_id, op, i, j, new_value ORDER BY clause, node_id, kind, place) AS r, clause, node_id, kind, place FROM edits JOIN firing USING (graph_id, node_id)),
-    candidate AS (SELECT * FROM (SELECT graph_id, op, i, j, CAST(new_value AS INTEGER) AS new_value, CAST(row_number() OVER (PARTITION BY graph_id ORDER BY clause, node_id, kind, place) AS INTEGER) AS ordinal FROM ordered WHERE r = 1) WHERE ordinal <= 50)"""
+    candidate AS MATERIALIZED (SELECT * FROM (SELECT graph_id, op, i, j, CAST(new_value AS INTEGER) AS new_value, CAST(row_number() OVER (PARTITION BY graph_id ORDER BY clause, node_id, kind, place) AS INTEGER) AS ordinal FROM ordered WHERE r = 1) WHERE ordinal <= 50)"""
 
 
 def _firing(spark, sf_dir):
@@ -142,15 +142,15 @@ def rc06_tried(spark, sf_dir):
     return recourse.trials(derived.nodes(spark, sf_dir), derived.bonds(spark, sf_dir), edits, _score(spark))
 
 
-@query(
-    "rc06_first_step",
-    f"""{_TRIED}, t AS (
+_STEP = f"""{_TRIED}, t AS (
         SELECT c.graph_id, ordinal, op, i, j, new_value, CASE WHEN b.class_sum > 0 THEN s.class_sum ELSE -s.class_sum END AS margin, abs(b.class_sum) AS now,
                (s.class_sum > 0) <> (b.class_sum > 0) AS flipped
         FROM candidate c JOIN summed_v s ON s.graph_id = c.graph_id * 51 + ordinal JOIN summed b ON b.graph_id = c.graph_id),
-    r AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY NOT flipped, margin, ordinal) AS r FROM t)
-    SELECT graph_id, ordinal, op, i, j, new_value, margin, flipped FROM r WHERE r = 1 AND (flipped OR margin < now)""",
-)
+    r AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY NOT flipped, margin, ordinal) AS r FROM t),
+    step AS (SELECT graph_id, ordinal, op, i, j, new_value, margin, flipped FROM r WHERE r = 1 AND (flipped OR margin < now))"""
+
+
+@query("rc06_first_step", f"{_STEP} SELECT * FROM step")
 def rc06_first(spark, sf_dir):
     return recourse.best_steps(rc06_tried(spark, sf_dir), _state(spark, sf_dir))
 
@@ -211,7 +211,14 @@ def recourse_valence(spark, sf_dir):
     return chemistry.valence_ok(derived.nodes(spark, sf_dir), derived.bonds(spark, sf_dir), [4, 3, 2, 6, 1, 1, 1, 1, 8])
 
 
-@query("rc13_reports")
+_EDIT = """'{"step":1,"op":"' || op || '","i":' || i || coalesce(',"j":' || j, '') || coalesce(',"new_value":' || new_value, '') || '}'"""
+_AFTER = """',"after":{"class":' || CASE WHEN flipped THEN 1 - was ELSE was END || ',"score":' || CASE WHEN was = 1 THEN margin ELSE -margin END || '}'"""
+
+
+@query("rc13_reports", f"""{_STEP}, b AS (SELECT graph_id, class_sum, CAST(class_sum > 0 AS INTEGER) AS was FROM summed)
+    SELECT graph_id, '{{"edits":[' || coalesce({_EDIT}, '') || '],"prediction":{{"before":{{"class":' || was || ',"score":' || class_sum || '}}' || coalesce({_AFTER}, '') || '}}'
+        || coalesce(',"flipped":' || CAST(flipped AS VARCHAR), '') || ',"n_edits":' || CAST(op IS NOT NULL AS INTEGER) || '}}' AS report
+    FROM b LEFT JOIN step USING (graph_id)""")
 def rc13(spark, sf_dir):
     fixed = _fixed(spark)
     before = fixed(machine.predictions(spark, sf_dir))
@@ -412,7 +419,7 @@ def src10(spark, sf_dir):
     return parsed.select(F.col("x")[0].cast("long").alias("vec_id"), F.aggregate(F.slice("x", 2, 12), F.lit(0).cast("long"), lambda a, v: a + v).alias("ones"), "y")
 
 
-@query("src12_signature")
+@query("src12_signature", f"""{BASE}, h AS (SELECT sha256('{{"graph_id":' || graph_id || ',"u":' || u || ',"v":' || v || ',"bond_type":' || bond_type || '}}') AS h FROM bonds) SELECT count(*) AS n, sha256(count(*) || ':' || sum(CAST('0x' || substr(h, 1, 12) AS BIGINT))) AS signature FROM h""")
 def src12(spark, sf_dir):
     return readers.signature(derived.bonds(spark, sf_dir), ["graph_id", "u", "v", "bond_type"])
 
