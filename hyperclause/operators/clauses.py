@@ -4,6 +4,9 @@ A clause is root AND over R branches, of ORs over IA, of ANDs over IF, of ORs ov
 included literals. A node is described by two numbers: the bits that positive literals read (x) and those that negative
 ones read (nx). A leaf is two masks, so it holds iff pos & ~x = 0 and neg & ~nx = 0.
 
+Arrays that are never empty are exploded as outer ones: a plain explode adds a filter on their size, which would compute
+them once more.
+
 The model is an array in a single row, which is broadcast; evaluating it is an expression in every row of nodes, without
 a join by literal or a shuffle. Only the OR over a graph's nodes shuffles: 32 clauses in a word.
 """
@@ -157,14 +160,14 @@ def fired_words(nodes: DataFrame, model: DataFrame, spec: Spec, negation: str =
 
 def graph_clauses(fired: DataFrame) -> DataFrame:
     """graph_id, fired: the clauses that hold at any node."""
-    words = fired.select("graph_id", F.posexplode("fired").alias("w", "word")).groupBy("graph_id", "w").agg(F.bit_or("word").alias("word"))
+    words = fired.select("graph_id", F.posexplode_outer("fired").alias("w", "word")).groupBy("graph_id", "w").agg(F.bit_or("word").alias("word"))
     grouped = words.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("w", "word"))).alias("words"))
     return grouped.select("graph_id", F.transform("words", lambda s: s["word"]).alias("fired"))
 
 
 def clause_outputs(fired: DataFrame, spec: Spec) -> DataFrame:
     """graph_id, clause, output (0 or 1) of every clause, from words."""
-    rows = fired.select("graph_id", F.posexplode(bits.unpack(F.col("fired"), spec.clauses)).alias("clause", "output"))
+    rows = fired.select("graph_id", F.posexplode_outer(bits.unpack(F.col("fired"), spec.clauses)).alias("clause", "output"))
     return rows
 
 

@@ -95,7 +95,7 @@ def _near(nodes: DataFrame, adjacent: DataFrame, book: DataFrame, k: int) -> Dat
     edge = "struct<src:int,dst:int,bond_type:int,edge_id:int>"
     edges = adjacent.groupBy("graph_id").agg(F.collect_list(F.struct("src", "dst", "bond_type", "edge_id")).cast(f"array<{edge}>").alias("__edges"))
     rows = own.join(edges, "graph_id", "left").withColumn("__edges", F.coalesce("__edges", F.array().cast(f"array<{edge}>")))
-    rows = rows.withColumn("__atoms", F.map_from_entries("__nodes")).withColumn("root", F.explode(F.transform("__nodes", lambda n: n["node_id"])))
+    rows = rows.withColumn("__atoms", F.map_from_entries("__nodes")).withColumn("root", F.explode_outer(F.transform("__nodes", lambda n: n["node_id"])))
     # The bonds on the way to a node are a byte each, so that nodes that are met again cost no vector.
     if k > 7:
         raise ValueError("k is 7 at most")
@@ -109,13 +109,14 @@ def _near(nodes: DataFrame, adjacent: DataFrame, book: DataFrame, k: int) -> Dat
             out = F.filter("__edges", lambda e: e["src"] == f["node_id"])
             return F.transform(out, lambda e: F.struct(e["dst"].alias("node_id"), (i * F.lit(1 << 32) + e["edge_id"]).alias("key"), (f["way"] * 256 + e["bond_type"]).alias("way")))
 
-        rows = rows.withColumn("__seen", F.transform("__found", lambda f: f["node_id"])).withColumn("__met", F.flatten(F.transform("__last", on)))
-        rows = rows.withColumn("__met", F.array_sort(F.filter("__met", lambda m: ~F.array_contains("__seen", m["node_id"]))))
+        new = F.filter(F.flatten(F.transform("__last", on)), lambda m: ~F.exists("__found", lambda f: f["node_id"] == m["node_id"]))
+        rows = rows.withColumn("__met", F.array_sort(new))
         rows = rows.withColumn("__met", F.filter("__met", lambda x, i: (i == 0) | (F.get("__met", i - 1)["node_id"] != x["node_id"])))
         rows = rows.withColumn("__found", F.concat("__found", F.transform("__met", _at_hop(hop))))
         if hop < k:
             rows = rows.withColumn("__last", F.array_sort(F.transform("__met", lambda m: F.struct(m["key"].alias("key"), m["node_id"].alias("node_id"), m["way"].alias("way")))))
-    rows = rows.select("graph_id", "root", "__atoms", F.explode("__found").alias("f")).join(_code_map(book, "bond", "__bonds"), F.lit(True))
+    # Outer: it is never empty, and the filter that explode adds would compute all of it once more.
+    rows = rows.select("graph_id", "root", "__atoms", F.explode_outer("__found").alias("f")).join(_code_map(book, "bond", "__bonds"), F.lit(True))
     bond = [F.when(F.col("f.hop") > i, F.col("__bonds")[F.shiftright("f.way", 8 * i).bitwiseAND(F.lit(255)).cast("int")]).alias(f"__b{i}") for i in range(k)]
     rows = rows.select("graph_id", "root", "f.node_id", "f.hop", F.col("__atoms")[F.col("f.node_id")].alias("atom_type"), *bond)
     chain = F.array(*[_word(w, k) for w in range(_words(book))])

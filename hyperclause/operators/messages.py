@@ -41,7 +41,7 @@ def matches(vectors: DataFrame, includes: DataFrame, size: int, gate: Column | N
     """graph_id, node_id, clause of every clause all of whose included places the node holds; clauses that include nothing
     match all. vectors: graph_id, node_id, words, and what the gate reads; gate: a condition on these and clause."""
     held = F.transform(F.filter("__clauses", lambda c: holds(c, F.col("words"), size)), lambda c: c["clause"])
-    found = _beside(vectors, masks(includes, size), "__clauses").withColumn("clause", F.explode(held))
+    found = _beside(vectors, masks(includes, size), "__clauses").withColumn("clause", F.explode_outer(held)).where("clause is not null")  # outer: a plain one computes the array twice
     return (found if gate is None else found.where(gate)).select("graph_id", "node_id", "clause")
 
 
@@ -75,13 +75,13 @@ def received(graphs: DataFrame, codes: DataFrame, size: int) -> DataFrame:
 def exchange(graphs: DataFrame, codes: DataFrame, size: int) -> DataFrame:
     """graph_id, node_id, place: the codes of the clauses that match at neighbours, shifted by the type of the edge they come
     along. graphs: as `gathered` gives them."""
-    rows = received(graphs, codes, size).select("graph_id", F.explode("nodes").alias("n"))
-    return rows.select("graph_id", "n.node_id", F.explode("n.inbox").alias("place"))
+    rows = received(graphs, codes, size).select("graph_id", F.explode_outer("nodes").alias("n"))
+    return rows.select("graph_id", "n.node_id", F.explode_outer("n.inbox").alias("place")).where("place is not null")
 
 
 def packed_inboxes(graphs: DataFrame, codes: DataFrame, size: int) -> DataFrame:
     """graph_id, node_id, words: the same messages, 32 places in a word; nodes that none reaches have zeros."""
-    rows = received(graphs, codes, size).select("graph_id", F.explode("nodes").alias("n"))
+    rows = received(graphs, codes, size).select("graph_id", F.explode_outer("nodes").alias("n"))
     return rows.select("graph_id", "n.node_id", bits.from_places(F.col("n.inbox"), size).alias("words"))
 
 
@@ -97,15 +97,15 @@ def layers(graphs: DataFrame, includes: list[DataFrame], codes: DataFrame, size:
             return F.transform(F.filter(f"__layer{k}", lambda c: F.array_contains(n["fired"], c["clause"]) & holds(c, n["x"], size)), lambda c: c["clause"])
 
         graphs = graphs.withColumn("nodes", F.transform("nodes", lambda n: F.struct(n["node_id"].alias("node_id"), kept(n).alias("fired")))).drop(f"__layer{k}")
-    rows = graphs.select("graph_id", F.explode("nodes").alias("n"))
-    return rows.select("graph_id", "n.node_id", F.explode("n.fired").alias("clause"))
+    rows = graphs.select("graph_id", F.explode_outer("nodes").alias("n"))
+    return rows.select("graph_id", "n.node_id", F.explode_outer("n.fired").alias("clause")).where("clause is not null")
 
 
 def to_features(fired: DataFrame, graphs: DataFrame, clauses: int) -> DataFrame:
     """graph_id, clause, output (0 or 1) of every clause of every graph."""
     hit = fired.groupBy("graph_id").agg(F.collect_set("clause").alias("__hit"))
     output = F.transform(F.sequence(F.lit(0), F.lit(clauses - 1)), lambda c: F.coalesce(F.array_contains("__hit", c), F.lit(False)).cast("int"))
-    return graphs.join(hit, "graph_id", "left").select("graph_id", F.posexplode(output).alias("clause", "output"))
+    return graphs.join(hit, "graph_id", "left").select("graph_id", F.posexplode_outer(output).alias("clause", "output"))
 
 
 def multi_output(sums: DataFrame) -> DataFrame:

@@ -283,7 +283,7 @@ def exp02_decisions(spark, sf_dir):
 
 @query("exp03_firing_clauses", f"{FIRED} SELECT graph_id, clause, clause % 2 AS voted_class, CASE WHEN clause % 2 = 0 THEN 1 ELSE -1 END AS sign, string_agg(CAST(node_id AS VARCHAR), ',' ORDER BY node_id) AS node_ids, count(*) AS clause_output FROM node_fired WHERE ways > 0 GROUP BY graph_id, clause")
 def exp03(spark, sf_dir):
-    rows = machine.fired(spark, sf_dir).select("graph_id", "node_id", F.posexplode(bits.unpack(F.col("fired"), SPEC.clauses)).alias("clause", "output"))
+    rows = machine.fired(spark, sf_dir).select("graph_id", "node_id", F.posexplode_outer(bits.unpack(F.col("fired"), SPEC.clauses)).alias("clause", "output"))
     return explain.firing_clauses(rows, SPEC.classes).withColumn("node_ids", F.array_join(F.transform("node_ids", lambda n: n.cast("string")), ","))
 
 
@@ -481,7 +481,7 @@ def exp05(spark, sf_dir):
     hv = machine.vectors(spark, sf_dir, 1, SPEC.features)
     x, nx = clauses.literal_inputs(F.col("hv"), SPEC, "complement")
     held = clauses.with_model(hv.select("graph_id", "node_id", x.alias("x"), nx.alias("nx")), clauses.model(machine.automata(spark), SPEC, machine.INCLUDE))
-    rows = held.select("graph_id", "node_id", F.posexplode(F.transform("clauses", lambda c: clauses.multiplicity(c, F.col("x"), F.col("nx")))).alias("clause", "ways"))
+    rows = held.select("graph_id", "node_id", F.posexplode_outer(F.transform("clauses", lambda c: clauses.multiplicity(c, F.col("x"), F.col("nx")))).alias("clause", "ways"))
     parts = None
     for member in (0, 1):
         fired = rows.select("graph_id", "node_id", "clause", (F.col("ways") > member).cast("int").alias("output"))

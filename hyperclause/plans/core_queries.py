@@ -214,13 +214,13 @@ def cl02(spark, sf_dir):
 @query("cl07_node_clauses", f"{FIRED} SELECT graph_id, node_id, clause, CAST(ways > 0 AS INTEGER) AS output FROM node_fired")
 def cl07(spark, sf_dir):
     rows = machine.fired(spark, sf_dir)
-    return rows.select("graph_id", "node_id", F.posexplode(bits.unpack(F.col("fired"), SPEC.clauses)).alias("clause", "output"))
+    return rows.select("graph_id", "node_id", F.posexplode_outer(bits.unpack(F.col("fired"), SPEC.clauses)).alias("clause", "output"))
 
 
 @query("cl07_node_clauses_offset", f"{machine.fired_sql('offset')} SELECT graph_id, node_id, clause, CAST(ways > 0 AS INTEGER) AS output FROM node_fired")
 def cl07_offset(spark, sf_dir):
     rows = machine.fired(spark, sf_dir, "offset")
-    return rows.select("graph_id", "node_id", F.posexplode(bits.unpack(F.col("fired"), SPEC.clauses)).alias("clause", "output"))
+    return rows.select("graph_id", "node_id", F.posexplode_outer(bits.unpack(F.col("fired"), SPEC.clauses)).alias("clause", "output"))
 
 
 @query("cl08_graph_clauses", f"{FIRED} SELECT graph_id, clause, output FROM graph_fired")
@@ -275,7 +275,7 @@ def _flat(spark, sf_dir, overflow="exact"):
     x, nx = clauses.literal_inputs(F.col("hv"), SPEC, "complement")
     held = clauses.with_model(rows.select("vec_id", x.alias("x"), nx.alias("nx")), clauses.model(machine.automata(spark), SPEC, machine.INCLUDE))
     ways = F.transform("clauses", lambda c: clauses.multiplicity(c, F.col("x"), F.col("nx"), overflow))
-    return held.select("vec_id", F.posexplode(ways).alias("clause", "ways"))
+    return held.select("vec_id", F.posexplode_outer(ways).alias("clause", "ways"))
 
 
 @query("cl22_flat_multiplicity", f"{_FLAT} SELECT vec_id, clause, ways FROM tree")

@@ -23,12 +23,13 @@ def graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
-    return read(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("graph_id"),
+    # Renamed first: what is dealt out by graph_id here stays so for all that groups or joins by it.
+    place = Window.partitionBy("graph_id").orderBy(*LINE_ORDER)
+    return read(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "graph_id").select(
+        "graph_id",
         (F.row_number().over(place) - 1).cast("int").alias("node_id"),
         (F.col("l_partkey") % ATOMS).cast("int").alias("atom_type"),
-        F.lead("l_orderkey", 1).over(place).isNotNull().alias("has_next"),
+        F.lead("graph_id", 1).over(place).isNotNull().alias("has_next"),
         (F.lead("l_returnflag", 2).over(place) == F.col("l_returnflag")).alias("same_second"),
     )
 

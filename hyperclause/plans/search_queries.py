@@ -50,7 +50,7 @@ _CANDIDATES = f"""{_NODE_EDITS},
 
 
 def _firing(spark, sf_dir):
-    rows = machine.fired(spark, sf_dir).select("graph_id", "node_id", F.posexplode(bits.unpack(F.col("fired"), SPEC.clauses)).alias("clause", "output"))
+    rows = machine.fired(spark, sf_dir).select("graph_id", "node_id", F.posexplode_outer(bits.unpack(F.col("fired"), SPEC.clauses)).alias("clause", "output"))
     return rows.where("output = 1").select("graph_id", "clause", "node_id")
 
 
