@@ -69,16 +69,18 @@ def alert_support(hits: DataFrame) -> DataFrame:
     return hits.groupBy("alert").agg(F.count(F.lit(1)).alias("support"))
 
 
-def alert_coverage(hits: DataFrame, fired: DataFrame, share: float = 0.5, first: int = 5) -> DataFrame:
-    """alert, clause, together and support of the first clauses by number that fire on at least max(1, floor(share * support))
+def alert_coverage(hits: DataFrame, fired: DataFrame, share: float = 0.5, first: int | None = 5) -> DataFrame:
+    """alert, clause, together and support of the first clauses by number (None: of all) that fire on at least max(1, floor(share * support))
     of an alert's items. hits: item, alert; fired: item, clause. Only pairs that meet are counted; there is no cross join."""
     together = hits.join(fired, "item").groupBy("alert", "clause").agg(F.count(F.lit(1)).alias("together"))
     kept = together.join(F.broadcast(alert_support(hits)), "alert").where(F.col("together") >= F.greatest(F.lit(1), F.floor(F.col("support") * share)))
+    if first is None:
+        return kept.select("alert", "clause", "together", "support")
     rank = F.row_number().over(Window.partitionBy("alert").orderBy("clause"))
     return kept.withColumn("rank", rank).where(F.col("rank") <= first).select("alert", "clause", "together", "support")
 
 
-def alerts_in(df: DataFrame, item: str, text: str, alerts: dict[str, str]) -> DataFrame:
-    """item and alert for every pattern found in the text: one pass, a handful of conditions, no join."""
+def alerts_in(df: DataFrame, item: str, text: str, alerts: dict[str, str], keep: list[str] | None = None) -> DataFrame:
+    """item and alert for every pattern found in the text, with the columns `keep`: one pass, a handful of conditions, no join."""
     hits = F.filter(F.array(*[F.when(F.rlike(F.col(text), F.lit(p)), F.lit(name)) for name, p in alerts.items()]), lambda a: a.isNotNull())
-    return df.select(F.col(item).alias("item"), F.explode(hits).alias("alert"))
+    return df.select(F.col(item).alias("item"), *(keep or []), F.explode(hits).alias("alert"))

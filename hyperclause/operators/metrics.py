@@ -117,9 +117,10 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def inverse_frequency(df: DataFrame, y: str) -> DataFrame:
-    """df with weight, one over the number of rows of its label: counted once and broadcast, one row for each label."""
-    counts = df.groupBy(y).agg((1.0 / F.count(F.lit(1))).alias("weight"))
+def inverse_frequency(df: DataFrame, y: str, rows: str | None = None) -> DataFrame:
+    """df with weight, one over the number of rows of its label: counted once and broadcast, one row for each label. rows: a column
+    that says how many rows a row stands for."""
+    counts = df.groupBy(y).agg((1.0 / (F.sum(rows) if rows else F.count(F.lit(1)))).alias("weight"))
     return df.join(F.broadcast(counts), y)
 
 
@@ -172,14 +173,14 @@ def stratified_holdout(df: DataFrame, key: str, y: str, share: float, seed: int)
     return ranked.join(F.broadcast(sizes), F.lit(True)).withColumn("held", (F.col("rank") <= quota).cast("int")).drop("rank", "want", "positives")
 
 
-def group_split(df: DataFrame, group: str, seed: int, train: float, valid: float) -> DataFrame:
+def group_split(df: DataFrame, group: str, seed: int, train: float, valid: float, rows: str | None = None) -> DataFrame:
     """group and split: whole groups by descending size (ties by hash, then name) go to train while they fit, else to
-    valid while they fit, else to test.
+    valid while they fit, else to test. rows: a column that says how many rows a row stands for.
 
     Groups of one size are alike: of each size a number goes to train, then a number to valid. These numbers come from one
     pass over the distinct sizes on the driver (fewer than the root of twice the rows), and a group's place among those of
     its size says where it goes."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    sizes = df.groupBy(group).agg((F.sum(rows) if rows else F.count(F.lit(1))).alias("n"))
     # The hash of a name must be alike in any engine: its first and last characters and its length.
     name = F.col(group).cast("string")
     tie = mix(F.ascii(name) * 256 + F.ascii(F.substring(name, -1, 1)), F.length(name), seed)

@@ -171,13 +171,20 @@ def _state(spark, sf_dir):
     return own.select("graph_id", F.col("pred").alias("target"), F.abs("class_sum").alias("margin"))
 
 
-def _fixed(spark):
-    """Small tables between rounds go to the shared checkpoint folder; only a session in one process may do without a name for it."""
+def shared_folder(spark):
+    """The folder that spark.checkpoint.dir names, or else the one set on the context; only a session in one process may do
+    without a name for it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if spark.sparkContext.getCheckpointDir() is None:
         if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return named or spark.sparkContext.getCheckpointDir()
+
+
+def _fixed(spark):
+    """Small tables between rounds go to the shared checkpoint folder."""
+    shared_folder(spark)
     return lambda df: df.checkpoint()
 
 
