@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import mix
+from ..operators import patterns
 
 # The names under which files have their columns; the tasks of the assay table.
 TEXT_NAMES = ["Drug", "SMILES", "smiles", "Canonical_SMILES"]
@@ -66,9 +67,8 @@ def rules(spark: SparkSession, path: str, least: int = 8) -> DataFrame:
             raise ValueError(f"{what} are not unique")
     if len(rows) < least or not all(r[2] and r[2].strip() for r in rows):
         raise ValueError("too few alerts, or one without a pattern")
-    for r in rows:  # what any pattern language asks for
-        if any(r[2].count(a) != r[2].count(b) for a, b in ("()", "[]")):
-            raise ValueError(f"unbalanced pattern: {r[2]}")
+    for r in rows:  # a pattern that can't be compiled is an error here, not where molecules are searched
+        patterns.condition(r[2])
     return spark.createDataFrame(rows, RULE)
 
 
