@@ -38,7 +38,7 @@ class _Pattern:
 
 class _Text:
     def __init__(self, text: str, names) -> None:
-        self.text, self.at, self.names = text, 0, names
+        self.text, self.at, self.names = text, 0, names  # names: numbers for variables
 
     def next(self) -> str:
         return self.text[self.at : self.at + 1]

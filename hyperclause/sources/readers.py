@@ -67,8 +67,10 @@ def rules(spark: SparkSession, path: str, least: int = 8) -> DataFrame:
             raise ValueError(f"{what} are not unique")
     if len(rows) < least or not all(r[2] and r[2].strip() for r in rows):
         raise ValueError("too few alerts, or one without a pattern")
-    for r in rows:  # a pattern that can't be compiled is an error here, not where molecules are searched
-        patterns.condition(r[2])
+    for r in rows:
+        if any(r[2].count(a) != r[2].count(b) for a, b in ("()", "[]")):
+            raise ValueError(f"unbalanced pattern: {r[2]}")
+        patterns.condition(r[2])  # one that can't be compiled is an error here, not where molecules are searched
     return spark.createDataFrame(rows, RULE)
 
 
