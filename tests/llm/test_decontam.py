@@ -126,3 +126,10 @@ def test_windows_that_match_are_found():
     want = {k for k, d in least.items() if d <= decontam.allowed(len(items[k[1]][1]))}
     assert got <= want and {k for k in want if least[k] == 0} <= got
     assert len(want) > 60 and len(got) >= 0.95 * len(want)
+
+
+def test_batches_count_characters_of_scripts_without_spaces(spark):
+    """What is collected and broadcast at once stays within about BATCH_WORDS words, however they are written."""
+    items = spark.range(3000).selectExpr("id as item_id", "repeat('字句', 1000) || id as text")
+    sizes = [sum(len(decontam.word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]) for _, t in part[:1]) * len(part) for part in decontam.batches_of(items)]
+    assert len(sizes) >= 6 and max(sizes) < 1.2 * decontam.BATCH_WORDS and sum(sizes) > 6_000_000
