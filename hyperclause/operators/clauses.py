@@ -36,14 +36,15 @@ class Spec:
     leaf_and: int = 2
     states: int = 100
     classes: int = 2
+    most_features: int | None = 62
 
     def __post_init__(self) -> None:
         if self.clauses < 2 or self.clauses % 2:
             raise ValueError("clauses must be an even positive number")
         if self.classes < 1 or self.threshold < 1 or self.states < 2 or self.s <= 1:
             raise ValueError("classes and threshold must be positive, states 2 at least, s above 1")
-        if self.features > 62:
-            raise ValueError("a clause reads 62 features at most, as the masks of a leaf are one long each")
+        if self.most_features is not None and self.features > self.most_features:
+            raise ValueError(f"a clause reads {self.most_features} features at most, as the masks of a leaf are one long each")
         if min(self.root, self.inner_or, self.inner_and, self.leaf_or, self.leaf_and) < 1:
             raise ValueError("every arity must be positive")
 
