@@ -60,8 +60,12 @@ class Spec:
 
 def addresses(spark: SparkSession, spec: Spec) -> DataFrame:
     """clause, j, k, l, m, n and feature of every automaton; n from leaf_and on addresses the negations."""
+    return addresses_of(spark.range(spec.clauses).select(F.col("id").cast("int").alias("clause")), spec)
+
+
+def addresses_of(out: DataFrame, spec: Spec) -> DataFrame:
+    """The columns of a table of clauses, with j, k, l, m, n and feature of each of their automata."""
     sizes = {"j": spec.root, "k": spec.inner_or, "l": spec.inner_and, "m": spec.leaf_or, "n": 2 * spec.leaf_and}
-    out = spark.range(spec.clauses).select(F.col("id").cast("int").alias("clause"))
     for name, size in sizes.items():
         out = out.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
     feature = F.col("j") * (spec.inner_and * spec.leaf_and) + F.col("l") * spec.leaf_and + F.col("n") % spec.leaf_and

@@ -3,6 +3,9 @@
 What a sample changes depends on all samples before it, so one machine is trained by one task; seeds (and other settings)
 are independent and are dealt out as groups: `groupBy(seed).applyInPandas`. The training rows of a machine must fit a task;
 callers pass a bounded table.
+
+Nothing is drawn from a generator with a state of its own. Every draw is a hash of the seed, the number of the update (step), what
+is drawn for, and the place of the leaf or automaton, so any engine can replay a training and come to each state.
 """
 
 from __future__ import annotations
@@ -12,16 +15,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import PRIME, draw_array
 from .clauses import Spec
 
 
+#: What is drawn for; a draw's counter is four times the step (or epoch) and this.
+LEAF, AUTOMATON, NODE, ORDER = range(4)
+
+
+def shuffled(n: int, epoch: int, seed: int) -> np.ndarray:
+    """The order of samples 0 to n - 1 in an epoch: by draws, ties by number."""
+    return np.argsort(draw_array(4 * epoch + ORDER, np.arange(n), seed), kind="stable")
+
+
 class Machine:
-    """States [clause, j, k, l, m, literal]; literals are the features of a leaf, then their negations."""
+    """States [clause, j, k, l, m, literal]; literals are the features of a leaf, then their negations. A place's number is that in
+    this order; s counts in tenths."""
 
     def __init__(self, spec: Spec, seed: int, balanced: bool = True, boost: bool = True) -> None:
-        self.spec, self.boost, self.rng = spec, boost, np.random.default_rng(seed)
+        self.spec, self.boost, self.seed, self.step, self.epoch, self.tenths = spec, boost, seed, 0, 0, round(10 * spec.s)
         shape = (spec.clauses, spec.root, spec.inner_or, spec.inner_and, spec.leaf_or, spec.leaf_and)
-        coin = self.rng.integers(0, 2, shape) if balanced else np.zeros(shape, np.int64)
+        coin = draw_array(0, np.arange(np.prod(shape)), seed + 1).reshape(shape) // 8 % 2 if balanced else np.zeros(shape, np.int64)
         self.state = np.concatenate([spec.states + coin, spec.states + (1 - coin if balanced else coin)], axis=-1).astype(np.int32)
         self.sign = np.where(np.arange(spec.clauses) % 2 == 0, 1, -1)
         j, l, n = np.arange(spec.root)[:, None, None], np.arange(spec.inner_and)[:, None], np.arange(spec.leaf_and)  # noqa: E741
@@ -58,23 +72,43 @@ class Machine:
             silent = np.array([c not in node_literals for c in range(s.clauses)])
             values = (*values[:-1], np.where(silent, 0, values[-1]))
         leaf, ors, ands, inner, clause = values
-        p = min(1.0, max(0.0, (t + (1 - 2 * y) * total) / (2 * t)))
-        chosen = self.rng.random(leaf.shape) < p
+        chosen = self._draws(LEAF, leaf.shape) * (2 * t) < (t + (1 - 2 * y) * total) * PRIME
         live = leaf & (ors > 0)[..., None] & (ands > 0)[..., None, None] & (inner > 0)[..., None, None, None] & (clause > 0)[:, None, None, None, None]
         for_it = (self.sign * (2 * y - 1) > 0)[:, None, None, None, None]
-        draw = self.rng.random(self.state.shape)
+        draw = self._draws(AUTOMATON, self.state.shape) * self.tenths
         match = np.broadcast_to(lit, self.state.shape)
         recognise, forget, reject = (chosen & for_it & live)[..., None], (chosen & for_it & ~live)[..., None], (chosen & ~for_it & live)[..., None]
-        up = recognise & match & ((draw < (s.s - 1) / s.s) | self.boost)
-        down = ((recognise & ~match) | forget) & (draw < 1 / s.s)
-        up |= reject & ~match & (self.state <= s.states)
-        self.state += up.astype(np.int32) - down.astype(np.int32)
+        first = recognise & match & ((draw < (self.tenths - 10) * PRIME) | self.boost)
+        seldom = draw < 10 * PRIME
+        wrong, gone, second = recognise & ~match & seldom, forget & seldom, reject & ~match & (self.state <= s.states)
+        before = self.state.copy()
+        self.state += (first | second).astype(np.int32) - (wrong | gone).astype(np.int32)
         np.clip(self.state, 1, 2 * s.states, out=self.state)
+        self.step += 1
+        self.last = (int(chosen.sum()), int(first.sum()), int(wrong.sum()), int(gone.sum()), int(second.sum()), int((self.state != before).sum()))
+
+    def _draws(self, what: int, shape: tuple[int, ...]) -> np.ndarray:
+        return draw_array(4 * self.step + what, np.arange(np.prod(shape)), self.seed).reshape(shape)
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, shuffle: bool = True) -> Machine:
+        """Goes on from the present state, step and epoch."""
         for _ in range(epochs):
-            for i in self.rng.permutation(len(x)) if shuffle else range(len(x)):
+            for i in shuffled(len(x), self.epoch, self.seed) if shuffle else range(len(x)):
                 self.update(x[i], int(y[i]))
+            self.epoch += 1
+        return self
+
+    def table(self) -> pd.DataFrame:
+        """Its automata: clause, j, k, l, m, n and state."""
+        places = np.indices(self.state.shape).reshape(6, -1)
+        return pd.DataFrame(dict(zip(("clause", "j", "k", "l", "m", "n"), places.astype(np.int32)))).assign(state=self.state.ravel())
+
+    def restore(self, automata: pd.DataFrame, step: int, epoch: int) -> Machine:
+        """Goes on from such a table, in any order of rows."""
+        if len(automata) != self.state.size:
+            raise ValueError("the table is of a machine of another shape")
+        self.state[tuple(automata[c].to_numpy() for c in ("clause", "j", "k", "l", "m", "n"))] = automata["state"]
+        self.step, self.epoch = step, epoch
         return self
 
 
@@ -82,15 +116,21 @@ class MultiClass:
     """A machine for each class; a sample updates its own class's machine and, as a negative, one other at random."""
 
     def __init__(self, spec: Spec, seed: int) -> None:
-        self.rng = np.random.default_rng(seed)
+        self.seed, self.step, self.epoch = seed, 0, 0
         self.machines = [Machine(spec, seed * 1009 + k) for k in range(spec.classes)]
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int) -> MultiClass:
+        """Every machine counts the samples of all, whether it learns from them or not."""
+        n = len(self.machines)
         for _ in range(epochs):
-            for i in self.rng.permutation(len(x)):
-                self.machines[y[i]].update(x[i], 1)
-                if len(self.machines) > 1:
-                    self.machines[(y[i] + self.rng.integers(1, len(self.machines))) % len(self.machines)].update(x[i], 0)
+            for i in shuffled(len(x), self.epoch, self.seed):
+                other = int(y[i] + 1 + draw_array(4 * self.step + NODE, np.array([0]), self.seed)[0] // 8 % (n - 1)) % n if n > 1 else None
+                for k, machine in enumerate(self.machines):
+                    machine.step = self.step
+                    if k in (y[i], other):
+                        machine.update(x[i], int(k == y[i]))
+                self.step += 1
+            self.epoch += 1
         return self
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -109,9 +149,14 @@ class FlatMachine:
         self.reset()
 
     def reset(self) -> None:
-        self.rng = np.random.default_rng(self.seed)
+        self.step = self.epoch = 0
+        self.tenths, self.share = round(10 * self.s), round(1000 * self.q / max(1, self.classes - 1))
         self.state = np.full(self.shape, self.states - 1, np.int32)
-        self.weights = self.rng.choice([-1, 1], (self.classes, self.shape[0])).astype(np.int64)
+        places = np.arange(self.classes * self.shape[0])
+        self.weights = (1 - 2 * (draw_array(0, places, self.seed + 1) // 8 % 2)).reshape(self.classes, -1)
+
+    def _draws(self, what: int, shape: tuple[int, ...]) -> np.ndarray:
+        return draw_array(4 * self.step + what, np.arange(np.prod(shape)), self.seed).reshape(shape)
 
     def literals(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x.astype(bool), ~x.astype(bool)])
@@ -134,38 +179,42 @@ class FlatMachine:
     def _update(self, lit: np.ndarray, k: int, sign: int) -> None:
         out, t = self.outputs(lit, learning=True), self.threshold
         total = max(-t, min(t, int(self.weights[k] @ out)))
-        chosen = self.rng.random(len(out)) < (t - sign * total) / (2 * t)
+        chosen = self._draws(LEAF, out.shape) * (2 * t) < (t - sign * total) * PRIME
         agrees = self.weights[k] * sign >= 0
-        draw = self.rng.random(self.state.shape)
+        draw = self._draws(AUTOMATON, self.state.shape) * self.tenths
         include = self.state >= self.states
         room = (include.sum(axis=1) < self.most)[:, None] | include
         first, second = (chosen & agrees)[:, None], (chosen & ~agrees & out)[:, None]
-        up = first & out[:, None] & lit & ((draw < (self.s - 1) / self.s) | self.boost) & room
+        up = first & out[:, None] & lit & ((draw < (self.tenths - 10) * PRIME) | self.boost) & room
         up |= second & ~lit & ~include & room
-        down = first & (~out[:, None] | ~lit) & (draw < 1 / self.s)
+        down = first & (~out[:, None] | ~lit) & (draw < 10 * PRIME)
         self.weights[k] += sign * (chosen & out)
         self.state = np.clip(self.state + up - down.astype(np.int32), 0, 2 * self.states - 1).astype(np.int32)
+        self.step += 1
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, incremental: bool = False) -> FlatMachine:
         if not incremental:
             self.reset()
         for _ in range(epochs):
-            for i in self.rng.permutation(len(x)):
+            for i in shuffled(len(x), self.epoch, self.seed):
                 lit = self.literals(x[i])
+                against = self._draws(NODE, (self.classes,)) * 1000 < self.share * PRIME
                 self._update(lit, int(y[i]), 1)
                 for k in range(self.classes):
-                    if k != y[i] and self.rng.random() < self.q / max(1, self.classes - 1):
+                    if k != y[i] and against[k]:
                         self._update(lit, k, -1)
+            self.epoch += 1
         return self
 
     def fit_outputs(self, x: np.ndarray, y: np.ndarray, epochs: int) -> FlatMachine:
         """Several outputs at once: y has a column for each class, and each is learned for or against."""
         self.reset()
         for _ in range(epochs):
-            for i in self.rng.permutation(len(x)):
+            for i in shuffled(len(x), self.epoch, self.seed):
                 lit = self.literals(x[i])
                 for k in range(self.classes):
                     self._update(lit, k, 1 if y[i, k] else -1)
+            self.epoch += 1
         return self
 
 
@@ -185,15 +234,18 @@ class FlatMachine:
 
 
 def graph_fit(machine: Machine, graphs: list[np.ndarray], y: np.ndarray, epochs: int) -> Machine:
-    """graphs: the bits of each graph's nodes. A clause counts once if it fires at any node; one of these nodes, at random,
-    gives its literals to the feedback."""
+    """graphs: the bits of each graph's nodes. A clause counts once if it fires at any node; one of these nodes, that with the least
+    draw for (clause, node), gives its literals to the feedback."""
     for _ in range(epochs):
-        for g in machine.rng.permutation(len(graphs)):
+        for g in shuffled(len(graphs), machine.epoch, machine.seed):
             fired = np.stack([machine.evaluate(machine.literals(node))[-1] > 0 for node in graphs[g]])
             total = int((fired.any(axis=0) * machine.sign).sum())
             total = max(-machine.spec.threshold, min(machine.spec.threshold, total))
-            picked = {c: graphs[g][machine.rng.choice(np.flatnonzero(fired[:, c]))] for c in np.flatnonzero(fired.any(axis=0)).tolist()}
+            lot = draw_array(4 * machine.step + NODE, np.arange(fired.shape[1])[None, :] * 64 + np.arange(len(fired))[:, None], machine.seed)
+            first = np.where(fired, lot, PRIME).argmin(axis=0)
+            picked = {c: graphs[g][first[c]] for c in np.flatnonzero(fired.any(axis=0)).tolist()}
             machine.update(graphs[g][0], int(y[g]), picked, total)
+        machine.epoch += 1
     return machine
 
 
@@ -301,3 +353,87 @@ def teacher_labels(model, features: DataFrame) -> DataFrame:
     rows = features if "features" in features.columns else features.withColumn("features", array_to_vector("vector"))
     soft = vector_to_array("probability")[1]
     return model.transform(rows).select("graph_id", soft.alias("soft"), (soft >= 0.5).cast("int").alias("hard"))
+
+
+# Replays: trainings whose every state another engine can repeat
+
+STATES = "seed int, clause int, j int, k int, l int, m int, n int, state int"
+FEEDBACK = "seed int, step int, chosen int, recognised int, mistaken int, forgotten int, rejected int, changed int"
+
+
+def _samples(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    pdf = pdf.sort_values("id")  # the same order whatever the partitioning
+    return np.stack(pdf["bits"].to_numpy()).astype(bool), pdf["y"].to_numpy(int)
+
+
+def trained_states(rows: DataFrame, spec: Spec, seeds: list[int], epochs: int, shuffle: bool = True, start: DataFrame | None = None, epoch: int = 0) -> DataFrame:
+    """The automata of each seed's machine after so many epochs. rows: id, y, bits. start: such a table, after `epoch` epochs of the
+    same rows, from which the machines go on. One task for each seed."""
+
+    def train(machine: Machine, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = _samples(pdf)
+        return machine.fit(x, y, epochs, shuffle).table().assign(seed=machine.seed)[[c.split()[0] for c in STATES.split(", ")]]
+
+    each = rows.select("id", "y", "bits").withColumn("seed", F.explode(F.lit(seeds)))
+    if start is None:
+        return each.groupBy("seed").applyInPandas(lambda pdf: train(Machine(spec, int(pdf["seed"].iloc[0])), pdf), STATES)
+
+    def go_on(pdf: pd.DataFrame, automata: pd.DataFrame) -> pd.DataFrame:
+        return train(Machine(spec, int(pdf["seed"].iloc[0])).restore(automata, epoch * len(pdf), epoch), pdf)
+
+    return each.groupBy("seed").cogroup(start.groupBy("seed")).applyInPandas(go_on, STATES)
+
+
+def feedback(rows: DataFrame, spec: Spec, seeds: list[int]) -> DataFrame:
+    """Of each update of an epoch: how many leaves were chosen, automata strengthened for what they recognise, weakened for what they
+    include by mistake, weakened where nothing held (forgotten), strengthened to reject, and how many states changed."""
+    names = [c.split()[0] for c in FEEDBACK.split(", ")]
+
+    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+        (x, y), machine, out = _samples(pdf), Machine(spec, int(pdf["seed"].iloc[0])), []
+        for i in shuffled(len(x), 0, machine.seed):
+            machine.update(x[i], int(y[i]))
+            out.append((machine.seed, machine.step - 1, *machine.last))
+        return pd.DataFrame(out, columns=names)
+
+    return rows.select("id", "y", "bits").withColumn("seed", F.explode(F.lit(seeds))).groupBy("seed").applyInPandas(train, FEEDBACK)
+
+
+def class_states(rows: DataFrame, spec: Spec, seed: int, epochs: int) -> DataFrame:
+    """The automata of the machines of a multi-class learner; seed is each machine's own. rows: id, y (a class), bits."""
+
+    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = _samples(pdf)
+        tables = [m.table().assign(seed=m.seed) for m in MultiClass(spec, seed).fit(x, y, epochs).machines]
+        return pd.concat(tables)[[c.split()[0] for c in STATES.split(", ")]]
+
+    return rows.select("id", "y", "bits", F.lit(seed).alias("seed")).groupBy("seed").applyInPandas(train, STATES)
+
+
+def graph_states(nodes: DataFrame, spec: Spec, seeds: list[int], epochs: int) -> DataFrame:
+    """The automata of each seed's machine after feedback from graphs. nodes: graph_id, node_id, y, bits; 64 nodes a graph at most."""
+
+    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+        machine = Machine(spec, int(pdf["seed"].iloc[0]))
+        graphs = [g.sort_values("node_id") for _, g in sorted(pdf.groupby("graph_id"))]
+        graph_fit(machine, [np.stack(g["bits"].to_numpy()).astype(bool) for g in graphs], np.array([g["y"].iloc[0] for g in graphs]), epochs)
+        return machine.table().assign(seed=machine.seed)[[c.split()[0] for c in STATES.split(", ")]]
+
+    return nodes.select("graph_id", "node_id", "y", "bits").withColumn("seed", F.explode(F.lit(seeds))).groupBy("seed").applyInPandas(train, STATES)
+
+
+FLAT = "seed int, clause int, literal int, state int, weight0 long, weight1 long"
+
+
+def flat_states(rows: DataFrame, clauses: int, threshold: int, s: float, states: int, most: int, seeds: list[int], epochs: int) -> DataFrame:
+    """The automata and the weights for both classes of each seed's flat machine. rows: id, y (0 or 1), bits."""
+
+    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = _samples(pdf)
+        seed = int(pdf["seed"].iloc[0])
+        machine = FlatMachine(x.shape[1], clauses, 2, threshold, s, seed, most=most, states=states).fit(x, y, epochs)
+        automata, weights = machine.tables()
+        wide = weights.pivot(index="clause", columns="class_id", values="weight").rename(columns={0: "weight0", 1: "weight1"}).reset_index()
+        return automata.merge(wide, on="clause").assign(seed=seed)[[c.split()[0] for c in FLAT.split(", ")]]
+
+    return rows.select("id", "y", "bits").withColumn("seed", F.explode(F.lit(seeds))).groupBy("seed").applyInPandas(train, FLAT)

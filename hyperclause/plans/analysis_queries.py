@@ -293,29 +293,29 @@ def _tree_sql(empty: bool) -> str:
     levels = [f"t0 AS (SELECT clause, j, k, l, m, '[' || coalesce(string_agg({text}, ',' ORDER BY n) FILTER (WHERE state > {machine.INCLUDE}), '') || ']' AS t FROM ta GROUP BY clause, j, k, l, m)"]
     for i, (above, own) in enumerate((("clause, j, k, l", "m"), ("clause, j, k", "l"), ("clause, j", "k"), ("clause", "j"))):
         levels.append(f"t{i + 1} AS (SELECT {above}, '[' || string_agg(t, ',' ORDER BY {own}) || ']' AS t FROM t{i} {'' if empty or i else "WHERE t <> '[]'"} GROUP BY {above})")
-    return f"WITH {machine.AUTOMATA_SQL}, {', '.join(levels)} SELECT clause, t AS tree FROM t4"
+    return f"WITH {machine.TABLE_AUTOMATA_SQL}, {', '.join(levels)} SELECT clause, t AS tree FROM t4"
 
 
 @query("exp04_clause_literals", _tree_sql(True))
 def exp04(spark, sf_dir):
-    return explain.clause_literals(machine.automata(spark), SPEC, machine.INCLUDE, empty=True).select("clause", F.to_json("tree").alias("tree"))
+    return explain.clause_literals(machine.table_automata(spark, sf_dir), SPEC, machine.INCLUDE, empty=True).select("clause", F.to_json("tree").alias("tree"))
 
 
 @query("exp01_clause_trees", _tree_sql(False))
 def exp01(spark, sf_dir):
-    return explain.clause_literals(machine.automata(spark), SPEC, machine.INCLUDE).select("clause", F.to_json("tree").alias("tree"))
+    return explain.clause_literals(machine.table_automata(spark, sf_dir), SPEC, machine.INCLUDE).select("clause", F.to_json("tree").alias("tree"))
 
 
-@query("exp01_literals_flat", f"WITH {machine.AUTOMATA_SQL} SELECT clause, j, k, l, m, string_agg(CASE WHEN n >= {SPEC.leaf_and} THEN '~' ELSE '' END || 'X' || CAST(feature AS VARCHAR) || '=1', ' ' ORDER BY n) AS leaf FROM ta WHERE state > {machine.INCLUDE} GROUP BY clause, j, k, l, m")
+@query("exp01_literals_flat", f"WITH {machine.TABLE_AUTOMATA_SQL} SELECT clause, j, k, l, m, string_agg(CASE WHEN n >= {SPEC.leaf_and} THEN '~' ELSE '' END || 'X' || CAST(feature AS VARCHAR) || '=1', ' ' ORDER BY n) AS leaf FROM ta WHERE state > {machine.INCLUDE} GROUP BY clause, j, k, l, m")
 def exp01_flat(spark, sf_dir):
-    rows = clauses.included(machine.automata(spark), machine.INCLUDE).withColumn("text", explain.literal_text(F.col("feature"), F.col("n") >= SPEC.leaf_and))
+    rows = clauses.included(machine.table_automata(spark, sf_dir), machine.INCLUDE).withColumn("text", explain.literal_text(F.col("feature"), F.col("n") >= SPEC.leaf_and))
     grouped = rows.groupBy("clause", "j", "k", "l", "m").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("texts"))
     return grouped.select("clause", "j", "k", "l", "m", F.array_join(F.transform("texts", lambda s: s["text"]), " ").alias("leaf"))
 
 
-@query("exp06_parsed_literals", f"WITH {machine.AUTOMATA_SQL} SELECT DISTINCT feature, CAST(n < {SPEC.leaf_and} AS INTEGER) AS polarity FROM ta")
+@query("exp06_parsed_literals", f"WITH {machine.TABLE_AUTOMATA_SQL} SELECT DISTINCT feature, CAST(n < {SPEC.leaf_and} AS INTEGER) AS polarity FROM ta")
 def exp06(spark, sf_dir):
-    texts = machine.automata(spark).select(explain.literal_text(F.col("feature"), F.col("n") >= SPEC.leaf_and).alias("text")).distinct()
+    texts = machine.table_automata(spark, sf_dir).select(explain.literal_text(F.col("feature"), F.col("n") >= SPEC.leaf_and).alias("text")).distinct()
     return texts.select(explain.parse_literal(F.col("text")).alias("p")).select("p.feature", "p.polarity")
 
 
@@ -409,17 +409,26 @@ def cl20(spark, sf_dir):
     return messages.multi_output(clauses.weighted_sums(features, weights))
 
 
-@query("exp09_symbol_counts", f"{_FLAT_MACHINE}, codes9 AS (SELECT DISTINCT CAST(s AS INTEGER) AS symbol, {_place('s', 'i', SEED)} AS place FROM range(9) a(s) CROSS JOIN range({HOT}) b(i)) SELECT clause, symbol, CAST(inc0.place < {SIZE} AS INTEGER) AS polarity, count(*) AS n FROM inc0 JOIN codes9 ON codes9.place = inc0.place % {SIZE} GROUP BY clause, symbol, inc0.place < {SIZE}")
+def _part_includes_sql(size: int, seed: int) -> str:
+    """A clause for each part, which includes up to four places."""
+    return f"inc AS (SELECT DISTINCT CAST(p_partkey AS INTEGER) AS clause, {mix_sql('p_partkey', 'i + p_size * 8', seed)} % {2 * size} AS place FROM part CROSS JOIN range(4) t(i))"
+
+
+def _part_includes(spark, sf_dir, size, seed):
+    place = F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: mix(F.col("p_partkey"), i + F.col("p_size") * 8, seed) % (2 * size)))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("clause"), place.alias("place")).distinct()
+
+
+@query("exp09_symbol_counts", f"WITH {_part_includes_sql(SIZE, 14)}, codes9 AS (SELECT DISTINCT CAST(s AS INTEGER) AS symbol, {_place('s', 'i', SEED)} AS place FROM range(9) a(s) CROSS JOIN range({HOT}) b(i)) SELECT clause, symbol, CAST(inc.place < {SIZE} AS INTEGER) AS polarity, count(*) AS n FROM inc JOIN codes9 ON codes9.place = inc.place % {SIZE} GROUP BY clause, symbol, inc.place < {SIZE}")
 def exp09(spark, sf_dir):
-    includes = _flat_machine(spark, sf_dir)[2][0]
     symbols = spark.range(9).select(F.col("id").cast("int").alias("symbol"), F.explode(bits.hot_bits(F.col("id"), HOT, SIZE, SEED)).alias("place")).distinct()
-    return messages.symbol_counts(includes, symbols, SIZE)
+    return messages.symbol_counts(_part_includes(spark, sf_dir, SIZE, 14), symbols, SIZE)
 
 
-@query("exp10_message_sources", f"{_FLAT_MACHINE} SELECT inc1.clause, CAST(e AS INTEGER) AS edge_type, code.clause AS source, CAST(place < {MESSAGES} AS INTEGER) AS polarity, count(*) AS n FROM inc1 CROSS JOIN range(4) t(e) JOIN code ON code = (place % {MESSAGES} - e + {MESSAGES}) % {MESSAGES} GROUP BY inc1.clause, e, code.clause, place < {MESSAGES}")
+@query("exp10_message_sources", f"WITH {_part_includes_sql(MESSAGES, 15)}, code AS (SELECT n_nationkey AS clause, {mix_sql('n_nationkey', '0', 13)} % {MESSAGES} AS code FROM nation) SELECT inc.clause, CAST(e AS INTEGER) AS edge_type, code.clause AS source, CAST(place < {MESSAGES} AS INTEGER) AS polarity, count(*) AS n FROM inc CROSS JOIN range(4) t(e) JOIN code ON code = (place % {MESSAGES} - e + {MESSAGES}) % {MESSAGES} GROUP BY inc.clause, e, code.clause, place < {MESSAGES}")
 def exp10(spark, sf_dir):
-    _, _, includes, codes = _flat_machine(spark, sf_dir)
-    return messages.message_sources(includes[1], codes, 4, MESSAGES)
+    codes = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("clause"), (mix(F.col("n_nationkey"), F.lit(0), 13) % MESSAGES).alias("code"))
+    return messages.message_sources(_part_includes(spark, sf_dir, MESSAGES, 15), codes, 4, MESSAGES)
 
 
 @query("src11_count_mismatches", f"{BASE}, d AS (SELECT graph_id, count(*) + CAST(graph_id % 5 = 0 AS INTEGER) AS nodes_declared, count(*) AS nodes_found FROM nodes GROUP BY graph_id), e AS (SELECT graph_id, count(*) AS n FROM bonds GROUP BY graph_id) SELECT graph_id, nodes_declared, coalesce(n, 0) AS edges_declared, nodes_found, coalesce(n, 0) AS edges_found FROM d LEFT JOIN e USING (graph_id) WHERE nodes_declared <> nodes_found")
@@ -490,15 +499,15 @@ def exp05(spark, sf_dir):
     return parts
 
 
-@query("exp11_states_of_a_clause", f"WITH {machine.AUTOMATA_SQL} SELECT j, k, l, m, n, state, CAST(state > {machine.INCLUDE} AS INTEGER) AS action FROM ta WHERE clause = 3")
+@query("exp11_states_of_a_clause", f"WITH {machine.TABLE_AUTOMATA_SQL} SELECT j, k, l, m, n, state, CAST(state > {machine.INCLUDE} AS INTEGER) AS action FROM ta WHERE clause = 3")
 def exp11(spark, sf_dir):
-    return machine.automata(spark).where("clause = 3").select("j", "k", "l", "m", "n", "state", (F.col("state") > machine.INCLUDE).cast("int").alias("action"))
+    return machine.table_automata(spark, sf_dir).where("clause = 3").select("j", "k", "l", "m", "n", "state", (F.col("state") > machine.INCLUDE).cast("int").alias("action"))
 
 
-@query("enc15_pack_rows", f"{BASE}, {machine.CODES_SQL} SELECT kind, code, CAST(bit // 32 AS INTEGER) AS word, CAST(sum(CAST(v AS BIGINT) << (bit % 32)) AS BIGINT) AS bits FROM codes GROUP BY kind, code, bit // 32")
+@query("enc15_pack_rows", "WITH b AS (SELECT vec_id, unnest(range(64)) AS bit, unnest(list_transform(embedding, lambda v: CAST(v > 0 AS BIGINT))) AS v FROM embeddings) SELECT vec_id, CAST(bit // 32 AS INTEGER) AS word, CAST(sum(v << (bit % 32)) AS BIGINT) AS bits FROM b GROUP BY vec_id, bit // 32")
 def enc15(spark, sf_dir):
-    rows = machine.book(spark).select("kind", "code", F.posexplode("bits").alias("bit", "v"))
-    return encoding.packed(rows, ["kind", "code"], "bit", "v")
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.transform("embedding", lambda v: (v > 0).cast("int"))).alias("bit", "v"))
+    return encoding.packed(rows, ["vec_id"], "bit", "v")
 
 
 @query("enc18_complements", f"{BASE}, own AS (SELECT DISTINCT graph_id, node_id, {_place('atom_type', 'i', SEED)} AS place FROM nodes CROSS JOIN range({HOT}) t(i)) SELECT n.graph_id, n.node_id, CAST(count(DISTINCT o.place) AS BIGINT) AS plain, CAST({SIZE} - count(DISTINCT o.place) AS BIGINT) AS negated FROM nodes n LEFT JOIN own o ON o.graph_id = n.graph_id AND o.node_id = n.node_id GROUP BY n.graph_id, n.node_id")

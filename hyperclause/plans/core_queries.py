@@ -54,9 +54,11 @@ def enc03(spark, sf_dir):
     return encoding.majority(parts, ["p_brand"], "hv", F.col("lead"), DIM).selectExpr("p_brand", *HV)
 
 
-@query("enc04_codebook", f"WITH {machine.CODES_SQL} SELECT kind, code, CAST(sum(v) AS INTEGER) AS set_bits, {machine.WORDS_SQL} FROM codes GROUP BY kind, code")
+@query("enc04_codebook", f"{BASE}, {machine.CODES_SQL}, used AS (SELECT 'atom' AS kind, atom_type AS code, count(*) AS uses FROM nodes GROUP BY atom_type UNION ALL SELECT 'bond', bond_type, count(*) FROM bonds GROUP BY bond_type) SELECT kind, code, any_value(uses) AS uses, CAST(sum(v) AS INTEGER) AS set_bits, {machine.WORDS_SQL} FROM codes JOIN used USING (kind, code) GROUP BY kind, code")
 def enc04(spark, sf_dir):
-    return machine.book(spark).selectExpr("kind", "code", "aggregate(bits, 0, (a, b) -> a + b) AS set_bits", *WORDS)
+    """The codes of the atoms and bonds that the graphs have, and how often."""
+    used = [part(spark, sf_dir).groupBy(F.lit(kind).alias("kind"), F.col(f"{kind}_type").alias("code")).agg(F.count(F.lit(1)).alias("uses")) for kind, part in (("atom", derived.nodes), ("bond", derived.bonds))]
+    return machine.book(spark).join(used[0].unionByName(used[1]), ["kind", "code"]).selectExpr("kind", "code", "uses", "aggregate(bits, 0, (a, b) -> a + b) AS set_bits", *WORDS)
 
 
 @query(
@@ -135,20 +137,23 @@ def _hot(key: str, i: str) -> str:
     return f"({mix_sql(key, '0', SEED)} % 32 + {i} * (({mix_sql(key, '1', SEED)} % 16) * 2 + 1)) % 32"
 
 
-@query("enc19_symbol_codes", f"SELECT CAST(s AS BIGINT) AS symbol, CAST(i AS INTEGER) AS i, CAST({_hot('s', 'i')} AS INTEGER) AS place FROM range(50) a(s) CROSS JOIN range(3) b(i)")
+def _symbols(spark, sf_dir):
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("symbol")).distinct()
+
+
+@query("enc19_symbol_codes", f"SELECT CAST(s AS BIGINT) AS symbol, CAST(i AS INTEGER) AS i, CAST({_hot('s', 'i')} AS INTEGER) AS place FROM (SELECT DISTINCT p_partkey AS s FROM part) a CROSS JOIN range(3) b(i)")
 def enc19(spark, sf_dir):
-    codes = spark.range(50).withColumnRenamed("id", "symbol")
-    return codes.select("symbol", F.posexplode(bits.hot_bits(F.col("symbol"), 3, 32, SEED)).alias("i", "place"))
+    return _symbols(spark, sf_dir).select("symbol", F.posexplode(bits.hot_bits(F.col("symbol"), 3, 32, SEED)).alias("i", "place"))
 
 
-@query("enc19_one_hot_codes", "SELECT range AS symbol, CAST(range AS INTEGER) AS place FROM range(50)")
+@query("enc19_one_hot_codes", "SELECT DISTINCT p_partkey AS symbol, CAST(p_partkey AS INTEGER) AS place FROM part")
 def enc19_one_hot(spark, sf_dir):
-    return spark.range(50).withColumnRenamed("id", "symbol").select("symbol", F.explode(bits.one_hot_place(F.col("symbol"))).alias("place"))
+    return _symbols(spark, sf_dir).select("symbol", F.explode(bits.one_hot_place(F.col("symbol"))).alias("place"))
 
 
-@query("enc19_random_codes", f"WITH r AS (SELECT s AS symbol, CAST(p AS INTEGER) AS place, row_number() OVER (PARTITION BY s ORDER BY {mix_sql('s', 'p', SEED)}, p) AS r FROM range(50) a(s) CROSS JOIN range(32) b(p)) SELECT symbol, place FROM r WHERE r <= 3")
+@query("enc19_random_codes", f"WITH r AS (SELECT s AS symbol, CAST(p AS INTEGER) AS place, row_number() OVER (PARTITION BY s ORDER BY {mix_sql('s', 'p', SEED)}, p) AS r FROM (SELECT DISTINCT p_partkey AS s FROM part) a CROSS JOIN range(32) b(p)) SELECT symbol, place FROM r WHERE r <= 3")
 def enc19_random(spark, sf_dir):
-    return spark.range(50).withColumnRenamed("id", "symbol").select("symbol", F.explode(bits.random_places(F.col("symbol"), 3, 32, SEED)).alias("place"))
+    return _symbols(spark, sf_dir).select("symbol", F.explode(bits.random_places(F.col("symbol"), 3, 32, SEED)).alias("place"))
 
 
 _PROPERTIES = f"""places AS (SELECT DISTINCT graph_id, node_id, {_hot("atom_type", "i")} AS place FROM nodes CROSS JOIN range(3) t(i)),
@@ -201,14 +206,14 @@ def enc24(spark, sf_dir):
 FIRED = machine.fired_sql()
 
 
-@query("cl01_included", f"WITH {machine.AUTOMATA_SQL} SELECT clause, j, k, l, m, n, feature, state FROM ta WHERE state > {machine.INCLUDE}")
+@query("cl01_included", f"WITH {machine.TABLE_AUTOMATA_SQL} SELECT clause, j, k, l, m, n, feature, state FROM ta WHERE state > {machine.INCLUDE}")
 def cl01(spark, sf_dir):
-    return clauses.included(machine.automata(spark), machine.INCLUDE).select("clause", "j", "k", "l", "m", "n", "feature", "state")
+    return clauses.included(machine.table_automata(spark, sf_dir), machine.INCLUDE).select("clause", "j", "k", "l", "m", "n", "feature", "state")
 
 
-@query("cl02_leaves", f"WITH {machine.AUTOMATA_SQL}, {machine.LEAVES_SQL} SELECT clause, j, k, l, m, CAST(pos AS BIGINT) AS pos, CAST(neg AS BIGINT) AS neg FROM leaf")
+@query("cl02_leaves", f"WITH {machine.TABLE_AUTOMATA_SQL}, {machine.LEAVES_SQL} SELECT clause, j, k, l, m, CAST(pos AS BIGINT) AS pos, CAST(neg AS BIGINT) AS neg FROM leaf")
 def cl02(spark, sf_dir):
-    return clauses.leaves(machine.automata(spark), SPEC, machine.INCLUDE)
+    return clauses.leaves(machine.table_automata(spark, sf_dir), SPEC, machine.INCLUDE)
 
 
 @query("cl07_node_clauses", f"{FIRED} SELECT graph_id, node_id, clause, CAST(ways > 0 AS INTEGER) AS output FROM node_fired")
@@ -255,9 +260,9 @@ def cl12(spark, sf_dir):
     return clauses.weighted_sums(clauses.clause_outputs(machine.graph_fired(spark, sf_dir), SPEC), weights)
 
 
-@query("cl15_include_counts", f"WITH {machine.AUTOMATA_SQL} SELECT clause, count(*) FILTER (WHERE state > {machine.INCLUDE}) AS n FROM ta GROUP BY clause")
+@query("cl15_include_counts", f"WITH {machine.TABLE_AUTOMATA_SQL} SELECT clause, count(*) FILTER (WHERE state > {machine.INCLUDE}) AS n FROM ta GROUP BY clause")
 def cl15(spark, sf_dir):
-    return machine.automata(spark).groupBy("clause").agg(F.count_if(F.col("state") > machine.INCLUDE).alias("n"))
+    return machine.table_automata(spark, sf_dir).groupBy("clause").agg(F.count_if(F.col("state") > machine.INCLUDE).alias("n"))
 
 
 #: Flat rows: the signs of the first components of the embeddings.
@@ -297,13 +302,13 @@ def cl22_scores(spark, sf_dir):
 
 @query(
     "exp08_bit_planes",
-    f"WITH {machine.AUTOMATA_SQL} SELECT clause, j, k, l, m, n, CAST(p AS INTEGER) AS plane, CAST((state >> p) & 1 AS INTEGER) AS bit FROM ta CROSS JOIN range(8) t(p)",
+    f"WITH {machine.TABLE_AUTOMATA_SQL} SELECT clause, j, k, l, m, n, CAST(p AS INTEGER) AS plane, CAST((state >> p) & 1 AS INTEGER) AS bit FROM ta CROSS JOIN range(8) t(p)",
 )
 def exp08(spark, sf_dir):
-    return machine.automata(spark).select("clause", "j", "k", "l", "m", "n", F.posexplode(clauses.bit_planes(F.col("state"))).alias("plane", "bit"))
+    return machine.table_automata(spark, sf_dir).select("clause", "j", "k", "l", "m", "n", F.posexplode(clauses.bit_planes(F.col("state"))).alias("plane", "bit"))
 
 
-@query("exp08_planes_decoded", f"WITH {machine.AUTOMATA_SQL} SELECT clause, j, k, l, m, n, CAST(state AS BIGINT) AS state, CAST(state > {machine.INCLUDE} AS INTEGER) AS action FROM ta")
+@query("exp08_planes_decoded", f"WITH {machine.TABLE_AUTOMATA_SQL} SELECT clause, j, k, l, m, n, CAST(state AS BIGINT) AS state, CAST(state > {machine.INCLUDE} AS INTEGER) AS action FROM ta")
 def exp08_decoded(spark, sf_dir):
     state = clauses.from_planes(clauses.bit_planes(F.col("state")))
-    return machine.automata(spark).select("clause", "j", "k", "l", "m", "n", state.alias("state"), (state > machine.INCLUDE).cast("int").alias("action"))
+    return machine.table_automata(spark, sf_dir).select("clause", "j", "k", "l", "m", "n", state.alias("state"), (state > machine.INCLUDE).cast("int").alias("action"))

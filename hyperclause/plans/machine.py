@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import mix_sql
+from ..functions.hashing import mix, mix_sql
 from ..operators import clauses, encoding
 from . import derived
 
@@ -23,6 +23,13 @@ def automata(spark: SparkSession) -> DataFrame:
     return clauses.hashed_states(clauses.addresses(spark, SPEC), 1, 150, SEED)
 
 
+def table_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The automata of a machine with a clause for each supplier; states follow from its key and nation."""
+    rows = derived.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("clause"), F.col("s_nationkey").alias("nation"))
+    key = (((F.col("j") * 16 + F.col("k")) * 16 + F.col("l")) * 256 + F.col("m") * 16 + F.col("n")) + F.col("nation") * 65536
+    return clauses.addresses_of(rows, SPEC).withColumn("state", (1 + mix(F.col("clause"), key, SEED) % 150).cast("int")).drop("nation")
+
+
 def vectors(spark: SparkSession, sf_dir: str, hops: int = HOPS, read_bits: int | None = None) -> DataFrame:
     nodes, near = derived.nodes(spark, sf_dir), encoding.adjacency(derived.bonds(spark, sf_dir))
     return encoding.node_vectors(nodes, near, book(spark), hops, DIM, read_bits)
@@ -104,6 +111,16 @@ AUTOMATA_SQL = f"""
         SELECT *, CAST(j * {SPEC.inner_and * SPEC.leaf_and} + l * {SPEC.leaf_and} + n % {SPEC.leaf_and} AS INTEGER) AS feature,
                CAST(1 + {mix_sql("clause", _KEY, SEED)} % 150 AS INTEGER) AS state
         FROM places)"""
+#: The automata of `table_automata`, under the same name.
+TABLE_AUTOMATA_SQL = f"""
+    places AS (
+        SELECT CAST(s_suppkey AS INTEGER) AS clause, s_nationkey AS nation, CAST(j.range AS INTEGER) AS j, CAST(k.range AS INTEGER) AS k, CAST(l.range AS INTEGER) AS l,
+               CAST(m.range AS INTEGER) AS m, CAST(n.range AS INTEGER) AS n
+        FROM supplier, range({SPEC.root}) j, range({SPEC.inner_or}) k, range({SPEC.inner_and}) l, range({SPEC.leaf_or}) m, range({2 * SPEC.leaf_and}) n),
+    ta AS (
+        SELECT *, CAST(j * {SPEC.inner_and * SPEC.leaf_and} + l * {SPEC.leaf_and} + n % {SPEC.leaf_and} AS INTEGER) AS feature,
+               CAST(1 + {mix_sql("clause", f"{_KEY} + nation * 65536", SEED)} % 150 AS INTEGER) AS state
+        FROM places)"""
 LEAVES_SQL = f"""
     leaf AS (
         SELECT clause, j, k, l, m,

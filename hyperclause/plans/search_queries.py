@@ -234,26 +234,37 @@ def rc13(spark, sf_dir):
     return recourse.reports(steps, before, after)
 
 
-_EDITS = [("remove_bond", 0, 1, None), ("remove_bond", 1, 1, None), ("add_bond", 0, 2, 1), ("add_bond", 0, 2, None), ("swap_atom", 3, None, 2), ("swap_atom", 3, 1, 2), ("swap_bond_order", 0, 1, 3), ("rename", 0, 1, 2)]
+#: Edits that lines name: an op, two atoms and a value, some of which are missing or of no use.
+_EDITS_SQL = """e AS (
+        SELECT l_orderkey, l_linenumber, ['remove_bond', 'add_bond', 'swap_atom', 'swap_bond_order', 'rename'][1 + l_partkey % 5] AS op, CAST(l_suppkey % 4 - 1 AS INTEGER) AS i,
+               CASE WHEN l_partkey % 3 > 0 THEN CAST(l_partkey % 7 - 1 AS INTEGER) END AS j, CASE WHEN l_linenumber % 3 > 0 THEN l_linenumber END AS new_value FROM lineitem)"""
 
 
-@query("rc01_valid_edits", "SELECT * FROM (VALUES (0, true), (1, false), (2, true), (3, false), (4, true), (5, false), (6, true), (7, false)) t(id, ok)")
+@query("rc01_valid_edits", f"""WITH {_EDITS_SQL} SELECT l_orderkey, l_linenumber, op, coalesce(i >= 0 AND (j IS NULL OR j >= 0) AND CASE op
+    WHEN 'remove_bond' THEN j IS NOT NULL AND i <> j WHEN 'add_bond' THEN j IS NOT NULL AND i <> j AND new_value IS NOT NULL WHEN 'swap_bond_order' THEN j IS NOT NULL AND i <> j AND new_value IS NOT NULL
+    WHEN 'swap_atom' THEN j IS NULL AND new_value IS NOT NULL ELSE false END, false) AS ok FROM e""")
 def rc01(spark, sf_dir):
-    edits = spark.createDataFrame([(k, *e) for k, e in enumerate(_EDITS)], "id int, op string, i int, j int, new_value int")
-    return edits.select("id", recourse.valid_edit(F.col("op"), F.col("i"), F.col("j"), F.col("new_value")).alias("ok"))
+    op = F.element_at(F.array(*map(F.lit, ("remove_bond", "add_bond", "swap_atom", "swap_bond_order", "rename"))), (F.col("l_partkey") % 5 + 1).cast("int"))
+    j, value = F.when(F.col("l_partkey") % 3 > 0, (F.col("l_partkey") % 7 - 1).cast("int")), F.when(F.col("l_linenumber") % 3 > 0, F.col("l_linenumber"))
+    edits = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", op.alias("op"), (F.col("l_suppkey") % 4 - 1).cast("int").alias("i"), j.alias("j"), value.alias("new_value"))
+    return edits.select("l_orderkey", "l_linenumber", "op", recourse.valid_edit(F.col("op"), F.col("i"), F.col("j"), F.col("new_value")).alias("ok"))
 
 
 # Training
 
 
-@query("tr01_balanced_start", f"WITH {machine.AUTOMATA_SQL} SELECT clause, j, k, l, m, n, CASE WHEN ({mix_sql('clause', f'((j * 16 + k) * 16 + l) * 256 + m * 16 + n % {SPEC.leaf_and}', 9)} // 8) % 2 = CAST(n < {SPEC.leaf_and} AS INTEGER) THEN {SPEC.states + 1} ELSE {SPEC.states} END AS state FROM ta")
+def _supplier_addresses(spark, sf_dir):
+    return clauses.addresses_of(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("clause")), SPEC)
+
+
+@query("tr01_balanced_start", f"WITH {machine.TABLE_AUTOMATA_SQL} SELECT clause, j, k, l, m, n, CASE WHEN ({mix_sql('clause', f'((j * 16 + k) * 16 + l) * 256 + m * 16 + n % {SPEC.leaf_and}', 9)} // 8) % 2 = CAST(n < {SPEC.leaf_and} AS INTEGER) THEN {SPEC.states + 1} ELSE {SPEC.states} END AS state FROM ta")
 def tr01(spark, sf_dir):
-    return clauses.balanced_states(clauses.addresses(spark, SPEC), SPEC, 9).select("clause", "j", "k", "l", "m", "n", "state")
+    return clauses.balanced_states(_supplier_addresses(spark, sf_dir), SPEC, 9).select("clause", "j", "k", "l", "m", "n", "state")
 
 
-@query("tr02_central_start", f"WITH {machine.AUTOMATA_SQL} SELECT clause, count(*) AS n, CAST(sum({SPEC.states}) AS BIGINT) AS total FROM ta GROUP BY clause")
+@query("tr02_central_start", f"WITH {machine.TABLE_AUTOMATA_SQL} SELECT clause, j, k, l, m, n, {SPEC.states} AS state FROM ta")
 def tr02(spark, sf_dir):
-    return clauses.central_states(clauses.addresses(spark, SPEC), SPEC).groupBy("clause").agg(F.count(F.lit(1)).alias("n"), F.sum("state").alias("total"))
+    return clauses.central_states(_supplier_addresses(spark, sf_dir), SPEC).select("clause", "j", "k", "l", "m", "n", "state")
 
 
 @query("tr03_feedback_probability", f"{FIRED} SELECT graph_id, round(greatest(0.0, least(1.0, ({SPEC.threshold} + (1 - 2 * y) * class_sum) / (2.0 * {SPEC.threshold}))), 9) AS p FROM summed JOIN graphs USING (graph_id)")
@@ -435,20 +446,24 @@ def _coin_sql(i: str) -> str:
     return f"(({mix_sql('id', i, SEED)} // 8) % 2)"
 
 
-@query("src13_noisy_xor", f"WITH r AS (SELECT range AS id FROM range(2000)), c AS (SELECT id, CAST({_coin_sql('0')} AS INTEGER) AS x1, CAST({_coin_sql('1')} AS INTEGER) AS x2, {mix_sql('id', '2', SEED)} < {int(0.2 * 2147483647)} AS noise FROM r) SELECT id, x1, x2, CASE WHEN noise THEN CAST(x1 = x2 AS INTEGER) ELSE CAST(x1 <> x2 AS INTEGER) END AS y FROM c")
+def _events(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id")
+
+
+@query("src13_noisy_xor", f"WITH r AS (SELECT event_id AS id FROM events), c AS (SELECT id, CAST({_coin_sql('0')} AS INTEGER) AS x1, CAST({_coin_sql('1')} AS INTEGER) AS x2, {mix_sql('id', '2', SEED)} < {int(0.2 * 2147483647)} AS noise FROM r) SELECT id, x1, x2, CASE WHEN noise THEN CAST(x1 = x2 AS INTEGER) ELSE CAST(x1 <> x2 AS INTEGER) END AS y FROM c")
 def src13_xor(spark, sf_dir):
-    return readers.noisy_xor(spark, 2000, 0.2, SEED)
+    return readers.noisy_xor(spark, _events(spark, sf_dir), 0.2, SEED)
 
 
-@query("src13_noisy_parity", f"WITH b AS (SELECT id, CAST(i AS INTEGER) AS i, {_coin_sql('i')} AS v FROM (SELECT range AS id FROM range(2000)) CROSS JOIN range(12) t(i)), p AS (SELECT id, sum(CASE WHEN i % 3 < 2 THEN v ELSE 0 END) % 2 AS clean, CAST(sum(v) AS BIGINT) AS ones, {mix_sql('id', '12', SEED)} < {int(0.2 * 2147483647)} AS noise FROM b GROUP BY id) SELECT id, ones, CAST(CASE WHEN noise THEN 1 - clean ELSE clean END AS INTEGER) AS y FROM p")
+@query("src13_noisy_parity", f"WITH b AS (SELECT id, CAST(i AS INTEGER) AS i, {_coin_sql('i')} AS v FROM (SELECT event_id AS id FROM events) CROSS JOIN range(12) t(i)), p AS (SELECT id, sum(CASE WHEN i % 3 < 2 THEN v ELSE 0 END) % 2 AS clean, CAST(sum(v) AS BIGINT) AS ones, {mix_sql('id', '12', SEED)} < {int(0.2 * 2147483647)} AS noise FROM b GROUP BY id) SELECT id, ones, CAST(CASE WHEN noise THEN 1 - clean ELSE clean END AS INTEGER) AS y FROM p")
 def src13_parity(spark, sf_dir):
-    rows = readers.noisy_parity(spark, 2000, 12, 4, 0.2, SEED)
+    rows = readers.noisy_parity(spark, _events(spark, sf_dir), 12, 4, 0.2, SEED)
     return rows.select("id", F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v).alias("ones"), "y")
 
 
-@query("src13_addition", f"WITH p AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS k FROM range(6) x(a) CROSS JOIN range(6) y(b) WHERE NOT (a = 3 AND b = 1)), r AS (SELECT range AS id FROM range(2000)) SELECT id, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST(a + b AS INTEGER) AS y FROM r JOIN p ON k = {mix_sql('id', '0', SEED)} % 35")
+@query("src13_addition", f"WITH p AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS k FROM range(6) x(a) CROSS JOIN range(6) y(b) WHERE NOT (a = 3 AND b = 1)), r AS (SELECT event_id AS id FROM events) SELECT id, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST(a + b AS INTEGER) AS y FROM r JOIN p ON k = {mix_sql('id', '0', SEED)} % 35")
 def src13_addition(spark, sf_dir):
-    return readers.addition(spark, 2000, 6, SEED, (3, 1)).select("id", "a", "b", "y")
+    return readers.addition(spark, _events(spark, sf_dir), 6, SEED, (3, 1)).select("id", "a", "b", "y")
 
 
 @query("snk07_node_text", f"{BASE}, {machine.ADJACENCY_SQL}, e AS (SELECT graph_id, src AS node_id, string_agg(CAST(dst AS VARCHAR) || ':' || CAST(bond_type AS VARCHAR), ' ' ORDER BY dst, bond_type) AS near FROM adjacent GROUP BY graph_id, src), l AS (SELECT n.graph_id, n.node_id, rtrim(CAST(n.node_id AS VARCHAR) || '(' || CAST(atom_type AS VARCHAR) || ') ' || coalesce(near, '')) AS line FROM nodes n LEFT JOIN e ON e.graph_id = n.graph_id AND e.node_id = n.node_id) SELECT graph_id, string_agg(line, chr(10) ORDER BY node_id) AS text FROM l GROUP BY graph_id")

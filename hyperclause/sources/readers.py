@@ -113,28 +113,33 @@ def molecule_graphs(df: DataFrame, id_: str = "id", smiles: str = "smiles") -> t
 # Generators: every value follows from the row's number, so any partitioning gives the same table.
 
 
-def noisy_parity(spark: SparkSession, rows: int, bits: int, groups: int, noise: float, seed: int) -> DataFrame:
+def _ids(spark: SparkSession, rows: int | DataFrame) -> DataFrame:
+    """So many numbers from 0, or the ids (a column of non-negative longs below 2^32) of a table's rows."""
+    return spark.range(rows) if isinstance(rows, int) else rows.select(F.col(rows.columns[0]).cast("long").alias("id"))
+
+
+def noisy_parity(spark: SparkSession, rows: int | DataFrame, bits: int, groups: int, noise: float, seed: int) -> DataFrame:
     """id, x and y: the parity of the first two bits of each group of bits, flipped for a share of the rows."""
     width = bits // groups
     x = F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: (F.floor(mix(F.col("id"), i, seed) / 8) % 2).cast("int"))
-    out = spark.range(rows).withColumn("x", x)
+    out = _ids(spark, rows).withColumn("x", x)
     clean = F.aggregate(F.filter("x", lambda v, i: i % width < 2), F.lit(0), lambda a, v: (a + v) % 2)
     return out.withColumn("y", F.when(mix(F.col("id"), F.lit(bits), seed) < int(noise * 2147483647), 1 - clean).otherwise(clean))
 
 
-def noisy_xor(spark: SparkSession, rows: int, noise: float, seed: int) -> DataFrame:
+def noisy_xor(spark: SparkSession, rows: int | DataFrame, noise: float, seed: int) -> DataFrame:
     """id, x1, x2, y: whether two coins differ, flipped for a share of the rows."""
     coin = lambda k: (F.floor(mix(F.col("id"), F.lit(k), seed) / 8) % 2).cast("int")
-    out = spark.range(rows).withColumn("x1", coin(0)).withColumn("x2", coin(1))
+    out = _ids(spark, rows).withColumn("x1", coin(0)).withColumn("x2", coin(1))
     clean = (F.col("x1") != F.col("x2")).cast("int")
     return out.withColumn("y", F.when(mix(F.col("id"), F.lit(2), seed) < int(noise * 2147483647), 1 - clean).otherwise(clean))
 
 
-def addition(spark: SparkSession, rows: int, digits: int, seed: int, holdout: tuple[int, int] | None = None) -> DataFrame:
+def addition(spark: SparkSession, rows: int | DataFrame, digits: int, seed: int, holdout: tuple[int, int] | None = None) -> DataFrame:
     """id, a, b, x (both digits one-hot) and y, their sum; the held-out pair never comes up."""
     pairs = [(a, b) for a in range(digits) for b in range(digits) if (a, b) != holdout]
     got = F.element_at(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs]), (mix(F.col("id"), F.lit(0), seed) % len(pairs) + 1).cast("int"))
-    out = spark.range(rows).withColumn("p", got).select("id", "p.a", "p.b")
+    out = _ids(spark, rows).withColumn("p", got).select("id", "p.a", "p.b")
     hot = lambda c: F.transform(F.sequence(F.lit(0), F.lit(digits - 1)), lambda i: (F.col(c) == i).cast("int"))
     return out.withColumn("x", F.concat(hot("a"), hot("b"))).withColumn("y", F.col("a") + F.col("b"))
 

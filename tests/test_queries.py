@@ -31,7 +31,8 @@ def duck():
 
 
 #: One query of each group; the driver compares all.
-CHOSEN = ["enc04_codebook", "enc11_edge_vectors", "enc14_node_vectors", "cl07_node_clauses_offset", "cl11_predict", "cl19_two_layers", "cl22_flat_multiplicity", "exp03_firing_clauses", "agg04_alert_coverage", "agg07_auroc", "sp02_group_split", "sp04_stratified_holdout", "rc05_candidates", "rc06_tried_edits", "src03_tolerant_table", "src13_noisy_parity"]
+CHOSEN = ["enc04_codebook", "enc11_edge_vectors", "enc14_node_vectors", "cl07_node_clauses_offset", "cl11_predict", "cl19_two_layers", "cl22_flat_multiplicity", "exp03_firing_clauses", "agg04_alert_coverage", "agg07_auroc", "sp02_group_split", "sp04_stratified_holdout", "rc05_candidates", "rc06_tried_edits", "src03_tolerant_table", "src13_noisy_parity",
+          "tr11_fit", "tr12_multiclass_fit", "tr09_graph_feedback", "tr14_flat_fit", "tr16_incremental_fit", "jn04_substructures", "sp01_ring_scaffolds", "cl07_indexed_clauses", "agg08_auroc_pairs", "agg11_percentiles", "win_prefix_offsets", "flt07_graph_subset"]
 
 
 @pytest.mark.parametrize("name", CHOSEN)
