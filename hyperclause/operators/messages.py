@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits
+from .prefix import prefix_sums, whole_ranges
 
 
 def masks(includes: DataFrame, size: int) -> DataFrame:
@@ -146,12 +147,7 @@ def subset(graphs: DataFrame, ids: DataFrame) -> DataFrame:
 def offsets(nodes: DataFrame) -> DataFrame:
     """graph_id, n, first: where each graph's nodes start if graphs lie one after another by id."""
     counts = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
-    # In ranges of ids, so that no task orders all graphs: ranges are counted first.
-    ranged = counts.withColumn("__r", F.floor(F.col("graph_id") / 4096))
-    before = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("__r").agg(F.sum("n").alias("__n")).select("__r", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    own = Window.partitionBy("__r").orderBy("graph_id").rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.withColumn("__own", F.coalesce(F.sum("n").over(own), F.lit(0))).join(starts, "__r").select("graph_id", "n", (F.col("__start") + F.col("__own")).alias("first"))
+    return prefix_sums(counts, [], "graph_id", "n", whole_ranges(F.col("graph_id")), "first")
 
 
 def truncated(nodes: DataFrame, adjacent: DataFrame, most_nodes: int, most_edges: int | None = None) -> tuple[DataFrame, DataFrame]:

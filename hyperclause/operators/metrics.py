@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import mix
+from .prefix import prefix_sums, ranges
 
 
 def accuracy(df: DataFrame, y: str, pred: str) -> DataFrame:
@@ -15,31 +16,16 @@ def accuracy(df: DataFrame, y: str, pred: str) -> DataFrame:
     return df.agg(F.coalesce(F.avg((F.col(y) == F.col(pred)).cast("int")), F.lit(float("nan"))).alias("accuracy"))
 
 
-#: A running count goes through about so many ranges of the ordering value, each a task's share.
-RANGES = 64
-
-
 def _counted_below(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """counts with below: the sum of n over the lesser values of the same keys. counts: keys, value, n, a row for each value.
-
-    Values are cut into ranges at quantiles (a few numbers, on the driver), so that no task orders all of them: a range is
-    summed by itself and starts after the sums of the ranges below it."""
-    number = counts.withColumn("__v", F.col(value).cast("double"))
-    bounds = sorted(set(number.approxQuantile("__v", [i / RANGES for i in range(1, RANGES)], 0.005)))
-    own = number.withColumn("__r", F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<double>"), lambda b: b < F.col("__v"))))
-    sums = own.groupBy(*keys, "__r").agg(F.sum("n").alias("__n"))
-    before = Window.partitionBy(*keys).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*keys, "__r", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))  # RANGES rows a key
-    within = Window.partitionBy(*keys, "__r").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    placed = own.withColumn("__own", F.coalesce(F.sum("n").over(within), F.lit(0))).join(starts, [*keys, "__r"])
-    return placed.withColumn("below", F.col("__start") + F.col("__own")).drop("__v", "__r", "__own", "__start")
+    """counts with below: the sum of n over the lesser values of the same keys. counts: keys, value, n, a row for each value."""
+    return prefix_sums(counts, keys, value, "n", ranges(F.col(value)), "below")
 
 
 def rank_sums(df: DataFrame, keys: list[str], y: str, score: str) -> DataFrame:
     """keys, positives, negatives and rank_sum: twice the sum of the positives' ranks by score, ties at their average.
 
-    Scores are counted first, so equal ones cost one row and the ordered pass runs over distinct scores, in ranges: a running
-    count of what lies below is all that is needed, and it is an integer."""
+    Scores are counted first, so equal ones cost one row and the ordered pass runs over distinct scores, in ranges of their size: a
+    running count of what lies below is all that is needed, and it is an integer."""
     counts = df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(y) == 1).alias("p"))
     twice = F.col("p") * (2 * F.col("below") + F.col("n") + 1)
     return _counted_below(counts, keys, score).groupBy(*keys).agg(F.sum("p").alias("positives"), F.sum(F.col("n") - F.col("p")).alias("negatives"), F.sum(twice).alias("rank_sum"))
