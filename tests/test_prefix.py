@@ -27,7 +27,7 @@ def test_equals_a_sorted_pass(spark, kind):
     rows = [(key, v, r.randrange(1, 9)) for key in ("a", None, "b") for v in set(values)]
     df = spark.createDataFrame(rows, f"k string, v {kind}, n long").repartition(4)
     found = prefix_sums(df, ["k"], "v", "n", (ranges if kind == "double" else whole_ranges)(F.col("v")), "below")
-    assert sorted(((x.k, x.v, x.below) for x in found.collect()), key=repr) == plain(rows)
+    assert repr(sorted(((x.k, x.v, x.below) for x in found.collect()), key=repr)) == repr(plain(rows))
 
 
 def test_without_keys_and_without_rows(spark):
