@@ -150,17 +150,18 @@ def with_model(nodes: DataFrame, model: DataFrame) -> DataFrame:
     return nodes.join(F.broadcast(model.limit(1)), F.lit(True))
 
 
-def fired_words(nodes: DataFrame, model: DataFrame, spec: Spec, negation: str = "complement") -> DataFrame:
-    """graph_id, node_id, fired: the clauses that hold at each node, 32 in a word. nodes: graph_id, node_id, hv."""
+def fired_words(nodes: DataFrame, model: DataFrame, spec: Spec, negation: str = "complement", keep: tuple[str, ...] = ("graph_id", "node_id")) -> DataFrame:
+    """graph_id, node_id, fired: the clauses that hold at each node, 32 in a word. nodes: graph_id, node_id, hv. keep: other columns
+    than graph_id and node_id."""
     x, nx = literal_inputs(F.col("hv"), spec, negation)
-    rows = with_model(nodes.select("graph_id", "node_id", x.alias("x"), nx.alias("nx")), model)
+    rows = with_model(nodes.select(*keep, x.alias("x"), nx.alias("nx")), model)
     word = lambda w: F.aggregate(
         F.sequence(F.lit(0), F.lit(bits.WORD - 1)),
         F.lit(0).cast("long"),
         lambda acc, i: acc + F.when(fires(F.get("clauses", w * bits.WORD + i), F.col("x"), F.col("nx")), bits.power(i)).otherwise(F.lit(0)),
     )
     words = F.transform(F.sequence(F.lit(0), F.lit((spec.clauses - 1) // bits.WORD)), word)
-    return rows.select("graph_id", "node_id", words.alias("fired"))
+    return rows.select(*keep, words.alias("fired"))
 
 
 def graph_clauses(fired: DataFrame) -> DataFrame:

@@ -96,6 +96,12 @@ def _near(nodes: DataFrame, adjacent: DataFrame, book: DataFrame, k: int) -> Dat
     edges = adjacent.groupBy("graph_id").agg(F.collect_list(F.struct("src", "dst", "bond_type", "edge_id")).cast(f"array<{edge}>").alias("__edges"))
     rows = own.join(edges, "graph_id", "left").withColumn("__edges", F.coalesce("__edges", F.array().cast(f"array<{edge}>")))
     rows = rows.withColumn("__atoms", F.map_from_entries("__nodes")).withColumn("root", F.explode_outer(F.transform("__nodes", lambda n: n["node_id"])))
+    return walked(rows, book, k, ["graph_id"])
+
+
+def walked(rows: DataFrame, book: DataFrame, k: int, keep: list[str]) -> DataFrame:
+    """keep, root, node_id, hop, chain and atom_type: the nodes within k hops of each row's root. rows: keep, root, __atoms (a map of
+    the atoms) and __edges (src, dst, bond_type, edge_id, both ways)."""
     # The bonds on the way to a node are a byte each, so that nodes that are met again cost no vector.
     if k > 7:
         raise ValueError("k is 7 at most")
@@ -116,11 +122,11 @@ def _near(nodes: DataFrame, adjacent: DataFrame, book: DataFrame, k: int) -> Dat
         if hop < k:
             rows = rows.withColumn("__last", F.array_sort(F.transform("__met", lambda m: F.struct(m["key"].alias("key"), m["node_id"].alias("node_id"), m["way"].alias("way")))))
     # Outer: it is never empty, and the filter that explode adds would compute all of it once more.
-    rows = rows.select("graph_id", "root", "__atoms", F.explode_outer("__found").alias("f")).join(_code_map(book, "bond", "__bonds"), F.lit(True))
+    rows = rows.select(*keep, "root", "__atoms", F.explode_outer("__found").alias("f")).join(_code_map(book, "bond", "__bonds"), F.lit(True))
     bond = [F.when(F.col("f.hop") > i, F.col("__bonds")[F.shiftright("f.way", 8 * i).bitwiseAND(F.lit(255)).cast("int")]).alias(f"__b{i}") for i in range(k)]
-    rows = rows.select("graph_id", "root", "f.node_id", "f.hop", F.col("__atoms")[F.col("f.node_id")].alias("atom_type"), *bond)
+    rows = rows.select(*keep, "root", "f.node_id", "f.hop", F.col("__atoms")[F.col("f.node_id")].alias("atom_type"), *bond)
     chain = F.array(*[_word(w, k) for w in range(_words(book))])
-    return rows.select("graph_id", "root", "node_id", "hop", chain.alias("chain"), "atom_type")
+    return rows.select(*keep, "root", "node_id", "hop", chain.alias("chain"), "atom_type")
 
 
 def _word(w: int, k: int) -> Column:
@@ -149,8 +155,9 @@ def _words(book: DataFrame) -> int:
 LANE = 21
 
 
-def majority(df: DataFrame, keys: list[str], words: str, first: Column, read_bits: int) -> DataFrame:
-    """hv: the majority of each bit over the vectors of a group; a tie takes the bit of the row for which `first` holds.
+def majority(df: DataFrame, keys: list[str], words: str, first: Column, read_bits: int, also: list[str] | None = None) -> DataFrame:
+    """hv: the majority of each bit over the vectors of a group; a tie takes the bit of the row for which `first` holds. also: columns
+    that are alike within a group, which are kept.
 
     Vectors are never exploded: three bits of a word share a sum, LANE bits apart. A bit wins if twice its count, and once
     more where the first row sets it, exceeds the number of rows, which must stay under 2^(LANE - 1)."""
@@ -163,24 +170,29 @@ def majority(df: DataFrame, keys: list[str], words: str, first: Column, read_bit
             for x in own[1:]:
                 total = total + x
             sums[w, j] = F.sum(total * weight).alias(f"s{w}_{j}")
-    grouped = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums.values())
+    grouped = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums.values(), *[F.first(c).alias(c) for c in also or []])
     n = F.when(F.col("n") < 1 << (LANE - 1), F.col("n")).otherwise(F.raise_error(F.lit("too many vectors in a group")))
 
     def wins(i: int) -> Column:
         w, place = divmod(i, bits.WORD)
         return F.shiftright(F.col(f"s{w}_{place % third}"), LANE * (place // third)).bitwiseAND(F.lit((1 << LANE) - 1)) > F.col("n")
 
-    return grouped.withColumn("n", n).select(*keys, bits.words_of([wins(i) for i in range(read_bits)]).alias("hv"))
+    return grouped.withColumn("n", n).select(*keys, *(also or []), bits.words_of([wins(i) for i in range(read_bits)]).alias("hv"))
 
 
 def node_vectors(nodes: DataFrame, adjacent: DataFrame, book: DataFrame, k: int, dim: int, read_bits: int | None = None) -> DataFrame:
     """graph_id, node_id, hv (words; dim is a multiple of 32): the majority of the node's own code and, for each node within k hops, its code bound to
     the bonds on the way and shifted by the hop. Nothing but the first read_bits bits is computed."""
-    near = _near(nodes, adjacent, book, k).join(_code_map(book, "atom", "__codes"), F.lit(True))
+    return bundled(_near(nodes, adjacent, book, k), book, ["graph_id"], read_bits or dim)
+
+
+def bundled(near: DataFrame, book: DataFrame, keys: list[str], read_bits: int, also: list[str] | None = None) -> DataFrame:
+    """keys, node_id, also and hv of the roots of neighbourhoods as `walked` gives them."""
+    near = near.join(_code_map(book, "atom", "__codes"), F.lit(True))
     bound = bits.bind(F.col("__codes")[F.col("atom_type")], F.col("chain"))
-    rows = near.select("graph_id", F.col("root").alias("node_id"), "hop", bound.alias("bound"))
-    rows = rows.select("graph_id", "node_id", "hop", bits.permute_words(F.col("bound"), F.col("hop")).alias("hv"))
-    return majority(rows, ["graph_id", "node_id"], "hv", F.col("hop") == 0, read_bits or dim)
+    rows = near.select(*keys, *(also or []), F.col("root").alias("node_id"), "hop", bound.alias("bound"))
+    rows = rows.select(*keys, *(also or []), "node_id", "hop", bits.permute_words(F.col("bound"), F.col("hop")).alias("hv"))
+    return majority(rows, [*keys, "node_id"], "hv", F.col("hop") == 0, read_bits, also)
 
 
 def nearest_code(df: DataFrame, words: str, book: DataFrame, kind: str, dim: int) -> DataFrame:

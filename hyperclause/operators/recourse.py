@@ -2,8 +2,9 @@
 
 Edits are columns: op (remove_bond, add_bond, swap_atom, swap_bond_order), i, j and new_value. Candidates come from the
 nodes at which clauses fire, in the order of clauses, nodes and bonds. The search tries the remaining candidates of all
-graphs at once in each of a few rounds: every candidate gives a variant of its graph, all variants are encoded and scored
-together, and each graph commits its best.
+graphs at once in each of a few rounds: every candidate gives a variant of its graph, all variants are scored together, and
+each graph commits its best. `trials` encodes variants as a whole and takes any score; `near_trials` encodes only the nodes
+that see the edit.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import bits
+from . import clauses, encoding
+
 EDIT = ["op", "i", "j", "new_value"]
 
 
@@ -112,6 +116,84 @@ def trials(nodes: DataFrame, bonds: DataFrame, edits: DataFrame, score: Score, m
     return edits.withColumn("variant", F.col("graph_id") * (most + 1) + F.col("ordinal")).join(scored.withColumnRenamed("graph_id", "variant"), "variant").drop("variant")
 
 
+def near_trials(nodes: DataFrame, bonds: DataFrame, edits: DataFrame, fired: DataFrame, book: DataFrame, k: int, model: DataFrame, spec: clauses.Spec, negation: str = "complement") -> DataFrame:
+    """What `trials` gives for a clause machine over k hops, from what holds at the nodes now (fired: graph_id, node_id, fired).
+
+    An edit changes nothing but the vectors of nodes that see it: those within k hops of a swapped atom, or within k - 1 of an end of
+    a bond. Only these are encoded and evaluated anew, in the row of their graph and edit; other nodes keep what holds there. A graph
+    is gathered once, and all that follows stays where it is."""
+    lists = nodes.groupBy("graph_id").agg(F.collect_list(F.struct("node_id", "atom_type")).alias("__nodes"))
+    pair = "array<struct<u:int,v:int,bond_type:int>>"
+    held = bonds.where("u <> v").groupBy("graph_id").agg(F.collect_list(F.struct("u", "v", "bond_type")).cast(pair).alias("__bonds"))
+    now = fired.groupBy("graph_id").agg(F.collect_list(F.struct("node_id", "fired")).alias("__fired"))
+    rows = edits.join(lists, "graph_id").join(held, "graph_id", "left").join(now, "graph_id", "left").withColumn("__bonds", F.coalesce("__bonds", F.array().cast(pair)))
+    # Which nodes see the edit, by the bonds as they are.
+    swap = F.col("op") == "swap_atom"
+    reach = F.when(swap, F.array("i")).otherwise(F.array("i", "j"))
+    for hop in range(k):
+        rows = rows.withColumn("__reach", reach)
+        last = "__reach"
+        beyond = lambda a, b: F.transform(F.filter("__bonds", lambda e: F.array_contains(F.col(last), e[a])), lambda e: e[b])
+        reach = F.array_union(F.array_union(last, beyond("u", "v")), beyond("v", "u"))
+        if hop == k - 1:
+            reach = F.when(swap, reach).otherwise(F.col(last))
+    ids = F.transform("__nodes", lambda n: n["node_id"])
+    seen = F.array_intersect(reach, ids)
+    rows = rows.withColumn("__seen", F.when(F.size(seen) > 0, seen).otherwise(F.slice(ids, 1, 1)))
+    # The graph after the edit.
+    i, j, value = F.col("i"), F.col("j"), F.col("new_value").cast("int")
+    at = lambda b: (b["u"] == i) & (b["v"] == j)
+    bond = lambda u, v, t: F.struct(u.cast("int").alias("u"), v.cast("int").alias("v"), t.alias("bond_type"))
+    after = (
+        F.when(F.col("op") == "remove_bond", F.filter("__bonds", lambda b: ~at(b)))
+        .when(F.col("op") == "swap_bond_order", F.transform("__bonds", lambda b: F.when(at(b), bond(b["u"], b["v"], value)).otherwise(b)))
+        .when(F.col("op") == "add_bond", F.concat("__bonds", F.array(bond(F.least("i", "j"), F.greatest("i", "j"), value))))
+        .otherwise(F.col("__bonds"))
+    )
+    way = lambda b, src, dst, place: F.struct(b[src].alias("src"), b[dst].alias("dst"), b["bond_type"].alias("bond_type"), (place + 1).alias("edge_id"))
+    atoms = F.transform("__nodes", lambda n: F.struct(n["node_id"].alias("node_id"), F.when(swap & (n["node_id"] == i), value).otherwise(n["atom_type"]).alias("atom_type")))
+    rows = rows.withColumn("__sorted", F.array_sort(after)).withColumn("__atoms", F.map_from_entries(atoms))
+    rows = rows.withColumn("__edges", F.flatten(F.transform("__sorted", lambda b, p: F.array(way(b, "u", "v", p), way(b, "v", "u", p)))))
+    words = range((spec.clauses - 1) // bits.WORD + 1)
+    others = F.filter("__fired", lambda f: ~F.array_contains("__seen", f["node_id"]))
+    rows = rows.withColumn("__others", others)
+
+    def held_elsewhere(w: int) -> Column:
+        return F.aggregate("__others", F.lit(0).cast("long"), lambda acc, f: acc.bitwiseOR(f["fired"][w]))
+
+    kept = F.array(*[held_elsewhere(w) for w in words])
+    rows = rows.select("graph_id", "ordinal", F.struct(*EDIT).alias("__edit"), kept.alias("__kept"), "__atoms", "__edges", F.explode_outer("__seen").alias("root"))
+    also = ["__edit", "__kept"]
+    hv = encoding.bundled(encoding.walked(rows, book, k, ["graph_id", "ordinal", *also]), book, ["graph_id", "ordinal"], spec.features * (1 if negation == "complement" else 2), also)
+    found = clauses.fired_words(hv, model, spec, negation, keep=("graph_id", "ordinal", *also))
+    grouped = found.groupBy("graph_id", "ordinal").agg(*[F.first(c).alias(c) for c in also], *[F.bit_or(F.col("fired")[w]).alias(f"__w{w}") for w in words])
+    every = F.array(*[F.col(f"__w{w}").bitwiseOR(F.col("__kept")[w]) for w in words])
+    scored = grouped.select("graph_id", "ordinal", "__edit.*", every.alias("__every"))
+    return scored.select("graph_id", "ordinal", *EDIT, clauses.class_sum(F.col("__every"), spec).alias("class_sum"))
+
+
+class MachineScore:
+    """The score of a clause machine over k hops: of whole graphs, and of edits by what they change (`near_trials`)."""
+
+    def __init__(self, book: DataFrame, k: int, dim: int, model: DataFrame, spec: clauses.Spec, negation: str = "complement") -> None:
+        self.book, self.k, self.dim, self.model, self.spec, self.negation = book, k, dim, model, spec, negation
+
+    def fired(self, nodes: DataFrame, bonds: DataFrame) -> DataFrame:
+        """graph_id, node_id, fired: the clauses that hold at each node."""
+        read = self.spec.features * (1 if self.negation == "complement" else 2)
+        return clauses.fired_words(encoding.node_vectors(nodes, encoding.adjacency(bonds), self.book, self.k, self.dim, read), self.model, self.spec, self.negation)
+
+    def __call__(self, nodes: DataFrame, bonds: DataFrame) -> DataFrame:
+        own = clauses.graph_clauses(self.fired(nodes, bonds))
+        return own.select("graph_id", clauses.class_sum(F.col("fired"), self.spec).alias("class_sum"))
+
+    def trials(self, nodes: DataFrame, bonds: DataFrame, edits: DataFrame, fired: DataFrame | None = None) -> DataFrame:
+        """edits with class_sum. fired: what holds at the nodes, if it is known; else the graphs that have edits are encoded."""
+        if fired is None:
+            fired = self.fired(nodes.join(edits.select("graph_id").distinct(), "graph_id", "left_semi"), bonds)
+        return near_trials(nodes, bonds, edits, fired, self.book, self.k, self.model, self.spec, self.negation)
+
+
 def best_steps(tried: DataFrame, state: DataFrame) -> DataFrame:
     """graph_id, ordinal, edit, margin and flipped of each graph's best trial: one that changes the class before any that does
     not, then the least margin, then the first; only if it flips or lowers the margin. state: graph_id, target (the class to
@@ -128,13 +210,14 @@ def search(nodes: DataFrame, bonds: DataFrame, edits: DataFrame, state: DataFram
     """graph_id, step and edit of every committed edit of the graphs that flip within max_flips; graphs that don't have no row.
 
     All graphs take a round together; a graph stops when it flips or when no candidate helps. fixed: writes a small table
-    and reads it again, so that plans don't grow with the rounds. valid: the variants (graph_id) that may be committed."""
+    and reads it again, so that plans don't grow with the rounds. valid: the variants (graph_id) that may be committed. score: a
+    function of nodes and bonds, or a MachineScore."""
     if max_flips < 1:
         return edits.where(F.lit(False)).select("graph_id", F.lit(1).alias("step"), *EDIT)
     open_, committed = state, None
     for step in range(1, max_flips + 1):
         usable = applicable(edits.join(open_.select("graph_id"), "graph_id", "left_semi"), bonds)
-        tried = trials(nodes, bonds, usable, score, most)
+        tried = score.trials(nodes, bonds, usable) if isinstance(score, MachineScore) else trials(nodes, bonds, usable, score, most)
         if valid is not None:
             atoms, left = apply_edits(nodes, bonds, usable)
             good = valid(_numbered(atoms, most), _numbered(left, most)).select(F.col("graph_id").alias("variant"))

@@ -49,13 +49,13 @@ _CANDIDATES = f"""{_NODE_EDITS},
     candidate AS MATERIALIZED (SELECT * FROM (SELECT graph_id, op, i, j, CAST(new_value AS INTEGER) AS new_value, CAST(row_number() OVER (PARTITION BY graph_id ORDER BY clause, node_id, kind, place) AS INTEGER) AS ordinal FROM ordered WHERE r = 1) WHERE ordinal <= 50)"""
 
 
-def _firing(spark, sf_dir):
-    rows = machine.fired(spark, sf_dir).select("graph_id", "node_id", F.posexplode_outer(bits.unpack(F.col("fired"), SPEC.clauses)).alias("clause", "output"))
+def _firing(spark, sf_dir, fired=None):
+    rows = (machine.fired(spark, sf_dir) if fired is None else fired).select("graph_id", "node_id", F.posexplode_outer(bits.unpack(F.col("fired"), SPEC.clauses)).alias("clause", "output"))
     return rows.where("output = 1").select("graph_id", "clause", "node_id")
 
 
-def _candidates(spark, sf_dir):
-    found = recourse.candidates(_firing(spark, sf_dir), derived.nodes(spark, sf_dir), _near(spark, sf_dir), derived.ATOMS)
+def _candidates(spark, sf_dir, fired=None):
+    found = recourse.candidates(_firing(spark, sf_dir, fired), derived.nodes(spark, sf_dir), _near(spark, sf_dir), derived.ATOMS)
     return found.withColumn("new_value", F.col("new_value").cast("int"))
 
 
@@ -138,8 +138,12 @@ _TRIED = f"{FIRED}, {_CANDIDATES}, {_VARIANTS}, {_again(FIRED[_first:].replace(_
 
 @query("rc06_tried_edits", f"{_TRIED} SELECT c.graph_id, ordinal, op, i, j, new_value, class_sum FROM candidate c JOIN summed_v s ON s.graph_id = c.graph_id * 51 + ordinal")
 def rc06_tried(spark, sf_dir):
-    edits = _fixed(spark)(_candidates(spark, sf_dir))  # read three times
-    return recourse.trials(derived.nodes(spark, sf_dir), derived.bonds(spark, sf_dir), edits, _score(spark))
+    return _tried(spark, sf_dir, _fixed(spark)(machine.fired(spark, sf_dir)))
+
+
+def _tried(spark, sf_dir, fired):
+    edits = _fixed(spark)(_candidates(spark, sf_dir, fired))
+    return _score(spark).trials(derived.nodes(spark, sf_dir), derived.bonds(spark, sf_dir), edits, fired)
 
 
 _STEP = f"""{_TRIED}, t AS (
@@ -152,22 +156,16 @@ _STEP = f"""{_TRIED}, t AS (
 
 @query("rc06_first_step", f"{_STEP} SELECT * FROM step")
 def rc06_first(spark, sf_dir):
-    return recourse.best_steps(rc06_tried(spark, sf_dir), _state(spark, sf_dir))
+    fired = _fixed(spark)(machine.fired(spark, sf_dir))  # read for the candidates, the trials and the state
+    return recourse.best_steps(_tried(spark, sf_dir, fired), _state(spark, sf_dir, fired))
 
 
 def _score(spark):
-    book, model = machine.book(spark), clauses.model(machine.automata(spark), SPEC, INCLUDE)
-
-    def score(nodes, bonds):
-        hv = encoding.node_vectors(nodes, encoding.adjacency(bonds), book, 1, machine.DIM, SPEC.features)
-        fired = clauses.graph_clauses(clauses.fired_words(hv, model, SPEC))
-        return fired.select("graph_id", clauses.class_sum(F.col("fired"), SPEC).alias("class_sum"))
-
-    return score
+    return recourse.MachineScore(machine.book(spark), 1, machine.DIM, clauses.model(machine.automata(spark), SPEC, INCLUDE), SPEC)
 
 
-def _state(spark, sf_dir):
-    own = machine.predictions(spark, sf_dir)
+def _state(spark, sf_dir, fired=None):
+    own = machine.predictions(spark, sf_dir, fired)
     return own.select("graph_id", F.col("pred").alias("target"), F.abs("class_sum").alias("margin"))
 
 
