@@ -32,6 +32,8 @@ CHUNK = 1 << 20
 HEADER = 1 << 20
 #: Members are read back in blocks of about this many bytes of an archive.
 BLOCK = 8 << 20
+#: A task reads about so many bytes of archives where there are enough for all cores.
+TASK = 64 << 20
 #: Records of an archive that Spark writes, at most.
 RECORDS = 50_000
 END = "\r\n\r\n"
@@ -214,7 +216,11 @@ def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
     The length and digest are of the full payload: a revisit has them from its headers, other records are counted and hashed, and
     a digest that differs from the one recorded is an error."""
     entries = index(spark, folder).select("archive", "offset", "length")
+    size = entries.agg(F.sum("length")).first()[0] or 0
     blocks = entries.groupBy("archive", F.floor(F.col("offset") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("members"))
+    # By bytes of archives: the index itself is too small for Spark to deal it out by.
+    tasks = max(1, min(-(-size // BLOCK), max(-(-size // TASK), spark.sparkContext.defaultParallelism)))
+    blocks = blocks.repartition(tasks, "archive", "block")
     schema = "archive string, offset long, record_id string, record_type string, target string, payload_bytes long, payload_digest string, refers_to string, payload binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
