@@ -207,9 +207,10 @@ def scaffold(atoms: list, bonds: list) -> str:
     return f"{len(kept)}:{hashlib.sha256(repr(form).encode()).hexdigest()[:32]}"
 
 
-def molecules(df: DataFrame, id_: str, smiles: str) -> DataFrame:
-    """id, ok, atoms, bonds, near (for each atom those bound to it), note and scaffold of every row; text that can't be read or
-    breaks valences is not ok, and has none of these."""
+def molecules(df: DataFrame, id_: str, smiles: str, keep: list[str] | None = None) -> DataFrame:
+    """id, ok, atoms, bonds, near (for each atom those bound to it), note and scaffold of every row, and the columns `keep`; text that
+    can't be read or breaks valences is not ok, and has none of these."""
+    keep = keep or []
     names = [c.split()[0] for c in re.sub(r"<.*?>+", "", SCHEMA).split(", ")] + ["scaffold"]
     fields = [f.split(":")[0] for f in ATOM.split(", ")]
 
@@ -226,10 +227,11 @@ def molecules(df: DataFrame, id_: str, smiles: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([(key, *row(text)) for key, text in zip(pdf["id"], pdf["smiles"])], columns=names)
+            yield pd.DataFrame([(key, *row(text)) for key, text in zip(pdf["id"], pdf["smiles"])], columns=names).join(pdf[keep])
 
-    rows = df.select(F.col(id_).cast("long").alias("id"), F.col(smiles).cast("string").alias("smiles"))
-    return rows.mapInPandas(run, SCHEMA + ", scaffold string")
+    rows = df.select(F.col(id_).cast("long").alias("id"), F.col(smiles).cast("string").alias("smiles"), *keep)
+    more = "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInPandas(run, f"{SCHEMA}, scaffold string{more}")
 
 
 def properties(parsed: DataFrame) -> DataFrame:

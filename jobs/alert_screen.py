@@ -14,18 +14,22 @@ Output:
 * report/kind=label: the same, where part is a label as name=value and total is the number of documents with the alert.
 * checkpoint: what the stream has taken.
 
-The rules (name, pattern, tier) belong to the output: other rules want another folder. Documents with a null text have no hits. A
-document that comes again in another file counts once in `documents` of the reports, and again in `seen`. A null source is the
+* rules: the rules that the hits are of; a run with others is an error, as they want another folder.
+
+A rule is a name, a tier and a pattern: a regular expression for texts, or, with "structure": true, a substructure for texts that are
+molecules (SMILES; other texts hold none). Documents with a null text have no hits. A document that comes again in another file counts once in `documents` of the reports, and again in `seen`. A null source is the
 part `null`."""
 
 from __future__ import annotations
 
+import json
 import logging
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hyperclause.operators import explain
+from hyperclause.operators import chemistry, explain, patterns
 
 log = logging.getLogger("alert_screen")
 HITS = "doc_id long, source string, lang string, alert string, batch long, tier string"
@@ -37,14 +41,36 @@ LABELS = ["quality", "toxic"]
 def checked(rules: list[dict]) -> dict[str, dict]:
     """The rules by name; names must differ, and patterns must not be empty."""
     named = {r["name"]: r for r in rules}
-    if len(named) < len(rules) or not all(r["pattern"] and r["tier"] for r in rules):
-        raise ValueError("rules of one name, or without a pattern or a tier")
+    if not named or len(named) < len(rules) or not all(r["pattern"] and r["tier"] for r in rules):
+        raise ValueError("no rules, rules of one name, or without a pattern or a tier")
+    for r in rules:
+        if r.get("structure"):
+            patterns.condition(r["pattern"])  # a ValueError for what is no pattern
     return named
 
 
+def same_rules(spark: SparkSession, output: str, rules: dict[str, dict]) -> None:
+    """Keeps the rules beside the hits; ValueError if those there are others."""
+    text = json.dumps(rules, sort_keys=True)
+    try:
+        there = [r[0] for r in spark.read.text(f"{output}/rules").collect()]  # one line
+    except AnalysisException:  # no such folder yet
+        there = []
+    if there and there != [text]:
+        raise ValueError(f"{output} has hits of other rules")
+    if not there:
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{output}/rules")
+
+
 def screened(documents: DataFrame, rules: dict[str, dict]) -> DataFrame:
     """doc_id, source, lang, alert and tier of every alert found."""
-    found = explain.alerts_in(documents, "doc_id", "text", {n: r["pattern"] for n, r in rules.items()}, keep=["source", "lang"])
+    kept, found = ["source", "lang"], []
+    texts, structures = ({n: r["pattern"] for n, r in rules.items() if bool(r.get("structure")) == kind} for kind in (False, True))
+    if texts:
+        found.append(explain.alerts_in(documents, "doc_id", "text", texts, keep=kept))
+    if structures:
+        found.append(patterns.alerts(chemistry.molecules(documents, "doc_id", "text", keep=kept), structures, keep=kept))
+    found = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     tiers = F.create_map(*[F.lit(x) for n, r in rules.items() for x in (n, r["tier"])])
     return found.select(F.col("item").cast("long").alias("doc_id"), "source", "lang", "alert", tiers[F.col("alert")].alias("tier"))
 
@@ -66,6 +92,7 @@ def reports(hits: DataFrame, seen: DataFrame, labels: DataFrame) -> DataFrame:
 def run(spark: SparkSession, documents: str, labels: str, output: str, rules: list[dict], files_per_batch: int = 1000) -> dict[str, int]:
     """Takes what is new, and makes the reports anew; how many documents and hits this run has added, and rows of the reports."""
     named, counts = checked(rules), {"documents": 0, "hits": 0}
+    same_rules(spark, output, named)
     schema = spark.read.parquet(documents).schema
 
     def take(batch: DataFrame, n: int) -> None:

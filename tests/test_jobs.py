@@ -98,6 +98,22 @@ def test_screen_of_an_empty_table_and_one_file(spark, tmp_path):
         alert_screen.run(spark, documents, labels, f"{output}-3", [RULES[0], RULES[0]])
 
 
+def test_screen_of_molecules(spark, tmp_path):
+    """Structures in texts that are molecules, beside expressions in texts; and rules that change."""
+    documents, labels, output = (str(tmp_path / n) for n in ("documents.parquet", "labels.parquet", "out"))
+    put(spark, [(1, "Nc1ccccc1", "en", "x"), (2, "CC(=O)Nc1ccccc1", "en", "y"), (3, "no molecule", "en", "x"), (4, None, "en", "x")], DOCUMENTS, documents)
+    put(spark, [(1, 0, 1), (2, 1, 0)], LABELS, labels)
+    rules = [{"name": "amine", "pattern": "[NX3;H2]-a", "tier": "toxic", "structure": True}, {"name": "ring", "pattern": "a", "tier": "shape", "structure": True}, {"name": "no", "pattern": "no", "tier": "text"}]
+    alert_screen.run(spark, documents, labels, output, rules)
+    got = alert_screen.read(spark, output)
+    assert {(r.doc_id, r.alert, r.tier, r.part) for r in got.where("kind = 'hit'").collect()} == {(1, "amine", "toxic", "x"), (1, "ring", "shape", "x"), (2, "ring", "shape", "y"), (3, "no", "text", "x")}
+    assert {(r.alert, r.part, r.documents, r.total) for r in got.where("kind = 'label' and alert = 'ring'").collect()} == {("ring", p, 1, 2) for p in ("quality=0", "quality=1", "toxic=0", "toxic=1")}
+    alert_screen.run(spark, documents, labels, output, rules[::-1])  # the order of rules doesn't matter
+    for bad in (rules[:2], [{**rules[0], "pattern": "[NX3"}], []):
+        with pytest.raises(ValueError):
+            alert_screen.run(spark, documents, labels, output, bad)
+
+
 # Labelled sets
 
 
