@@ -7,11 +7,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.hashing import PRIME, draw_sql, mix_sql
-from ..operators import clauses, metrics, training
+from ..operators import clauses, encoding, metrics, teacher, training
+from . import derived, machine
+from .core_queries import BASE
 from .derived import read
 from .machine import SEED
 from .registry import query
-from .search_queries import TRAINED_ROWS
+from .search_queries import TRAINED_ROWS, _fixed
 
 #: A small machine, so that the replay takes seconds; few states, so that some saturate.
 SPEC = clauses.Spec(clauses=4, threshold=4, s=3.9, root=2, inner_or=2, inner_and=2, leaf_or=1, leaf_and=2, states=6, classes=3)
@@ -148,3 +150,51 @@ _FLAT_SQL = f"""WITH RECURSIVE {_INPUT}, {_seeds_sql(SEEDS)}, {_order_sql(1)},
 def tr14(spark, sf_dir):
     """Automata and weights of flat machines: each sample counts for its class, then against the other."""
     return training.flat_states(_rows(spark, sf_dir), CLAUSES, THRESHOLD, 3.9, STATES, MOST, SEEDS, 1)
+
+
+# The teacher
+
+#: A small network whose numbers SQL can hold; biases and eps are moved off zero.
+NETWORK = teacher.Shape(derived.ATOMS, derived.BONDS, hidden=3, layers=2)
+PARAMETERS = NETWORK.start(SEED) + 0.05
+
+
+def _blocks(spark, sf_dir, graphs):
+    return teacher.blocks(derived.nodes(spark, sf_dir), encoding.adjacency(derived.bonds(spark, sf_dir)), graphs, _fixed(spark))
+
+
+def _network_sql() -> str:
+    """h0, h1, h2: the vectors of the nodes after each layer; logit of each graph."""
+    number = lambda v: (t := repr(float(v))) + ("" if "e" in t else "e0")  # noqa: E731  a double, not a decimal
+    p, dims = NETWORK.split(PARAMETERS), range(NETWORK.hidden)
+    row = lambda values: "[" + ", ".join(map(number, values)) + "]"
+    out = ["h0 AS (SELECT graph_id, node_id, " + ", ".join(f"{row(p['atom'][:, d])}[atom_type + 1] AS x{d}" for d in dims) + " FROM nodes)"]
+    for k in range(NETWORK.layers):
+        sent = ", ".join(f"sum(x{d} + {row(p[f'bond{k}'][:, d])}[bond_type + 1]) AS m{d}" for d in dims)
+        out.append(f"s{k} AS (SELECT a.graph_id, a.dst AS node_id, {sent} FROM adjacent a JOIN h{k} h ON h.graph_id = a.graph_id AND h.node_id = a.src GROUP BY a.graph_id, a.dst)")
+        out.append(f"z{k} AS (SELECT graph_id, node_id, {', '.join(f'{number(1 + p[f"eps{k}"])} * x{d} + coalesce(m{d}, 0) AS x{d}' for d in dims)} FROM h{k} LEFT JOIN s{k} USING (graph_id, node_id))")
+        before = f"z{k}"
+        for name, after in (("in", f"y{k}"), ("out", f"h{k + 1}")):
+            dense = ", ".join("greatest(0, " + " + ".join(f"x{i} * {number(p[f'{name}{k}'][i, d])}" for i in dims) + f" + {number(p[f'{name}_bias{k}'][d])}) AS x{d}" for d in dims)
+            out.append(f"{after} AS (SELECT graph_id, node_id, {dense} FROM {before})")
+            before = after
+    parts = [f"p{k} AS (SELECT graph_id, {' + '.join(f'avg(x{d}) * {number(p["head"][k, d])}' for d in dims)} AS part FROM h{k} GROUP BY graph_id)" for k in range(NETWORK.layers + 1)]
+    total = " + ".join(f"p{k}.part" for k in range(NETWORK.layers + 1))
+    joined = " ".join(f"JOIN p{k} USING (graph_id)" for k in range(1, NETWORK.layers + 1))
+    return ", ".join([*out, *parts, f"logits AS (SELECT graph_id, {total} + {number(p['bias'])} AS logit FROM p0 {joined})"])
+
+
+@query("tr19_network_scores", f"{BASE}, {machine.ADJACENCY_SQL}, {_network_sql()} SELECT graph_id, round(1 / (1 + exp(-logit)), 9) AS probability, CAST(logit >= 0 AS INTEGER) AS hard FROM logits")
+def tr19_network(spark, sf_dir):
+    """Two layers of message passing over all graphs, with given parameters."""
+    found = teacher.predict(_blocks(spark, sf_dir, derived.graphs(spark, sf_dir).select("graph_id")), NETWORK, PARAMETERS)
+    return found.select("graph_id", F.round("probability", 9).alias("probability"), "hard")
+
+
+@query("tr20_trained_network")
+def tr20_network(spark, sf_dir):
+    """Labels by a network that was trained for ten steps on all graphs of the training set."""
+    graphs = metrics.random_split(derived.graphs(spark, sf_dir), "graph_id", SEED, 0.8, 0.1)
+    of = _blocks(spark, sf_dir, graphs)
+    flat, _ = teacher.fit(of, teacher.Shape(derived.ATOMS, derived.BONDS), 10)
+    return teacher.predict(of, teacher.Shape(derived.ATOMS, derived.BONDS), flat).select("graph_id", F.round("probability", 6).alias("probability"), "hard")
