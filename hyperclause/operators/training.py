@@ -176,8 +176,9 @@ class FlatMachine:
         """The clauses' outputs as features."""
         return np.stack([self.outputs(self.literals(r)) for r in x]).astype(np.uint8)
 
-    def _update(self, lit: np.ndarray, k: int, sign: int) -> None:
-        out, t = self.outputs(lit, learning=True), self.threshold
+    def _update(self, lit: np.ndarray, k: int, sign: int, out: np.ndarray | None = None) -> None:
+        """Feedback for class k. lit: the literals, for all clauses or for each; out: which clauses hold, if it is known."""
+        out, t = self.outputs(lit, learning=True) if out is None else out, self.threshold
         total = max(-t, min(t, int(self.weights[k] @ out)))
         chosen = self._draws(LEAF, out.shape) * (2 * t) < (t - sign * total) * PRIME
         agrees = self.weights[k] * sign >= 0
@@ -233,6 +234,74 @@ class FlatMachine:
         return self
 
 
+class MessageMachine(FlatMachine):
+    """A flat machine over graphs whose clauses send messages and learn from those they receive.
+
+    A clause has literals over a node's features and, for each further layer, over the messages that the node has received: of a clause
+    that holds at a neighbour up to the layer before, the place (code of the clause + type of the edge) modulo `messages`. It holds
+    at a node if it holds there in all layers, and for a graph if it does at any node. Feedback goes to all layers at once: of the
+    nodes where a clause holds, that with the least draw gives it its features and messages as literals."""
+
+    def __init__(self, features: int, messages: int, layers: int, clauses: int, classes: int, threshold: int, s: float, seed: int, **more) -> None:
+        self.own, self.messages, self.layers = features, messages, layers
+        super().__init__(features + layers * messages, clauses, classes, threshold, s, seed, **more)
+        self.codes = draw_array(1, np.arange(clauses), seed + 1) // 8 % messages
+
+    def nodes(self, x: np.ndarray, edges: np.ndarray, learning: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Which clauses hold at which nodes in all layers [node, clause], and the nodes' literals. x: features of the nodes; edges: rows
+        of src, dst and type, one for each direction."""
+        include, full = self.state >= self.states, np.zeros((len(x), self.features), bool)
+        full[:, : self.own] = x
+        held, at = np.ones((len(x), len(include)), bool), 0
+        for width in (self.own, *[self.messages] * self.layers):
+            if at:
+                for src, dst, kind in edges:
+                    full[dst, at + (self.codes[held[src]] + kind) % self.messages] = True
+            for part, first in ((full, 0), (~full, self.features)):
+                wanted = include[:, first + at : first + at + width]
+                held &= (part[:, None, at : at + width] | ~wanted).all(axis=2)
+            at += width
+        return held & (include.any(axis=1) | learning), np.concatenate([full, ~full], axis=1)
+
+    def graph_sums(self, x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        return self.weights @ self.nodes(x, edges)[0].any(axis=0)
+
+    def fit_graphs(self, graphs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int, incremental: bool = False) -> MessageMachine:
+        """graphs: features of the nodes, and edges."""
+        if not incremental:
+            self.reset()
+        for _ in range(epochs):
+            for g in shuffled(len(graphs), self.epoch, self.seed):
+                against = self._draws(NODE, (self.classes,)) * 1000 < self.share * PRIME
+                for k in [int(y[g]), *[k for k in range(self.classes) if k != y[g] and against[k]]]:
+                    held, lit = self.nodes(*graphs[g], learning=True)
+                    lot = draw_array(4 * self.step + ORDER, np.arange(held.shape[1])[None, :] * 64 + np.arange(len(held))[:, None], self.seed)
+                    self._update(lit[np.where(held, lot, PRIME).argmin(axis=0)], k, 1 if k == y[g] else -1, held.any(axis=0))
+            self.epoch += 1
+        return self
+
+
+MESSAGES = "seed int, epoch int, train_accuracy double, valid_accuracy double"
+
+
+def message_history(graphs: DataFrame, features: int, messages: int, layers: int, clauses: int, threshold: int, s: float, seeds: list[int], epochs: int, most: int | None = None) -> DataFrame:
+    """seed, epoch and the accuracies of message machines for two classes. graphs: id, split (train or valid), y, bits (an array of each
+    node's bits) and edges (structs of src, dst, kind between nodes by place); one task for each seed."""
+
+    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, out = pdf.sort_values("id"), []
+        own = [(np.array([list(b) for b in bits], bool), np.array([[e["src"], e["dst"], e["kind"]] for e in edges], int).reshape(-1, 3)) for bits, edges in zip(pdf["bits"], pdf["edges"])]
+        y, kept = pdf["y"].to_numpy(int), (pdf["split"] == "train").to_numpy()
+        machine = MessageMachine(features, messages, layers, clauses, 2, threshold, s, int(pdf["seed"].iloc[0]), most=most)
+        for epoch in range(1, epochs + 1):
+            machine.fit_graphs([own[i] for i in np.flatnonzero(kept)], y[kept], 1, incremental=epoch > 1)
+            right = np.array([machine.graph_sums(*g).argmax() for g in own]) == y
+            out.append((machine.seed, epoch, *[float(right[k].mean()) if k.any() else float("nan") for k in (kept, ~kept)]))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in MESSAGES.split(", ")])
+
+    return graphs.withColumn("seed", F.explode(F.lit(seeds))).groupBy("seed").applyInPandas(train, MESSAGES)
+
+
 def graph_fit(machine: Machine, graphs: list[np.ndarray], y: np.ndarray, epochs: int) -> Machine:
     """graphs: the bits of each graph's nodes. A clause counts once if it fires at any node; one of these nodes, that with the least
     draw for (clause, node), gives its literals to the feedback."""

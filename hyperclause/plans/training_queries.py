@@ -198,3 +198,20 @@ def tr20_network(spark, sf_dir):
     of = _blocks(spark, sf_dir, graphs)
     flat, _ = teacher.fit(of, teacher.Shape(derived.ATOMS, derived.BONDS), 10)
     return teacher.predict(of, teacher.Shape(derived.ATOMS, derived.BONDS), flat).select("graph_id", F.round("probability", 6).alias("probability"), "hard")
+
+
+@query("tr15_message_history")
+def tr15(spark, sf_dir):
+    """Machines whose second layer learns from messages, on conversations as graphs: a turn is a node (its role and how long it is),
+    neighbours are bonded, and the question is whether the longest turn is the assistant's."""
+    turns = read(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.max(F.struct("role", "text")).alias("one")).select("conv_id", "turn", "one.*")
+    long = F.coalesce(F.length("text"), F.lit(0))
+    bits = F.array(*[(F.col("role") == r).cast("int") for r in ("system", "user", "assistant")], *[(long > n).cast("int") for n in (50, 150, 300, 600)])
+    node = F.struct("turn", F.transform(bits, lambda b: F.coalesce(b, F.lit(0))).alias("bits"), long.alias("long"), "role")
+    rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(node)).alias("nodes")).where("size(nodes) between 2 and 64")
+    longest = F.array_max(F.transform("nodes", lambda t: F.struct(t["long"].alias("n"), t["role"].alias("role"))))
+    way = lambda i, to, kind: F.struct((i - 1).cast("int").alias("src"), (to - 1).cast("int").alias("dst"), F.lit(kind).alias("kind"))
+    edges = F.flatten(F.transform(F.sequence(F.lit(1), F.size("nodes") - 1), lambda i: F.array(way(i, i + 1, 0), way(i + 1, i, 1))))
+    graphs = rows.select(F.col("conv_id").alias("id"), F.coalesce((longest["role"] == "assistant").cast("int"), F.lit(0)).alias("y"), F.transform("nodes", lambda t: t["bits"]).alias("bits"), edges.alias("edges"))
+    graphs = metrics.random_split(metrics.subsample(graphs, "id", SEED, 2000), "id", SEED, 0.8, 0.2).where("split <> 'test'")
+    return training.message_history(graphs, 7, 32, 1, 20, 15, 3.0, SEEDS, 2)
