@@ -6,6 +6,8 @@ later (`read_bits`), and then computes no others.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -122,13 +124,40 @@ def walked(rows: DataFrame, book: DataFrame, k: int, keep: list[str]) -> DataFra
         if hop < k:
             rows = rows.withColumn("__last", F.array_sort(F.transform("__met", lambda m: F.struct(m["key"].alias("key"), m["node_id"].alias("node_id"), m["way"].alias("way")))))
     # Outer: it is never empty, and the filter that explode adds would compute all of it once more.
-    rows = rows.select(*keep, "root", "__atoms", F.explode_outer("__found").alias("f")).join(_code_map(book, "bond", "__bonds"), F.lit(True))
-    bond = [F.when(F.col("f.hop") > i, F.col("__bonds")[F.shiftright("f.way", 8 * i).bitwiseAND(F.lit(255)).cast("int")]).alias(f"__b{i}") for i in range(k)]
-    rows = rows.select(*keep, "root", "f.node_id", "f.hop", F.col("__atoms")[F.col("f.node_id")].alias("atom_type"), *bond)
+    rows = rows.select(*keep, "root", "__atoms", F.explode_outer("__found").alias("f"))
+    return _chained(rows.select(*keep, "root", "f.node_id", "f.hop", "f.way", F.col("__atoms")[F.col("f.node_id")].alias("atom_type")), book, k, keep)
+
+
+def _chained(rows: DataFrame, book: DataFrame, k: int, keep: list[str]) -> DataFrame:
+    """keep, root, node_id, hop, chain and atom_type from rows that have the way instead of the chain."""
+    rows = rows.join(_code_map(book, "bond", "__bonds"), F.lit(True))
+    bond = [F.when(F.col("hop") > i, F.col("__bonds")[F.shiftright("way", 8 * i).bitwiseAND(F.lit(255)).cast("int")]).alias(f"__b{i}") for i in range(k)]
+    rows = rows.select(*keep, "root", "node_id", "hop", "atom_type", *bond)
     chain = F.array(*[_word(w, k) for w in range(_words(book))])
     return rows.select(*keep, "root", "node_id", "hop", chain.alias("chain"), "atom_type")
 
 
+def frontier_neighbourhoods(nodes: DataFrame, adjacent: DataFrame, book: DataFrame, k: int, fixed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `neighbourhoods` gives, for graphs that are too large for a row: nothing of a graph is gathered.
+
+    Each hop joins the last hop's nodes with their bonds, keeps of the ways to a node the first, and takes out what was met before by
+    an anti-join. Rows are dealt out by node, so one graph may be all there is. Ways are compared by the numbers of their bonds from
+    the root on, which is the order of parents, then of bonds. fixed: writes what a hop has met and reads it again."""
+    if not 0 <= k <= 7:
+        raise ValueError("k is from 0 to 7")
+    none = F.array().cast("array<long>")
+    found = last = nodes.select("graph_id", F.col("node_id").alias("root"), "node_id", F.lit(0).alias("hop"), F.lit(0).cast("long").alias("way"), none.alias("path"))
+    bonds = adjacent.select(F.col("graph_id").alias("__g"), "src", "dst", F.col("bond_type").cast("long").alias("bond"), F.col("edge_id").cast("long").alias("edge"))
+    for hop in range(1, k + 1):
+        stepped = last.join(bonds, (F.col("graph_id") == F.col("__g")) & (F.col("node_id") == F.col("src")))
+        stepped = stepped.select("graph_id", "root", F.col("dst").alias("node_id"), F.struct(F.concat("path", F.array("edge")).alias("path"), (F.col("way") * 256 + F.col("bond")).alias("way")).alias("by"))
+        met = stepped.groupBy("graph_id", "root", "node_id").agg(F.min("by").alias("by")).join(found.select("graph_id", "root", "node_id"), ["graph_id", "root", "node_id"], "left_anti")
+        last = fixed(met.select("graph_id", "root", "node_id", F.lit(hop).alias("hop"), "by.way", "by.path"))
+        found = found.unionByName(last)
+    rows = found.join(nodes.select("graph_id", "node_id", "atom_type"), ["graph_id", "node_id"])
+    return _chained(rows, book, k, ["graph_id"]).drop("atom_type")
+
+
 def _word(w: int, k: int) -> Column:
     """A word of the bonds on the way, bound together."""
     out = F.lit(0).cast("long")

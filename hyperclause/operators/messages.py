@@ -144,6 +144,27 @@ def subset(graphs: DataFrame, ids: DataFrame) -> DataFrame:
     return graphs.join(F.broadcast(wanted), "position").withColumnRenamed("place", "new_position")
 
 
+def sliced(graphs: DataFrame, start: int | None = None, stop: int | None = None, step: int = 1) -> DataFrame:
+    """The graphs of a slice, numbered anew from 0 in the slice's order; bounds and step are as in Python's slices. graphs: position
+    (from 0)."""
+    if not step:
+        raise ValueError("the step of a slice is not zero")
+    n = F.broadcast(graphs.agg(F.count(F.lit(1)).alias("__n")))
+    low, high = (0, F.col("__n")) if step > 0 else (-1, F.col("__n") - 1)
+
+    def bound(value: int | None, otherwise: Column) -> Column:
+        if value is None:
+            return otherwise
+        at = F.lit(value) if value >= 0 else F.col("__n") + value
+        return F.least(F.greatest(at, F.lit(low)), high)
+
+    first = bound(start, F.lit(0) if step > 0 else high)
+    last = bound(stop, high if step > 0 else F.lit(low))
+    way = F.col("position") - first
+    inside = (way * (1 if step > 0 else -1) >= 0) & ((F.col("position") - last) * (1 if step > 0 else -1) < 0) & (way % step == 0)
+    return graphs.join(n, F.lit(True)).where(inside).withColumn("new_position", (way / step).cast("int")).drop("__n")
+
+
 def offsets(nodes: DataFrame) -> DataFrame:
     """graph_id, n, first: where each graph's nodes start if graphs lie one after another by id."""
     counts = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
