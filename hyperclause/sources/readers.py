@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +19,15 @@ RULE = "kazius_id int, name string, smarts string, tier string, notes string"
 
 
 def first_source(spark: SparkSession, candidates: list[tuple[str, str]]) -> tuple[str, str]:
-    """The tag and path of the first (tag, path) that can be listed, by whatever file system the path names."""
+    """The tag and path of the first (tag, path) that is there, by whatever file system the path names: Spark's readers look for
+    their paths before anything is read."""
     for tag, path in candidates:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where):
+        try:
+            spark.read.format("binaryFile").load(path).schema
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
             return tag, path
     raise FileNotFoundError("none of the sources exists: " + ", ".join(p for _, p in candidates))
 
@@ -90,7 +96,8 @@ def signature(df: DataFrame, columns: list[str]) -> DataFrame:
 def load(spark: SparkSession, candidates: list[tuple[str, str]], seed: int, train: float = 0.8, valid: float = 0.1, task: str | None = None) -> tuple[DataFrame, DataFrame]:
     """A labelled table with id and split, and one row of metadata: the source's tag, the rows, and the rows of either class.
 
-    task: the column of a wide assay table; None: a table of texts and labels."""
+    task: the column of a wide assay table; None: a table of texts and labels. Ids are hashes of the texts, so repeated texts share one
+    and always fall into one part of the split."""
     from ..operators.metrics import class_balance, random_split
 
     tag, path = first_source(spark, candidates)

@@ -64,7 +64,7 @@ def save_student(history: DataFrame, states: DataFrame, path: str) -> None:
 
 
 def run_tag(at: datetime | None = None) -> str:
-    """A compact UTC tag for file names: 20240131_235959."""
+    """A moment (now, if none is given) as text that fits a file name and sorts by time; in UTC."""
     return (at or datetime.now(timezone.utc)).astimezone(timezone.utc).strftime("%Y%m%d_%H%M%S")
 
 
