@@ -1,19 +1,23 @@
 """Licence notices in documents, on a line or wrapped over several.
 
-A notice is a stretch of words that holds a share CONFIRM of the neighbouring word pairs of a template: on one line, or over
-consecutive lines (a line without words ends them) within twice the template's words. A logistic regression over hashed word
-n-grams gives the words of overlapping stretches, or of their line if it holds no others, a probability for every licence
-family and for `unknown`. It learns from the templates below, varied at random, and from paragraphs of the corpus as
-examples of the unknown class (a bounded random sample of documents, NEGATIVES). A temperature fitted on held-out
-variations and paragraphs calibrates the probabilities. A prediction stands only for a family of these stretches. Other
-families of theirs stand beside it if they also hold that share of the pairs that the first one's templates lack, and if
-the words without those that only the first one's templates have give them the probability.
+A notice is a stretch of words that holds a share CONFIRM of the neighbouring word pairs of a template (a paragraph of the
+licence or a usual notice), or all pairs of a name or tag, as a name with another word in it is another licence's: on one
+line, or over consecutive lines (a line without words ends them) within twice the template's words. A logistic regression
+over hashed word n-grams gives the words of overlapping stretches, or of their line if it holds no others, a probability for
+every licence family and for `unknown`. It learns from the templates, names and tags below, varied at random (names and tags
+only in what stands around them), and from paragraphs of the corpus as examples of the unknown class (a random sample of
+documents, bounded in documents and in bytes: NEGATIVES, NEGATIVE_BYTES). A temperature fitted on held-out variations and
+paragraphs calibrates the probabilities. A prediction stands only for a family of these stretches. Other families of theirs
+stand beside it if they also hold the needed share of the pairs that the first one's templates lack, and if the words
+without those that only the first one's templates have give them the probability.
+A licence of several paragraphs gives a row for each of them that is a template.
 
 Words without pairs of the templates can't be confirmed, so only the others are scored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -28,11 +32,11 @@ UNKNOWN = "unknown"
 CONFIRM, PROBABLE = 0.6, 0.5
 BITS = 16
 BUCKETS = 1 << BITS
-#: At most about so many documents give examples of the unknown class.
-NEGATIVES = 1000
+#: At most about so many documents, and bytes of text, give examples of the unknown class.
+NEGATIVES, NEGATIVE_BYTES = 1000, 32 << 20
 VARIATIONS, EPOCHS, RATE = 60, 6, 2.0
 
-# Usual wordings of licence notices.
+# Usual wordings of licence notices, and paragraphs of licences.
 TEMPLATES = {
     "AGPL-3.0": [
         "This program is licensed under the GNU Affero General Public License, version 3",
@@ -44,16 +48,34 @@ TEMPLATES = {
         "you may not use this file except in compliance with the License",
         "Released under the Apache 2.0 license",
         "distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "See the License for the specific language governing permissions and limitations under the License",
     ],
     "BSD": [
         "Released under the BSD license",
         "Licensed under the BSD 3-Clause License",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",
+    ],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software",
     ],
     "CC-BY": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "CC0": ["Dedicated to the public domain under CC0 1.0 Universal", "Released under CC0 1.0"],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "Licensed under the Eclipse Public License 2.0",
+    ],
+    "GFDL-1.3": [
+        "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation",
+        "Licensed under the GNU Free Documentation License, version 1.3",
+    ],
     "GPL-2.0": [
         "This work is licensed under the GNU General Public License, version 2",
         "either version 2 of the License, or (at your option) any later version",
@@ -66,7 +88,7 @@ TEMPLATES = {
         "Released under the GPL version 3",
         "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     ],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License", "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS"],
     "LGPL": [
         "This library is licensed under the GNU Lesser General Public License",
         "Released under the LGPL",
@@ -77,11 +99,66 @@ TEMPLATES = {
         "Released under the MIT License",
         "Licensed under the MIT license",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT",
     ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License 2.0"],
-    "Unlicense": ["This is free and unencumbered software released into the public domain"],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    ],
+    "Zlib": [
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+        "Released under the zlib License",
+    ],
 }
 
+# Names of licences, all of whose words must stand together.
+NAMES = {
+    "AGPL-3.0": ["GNU Affero General Public License version 3", "GNU AGPL v3", "GNU AGPLv3"],
+    "Apache-2.0": ["Apache License 2.0", "Apache License Version 2.0", "Apache 2.0 License"],
+    "BSD": ["BSD License", "BSD 2-Clause License", "BSD 3-Clause License"],
+    "BSL-1.0": ["Boost Software License 1.0", "Boost Software License Version 1.0"],
+    "CC-BY": ["Creative Commons Attribution 4.0"],
+    "CC-BY-NC": ["Creative Commons Attribution-NonCommercial 4.0"],
+    "CC-BY-SA": ["Creative Commons Attribution-ShareAlike 4.0"],
+    "CC0": ["CC0 1.0 Universal"],
+    "EPL-2.0": ["Eclipse Public License 2.0", "Eclipse Public License Version 2.0"],
+    "GFDL-1.3": ["GNU Free Documentation License version 1.3"],
+    "GPL-2.0": ["GNU General Public License version 2", "GNU GPL v2", "GNU GPLv2"],
+    "GPL-3.0": ["GNU General Public License version 3", "GNU GPL v3", "GNU GPLv3"],
+    "ISC": ["ISC License"],
+    "LGPL": ["GNU Lesser General Public License", "GNU LGPL"],
+    "MIT": ["MIT License"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License Version 2.0"],
+    "Unlicense": ["The Unlicense"],
+    "Zlib": ["zlib License"],
+}
+
+# Short identifiers, as they stand in tags and after "licensed under"; "-or-later" and the like may follow.
+IDENTIFIERS = {
+    "AGPL-3.0": ["AGPL-3.0"],
+    "Apache-2.0": ["Apache-2.0"],
+    "BSD": ["BSD-2-Clause", "BSD-3-Clause"],
+    "BSL-1.0": ["BSL-1.0"],
+    "CC-BY": ["CC-BY-4.0"],
+    "CC-BY-NC": ["CC-BY-NC-4.0"],
+    "CC-BY-SA": ["CC-BY-SA-4.0"],
+    "CC0": ["CC0-1.0"],
+    "EPL-2.0": ["EPL-2.0"],
+    "GFDL-1.3": ["GFDL-1.3"],
+    "GPL-2.0": ["GPL-2.0"],
+    "GPL-3.0": ["GPL-3.0"],
+    "ISC": ["ISC"],
+    "LGPL": ["LGPL-2.1", "LGPL-3.0"],
+    "MIT": ["MIT"],
+    "MPL-2.0": ["MPL-2.0"],
+    "Unlicense": ["Unlicense"],
+    "Zlib": ["Zlib"],
+}
+TAGS = ("SPDX-License-Identifier: {}", "License: {}", "Licensed under {}")
+
 
 def _hashes(texts: list[str]) -> list[np.ndarray]:
     raw = [t.encode() for t in texts]
@@ -101,7 +178,12 @@ def _pair(h: np.ndarray) -> np.ndarray:
 
 
 FAMILIES = sorted(TEMPLATES)
+#: Names and tags follow the templates.
+_short = [(FAMILIES.index(f), h) for f in FAMILIES for h in _hashes([*NAMES[f], *(tag.format(x) for x in IDENTIFIERS[f] for tag in TAGS)])]
 _forms = [(FAMILIES.index(f), h) for f in FAMILIES for h in _hashes(TEMPLATES[f])]
+#: The share of its pairs that each form needs.
+_needed = [CONFIRM] * len(_forms) + [1.0] * len(_short)
+_forms += _short
 _form_pairs = [(f, _pairs(h)) for f, h in _forms]
 _templates_of: dict[int, list[int]] = defaultdict(list)
 for _k, (_, _own) in enumerate(_form_pairs):
@@ -113,12 +195,10 @@ _family_pairs = [set().union(*(x for f, x in _form_pairs if f == k)) for k in ra
 _family_words = [set().union(*(h.tolist() for f, h in _forms if f == k)) for k in range(len(FAMILIES))]
 
 
-def similarity(h: np.ndarray) -> np.ndarray:
-    """For each family, the largest share of a template's word pairs that the words h hold."""
-    own, best = _pairs(h), np.zeros(len(FAMILIES))
-    for family, pairs in _form_pairs:
-        best[family] = max(best[family], len(own & pairs) / len(pairs))
-    return best
+def confirms(h: np.ndarray) -> bool:
+    """Whether the words hold the needed share of any form's pairs."""
+    own = _pairs(h)
+    return any(len(own & pairs) >= needed * len(pairs) for (_, pairs), needed in zip(_form_pairs, _needed))
 
 
 def buckets(h: np.ndarray) -> np.ndarray:
@@ -132,17 +212,18 @@ def fit(negatives: list[np.ndarray], seed: int) -> tuple[np.ndarray, np.ndarray]
     """Weights (BUCKETS x classes, the last class is unknown) and biases, divided by the calibrating temperature."""
     rng, rows = np.random.default_rng(seed), []
     corpus = np.concatenate([*negatives, np.arange(1, 50, dtype=np.uint64)])
-    for family, h in _forms:
+    for (family, h), needed in zip(_forms, _needed):
         for k in range(VARIATIONS):
             own = h.copy()
-            if k:
+            if k and needed < 1:
                 edits = rng.random(len(own)) < 0.08
                 own[edits] = rng.choice(corpus, int(edits.sum()))
                 own = own[: max(3, int(len(own) * rng.uniform(0.8, 1.3)))]
+            if k:
                 own = np.concatenate([rng.choice(corpus, rng.integers(0, 5)), own, rng.choice(corpus, rng.integers(0, 5))])
             rows.append((buckets(own), family))
     unknown = len(FAMILIES)
-    rows += [(buckets(h), unknown) for h in negatives if len(h) and similarity(h).max() < CONFIRM]
+    rows += [(buckets(h), unknown) for h in negatives if len(h) and not confirms(h)]
     # Near misses: words of the templates out of order.
     for _, h in _forms:
         rows += [(buckets(rng.permutation(np.concatenate([h, rng.choice(corpus, 6)]))), unknown) for _ in range(VARIATIONS // 4)]
@@ -186,19 +267,23 @@ def _stretches(k: int, at: list[int], pairs: list[int], lines: list[int]) -> Ite
     """(first word, end, share) of the stretches that hold enough pairs of template k. at, pairs and lines: the first word
     of each of its pairs in a paragraph, the pair, and the line on which the pair ends."""
     total, reach, i = len(_form_pairs[k][1]), 2 * len(_forms[k][1]), 0
+    places: dict[int, list[int]] = defaultdict(list)
+    again = [len(at)] * len(at)  # where each pair stands next
+    for j, pair in enumerate(pairs):
+        if places[pair]:
+            again[places[pair][-1]] = j
+        places[pair].append(j)
+    if len(places) / total < _needed[k]:
+        return
     while i < len(at):
-        for wrapped in (False, True):
-            seen, last = {pairs[i]}, i
-            for j in range(i + 1, len(at)):
-                if (at[j] + 2 - at[i] > reach) if wrapped else (lines[j] != lines[i]):
-                    break
-                if pairs[j] not in seen:
-                    seen.add(pairs[j])
-                    last = j
-            if len(seen) / total >= CONFIRM:
-                while pairs[i] in pairs[i + 1 : last + 1]:
+        firsts = [own[bisect_left(own, i)] for own in places.values() if own[-1] >= i]
+        for end in (bisect_right(lines, lines[i]), bisect_right(at, at[i] + reach - 2)):  # on the line, or wrapped
+            held = [j for j in firsts if j < end]
+            if len(held) / total >= _needed[k]:
+                last = max(held)
+                while again[i] <= last:
                     i += 1
-                yield at[i], at[last] + 2, len(seen) / total
+                yield at[i], at[last] + 2, len(held) / total
                 i = last
                 break
         i += 1
@@ -214,7 +299,7 @@ def notices(h: np.ndarray, line: np.ndarray, hits: np.ndarray, model: tuple[np.n
             held[k].append(at)
     found = []
     for k, at in held.items():
-        if len(at) / len(_form_pairs[k][1]) >= CONFIRM:
+        if len(at) / len(_form_pairs[k][1]) >= _needed[k]:
             found += [(a, b, k, share) for a, b, share in _stretches(k, at, [values[x] for x in at], line[np.array(at) + 1].tolist())]
     groups: list[list[tuple[int, int, int, float]]] = []
     end = 0
@@ -254,7 +339,7 @@ def _families(own: np.ndarray, group: list[tuple[int, int, int, float]], line: n
         left = {}
         for f, x in best.items():
             lacking = _form_pairs[x[2]][1] - taken
-            if lacking and len(lacking & pairs) / len(lacking) >= CONFIRM:
+            if lacking and len(lacking & pairs) / len(lacking) >= _needed[x[2]]:
                 left[f] = x
         best = left
         others = set().union(*(_family_words[f] for f in best))
@@ -262,8 +347,11 @@ def _families(own: np.ndarray, group: list[tuple[int, int, int, float]], line: n
 
 
 def train(df: DataFrame, seed: int = 23, doc_id: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases of the classifier. Rows with a null id or text give no examples; of an empty table the templates
+    alone, and words out of order, are learned."""
     rows = df.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").cast("string").alias("text")).where(F.col("__id").isNotNull() & F.col("text").isNotNull())
-    sample = rows.where(chosen(F.col("__id"), sample_share(rows.count(), NEGATIVES), seed))
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    sample = rows.where(chosen(F.col("__id"), min(sample_share(n, NEGATIVES), sample_share(size, NEGATIVE_BYTES)), seed))
 
     def learn(table: pa.Table) -> pa.Table:
         lines = [line for t in table.sort_by("__id").column("text").to_pylist() for line in t.split("\n")]

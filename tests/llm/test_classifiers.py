@@ -119,3 +119,79 @@ def test_wrapped_licences(spark, corpus):
     found = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), licenses.train(docs)).collect()
     want = [(0, 0, "GPL-3.0"), (1, 2, "GPL-2.0"), (2, 0, "AGPL-3.0"), (3, 0, "LGPL"), (4, 0, "BSD"), (5, 0, "MIT"), (6, 0, "MIT"), (6, 1, "BSD"), (6, 4, "Apache-2.0"), (7, 0, "Apache-2.0"), (7, 0, "MIT"), (8, 0, "Apache-2.0"), (8, 0, "MIT")]
     assert sorted((r.doc_id, r.paragraph, r.family) for r in found) == want
+
+
+def test_licence_names_tags_and_paragraphs(spark, corpus):
+    """Wordings that are no template as they stand, and near misses: another licence's name, words apart, a version that is another."""
+    docs, _, _ = corpus
+    mit = """MIT License
+
+Copyright (c) 2020 Somebody Else
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+    texts = [
+        "// SPDX-License-Identifier: MIT",
+        "# SPDX-License-Identifier: GPL-2.0-or-later",
+        "x = 1  # SPDX-License-Identifier: Apache-2.0\ny = 2",
+        "SPDX-License-Identifier: CC-BY-NC-SA-4.0",
+        "Licensed under GPL-3.0-or-later.",
+        "This code is under the BSD 3-Clause License.",
+        "see the GNU Lesser General Public License for details",
+        "SPDX-License-Identifier: LicenseRef-Own",
+        "MIT is a school; a license to drive is something else",
+        "the Apache License 1.1",
+        mit,
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)",
+        "Neither the name of Some Company nor the names of its contributors may be used to endorse or promote products\nderived from this software without specific prior written permission.",
+        "This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at",
+        "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0",
+    ]
+    rows = [(i, t, t, f"{i}") for i, t in enumerate(texts)]
+    frame = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, paragraph string, __id string")
+    found = sorted((r.doc_id, r.paragraph, r.family) for r in licenses.scan(frame, licenses.train(docs)).collect())
+    want = [(0, 0, "MIT"), (0, 0, "MIT"), (1, 0, "GPL-2.0"), (2, 0, "Apache-2.0"), (4, 0, "GPL-3.0"), (5, 0, "BSD"), (6, 0, "LGPL")]
+    want += [(10, 0, "MIT"), (10, 4, "MIT"), (10, 8, "MIT"), (10, 11, "MIT"), (11, 0, "BSL-1.0"), (12, 0, "BSD"), (13, 0, "EPL-2.0")]
+    assert found == sorted(want)
+
+
+def test_notices_in_a_very_long_text(spark, corpus):
+    """A text of a million words gives the notice at its end, and a line of nothing but words of the licences gives none."""
+    docs, _, _ = corpus
+    long = "lorem ipsum " * 500_000 + "\nReleased under the MIT License.\n" + "the license of " * 20_000
+    frame = spark.createDataFrame([(1, long), (2, "the " * 100_000)], "doc_id long, text string")
+    found = [(r.doc_id, r.paragraph, r.family) for r in licenses.scan(frame, licenses.train(docs)).collect()]
+    assert found == [(1, 1, "MIT")]
+
+
+def test_stretches_are_those_of_a_walk_over_all_words():
+    """Held against a walk from each pair to the end of its line, or as far as a wrapped notice reaches."""
+    rng = np.random.default_rng(5)
+    for trial in range(300):
+        k = int(rng.integers(len(licenses._forms)))
+        own, n = sorted(licenses._form_pairs[k][1]), int(rng.integers(1, 40))
+        at = np.cumsum(rng.integers(1, 4, n)).tolist()
+        pairs = [own[int(x)] for x in rng.integers(0, min(len(own), int(rng.integers(1, 9))), n)]
+        lines = np.sort(rng.integers(0, 4, n)).tolist()
+        total, reach, i, want = len(own), 2 * len(licenses._forms[k][1]), 0, []
+        while i < n:
+            for ends in (lambda j: lines[j] != lines[i], lambda j: at[j] + 2 - at[i] > reach):
+                stop = next((j for j in range(i, n) if ends(j)), n)
+                last = max(pairs.index(x, i) for x in set(pairs[i:stop]))
+                share = len(set(pairs[i:stop])) / total
+                if share >= licenses._needed[k]:
+                    while pairs[i] in pairs[i + 1 : last + 1]:
+                        i += 1
+                    want.append((at[i], at[last] + 2, share))
+                    i = last
+                    break
+            i += 1
+        assert list(licenses._stretches(k, at, pairs, lines)) == want
