@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ._common import fixed
 
 #: Rows of a block of vectors of up to WIDTH components; blocks of longer ones have fewer.
-QUERY_BLOCK, CANDIDATE_BLOCK, WIDTH = 2048, 16384, 512
+QUERY_BLOCK, CANDIDATE_BLOCK, WIDTH = 16384, 16384, 512
 MERGE = 8
 
 
