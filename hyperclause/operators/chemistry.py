@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -234,13 +234,22 @@ def molecules(df: DataFrame, id_: str, smiles: str, keep: list[str] | None = Non
     return rows.mapInPandas(run, f"{SCHEMA}, scaffold string{more}")
 
 
-def properties(parsed: DataFrame) -> DataFrame:
-    """id, mw, logp (null), hba, hbd, lipinski_ok: sums and counts over each molecule's atoms, without leaving its row."""
+def of_texts(df: DataFrame, id_: str, smiles: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """id of every row, and what `compute` tells of its text. compute: from `molecules`, with the column text kept, to columns that
+    include text. A text is read once, however many rows have it: nothing but the texts and what is told of them shuffles."""
+    rows = df.select(F.col(id_).cast("long").alias("id"), F.col(smiles).cast("string").alias("text"))
+    # Few bytes, but each text takes a while: spread over all tasks rather than by size.
+    texts = rows.select("text").distinct().repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "text")
+    found = compute(molecules(texts.select(F.lit(0).alias("id"), "text"), "id", "text", keep=["text"])).drop("id").withColumnRenamed("text", "__text")
+    return rows.join(found, F.col("text").eqNullSafe(F.col("__text"))).drop("text", "__text")
+
+
+def _with_properties(parsed: DataFrame) -> DataFrame:
     mass = F.create_map(*[F.lit(x) for s, m in MASSES.items() for x in (s, m)])
     own = lambda a: F.coalesce(F.try_element_at(mass, a["symbol"]), F.lit(0.0)) + a["hydrogens"] * F.lit(1.008)
     hetero = lambda a: a["symbol"].isin("N", "O")
     out = parsed.select(
-        "id",
+        "*",
         F.aggregate("atoms", F.lit(0.0), lambda acc, a: acc + own(a)).alias("mw"),
         F.lit(None).cast("double").alias("logp"),
         F.size(F.filter("atoms", hetero)).alias("hba"),
@@ -249,13 +258,18 @@ def properties(parsed: DataFrame) -> DataFrame:
     return out.withColumn("lipinski_ok", (F.col("mw") < MASS) & F.coalesce(F.col("logp") < LOGP, F.lit(True)) & (F.col("hba") < ACCEPTORS) & (F.col("hbd") < DONORS))
 
 
-def validity(parsed: DataFrame) -> DataFrame:
-    """id, sanitize_ok, lipinski_ok, sa_score (null), sa_ok, overall_ok, notes: stage by stage; later stages of a molecule that
-    can't be read fail."""
-    joined = parsed.join(properties(parsed), "id")
+def properties(parsed: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """id, mw, logp (null), hba, hbd, lipinski_ok, and the columns `keep`: sums and counts over each molecule's atoms, without leaving
+    its row."""
+    return _with_properties(parsed).select("id", "mw", "logp", "hba", "hbd", "lipinski_ok", *(keep or []))
+
+
+def validity(parsed: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """id, sanitize_ok, lipinski_ok, sa_score (null), sa_ok, overall_ok, notes, and the columns `keep`: stage by stage; later stages of
+    a molecule that can't be read fail. All in the molecule's row."""
     lipinski = F.col("ok") & F.col("lipinski_ok")
     note = F.when(~F.col("ok"), F.col("note")).when(~F.col("lipinski_ok"), F.lit("lipinski_fail")).otherwise(F.lit("sascore_unavailable"))
-    return joined.select("id", F.col("ok").alias("sanitize_ok"), lipinski.alias("lipinski_ok"), F.lit(None).cast("double").alias("sa_score"), F.col("ok").alias("sa_ok"), (F.col("ok") & lipinski).alias("overall_ok"), note.alias("notes"))
+    return _with_properties(parsed).select("id", F.col("ok").alias("sanitize_ok"), lipinski.alias("lipinski_ok"), F.lit(None).cast("double").alias("sa_score"), F.col("ok").alias("sa_ok"), (F.col("ok") & lipinski).alias("overall_ok"), note.alias("notes"), *(keep or []))
 
 
 def valence_ok(nodes: DataFrame, bonds: DataFrame, limits: list[int]) -> DataFrame:

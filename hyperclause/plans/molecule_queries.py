@@ -63,30 +63,31 @@ _SQL = f"""core(k, core, smiles, c, h, n, o, s, ring, aromatic, hn, last) AS (VA
         FROM part JOIN core c ON c.k = p_partkey % {len(CORES)} JOIN tail e ON e.k = (p_partkey // {len(CORES)}) % {len(ENDS)})"""
 
 
-def _parsed(spark, sf_dir):
+def _parts(spark, sf_dir, compute):
+    """id of every part, and what `compute` tells of its molecule."""
     pick = lambda rows, k: F.element_at(F.array(*[F.lit(r[1]) for r in rows]), (k % len(rows) + 1).cast("int"))
     key = F.col("p_partkey")
     text = F.concat(pick(CORES, key), F.expr("repeat('C', p_size % 4)"), pick(ENDS, F.floor(key / len(CORES))))
-    return chemistry.molecules(read(spark, sf_dir, "part").select(key.alias("id"), text.alias("smiles")), "id", "smiles")
+    return chemistry.of_texts(read(spark, sf_dir, "part").select(key.alias("id"), text.alias("smiles")), "id", "smiles", compute)
 
 
 @query("src07_ring_molecules", f"WITH {_SQL} SELECT id, true AS ok, CAST(c + n + o + s + cl AS INTEGER) AS atoms, CAST(h AS INTEGER) AS hydrogens, CAST(ring AS INTEGER) AS ring_atoms, CAST(aromatic AS INTEGER) AS aromatic_atoms FROM m")
 def src07_rings(spark, sf_dir):
     """Counts that follow from the formulas: hydrogens are where double bonds and aromaticity leave them."""
     hydrogens = F.aggregate("atoms", F.lit(0), lambda acc, a: acc + a["hydrogens"])
-    return _parsed(spark, sf_dir).select("id", "ok", F.size("atoms").alias("atoms"), hydrogens.alias("hydrogens"), F.size(F.filter("atoms", lambda a: a["rings"] > 0)).alias("ring_atoms"), F.size(F.filter("atoms", lambda a: a["aromatic"])).alias("aromatic_atoms"))
+    return _parts(spark, sf_dir, lambda parsed: parsed.select("text", "ok", F.size("atoms").alias("atoms"), hydrogens.alias("hydrogens"), F.size(F.filter("atoms", lambda a: a["rings"] > 0)).alias("ring_atoms"), F.size(F.filter("atoms", lambda a: a["aromatic"])).alias("aromatic_atoms")))
 
 
 @query("rc10_ring_rule_of_five", f"WITH {_SQL} SELECT id, round(12.011::DOUBLE * c + 1.008 * h + 14.007 * n + 15.999 * o + 32.06 * s + 35.453 * cl, 3) AS mw, CAST(n + o AS INTEGER) AS hba, CAST(hbd AS INTEGER) AS hbd, n + o < 10 AS lipinski_ok FROM m")
 def rc10_rings(spark, sf_dir):
-    return chemistry.properties(_parsed(spark, sf_dir)).select("id", F.round("mw", 3).alias("mw"), "hba", "hbd", "lipinski_ok")
+    return _parts(spark, sf_dir, lambda parsed: chemistry.properties(parsed, ["text"]).select("text", F.round("mw", 3).alias("mw"), "hba", "hbd", "lipinski_ok"))
 
 
 @query("sp01_ring_scaffolds", f"WITH {_SQL} SELECT id, CASE WHEN tail = 'epoxide' THEN 'linked' ELSE core END AS core FROM m")
 def sp01_rings(spark, sf_dir):
     """Cores by name; a core that is linked to the ring of the end group is another one."""
     names = F.create_map(*[F.lit(x) for name, smiles, *_ in CORES for x in (chemistry.scaffold(*chemistry.perceive(smiles)), name)])
-    return _parsed(spark, sf_dir).select("id", F.coalesce(F.try_element_at(names, F.col("scaffold")), F.lit("linked")).alias("core"))
+    return _parts(spark, sf_dir, lambda parsed: parsed.select("text", F.coalesce(F.try_element_at(names, F.col("scaffold")), F.lit("linked")).alias("core")))
 
 
 _BOUND = "CASE WHEN chain > 0 THEN 'chain' ELSE last END"
@@ -102,4 +103,5 @@ _BOUND = "CASE WHEN chain > 0 THEN 'chain' ELSE last END"
         CASE WHEN core IN ('indole', 'dibenzofuran', 'caffeine', 'azulene') THEN 'fused' END, CASE WHEN core = 'biphenyl' THEN 'biaryl' END], lambda a: a IS NOT NULL)) AS alert FROM b""",
 )
 def jn04_substructures(spark, sf_dir):
-    return patterns.alerts(_parsed(spark, sf_dir), ALERTS)
+    found = _parts(spark, sf_dir, lambda parsed: patterns.alerts(parsed, ALERTS, keep=["text"]).select("text", "alert"))
+    return found.select(F.col("id").alias("item"), "alert")

@@ -363,34 +363,34 @@ _PART = """part_molecules AS (SELECT p_partkey AS id, p_partkey % 5 AS kind, p_s
         CASE WHEN kind IN (0, 3) THEN 1 ELSE 0 END AS polar FROM part_molecules)"""
 
 
-def _parsed(spark, sf_dir):
+def _parts(spark, sf_dir, compute):
+    """id of every part, and what `compute` tells of its molecule."""
     carbons = F.expr("repeat('C', p_size)")
     text = F.element_at(F.array(*[F.concat(F.lit(k.split("{c}")[0]), carbons, F.lit(k.split("{c}")[1])) for k in _KINDS]), (F.col("p_partkey") % 5 + 1).cast("int"))
-    return chemistry.molecules(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("smiles")), "id", "smiles")
+    return chemistry.of_texts(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("smiles")), "id", "smiles", compute)
 
 
 @query("src07_molecules", f"WITH {_PART} SELECT id, ok, CAST(atoms AS INTEGER) AS atoms, CAST(bonds AS INTEGER) AS bonds FROM m")
 def src07(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("id", "ok", F.size("atoms").alias("atoms"), F.size("bonds").alias("bonds"))
+    return _parts(spark, sf_dir, lambda parsed: parsed.select("text", "ok", F.size("atoms").alias("atoms"), F.size("bonds").alias("bonds")))
 
 
 @query("rc10_rule_of_five", f"WITH {_PART} SELECT id, round(mw, 3) AS mw, CAST(polar AS INTEGER) AS hba, CAST(polar AS INTEGER) AS hbd, mw < 500 AS lipinski_ok FROM m")
 def rc10(spark, sf_dir):
-    return chemistry.properties(_parsed(spark, sf_dir)).select("id", F.round("mw", 3).alias("mw"), "hba", "hbd", "lipinski_ok")
+    return _parts(spark, sf_dir, lambda parsed: chemistry.properties(parsed, ["text"]).select("text", F.round("mw", 3).alias("mw"), "hba", "hbd", "lipinski_ok"))
 
 
 @query("rc12_validity", f"WITH {_PART} SELECT id, ok AND mw < 500 AS overall_ok, CASE WHEN NOT ok THEN 'incomplete' WHEN mw < 500 THEN 'sascore_unavailable' ELSE 'lipinski_fail' END AS notes FROM m")
 def rc12(spark, sf_dir):
-    return chemistry.validity(_parsed(spark, sf_dir)).select("id", "overall_ok", "notes")
+    return _parts(spark, sf_dir, lambda parsed: chemistry.validity(parsed, ["text"]).select("text", "overall_ok", "notes"))
 
 
 @query("sp01_scaffolds", "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 1 THEN 'cyclohexane' WHEN 2 THEN 'benzene' WHEN 4 THEN NULL ELSE 'none' END AS core FROM part")
 def sp01(spark, sf_dir):
     """Each molecule's core by its key; text that is no molecule has none (null)."""
-    found = _parsed(spark, sf_dir)
     key = lambda smiles: F.lit(chemistry.scaffold(*chemistry.parse(smiles)))
     core = F.when(~F.col("ok"), None).when(F.col("scaffold") == key("C1CCCCC1"), "cyclohexane").when(F.col("scaffold") == key("c1ccccc1"), "benzene").when(F.col("scaffold") == "", "none").otherwise("other")
-    return found.select("id", core.alias("core"))
+    return _parts(spark, sf_dir, lambda parsed: parsed.select("text", core.alias("core")))
 
 
 @query("fn_run_tags", "SELECT o_orderkey, strftime(CAST(o_orderdate AS TIMESTAMP), '%Y%m%d_%H%M%S') AS tag, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS days FROM orders")

@@ -158,3 +158,22 @@ def test_long_molecules():
     atoms, _ = chemistry.perceive("C" * 20_000)
     assert len(atoms) == 20_000
     assert len(chemistry.perceive("c1ccc(cc1)" * 150 + "C")[0]) == 901
+
+
+def test_each_text_is_read_once(spark):
+    texts = ["CCO", "c1ccccc1N", None, "C(", "C" * 40]
+    rows = spark.createDataFrame([(k % 50, texts[k % 5]) for k in range(500)], "id long, smiles string")
+    seen = []
+
+    def compute(parsed):
+        seen.append(parsed.count())
+        return chemistry.validity(parsed, ["text"])
+
+    got = chemistry.of_texts(rows, "id", "smiles", compute).select("id", "overall_ok", "notes").collect()
+    assert seen == [5] and len(got) == 500
+    assert {(r.id % 5, r.overall_ok, r.notes) for r in got} == {(0, True, "sascore_unavailable"), (1, True, "sascore_unavailable"), (2, False, "empty"), (3, False, "incomplete"), (4, False, "lipinski_fail")}
+
+
+def test_validity_of_rows_that_share_an_id(spark):
+    parsed = chemistry.molecules(spark.createDataFrame([(1, "CCO"), (1, "C("), (1, "CCO")], "id long, smiles string"), "id", "smiles")
+    assert sorted(r.overall_ok for r in chemistry.validity(parsed).collect()) == [False, True, True]
