@@ -49,6 +49,8 @@ def from_places(places: Column, dim: int) -> Column:
 
 def unpack(words: Column, dim: int) -> Column:
     """The first `dim` bits as an array of 0 and 1."""
+    if dim <= 64:
+        return F.array(*[bit(words, F.lit(i)) for i in range(dim)])  # flat: compiled with what is around it
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: bit(words, i))
 
 

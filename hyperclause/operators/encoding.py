@@ -6,8 +6,11 @@ later (`read_bits`), and then computes no others.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -209,10 +212,141 @@ def majority(df: DataFrame, keys: list[str], words: str, first: Column, read_bit
     return grouped.withColumn("n", n).select(*keys, *(also or []), bits.words_of([wins(i) for i in range(read_bits)]).alias("hv"))
 
 
+#: Nodes and edges of graphs that are walked at once in a task, about.
+WALKED = 1 << 18
+
+
+def codes(book: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """For atoms and bonds, the codes and their bits. The codebook is small: it has a row for each code."""
+    rows = book.where(F.col("kind").isin("atom", "bond")).select("kind", "code", "words").collect()
+    out = {}
+    for kind in ("atom", "bond"):
+        own = sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["code"])
+        words = np.array([r["words"] for r in own], np.uint32)
+        out[kind] = np.array([r["code"] for r in own], np.int64), np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
+    return out
+
+
+def _coded(known: tuple[np.ndarray, np.ndarray], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each value's code, and whether there is one."""
+    place = np.minimum(np.searchsorted(known[0], values), len(known[0]) - 1)
+    return place, known[0][place] == values
+
+
+def counts_to_rows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For so many items of each row: the row of each item, and its place in the row."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def places_of(owner: list[np.ndarray], ids: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """One numbering of the pairs of owner and id that several lists hold, and how many there are."""
+    sizes = np.cumsum([0, *map(len, ids)])
+    _, number = np.unique(np.concatenate(ids), return_inverse=True)
+    key = np.concatenate(owner) * (int(number.max(initial=0)) + 1) + number
+    distinct, place = np.unique(key, return_inverse=True)
+    return [place[a:b] for a, b in zip(sizes[:-1], sizes[1:])], len(distinct)
+
+
+def majorities(atoms: np.ndarray, src: np.ndarray, dst: np.ndarray, bond: np.ndarray, edge: np.ndarray, roots: np.ndarray, known: dict, k: int, read_bits: int) -> np.ndarray:
+    """The first read_bits bits of the vector of each root, a row each: the same as `walked` and `bundled` give, for many graphs at
+    once. atoms: the type of each place (below 0: none); src, dst: places; roots: places. Graphs share no places."""
+    order = np.lexsort((bond, edge, src))
+    dst, bond = dst[order], bond[order]
+    degree = np.bincount(src, minlength=len(atoms))
+    start = np.cumsum(degree) - degree
+    at, has = _coded(known["atom"], atoms)
+    dim = known["atom"][1].shape[1]
+    turned = lambda bits, hop: bits[:, (np.arange(read_bits) - hop) % dim]
+    own = turned(known["atom"][1], 0)[at[roots]] * has[roots][:, None]
+    total, n = own.astype(np.int64) * 3, np.ones(len(roots), np.int64)
+    root, node, way = np.arange(len(roots)), roots, np.zeros((len(roots), 0), np.int64)
+    met = root * len(atoms) + node
+    for hop in range(1, k + 1):
+        parent, i = counts_to_rows(degree[node])
+        e = start[node][parent] + i
+        key = root[parent] * len(atoms) + dst[e]
+        fresh, first = np.unique(key, return_index=True)  # rows come by root, parent and bond: the first is the way that counts
+        first = np.sort(first[~np.isin(fresh, met)])
+        root, node, way = root[parent[first]], dst[e[first]], np.column_stack([way[parent[first]], bond[e[first]]])
+        met = np.concatenate([met, key[first]])
+        bits = turned(known["atom"][1], hop)[at[node]]
+        for step in range(hop):
+            place, there = _coded(known["bond"], way[:, step] & 255)
+            bits = bits ^ (turned(known["bond"][1], hop)[place] * there[:, None])
+        bits *= has[node][:, None]
+        sums = np.zeros((len(bits) + 1, read_bits), np.int64)
+        np.cumsum(bits, axis=0, out=sums[1:])
+        ends = np.searchsorted(root, np.arange(len(roots) + 1))
+        total += 2 * (sums[ends[1:]] - sums[ends[:-1]])
+        n += np.diff(ends)
+    return total > n[:, None]
+
+
+def word_lists(bits: np.ndarray) -> pa.Array:
+    """Rows of bits as arrays of 32-bit words."""
+    rows, width = bits.shape
+    packed = np.packbits(np.pad(bits, ((0, 0), (0, -width % 32))), axis=1, bitorder="little")
+    words = packed.view(np.uint32).astype(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * words.shape[1], pa.int32()), pa.array(words.reshape(-1)))
+
+
+def flat(column: pa.Array) -> np.ndarray:
+    """The numbers in a column of arrays, one after another; a null is -1."""
+    values = column.flatten()
+    return (values.fill_null(-1) if values.null_count else values).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def sizes(column: pa.Array) -> np.ndarray:
+    return pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def slices(batch: pa.RecordBatch, work: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about WALKED units of work each, a row at least."""
+    total, a = np.cumsum(work), 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + WALKED, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def gathered(nodes: DataFrame, edges: DataFrame, columns: list[str]) -> DataFrame:
+    """graph_id, __id and __atom (arrays over the nodes) and an array __c for each of the columns of the edges: a row for each graph
+    that has nodes."""
+    lists = lambda df, names: df.groupBy("graph_id").agg(F.collect_list(F.struct(*names)).alias("__l"))
+    own = lists(nodes, ["node_id", "atom_type"]).select("graph_id", F.col("__l.node_id").alias("__id"), F.col("__l.atom_type").alias("__atom"))
+    more = lists(edges, columns).select("graph_id", *[F.col(f"__l.{c}").alias(f"__{c}") for c in columns])
+    return own.join(more, "graph_id", "left")
+
+
 def node_vectors(nodes: DataFrame, adjacent: DataFrame, book: DataFrame, k: int, dim: int, read_bits: int | None = None) -> DataFrame:
     """graph_id, node_id, hv (words; dim is a multiple of 32): the majority of the node's own code and, for each node within k hops, its code bound to
-    the bonds on the way and shifted by the hop. Nothing but the first read_bits bits is computed."""
-    return bundled(_near(nodes, adjacent, book, k), book, ["graph_id"], read_bits or dim)
+    the bonds on the way and shifted by the hop. Nothing but the first read_bits bits is computed.
+
+    A graph is small, so its nodes and edges are gathered in a row; the graphs of a batch are walked together."""
+    if not 0 <= k <= 7:
+        raise ValueError("k is from 0 to 7")
+    known, read = codes(book), read_bits or dim
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            if not whole.num_rows:
+                continue
+            for batch in slices(whole, sizes(whole.column("__id")) * (k + 1) + sizes(whole.column("__src")) * k):
+                column = lambda c: batch.column(f"__{c}")  # noqa: E731, B023
+                owner, _ = counts_to_rows(sizes(column("id")))
+                of_edge, _ = counts_to_rows(sizes(column("src")))
+                (own, src, dst), n = places_of([owner, of_edge, of_edge], [flat(column(c)) for c in ("id", "src", "dst")])
+                if len(np.unique(own)) < len(own):
+                    raise ValueError("a node comes up twice in a graph")
+                atoms = np.full(n, -1)
+                atoms[own] = flat(column("atom"))
+                hv = majorities(atoms, src, dst, flat(column("bond_type")), flat(column("edge_id")), own, known, k, read)
+                yield pa.RecordBatch.from_arrays([batch.column("graph_id").take(pa.array(owner)), column("id").flatten(), word_lists(hv)], names=["graph_id", "node_id", "hv"])
+
+    kinds = {c: nodes.schema[c].dataType.simpleString() for c in ("graph_id", "node_id")}
+    rows = gathered(nodes, adjacent, ["src", "dst", "bond_type", "edge_id"])
+    return rows.mapInArrow(run, f"graph_id {kinds['graph_id']}, node_id {kinds['node_id']}, hv array<long>")
 
 
 def bundled(near: DataFrame, book: DataFrame, keys: list[str], read_bits: int, also: list[str] | None = None) -> DataFrame:

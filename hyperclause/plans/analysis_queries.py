@@ -489,14 +489,9 @@ def exp05(spark, sf_dir):
     """Two members: clauses that hold, and clauses that hold in more than one way; duplicates stay."""
     hv = machine.vectors(spark, sf_dir, 1, SPEC.features)
     x, nx = clauses.literal_inputs(F.col("hv"), SPEC, "complement")
-    held = clauses.with_model(hv.select("graph_id", "node_id", x.alias("x"), nx.alias("nx")), clauses.model(machine.automata(spark), SPEC, machine.INCLUDE))
-    rows = held.select("graph_id", "node_id", F.posexplode_outer(F.transform("clauses", lambda c: clauses.multiplicity(c, F.col("x"), F.col("nx")))).alias("clause", "ways"))
-    parts = None
-    for member in (0, 1):
-        fired = rows.select("graph_id", "node_id", "clause", (F.col("ways") > member).cast("int").alias("output"))
-        one = explain.firing_clauses(fired, SPEC.classes).select(F.lit(member).alias("member"), "graph_id", "clause", "clause_output")
-        parts = one if parts is None else parts.unionAll(one)
-    return parts
+    ways = F.transform("clauses", lambda c: clauses.multiplicity(c, F.col("x"), F.col("nx")))
+    rows = clauses.by_input(hv.select("graph_id", x.alias("x"), nx.alias("nx")), clauses.model(machine.automata(spark), SPEC, machine.INCLUDE), SPEC, "complement", ways, "ways")
+    return explain.firing_counts(rows, SPEC.clauses, 2)
 
 
 @query("exp11_states_of_a_clause", f"WITH {machine.TABLE_AUTOMATA_SQL} SELECT j, k, l, m, n, state, CAST(state > {machine.INCLUDE} AS INTEGER) AS action FROM ta WHERE clause = 3")

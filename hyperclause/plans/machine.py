@@ -42,12 +42,12 @@ def fired(spark: SparkSession, sf_dir: str, negation: str = "complement") -> Dat
 
 
 def graph_fired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clauses.graph_clauses(fired(spark, sf_dir))
+    return clauses.graph_clauses(fired(spark, sf_dir), SPEC)
 
 
 def predictions(spark: SparkSession, sf_dir: str, at_nodes: DataFrame | None = None) -> DataFrame:
     """graph_id, class_sum, pred. at_nodes: what `fired` gives, if it is at hand."""
-    own = (graph_fired(spark, sf_dir) if at_nodes is None else clauses.graph_clauses(at_nodes)).select("graph_id", clauses.class_sum(F.col("fired"), SPEC).alias("class_sum"))
+    own = (graph_fired(spark, sf_dir) if at_nodes is None else clauses.graph_clauses(at_nodes, SPEC)).select("graph_id", clauses.class_sum(F.col("fired"), SPEC).alias("class_sum"))
     return own.withColumn("pred", (F.col("class_sum") > 0).cast("int"))
 
 
