@@ -9,8 +9,10 @@ that see the edit.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,56 +122,94 @@ def near_trials(nodes: DataFrame, bonds: DataFrame, edits: DataFrame, fired: Dat
     """What `trials` gives for a clause machine over k hops, from what holds at the nodes now (fired: graph_id, node_id, fired).
 
     An edit changes nothing but the vectors of nodes that see it: those within k hops of a swapped atom, or within k - 1 of an end of
-    a bond. Only these are encoded and evaluated anew, in the row of their graph and edit; other nodes keep what holds there. A graph
-    is gathered once, and all that follows stays where it is."""
-    lists = nodes.groupBy("graph_id").agg(F.collect_list(F.struct("node_id", "atom_type")).alias("__nodes"))
-    pair = "array<struct<u:int,v:int,bond_type:int>>"
-    held = bonds.where("u <> v").groupBy("graph_id").agg(F.collect_list(F.struct("u", "v", "bond_type")).cast(pair).alias("__bonds"))
-    now = fired.groupBy("graph_id").agg(F.collect_list(F.struct("node_id", "fired")).alias("__fired"))
-    rows = edits.join(lists, "graph_id").join(held, "graph_id", "left").join(now, "graph_id", "left").withColumn("__bonds", F.coalesce("__bonds", F.array().cast(pair)))
+    a bond. Only these are encoded and evaluated anew; other nodes keep what holds there. A graph is gathered once, with its edits, and
+    all variants of the graphs of a batch are worked on together."""
+    if not 0 <= k <= 7:
+        raise ValueError("k is from 0 to 7")
+    rows = encoding.gathered(nodes, bonds.where("u <> v"), ["u", "v", "bond_type"])
+    lists = lambda df, names: df.groupBy("graph_id").agg(F.collect_list(F.struct(*names)).alias("__l"))
+    asked = lists(edits, ["ordinal", *EDIT]).select("graph_id", *[F.col(f"__l.{c}").alias(f"__{c}") for c in ("ordinal", *EDIT)])
+    held = lists(fired, ["node_id", "fired"]).select("graph_id", F.col("__l.node_id").alias("__at"), F.col("__l.fired").alias("__fired"))
+    rows = asked.join(rows, "graph_id").join(held, "graph_id", "left")
+    known, trees = encoding.codes(book), model.first()["clauses"]  # the size of the machine
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            if not whole.num_rows:
+                continue
+            n, m, e = (encoding.sizes(whole.column(f"__{c}")) for c in ("id", "u", "ordinal"))
+            for batch in encoding.slices(whole, e * (n + m) * (k + 1)):
+                owner, sums = _tried(batch, known, k, trees, spec, negation)
+                own = [batch.column(f"__{c}").flatten() for c in ("ordinal", *EDIT)]
+                yield pa.RecordBatch.from_arrays([batch.column("graph_id").take(pa.array(owner)), *own, pa.array(sums, pa.int32())], names=["graph_id", "ordinal", *EDIT, "class_sum"])
+
+    kinds = ", ".join(f"{c} {edits.schema[c].dataType.simpleString()}" for c in ("graph_id", "ordinal", *EDIT))
+    return rows.mapInArrow(run, f"{kinds}, class_sum int")
+
+
+def _tried(batch: pa.RecordBatch, known: dict, k: int, trees: list, spec: clauses.Spec, negation: str) -> tuple[np.ndarray, np.ndarray]:
+    """For every edit of the graphs of a batch: the graph's row, and the class sum of the variant."""
+    column = lambda c: batch.column(f"__{c}")
+    count = {c: encoding.sizes(column(c)) for c in ("ordinal", "id", "u", "at")}
+    first = {c: np.cumsum(n) - n for c, n in count.items()}
+    graph, _ = encoding.counts_to_rows(count["ordinal"])
+    op = np.array(column("op").flatten().to_pylist(), object)
+    i, j, value = (encoding.flat(column(c)) for c in ("i", "j", "new_value"))
+    has_i, has_j = (column(c).flatten().is_valid().to_numpy(zero_copy_only=False) for c in ("i", "j"))
+    swap = op == "swap_atom"
+
+    def each(c: str) -> tuple[np.ndarray, np.ndarray]:
+        """For every item of a variant's graph: the variant, and the item's place in the batch."""
+        variant, place = encoding.counts_to_rows(count[c][graph])
+        return variant, first[c][graph][variant] + place
+
+    variant, item = each("id")
+    ids, atoms = encoding.flat(column("id"))[item], encoding.flat(column("atom"))[item]
+    atoms = np.where(swap[variant] & has_i[variant] & (ids == i[variant]), value[variant], atoms)
+    of_bond, item = each("u")
+    u, v, bond = (encoding.flat(column(c))[item] for c in ("u", "v", "bond_type"))
+    of_fired, item = each("at")
+    at = encoding.flat(column("at"))[item]
+    words = (spec.clauses - 1) // bits.WORD + 1
+    words_at = column("fired").flatten().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, words)[item] if len(item) else np.zeros((0, words), np.int64)
+    added = np.flatnonzero((op == "add_bond") & has_i & has_j)
+    new_u, new_v = np.minimum(i, j)[added], np.maximum(i, j)[added]
+    start_i, start_j = np.flatnonzero(has_i), np.flatnonzero(has_j & ~swap)
+    (own, pu, pv, fired_at, pi, pj, au, av), n = encoding.places_of([variant, of_bond, of_bond, of_fired, start_i, start_j, added, added], [ids, u, v, at, i[start_i], j[start_j], new_u, new_v])
     # Which nodes see the edit, by the bonds as they are.
-    swap = F.col("op") == "swap_atom"
-    reach = F.when(swap, F.array("i")).otherwise(F.array("i", "j"))
+    seen = np.zeros(n, bool)
+    seen[pi] = seen[pj] = True
     for hop in range(k):
-        rows = rows.withColumn("__reach", reach)
-        last = "__reach"
-        beyond = lambda a, b: F.transform(F.filter("__bonds", lambda e: F.array_contains(F.col(last), e[a])), lambda e: e[b])
-        reach = F.array_union(F.array_union(last, beyond("u", "v")), beyond("v", "u"))
-        if hop == k - 1:
-            reach = F.when(swap, reach).otherwise(F.col(last))
-    ids = F.transform("__nodes", lambda n: n["node_id"])
-    seen = F.array_intersect(reach, ids)
-    rows = rows.withColumn("__seen", F.when(F.size(seen) > 0, seen).otherwise(F.slice(ids, 1, 1)))
+        goes = swap[of_bond] | (hop < k - 1)
+        beyond = np.concatenate([pv[goes & seen[pu]], pu[goes & seen[pv]]])
+        seen[beyond] = True
+    is_root = seen[own]
+    sees = np.zeros(len(op), bool)
+    sees[variant[is_root]] = True
+    head = np.ones(len(own), bool)
+    head[1:] = variant[1:] != variant[:-1]
+    is_root |= head & ~sees[variant]  # an edit that no node sees: one node stands for the graph
+    roots, of_root = own[is_root], variant[is_root]
+    anew = np.zeros(n, bool)
+    anew[roots] = True
     # The graph after the edit.
-    i, j, value = F.col("i"), F.col("j"), F.col("new_value").cast("int")
-    at = lambda b: (b["u"] == i) & (b["v"] == j)
-    bond = lambda u, v, t: F.struct(u.cast("int").alias("u"), v.cast("int").alias("v"), t.alias("bond_type"))
-    after = (
-        F.when(F.col("op") == "remove_bond", F.filter("__bonds", lambda b: ~at(b)))
-        .when(F.col("op") == "swap_bond_order", F.transform("__bonds", lambda b: F.when(at(b), bond(b["u"], b["v"], value)).otherwise(b)))
-        .when(F.col("op") == "add_bond", F.concat("__bonds", F.array(bond(F.least("i", "j"), F.greatest("i", "j"), value))))
-        .otherwise(F.col("__bonds"))
-    )
-    way = lambda b, src, dst, place: F.struct(b[src].alias("src"), b[dst].alias("dst"), b["bond_type"].alias("bond_type"), (place + 1).alias("edge_id"))
-    atoms = F.transform("__nodes", lambda n: F.struct(n["node_id"].alias("node_id"), F.when(swap & (n["node_id"] == i), value).otherwise(n["atom_type"]).alias("atom_type")))
-    rows = rows.withColumn("__sorted", F.array_sort(after)).withColumn("__atoms", F.map_from_entries(atoms))
-    rows = rows.withColumn("__edges", F.flatten(F.transform("__sorted", lambda b, p: F.array(way(b, "u", "v", p), way(b, "v", "u", p)))))
-    words = range((spec.clauses - 1) // bits.WORD + 1)
-    others = F.filter("__fired", lambda f: ~F.array_contains("__seen", f["node_id"]))
-    rows = rows.withColumn("__others", others)
-
-    def held_elsewhere(w: int) -> Column:
-        return F.aggregate("__others", F.lit(0).cast("long"), lambda acc, f: acc.bitwiseOR(f["fired"][w]))
-
-    kept = F.array(*[held_elsewhere(w) for w in words])
-    rows = rows.select("graph_id", "ordinal", F.struct(*EDIT).alias("__edit"), kept.alias("__kept"), "__atoms", "__edges", F.explode_outer("__seen").alias("root"))
-    also = ["__edit", "__kept"]
-    hv = encoding.bundled(encoding.walked(rows, book, k, ["graph_id", "ordinal", *also]), book, ["graph_id", "ordinal"], spec.features * (1 if negation == "complement" else 2), also)
-    found = clauses.fired_words(hv, model, spec, negation, keep=("graph_id", "ordinal", *also))
-    grouped = found.groupBy("graph_id", "ordinal").agg(*[F.first(c).alias(c) for c in also], *[F.bit_or(F.col("fired")[w]).alias(f"__w{w}") for w in words])
-    every = F.array(*[F.col(f"__w{w}").bitwiseOR(F.col("__kept")[w]) for w in words])
-    scored = grouped.select("graph_id", "ordinal", "__edit.*", every.alias("__every"))
-    return scored.select("graph_id", "ordinal", *EDIT, clauses.class_sum(F.col("__every"), spec).alias("class_sum"))
+    here = has_i[of_bond] & has_j[of_bond] & (u == i[of_bond]) & (v == j[of_bond])
+    bond = np.where(here & (op == "swap_bond_order")[of_bond], value[of_bond], bond)
+    stays = ~(here & (op == "remove_bond")[of_bond])
+    pu, pv, bond = (np.concatenate([a[stays], b]) for a, b in ((pu, au), (pv, av), (bond, value[added])))
+    owner, u, v = (np.concatenate([a[stays], b]) for a, b in ((of_bond, added), (u, new_u), (v, new_v)))
+    edge = np.empty(len(u), np.int64)
+    edge[np.lexsort((bond, v, u, owner))] = np.arange(len(u))
+    types = np.full(n, -1)
+    types[own] = atoms
+    both = lambda a, b: np.concatenate([a, b])
+    read = spec.features * (1 if negation == "complement" else 2)
+    hv = encoding.majorities(types, both(pu, pv), both(pv, pu), both(bond, bond), both(edge, edge), roots, known, k, read)
+    every = np.zeros((len(op), words), np.int64)
+    others = ~anew[fired_at]
+    np.bitwise_or.at(every, of_fired[others], words_at[others])
+    np.bitwise_or.at(every, of_root, clauses.fired_rows(trees, hv, spec, negation))
+    return graph, clauses.class_sums(every, spec)
 
 
 class MachineScore:
