@@ -12,7 +12,7 @@ built by Spark from the automata and broadcast, and the tables are made once in
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -130,3 +130,67 @@ def fired_words(nodes: DataFrame, built: Index, negation: str = "complement") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fired], names=["graph_id", "node_id", "fired"])
 
     return nodes.select("graph_id", "node_id", F.col("hv").cast("array<long>").alias("hv")).mapInArrow(run, f"graph_id {kinds['graph_id']}, node_id {kinds['node_id']}, fired array<long>")
+
+
+#: Clauses of a block and nodes of a chunk: what a task holds at once.
+BLOCK, NODES = 8192, 2048
+
+
+def _met(nodes: DataFrame, ta: DataFrame, spec: Spec, threshold: int, negation: str, work, schema: str) -> DataFrame:
+    """What `work` gives of every block of clauses and every chunk of nodes: work(first clause, graph_id, node_id, words of fired clauses).
+    Neither the index nor the nodes are ever in one place: a task builds the bitmaps of a block and holds a chunk of nodes."""
+    if negation not in ("complement", "offset"):
+        raise ValueError("negation is `complement` or `offset`")
+    count, chunks = -(-spec.clauses // BLOCK), max(1, -(-nodes.count() // NODES))
+    inside = F.least(F.lit(BLOCK), F.lit(spec.clauses) - F.col("block") * BLOCK)
+    rows = included(ta, threshold).withColumn("block", F.floor(F.col("clause") / BLOCK)).withColumn("own", F.col("clause") % BLOCK)
+    place = (F.col("k") * spec.leaf_or + F.col("m")) * F.ceil(inside / 64) + F.floor(F.col("own") / 64)
+    literal = F.col("feature") + F.when(F.col("n") >= spec.leaf_and, spec.features).otherwise(0)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("own") % 64).cast("int"))
+    entries = rows.select("block", literal.cast("int").alias("literal"), place.cast("int").alias("place"), bit.alias("bit"))
+    entries = entries.groupBy("block", "literal", "place").agg(F.bit_or("bit").alias("bits"))
+    entries = entries.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))) if chunks > 1 else entries.withColumn("chunk", F.lit(0))
+    placed = nodes.select("graph_id", "node_id", F.col("hv").cast("array<long>").alias("hv"), F.pmod(F.xxhash64("graph_id"), F.lit(chunks)).cast("int").alias("chunk"))
+    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
+    planes, need = spec.inner_or * spec.leaf_or, spec.features * (1 if negation == "complement" else 2)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not right.num_rows:
+            return pa.table(work(0, pa.array([], pa.int64()), pa.array([], pa.int64()), np.zeros((0, 1), np.uint64)))
+        block = right["block"][0].as_py()
+        own = replace(spec, clauses=min(BLOCK, spec.clauses - block * BLOCK))
+        bitmaps = np.zeros((2 * spec.features, planes * -(-own.clauses // 64)), np.int64)
+        bitmaps[left["literal"].to_numpy(), left["place"].to_numpy()] = left["bits"].to_numpy()
+        hv = right["hv"].combine_chunks()
+        words = hv.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)
+        if hv.null_count or len(words) % len(hv) or len(words) // len(hv) * 32 < need:
+            raise ValueError(f"a node has no vector of {need} bits")
+        x = np.unpackbits(words.view(np.uint8).reshape(len(hv), -1), axis=1, bitorder="little")
+        fired = _Evaluator(Index(own, bitmaps.view(np.uint64)), negation).rows(x)
+        return pa.table(work(block * BLOCK, right["graph_id"].combine_chunks().cast(pa.int64()), right["node_id"].combine_chunks().cast(pa.int64()), fired))
+
+    return entries.groupBy("block", "chunk").cogroup(placed.groupBy("block", "chunk")).applyInArrow(run, schema)
+
+
+def held_clauses(nodes: DataFrame, ta: DataFrame, spec: Spec, threshold: int, negation: str = "complement") -> DataFrame:
+    """graph_id, node_id and clause of every clause that holds at a node, for machines of any size. nodes and ta: as `fired_words` and
+    `index` take them."""
+
+    def work(first: int, graph: pa.Array, node: pa.Array, fired: np.ndarray) -> dict:
+        row, clause = np.nonzero(np.unpackbits(fired.view(np.uint8), axis=1, bitorder="little"))
+        return {"graph_id": graph.take(pa.array(row)), "node_id": node.take(pa.array(row)), "clause": pa.array(clause + first, pa.int64())}
+
+    return _met(nodes, ta, spec, threshold, negation, work, "graph_id long, node_id long, clause long")
+
+
+def graph_votes(nodes: DataFrame, ta: DataFrame, spec: Spec, threshold: int, negation: str = "complement") -> DataFrame:
+    """graph_id and votes (long, not clipped): even clauses that hold at any node of a graph, less odd ones. For machines of any size."""
+
+    def work(first: int, graph: pa.Array, node: pa.Array, fired: np.ndarray) -> dict:
+        graphs, of = np.unique(graph.to_numpy(zero_copy_only=False), return_inverse=True)
+        every = np.zeros((len(graphs), fired.shape[1]), np.uint64)
+        np.bitwise_or.at(every, of, fired)
+        count = lambda mask: np.bitwise_count(every & np.uint64(mask)).sum(axis=1, dtype=np.int64)
+        return {"graph_id": pa.array(graphs, pa.int64()), "votes": pa.array(count(0x5555555555555555) - count(0xAAAAAAAAAAAAAAAA), pa.int64())}
+
+    return _met(nodes, ta, spec, threshold, negation, work, "graph_id long, votes long").groupBy("graph_id").agg(F.sum("votes").alias("votes"))

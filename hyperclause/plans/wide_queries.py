@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits
 from ..functions.hashing import mix, mix_sql
-from ..operators import clause_index, clauses
+from ..operators import clause_index
 from .derived import read
 from .machine import SEED
 from .registry import query
@@ -18,8 +18,8 @@ _SHAPE = {"root": 2, "inner_or": 2, "inner_and": 2, "leaf_or": 2}
 _CUTS = "[" + ", ".join(map(str, LEVELS)) + "]"
 
 
-def _machine(spark, sf_dir) -> clause_index.Index:
-    """The automata that include: each leaf of a part's clause takes LITERALS literals by hashes of its key."""
+def _machine(spark, sf_dir):
+    """The automata that include, and the shape: each leaf of a part's clause takes LITERALS literals by hashes of its key."""
     parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"))
     last = parts.agg(F.max("key")).first()[0] or 0
     spec = clause_index.WideSpec(clauses=int(last) + 2 - int(last) % 2, leaf_and=LEAF_AND, threshold=2000, **_SHAPE)
@@ -30,7 +30,7 @@ def _machine(spark, sf_dir) -> clause_index.Index:
     rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(LITERALS - 1))))
     n = (F.floor(mix(F.col("key"), leaf * LITERALS + F.col("i"), SEED) / 64) % (2 * LEAF_AND)).cast("int")
     rows = rows.withColumn("n", n).withColumn("feature", (F.col("j") * 2 + F.col("l")) * LEAF_AND + F.col("n") % LEAF_AND)
-    return clause_index.index(rows.withColumn("state", F.lit(spec.states + 1)), spec, spec.states)
+    return rows.withColumn("state", F.lit(spec.states + 1)), spec
 
 
 def _nodes(spark, sf_dir):
@@ -56,18 +56,14 @@ _SQL = f"""lit AS (
 @query("cl07_indexed_clauses", f"WITH {_SQL} SELECT vec_id // 4 AS graph_id, CAST(vec_id % 4 AS INTEGER) AS node_id, CAST(clause AS INTEGER) AS clause FROM fired")
 def cl07_indexed(spark, sf_dir):
     """Every clause that holds at a node. Clause 0, which no part has, includes nothing and always holds; it is left out."""
-    built = _machine(spark, sf_dir)
-    fired = clause_index.fired_words(_nodes(spark, sf_dir), built)
-    numbers = F.flatten(F.transform("fired", lambda w, i: F.filter(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: F.when(F.getbit(w, b) == 1, i * 32 + b)), lambda c: c.isNotNull())))
-    rows = fired.select("graph_id", "node_id", F.explode_outer(numbers).alias("clause")).where("clause is not null")
-    return rows.join(F.broadcast(read(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("clause"))), "clause", "left_semi")
+    ta, spec = _machine(spark, sf_dir)
+    rows = clause_index.held_clauses(_nodes(spark, sf_dir), ta, spec, spec.states).select("graph_id", F.col("node_id").cast("int").alias("node_id"), F.col("clause").cast("int").alias("clause"))
+    return rows.join(read(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("clause")), "clause", "left_semi")
 
 
 @query("cl10_indexed_sums", f"WITH {_SQL}, g AS (SELECT DISTINCT vec_id // 4 AS graph_id, clause FROM fired), a AS (SELECT DISTINCT vec_id // 4 AS graph_id FROM embeddings) SELECT graph_id, CAST(greatest(-2000, least(2000, coalesce((SELECT sum(CASE WHEN clause % 2 = 0 THEN 1 ELSE -1 END) FROM g WHERE g.graph_id = a.graph_id), 0) + (SELECT coalesce(sum(CASE WHEN c % 2 = 0 THEN 1 ELSE -1 END), 0) FROM range((SELECT max(p_partkey) + 2 - max(p_partkey) % 2 FROM part)) t(c) WHERE c NOT IN (SELECT p_partkey FROM part)))) AS INTEGER) AS class_sum FROM a")
 def cl10_indexed(spark, sf_dir):
     """Class sums of the graphs: each clause votes once if it holds at any node; numbers that no part has are empty clauses."""
-    built = _machine(spark, sf_dir)
-    own = clauses.graph_clauses(clause_index.fired_words(_nodes(spark, sf_dir), built))
-    even, t = F.lit(0x55555555), F.lit(built.spec.threshold)
-    votes = F.aggregate("fired", F.lit(0), lambda a, w: a + (F.bit_count(w.bitwiseAND(even)) - F.bit_count(w.bitwiseAND(F.lit(0xAAAAAAAA)))).cast("int"))
-    return own.select("graph_id", F.greatest(-t, F.least(t, votes)).alias("class_sum"))
+    ta, spec = _machine(spark, sf_dir)
+    own, t = clause_index.graph_votes(_nodes(spark, sf_dir), ta, spec, spec.states), F.lit(spec.threshold)
+    return own.select("graph_id", F.greatest(-t, F.least(t, F.col("votes"))).cast("int").alias("class_sum"))
