@@ -316,6 +316,7 @@ def tr21(spark, sf_dir):
 @query("tr20_teacher_labels")
 def tr20(spark, sf_dir):
     features = training.neighbour_sums(derived.nodes(spark, sf_dir), _near(spark, sf_dir), derived.ATOMS, 2).join(derived.graphs(spark, sf_dir), "graph_id")
+    features = _fixed(spark)(features)  # read for the weights, the fit and the labels
     return training.teacher_labels(training.fit_teacher(features), features)
 
 
@@ -346,6 +347,7 @@ def enc22(spark, sf_dir):
 @query("tr23_forest_labels")
 def tr23(spark, sf_dir):
     prints = encoding.circular_fingerprints(derived.nodes(spark, sf_dir), _near(spark, sf_dir), 1, 64).join(derived.graphs(spark, sf_dir), "graph_id")
+    prints = _fixed(spark)(prints)  # read for the fit, which goes over it several times, and the labels
     model = training.fit_forest(prints, 64)
     return training.teacher_labels(model, training.sparse(prints, 64))
 

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from hyperclause.functions import bits
-from hyperclause.operators import clause_index, clauses, encoding, explain, recourse
+from hyperclause.operators import clause_index, clauses, encoding, explain, recourse, training
 
 SPEC = clauses.Spec()
 
@@ -64,3 +64,13 @@ def test_blocks_of_a_machine(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     votes = want.select("graph_id", "clause").distinct().groupBy("graph_id").agg(F.sum(1 - 2 * (F.col("clause") % 2)).alias("votes"))
     assert sorted(map(tuple, clause_index.graph_votes(nodes, ta, spec, spec.states).collect())) == sorted(map(tuple, votes.collect()))
+
+
+def test_pooled_sums_gather_a_graph_once(spark):
+    nodes, bonds = _graphs(spark)
+    near = encoding.adjacency(bonds)
+    found = training.neighbour_sums(nodes, near, 3, 2)
+    assert _plan(found).count("Join") == 1
+    got = {r.graph_id: r for r in found.collect()}
+    assert got[0].size == 1.0 and np.allclose(got[0].vector, [1, 0, 0, np.log(2), 0, 0, np.log1p(np.log(2)), 0, 0])
+    assert np.allclose(got[1].vector[:6], [0.5, 0.5, 0, np.log(2), np.log(2), 0])
