@@ -68,6 +68,139 @@ def candidates(firing: DataFrame, nodes: DataFrame, adjacent: DataFrame, atom_ty
     return distinct.withColumn("ordinal", rank).where(F.col("ordinal") <= most).select("graph_id", "ordinal", *EDIT)
 
 
+OPS = ["remove_bond", "swap_atom", "swap_bond_order", "add_bond"]
+REMOVE, SWAP, ORDER, ADD = range(4)
+
+
+def machine_candidates(rows: DataFrame, score: MachineScore, atom_types: int, most: int = 50, bond_types: int = 0, flips: int | None = None) -> DataFrame:
+    """What `candidates` gives for the clauses of a machine, from graphs that are gathered in rows (`encoding.gathered` of nodes and of
+    bonds without loops: u, v, bond_type). bond_types: clauses also fire on bonds (where they fire at both ends), which have so many
+    types; 0: they don't. flips: what `first_valid` commits of them in so many steps (graph_id, step, edit) instead.
+
+    Clauses are evaluated, and edits ordered, by the graphs of a batch together, so nothing shuffles and no firing clause is a row."""
+    spec, k, negation = score.spec, score.k, score.negation
+    known, trees = encoding.codes(score.book), score.model.first()["clauses"]  # the size of the machine
+    name = "ordinal" if flips is None else "step"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            if not whole.num_rows:
+                continue
+            n, m = (encoding.sizes(whole.column(f"__{c}")) for c in ("id", "u"))
+            for batch in encoding.slices(whole, (n + 2 * m) * (k + 1)):
+                graph, number, edits = _ranked(batch, known, k, trees, spec, negation, atom_types, bond_types, most)
+                if flips is not None:
+                    owner, _ = encoding.counts_to_rows(encoding.sizes(batch.column("__u")))
+                    number = _steps(graph, edits, (owner, *(encoding.flat(batch.column(f"__{c}")) for c in ("u", "v"))), flips)
+                    kept = number > 0
+                    graph, number, edits = graph[kept], number[kept], edits.filter(pa.array(kept))
+                yield pa.RecordBatch.from_arrays([batch.column("graph_id").take(pa.array(graph)), pa.array(number, pa.int32()), *edits.columns], names=["graph_id", name, *EDIT])
+
+    kind = rows.schema["graph_id"].dataType.simpleString()
+    return rows.where("graph_id is not null").mapInArrow(run, f"graph_id {kind}, {name} int, op string, i int, j int, new_value int")
+
+
+def _ranked(batch: pa.RecordBatch, known: dict, k: int, trees: list, spec: clauses.Spec, negation: str, atom_types: int, bond_types: int, most: int) -> tuple[np.ndarray, np.ndarray, pa.RecordBatch]:
+    """The candidates of the graphs of a batch in order: each one's graph (its row), its ordinal, and the edits."""
+    column = lambda c: batch.column(f"__{c}")
+    owner, _ = encoding.counts_to_rows(encoding.sizes(column("id")))
+    of_bond, _ = encoding.counts_to_rows(encoding.sizes(column("u")))
+    ids, u, v = (encoding.flat(column(c)) for c in ("id", "u", "v"))
+    (own, pu, pv), places = encoding.places_of([owner, of_bond, of_bond], [ids, u, v])
+    if len(np.unique(own)) < len(own):
+        raise ValueError("a node comes up twice in a graph")
+    (atom, no_atom), (bond, no_bond) = _values(column("atom")), _values(column("bond_type"))
+    edge = np.empty(len(u), np.int64)
+    order = np.lexsort((bond, ~no_bond, v, u, of_bond))
+    counts = np.bincount(of_bond, minlength=batch.num_rows)
+    edge[order] = np.arange(len(u)) - np.repeat(np.cumsum(counts) - counts, counts) + 1
+    types = np.full(places, -1)
+    types[own] = np.where(no_atom, -1, atom)
+    both = lambda a, b: np.concatenate([a, b])
+    bonded = np.where(no_bond, -1, bond)
+    hv = encoding.majorities(types, both(pu, pv), both(pv, pu), both(bonded, bonded), both(edge, edge), own, known, k, spec.features * (1 if negation == "complement" else 2))
+    fired = np.zeros((places, (spec.clauses - 1) // bits.WORD + 1), np.int64)
+    fired[own] = clauses.fired_rows(trees, hv, spec, negation)
+    first = _first_clause(fired)
+    low, high, none, some = np.minimum(u, v), np.maximum(u, v), np.ones(len(u), bool), np.zeros(len(u), bool)
+    new_atom, no_atoms = np.fmod(atom + 1, max(atom_types, 1)), np.ones(len(ids), bool)
+    # graph, clause, edges, where, kind, place, op, i, j, j is null, new_value, new_value is null
+    parts = [(of_bond, first[end], 0, where, 0, edge, REMOVE, low, high, some, 0, none) for end, where in ((pu, u), (pv, v))]
+    if atom_types > 1:
+        parts.append((owner, first[own], 0, ids, 1, 0, SWAP, ids, 0, no_atoms, np.where(no_atom, 0, new_atom), no_atom))
+    if bond_types:
+        at_both = _first_clause(fired[pu] & fired[pv])
+        parts.append((of_bond, at_both, 1, edge, 0, 0, REMOVE, low, high, some, 0, none))
+        if bond_types > 1:
+            parts.append((of_bond, at_both, 1, edge, 1, 0, ORDER, low, high, some, np.where(no_bond, 0, np.fmod(bond + 1, bond_types)), no_bond))
+    table = np.concatenate([np.stack(np.broadcast_arrays(*part)).astype(np.int64) for part in parts], axis=1)
+    table = table[:, table[1] < spec.clauses]
+    table = table[:, np.lexsort(table[5::-1])]
+    graph, op, i, j, no_j, value, no_value = table[[0, 6, 7, 8, 9, 10, 11]]
+    # The first of each graph's equal edits stays.
+    alike = np.lexsort((np.arange(len(graph)), no_value, value, no_j, j, i, op, graph))
+    ahead = table[[0, 6, 7, 8, 9, 10, 11]][:, alike]
+    fresh = np.ones(len(graph), bool)
+    fresh[alike[1:]] = (ahead[:, 1:] != ahead[:, :-1]).any(axis=0)
+    graph, op, i, j, no_j, value, no_value = (x[fresh] for x in (graph, op, i, j, no_j, value, no_value))
+    counts = np.bincount(graph, minlength=batch.num_rows)
+    ordinal = np.arange(len(graph)) - np.repeat(np.cumsum(counts) - counts, counts) + 1
+    kept = ordinal <= most
+    number = lambda x, null: pa.array(x[kept].astype(np.int32), mask=null[kept].astype(bool))
+    edits = pa.RecordBatch.from_arrays([pa.array(OPS).take(pa.array(op[kept])), pa.array(i[kept].astype(np.int32)), number(j, no_j), number(value, no_value)], names=EDIT)
+    return graph[kept], ordinal[kept], edits
+
+
+def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in a column of arrays, one after another, and which of them are null (0 there)."""
+    values = column.flatten()
+    return values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), values.is_null().to_numpy(zero_copy_only=False)
+
+
+def _first_clause(fired: np.ndarray) -> np.ndarray:
+    """The least clause that holds, from rows of words; a large number where none does."""
+    out = np.full(len(fired), np.iinfo(np.int64).max)
+    for w in range(fired.shape[1] - 1, -1, -1):
+        least = fired[:, w] & -fired[:, w]
+        out = np.where(least > 0, w * bits.WORD + np.frexp(least.astype(float))[1] - 1, out)
+    return out
+
+
+def _steps(graph: np.ndarray, edits: pa.RecordBatch, bonds: tuple[np.ndarray, np.ndarray, np.ndarray], flips: int) -> np.ndarray:
+    """The step (from 1) that commits each edit, or 0: every step takes each graph's first edit left that applies to what the steps
+    before have made. Edits come by graph, in order. bonds: graph, u and v of each."""
+    op = np.array(edits.column("op").to_pylist(), object)
+    i, j = (edits.column(c).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("i", "j"))
+    has_i, has_j = (edits.column(c).is_valid().to_numpy(zero_copy_only=False) for c in ("i", "j"))
+    pair, adds = has_i & has_j, op == "add_bond"
+    # A null end is left out of the least and the greatest, as SQL does.
+    least, greatest = np.where(pair, np.minimum(i, j), np.where(has_i, i, j)), np.where(pair, np.maximum(i, j), np.where(has_i, i, j))
+    ends = np.unique(np.concatenate([i, j, bonds[1], bonds[2]]), return_inverse=True)[1] if len(i) else np.zeros(0, np.int64)
+    width, n = int(ends.max(initial=0)) + 1, len(i)
+    number_i, number_j, number_u, number_v = ends[:n], ends[n : 2 * n], ends[2 * n : 2 * n + len(bonds[1])], ends[2 * n + len(bonds[1]) :]
+    if not n:
+        return np.zeros(0, np.int64)
+    number_least = np.where(least == i, number_i, number_j)
+    number_greatest = np.where(greatest == j, number_j, number_i)
+    key = lambda g, a, b: (g * width + a) * width + b
+    _, place = np.unique(np.concatenate([key(graph, number_i, number_j), key(graph, number_least, number_greatest), key(bonds[0], number_u, number_v)]), return_inverse=True)
+    asked, made, there = place[:n], place[n : 2 * n], place[2 * n :]
+    present = np.zeros(int(place.max()) + 1, bool)
+    present[there] = True
+    step_of = np.zeros(n, np.int64)
+    bonds_asked = (op == "remove_bond") | (op == "swap_bond_order")
+    for step in range(1, flips + 1):
+        held = present[asked] & pair
+        usable = np.flatnonzero((step_of == 0) & ((bonds_asked & held) | (adds & ~held) | (op == "swap_atom")))
+        if not len(usable):
+            break
+        chosen = usable[np.unique(graph[usable], return_index=True)[1]]
+        step_of[chosen] = step
+        present[asked[chosen[op[chosen] == "remove_bond"]]] = False
+        present[made[chosen[adds[chosen] & (has_i | has_j)[chosen]]]] = True
+    return step_of
+
+
 def applicable(edits: DataFrame, bonds: DataFrame) -> DataFrame:
     """The edits whose bonds are there (or, for add_bond, are not): semi and anti joins."""
     pairs = bonds.select("graph_id", F.col("u").alias("i"), F.col("v").alias("j"))
@@ -276,14 +409,17 @@ def search(nodes: DataFrame, bonds: DataFrame, edits: DataFrame, state: DataFram
 
 def first_valid(nodes: DataFrame, bonds: DataFrame, edits: DataFrame, fixed: Callable[[DataFrame], DataFrame], max_flips: int = 3, most: int = 50, valid: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """graph_id, step and edit: without an encoder nothing can be scored, so each step commits the first remaining edit that
-    applies and is valid, up to max_flips of them; graphs without any have no row. All graphs take a step together."""
+    applies and is valid, up to max_flips of them; graphs without any have no row. All graphs take a step together.
+
+    Where every edit is valid, a graph's edits and bonds are gathered once and all steps are taken there."""
+    if valid is None:
+        return _first_of_all(bonds, edits, max_flips)
     committed = None
     for step in range(1, max_flips + 1):
         usable = applicable(edits, bonds)
-        if valid is not None:
-            atoms, left = apply_edits(nodes, bonds, usable)
-            good = valid(_numbered(atoms, most), _numbered(left, most)).select(F.col("graph_id").alias("variant"))
-            usable = usable.withColumn("variant", F.col("graph_id") * (most + 1) + F.col("ordinal")).join(good, "variant", "left_semi").drop("variant")
+        atoms, left = apply_edits(nodes, bonds, usable)
+        good = valid(_numbered(atoms, most), _numbered(left, most)).select(F.col("graph_id").alias("variant"))
+        usable = usable.withColumn("variant", F.col("graph_id") * (most + 1) + F.col("ordinal")).join(good, "variant", "left_semi").drop("variant")
         steps = usable.groupBy("graph_id").agg(F.min_by(F.struct("ordinal", *EDIT), "ordinal").alias("b")).select("graph_id", "b.*")
         steps = fixed(steps.withColumn("step", F.lit(step)))
         committed = steps if committed is None else committed.unionByName(steps)
@@ -294,6 +430,30 @@ def first_valid(nodes: DataFrame, bonds: DataFrame, edits: DataFrame, fixed: Cal
     return committed.select("graph_id", "step", *EDIT)
 
 
+def _first_of_all(bonds: DataFrame, edits: DataFrame, max_flips: int) -> DataFrame:
+    lists = lambda df, names: df.where("graph_id is not null").groupBy("graph_id").agg(F.collect_list(F.struct(*names)).alias("__l"))
+    columns = ["ordinal", *EDIT]
+    asked = lists(edits, columns).select("graph_id", *[F.col(f"__l.{c}").alias(f"__{c}") for c in columns])
+    held = lists(bonds.where("u is not null and v is not null"), ["u", "v"]).select("graph_id", F.col("__l.u").alias("__u"), F.col("__l.v").alias("__v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            if not whole.num_rows:
+                continue
+            e, m = (encoding.sizes(whole.column(f"__{c}")) for c in ("ordinal", "u"))
+            for batch in encoding.slices(whole, e + m):
+                graph, _ = encoding.counts_to_rows(encoding.sizes(batch.column("__ordinal")))
+                owner, _ = encoding.counts_to_rows(encoding.sizes(batch.column("__u")))
+                order = np.lexsort((encoding.flat(batch.column("__ordinal")), graph))
+                own = pa.RecordBatch.from_arrays([batch.column(f"__{c}").flatten() for c in EDIT], names=EDIT).take(pa.array(order))
+                step = _steps(graph, own, (owner, *(encoding.flat(batch.column(f"__{c}")) for c in ("u", "v"))), max_flips)
+                kept = step > 0
+                yield pa.RecordBatch.from_arrays([batch.column("graph_id").take(pa.array(graph[kept])), pa.array(step[kept], pa.int32()), *own.filter(pa.array(kept)).columns], names=["graph_id", "step", *EDIT])
+
+    kinds = {c: edits.schema[c].dataType.simpleString() for c in ("graph_id", *EDIT)}
+    return asked.join(held, "graph_id", "left").mapInArrow(run, f"graph_id {kinds['graph_id']}, step int, " + ", ".join(f"{c} {kinds[c]}" for c in EDIT))
+
+
 def evaluation(asked: DataFrame, steps: DataFrame, seconds: DataFrame | None = None) -> DataFrame:
     """One row: n_evaluated, successes, success_rate, mean_flips, flips_p50 and flips_p95 of a search, and latency_ms_p50, p95
     and p99 if seconds (graph_id, seconds) are given. asked: graph_id of all graphs that were searched for; steps: as `search`

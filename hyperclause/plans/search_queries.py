@@ -49,14 +49,13 @@ _CANDIDATES = f"""{_NODE_EDITS},
     candidate AS MATERIALIZED (SELECT * FROM (SELECT graph_id, op, i, j, CAST(new_value AS INTEGER) AS new_value, CAST(row_number() OVER (PARTITION BY graph_id ORDER BY clause, node_id, kind, place) AS INTEGER) AS ordinal FROM ordered WHERE r = 1) WHERE ordinal <= 50)"""
 
 
-def _firing(spark, sf_dir, fired=None):
-    rows = (machine.fired(spark, sf_dir) if fired is None else fired).select("graph_id", "node_id", F.posexplode_outer(bits.unpack(F.col("fired"), SPEC.clauses)).alias("clause", "output"))
+def _firing(spark, sf_dir):
+    rows = machine.fired(spark, sf_dir).select("graph_id", "node_id", F.posexplode_outer(bits.unpack(F.col("fired"), SPEC.clauses)).alias("clause", "output"))
     return rows.where("output = 1").select("graph_id", "clause", "node_id")
 
 
-def _candidates(spark, sf_dir, fired=None):
-    found = recourse.candidates(_firing(spark, sf_dir, fired), derived.nodes(spark, sf_dir), _near(spark, sf_dir), derived.ATOMS)
-    return found.withColumn("new_value", F.col("new_value").cast("int"))
+def _candidates(spark, sf_dir, **asked):
+    return recourse.machine_candidates(derived.gathered(spark, sf_dir), _score(spark), derived.ATOMS, **asked)
 
 
 @query("rc05_candidates", f"{FIRED}, {_CANDIDATES} SELECT graph_id, ordinal, op, i, j, new_value FROM candidate")
@@ -78,18 +77,9 @@ _EDGE_CANDIDATES = f"""{_NODE_EDITS},
     candidate AS (SELECT * FROM (SELECT graph_id, op, i, j, new_value, CAST(row_number() OVER (PARTITION BY graph_id ORDER BY clause, e, w, kind, place) AS INTEGER) AS ordinal FROM ordered WHERE r = 1) WHERE ordinal <= 50)"""
 
 
-def _edge_candidates(spark, sf_dir):
-    firing, near = _fixed(spark)(_firing(spark, sf_dir)), _near(spark, sf_dir)
-    ends = near.where("src < dst").select("graph_id", "edge_id", "src", "dst")
-    at = lambda end: firing.select("graph_id", F.col("node_id").alias(end), "clause")
-    on_edges = ends.join(at("src"), ["graph_id", "src"]).join(at("dst"), ["graph_id", "dst", "clause"]).select("graph_id", "clause", "edge_id")
-    found = recourse.candidates(firing, derived.nodes(spark, sf_dir), near, derived.ATOMS, firing_edges=on_edges, bond_types=derived.BONDS)
-    return found.withColumn("new_value", F.col("new_value").cast("int"))
-
-
 @query("rc05_edge_candidates", f"{FIRED}, {_EDGE_CANDIDATES} SELECT graph_id, ordinal, op, i, j, new_value FROM candidate")
 def rc05_edges(spark, sf_dir):
-    return _edge_candidates(spark, sf_dir)
+    return _candidates(spark, sf_dir, bond_types=derived.BONDS)
 
 
 #: What the search without an encoder commits: the first three, as no candidate of a graph undoes another.
@@ -97,8 +87,7 @@ _FIRST = f"{FIRED}, {_CANDIDATES}, first AS (SELECT graph_id, ordinal AS step, o
 
 
 def _first_valid(spark, sf_dir):
-    fixed = _fixed(spark)
-    return recourse.first_valid(derived.nodes(spark, sf_dir), derived.bonds(spark, sf_dir), fixed(_candidates(spark, sf_dir)), fixed)
+    return _candidates(spark, sf_dir, flips=3)
 
 
 @query("rc07_first_valid", f"{_FIRST} SELECT graph_id, step, op, i, j, new_value FROM first")
@@ -142,7 +131,7 @@ def rc06_tried(spark, sf_dir):
 
 
 def _tried(spark, sf_dir, fired):
-    edits = _fixed(spark)(_candidates(spark, sf_dir, fired))
+    edits = _fixed(spark)(_candidates(spark, sf_dir))
     return _score(spark).trials(derived.nodes(spark, sf_dir), derived.bonds(spark, sf_dir), edits, fired)
 
 
