@@ -65,6 +65,18 @@ def random_bits(key: Column, dim: int, seed: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.floor(mix(key, i, seed) / 8) % 2).cast("int"))
 
 
+def places_words(places: list[Column], dim: int) -> Column:
+    """Words of `from_places` for places that are columns of their own, below dim each: flat. Null and negative ones set no bit."""
+    out = []
+    for w in range(-(-dim // WORD)):
+        word = F.lit(0).cast("long")
+        for p in places:
+            own = F.when(F.shiftright(p, 5) == w, power(p.bitwiseAND(F.lit(WORD - 1)))).otherwise(F.lit(0).cast("long"))
+            word = word.bitwiseOR(own)
+        out.append(word)
+    return F.array(*out)
+
+
 def bind(a: Column, b: Column) -> Column:
     """Exclusive or; its own inverse."""
     return _same_size(a, b, F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)))
@@ -119,10 +131,20 @@ def holds(words: Column, code: Column) -> Column:
     return F.forall(F.zip_with(words, code, lambda w, c: w.bitwiseAND(c) == c), lambda x: x)
 
 
-def hot_bits(key: Column, count: int, dim: int, seed: int) -> Column:
+def hot_places(key: Column, count: int, dim: int, seed: int) -> list[Column]:
     """`count` places for a symbol by double hashing: a start and an odd step."""
     start, step = mix(key, F.lit(0), seed) % dim, (mix(key, F.lit(1), seed) % F.lit(dim // 2)) * 2 + 1
-    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: ((start + i * step) % dim).cast("int"))
+    return [((start + F.lit(i) * step) % dim).cast("int") for i in range(count)]
+
+
+def hot_bits(key: Column, count: int, dim: int, seed: int) -> Column:
+    """The same as an array."""
+    return F.array(*hot_places(key, count, dim, seed))
+
+
+def inverted(words: Column, dim: int) -> Column:
+    """The negation of each of the first `dim` bits."""
+    return F.array(*[F.get(words, F.lit(w)).bitwiseXOR(F.lit((1 << min(WORD, dim - w * WORD)) - 1).cast("long")) for w in range(-(-dim // WORD))])
 
 
 def with_complement(bits: Column) -> Column:

@@ -23,6 +23,12 @@ def mix_sql(a: str, b: str, seed: int | str) -> str:
     return f"(((({a} * {FACTOR} + {b} * {STEP} + {seed}) % {PRIME}) * {FACTOR} + {b}) % {PRIME})"
 
 
+def mix_array(a: np.ndarray, b: int, seed: int) -> np.ndarray:
+    """What `mix` gives for keys in an array."""
+    b %= PRIME
+    return np.fmod(np.fmod(np.fmod(a, PRIME) * FACTOR + (b * STEP + seed), PRIME) * FACTOR + b, PRIME)
+
+
 def draw_array(a: int, b: np.ndarray, seed: int) -> np.ndarray:
     """Draws from 0 to PRIME - 1 for a counter and numbered places: `mix` made nonlinear, so that neither counters nor places in a
     row give a series. `draw_sql` gives the same."""

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits
-from ..functions.hashing import mix
+from ..functions.hashing import mix, mix_array
 
 KINDS = {"atom": 0, "bond": 1, "role": 2}
 #: Element symbols in codebook order (any other element takes the last place), bond names by code.
@@ -183,6 +183,22 @@ def _words(book: DataFrame) -> int:
     return book.select(F.size("words")).first()[0]
 
 
+def random_vectors(df: DataFrame, key: str, dim: int, seed: int) -> DataFrame:
+    """df with hv, the words of `bits.random_bits` of a key, by whole columns of keys. Words of a null key are null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(key)
+            keys, words = column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.zeros((batch.num_rows, -(-dim // bits.WORD)), np.int64)
+            for i in range(dim):
+                words[:, i // bits.WORD] |= (np.floor_divide(mix_array(keys, i, seed), 8) & 1) << (i % bits.WORD)
+            none = np.repeat(column.is_null().to_numpy(zero_copy_only=False), words.shape[1])
+            hv = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * words.shape[1], pa.int32()), pa.array(words.reshape(-1), mask=none))
+            yield pa.RecordBatch.from_arrays([*batch.columns, hv], names=[*batch.schema.names, "hv"])
+
+    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", hv array<long>")
+
+
 #: Bits of a count in a sum.
 LANE = 21
 
@@ -381,10 +397,16 @@ def circular_fingerprints(nodes: DataFrame, adjacent: DataFrame, radius: int, si
 
 def property_vectors(properties: DataFrame, size: int, hot: int, seed: int, complement: bool = True) -> DataFrame:
     """graph_id, node_id, bits: the places of all symbols of a node set, and the negations of all places after them."""
-    places = properties.select("graph_id", "node_id", F.explode(bits.hot_bits(F.col("symbol"), hot, size, seed)).alias("place")).groupBy("graph_id", "node_id")
-    found = places.agg(F.collect_set("place").alias("places"))
-    own = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.array_contains("places", i).cast("int"))
-    return found.select("graph_id", "node_id", (bits.with_complement(own) if complement else own).alias("bits"))
+    own = bits.unpack(F.col("words"), size)
+    return property_words(properties, size, hot, seed).select("graph_id", "node_id", (bits.with_complement(own) if complement else own).alias("bits"))
+
+
+def property_words(properties: DataFrame, size: int, hot: int, seed: int) -> DataFrame:
+    """graph_id, node_id, words: the same places, 32 in a word. A word is one OR over a node's symbols, so no place is a row."""
+    words = range(-(-size // bits.WORD))
+    coded = properties.select("graph_id", "node_id", bits.places_words(bits.hot_places(F.col("symbol"), hot, size, seed), size).alias("words"))
+    grouped = coded.groupBy("graph_id", "node_id").agg(*[F.bit_or(F.get("words", F.lit(w))).alias(f"__w{w}") for w in words])
+    return grouped.select("graph_id", "node_id", F.array(*[f"__w{w}" for w in words]).alias("words"))
 
 
 def packed(rows: DataFrame, keys: list[str], bit: str, value: str) -> DataFrame:

@@ -352,7 +352,7 @@ _FLAT_MACHINE = f"""{BASE}, {machine.ADJACENCY_SQL},
 
 def _flat_machine(spark, sf_dir):
     nodes = derived.nodes(spark, sf_dir)
-    vectors = nodes.withColumn("words", bits.from_places(bits.hot_bits(F.col("atom_type"), HOT, SIZE, SEED), SIZE))
+    vectors = nodes.withColumn("words", bits.places_words(bits.hot_places(F.col("atom_type"), HOT, SIZE, SEED), SIZE))
     every = spark.range(CLAUSES).select(F.col("id").cast("int").alias("clause"))
 
     def layer(size, first, seed, plain):
@@ -507,9 +507,8 @@ def enc15(spark, sf_dir):
 
 @query("enc18_complements", f"{BASE}, own AS (SELECT DISTINCT graph_id, node_id, {_place('atom_type', 'i', SEED)} AS place FROM nodes CROSS JOIN range({HOT}) t(i)) SELECT n.graph_id, n.node_id, CAST(count(DISTINCT o.place) AS BIGINT) AS plain, CAST({SIZE} - count(DISTINCT o.place) AS BIGINT) AS negated FROM nodes n LEFT JOIN own o ON o.graph_id = n.graph_id AND o.node_id = n.node_id GROUP BY n.graph_id, n.node_id")
 def enc18(spark, sf_dir):
-    vectors = _flat_machine(spark, sf_dir)[0].withColumn("both", bits.with_complement(bits.unpack(F.col("words"), SIZE)))
-    count = lambda first: F.aggregate(F.slice("both", first, SIZE), F.lit(0).cast("long"), lambda a, v: a + v)
-    return vectors.select("graph_id", "node_id", count(1).alias("plain"), count(SIZE + 1).alias("negated"))
+    count = lambda words: F.bit_count(words[0]).cast("long")  # noqa: E731  SIZE bits are one word
+    return _flat_machine(spark, sf_dir)[0].select("graph_id", "node_id", count(F.col("words")).alias("plain"), count(bits.inverted(F.col("words"), SIZE)).alias("negated"))
 
 
 @query("enc23_one_hot_features", f"{BASE} SELECT graph_id, node_id, CAST(CAST(1 AS BIGINT) << atom_type AS BIGINT) AS x FROM nodes")

@@ -47,11 +47,14 @@ def enc02(spark, sf_dir):
     SELECT p_brand, {machine.WORDS_SQL} FROM g GROUP BY p_brand""",
 )
 def enc03(spark, sf_dir):
-    from pyspark.sql import Window
-
-    parts = read(spark, sf_dir, "part").select("p_brand", "p_partkey", bits.pack(bits.random_bits(F.col("p_partkey"), DIM, SEED)).alias("hv"))
-    parts = parts.withColumn("lead", F.col("p_partkey") == F.min("p_partkey").over(Window.partitionBy("p_brand")))
-    return encoding.majority(parts, ["p_brand"], "hv", F.col("lead"), DIM).selectExpr("p_brand", *HV)
+    """Each brand's least key is joined on, a row for each brand, so that no brand's parts meet in one task. A small file is one
+    task's input: keys are spread before they are hashed."""
+    parts = read(spark, sf_dir, "part").select("p_brand", "p_partkey")
+    leads = parts.groupBy(F.col("p_brand").alias("__brand")).agg(F.min("p_partkey").alias("least"))
+    spread = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lead = F.coalesce(F.col("p_partkey") == F.col("least"), F.lit(False)).alias("lead")
+    coded = encoding.random_vectors(spread.join(F.broadcast(leads), F.col("p_brand").eqNullSafe(F.col("__brand"))).select("p_brand", "p_partkey", lead), "p_partkey", DIM, SEED)
+    return encoding.majority(coded, ["p_brand"], "hv", F.col("lead"), DIM).selectExpr("p_brand", *HV)
 
 
 @query("enc04_codebook", f"{BASE}, {machine.CODES_SQL}, used AS (SELECT 'atom' AS kind, atom_type AS code, count(*) AS uses FROM nodes GROUP BY atom_type UNION ALL SELECT 'bond', bond_type, count(*) FROM bonds GROUP BY bond_type) SELECT kind, code, any_value(uses) AS uses, CAST(sum(v) AS INTEGER) AS set_bits, {machine.WORDS_SQL} FROM codes JOIN used USING (kind, code) GROUP BY kind, code")
@@ -167,8 +170,8 @@ _PROPERTIES = f"""places AS (SELECT DISTINCT graph_id, node_id, {_hot("atom_type
 )
 def enc17(spark, sf_dir):
     symbols = derived.nodes(spark, sf_dir).withColumnRenamed("atom_type", "symbol")
-    packed = bits.pack(F.col("bits"))
-    return encoding.property_vectors(symbols, 32, 3, SEED).select("graph_id", "node_id", packed[0].alias("own"), packed[1].alias("complement"))
+    own = F.col("words")
+    return encoding.property_words(symbols, 32, 3, SEED).select("graph_id", "node_id", own[0].alias("own"), bits.inverted(own, 32)[0].alias("complement"))
 
 
 @query(

@@ -74,3 +74,28 @@ def test_pooled_sums_gather_a_graph_once(spark):
     got = {r.graph_id: r for r in found.collect()}
     assert got[0].size == 1.0 and np.allclose(got[0].vector, [1, 0, 0, np.log(2), 0, 0, np.log1p(np.log(2)), 0, 0])
     assert np.allclose(got[1].vector[:6], [0.5, 0.5, 0, np.log(2), np.log(2), 0])
+
+
+def test_words_of_keys_and_of_symbols(spark):
+    """Whole columns of keys give the coins of each; words give the places of a node's symbols, whatever is missing."""
+    keys = spark.createDataFrame([(k,) for k in (0, 1, 7, 2**31, 2**32 - 1, None)], "k long")
+    got = encoding.random_vectors(keys, "k", 70, 9).select("k", "hv", bits.pack(bits.random_bits(F.col("k"), 70, 9)).alias("want")).collect()
+    assert all(r.hv == (r.want if r.k is not None else [None] * 3) for r in got) and len({str(r.hv) for r in got}) == 4  # three keys are alike modulo the prime
+    rows = [(0, 0, 1), (0, 0, 2), (0, 1, None), (1, 0, 5), (1, 0, 5)]
+    nodes = spark.createDataFrame(rows, "graph_id long, node_id int, symbol int")
+    for size in (32, 45, 64):
+        places = {s: p for s, p in nodes.select("symbol", bits.hot_bits(F.col("symbol"), 3, size, 4)).where("symbol is not null").distinct().collect()}
+        want = {(g, n): [int(any(i in places.get(s, []) for a, b, s in rows if (a, b) == (g, n))) for i in range(size)] for g, n, _ in rows}
+        assert {(r.graph_id, r.node_id): r.bits for r in encoding.property_vectors(nodes, size, 3, 4, complement=False).collect()} == want
+        words = encoding.property_words(nodes, size, 3, 4).select("graph_id", "node_id", bits.unpack(bits.inverted(F.col("words"), size), size).alias("no"))
+        assert {(r.graph_id, r.node_id): [1 - b for b in r.no] for r in words.collect()} == want
+
+
+def test_no_brand_is_one_task(spark):
+    """The least key of a brand comes by a broadcast, without a window over all of a brand's parts; no symbol's place is a row."""
+    import __spark_entry__
+
+    plan = lambda name: __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan("enc03_majority")
+    assert "Generate" not in plan("enc17_properties") and "collect_set" not in plan("enc17_properties")
+    assert "aggregate(" not in plan("enc18_complements")
