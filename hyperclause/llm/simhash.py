@@ -84,26 +84,38 @@ def variants(fps: DataFrame) -> DataFrame:
     return rows.select("fp", "segment", "place", _half(F.col("fp"), F.col("segment")).bitwiseAND(F.col("mask")).alias("part"))
 
 
-def _met(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """From rows of a fingerprint fp, a key and the value of its deleted bit (null: none): the linked pairs in keys that up
-    to SMALL of them share, and the rows of keys that more share. Nearly all keys have one fingerprint, and only the others
-    are gathered; nor are those whose members all agree in the deleted bit, for they also share the whole segment."""
-    sums = rows.groupBy(*key).agg(F.sum(F.lit(1) + F.coalesce("bit", F.lit(0)) * F.lit(1 << 32)).alias("s"), F.max(F.col("bit").isNotNull()).alias("deleted"))
+def _met(rows: DataFrame, key: list[str], bit: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """From rows of a fingerprint fp and a key, and the value of its deleted bit (null: none) by these: the linked pairs in keys that
+    up to SMALL of them share, and the rows of keys that more share. Nearly all keys have one fingerprint, and only the others
+    are gathered; nor are those whose members all agree in the deleted bit, for they also share the whole segment.
+
+    Rows are dealt out once: both the sums and the rows that are joined with them read fp and key, nothing else, from one shuffle."""
+    dealt = rows.select("fp", *key).repartition(*key)
+    bit = F.lit(None).cast("long") if bit is None else bit
+    # The least fingerprint is asked for so that this reads the same columns where no bit is deleted.
+    sums = dealt.groupBy(*key).agg(F.sum(F.lit(1) + F.coalesce(bit, F.lit(0)) * F.lit(1 << 32)).alias("s"), F.max(bit.isNotNull()).alias("deleted"), F.min("fp").alias("least"))
     n, ones = F.col("s").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright("s", 32)
-    shared = fixed(sums.where((n > 1) & (~F.col("deleted") | ((ones > 0) & (ones < n)))).select(*key, n.alias("n")))
-    met = fixed(rows.join(shared, key))
+    shared = sums.where((n > 1) & (~F.col("deleted") | ((ones > 0) & (ones < n)))).select(*key, n.alias("n"), "least")
+    met = fixed(dealt.join(shared, key).where(F.col("fp") >= F.col("least")).drop("least"))
     few = met.where(F.col("n") <= SMALL).groupBy(*key).agg(F.array_sort(F.collect_list("fp")).alias("fps"))
     place = few.select("fps", F.posexplode("fps").alias("i", "a"))
     pairs = place.select("a", F.explode(F.slice("fps", F.col("i") + 2, F.lit(SMALL))).alias("b"))
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2), met.where(F.col("n") > SMALL).drop("n")
 
 
+def _of_key(rows: DataFrame) -> DataFrame:
+    """rows with the segment and the place that their key holds."""
+    return rows.withColumn("segment", F.shiftright("key", 40).cast("int")).withColumn("place", F.shiftright("key", 33).bitwiseAND(F.lit(63)).cast("int"))
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints at two differing bits or fewer that connect exactly the fingerprints that all
     such pairs connect. fps: one column, fp, of distinct values."""
-    keyed = variants(fps).withColumn("key", F.col("segment") * F.lit(1 << 40) + F.col("place") * F.lit(1 << 33) + F.col("part"))
-    value = F.getbit(_half(F.col("fp"), F.col("segment")), F.greatest(F.col("place") - 1, F.lit(0))).cast("long")
-    close, many = _met(keyed.select("fp", "key", "segment", "place", F.when(F.col("place") > 0, value).alias("bit")), ["key"])
+    keyed = variants(fps).select("fp", (F.col("segment") * F.lit(1 << 40) + F.col("place") * F.lit(1 << 33) + F.col("part")).alias("key"))
+    segment, place = F.shiftright("key", 40), F.shiftright("key", 33).bitwiseAND(F.lit(63)).cast("int")
+    value = F.when(place > 0, F.getbit(_half(F.col("fp"), segment), F.greatest(place - 1, F.lit(0))).cast("long"))
+    close, many = _met(keyed, ["key"], value)
+    many = _of_key(many)
 
     # A whole segment leaves a distance of two for the other segment, of which one half differs by one bit at most; a
     # deleted bit leaves one, and one half is equal.
@@ -112,9 +124,9 @@ def links(fps: DataFrame) -> DataFrame:
         frame = frame.select("fp", "key", "segment", "place", F.posexplode(masks).alias("finer", "mask"))
         return frame.withColumn("other", _half(F.col("fp"), 1 - F.col("segment")).bitwiseAND(F.col("mask"))).drop("mask")
 
-    halves_close, crowded = _met(finer(_HALVES, [0xFFFF0000, 0x0000FFFF], many).withColumn("bit", F.lit(None).cast("long")), ["key", "finer", "other"])
+    halves_close, crowded = _met(finer(_HALVES, [0xFFFF0000, 0x0000FFFF], many), ["key", "finer", "other"])
     # Where even these are crowded: all deletions. Those that share one are linked by definition, eight at most.
-    cells = finer(_PAIRS, _ONE[1:], crowded.select("fp", "key", "segment", "place").distinct())
+    cells = finer(_PAIRS, _ONE[1:], _of_key(crowded.select("fp", "key").distinct()))
     stars = cells.groupBy("key", "finer", "other").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("fps"))
     stars = stars.where(F.size("fps") > 1).select("a", F.explode("fps").alias("b")).where("a <> b")
     return close.unionByName(halves_close).unionByName(stars).distinct()

@@ -81,3 +81,19 @@ def test_nulls_and_no_rows(spark):
     df = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (2, "a b c d")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.component_id) for r in simhash.near_duplicates(df).collect()) == [(0, None), (2, 2), (5, 2)]
     assert simhash.near_duplicates(df.where(F.lit(False))).count() == 0
+
+
+def test_rows_are_dealt_out_once(spark, monkeypatch):
+    """The sums of keys and the rows that are joined with them read one shuffle."""
+    plans = []
+
+    def noted(df):
+        out = df.checkpoint()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    monkeypatch.setattr(simhash, "fixed", noted)
+    fps = spark.range(300).select((F.xxhash64("id")).alias("fp"))
+    simhash.links(fps.repartition(3)).count()
+    assert "ReusedExchange" in plans[0].split("Initial Plan")[0]
