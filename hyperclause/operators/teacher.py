@@ -12,15 +12,19 @@ repeated."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK, SUMS = 2048, 16
+#: Up to about so many nodes are worked on at once: their numbers stay in a core's cache.
+PIECE = 2048
 
 
 @dataclass(frozen=True)
@@ -38,13 +42,13 @@ class Shape:
 
     @property
     def size(self) -> int:
-        return sum(int(np.prod(s)) for _, s in self.parts())
+        return sum(math.prod(s) for _, s in self.parts())
 
     def split(self, flat: np.ndarray) -> dict[str, np.ndarray]:
         """The parameters by name, as views of one row."""
         out, at = {}, 0
         for name, shape in self.parts():
-            n = int(np.prod(shape))
+            n = math.prod(shape)
             out[name] = flat[at : at + n].reshape(shape)
             at += n
         return out
@@ -69,89 +73,145 @@ class Block:
     bond: np.ndarray
 
 
-def _summed(values: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
-    """The sums of the rows of values that go to each of n places."""
-    out = np.zeros((n, values.shape[1]))
-    np.add.at(out, to, values)
-    return out
+def pieces(b: Block, nodes: int) -> Iterator[tuple[slice, Block]]:
+    """The graphs of a block by runs of about so many nodes, and which they are. The edges of a block are ordered by graph."""
+    ends = np.cumsum(b.sizes)
+    cuts = [*np.flatnonzero(np.diff((ends - 1) // nodes, prepend=-1)), len(ends)]
+    of_nodes = np.concatenate([[0], ends])[cuts]
+    of_edges = np.searchsorted(b.src, of_nodes)
+    for g, h, i, j, k, m in zip(cuts, cuts[1:], of_nodes, of_nodes[1:], of_edges, of_edges[1:]):
+        yield slice(g, h), Block(b.atoms[i:j], b.sizes[g:h], b.src[k:m] - i, b.dst[k:m] - i, b.bond[k:m])
 
 
-def forward(p: dict[str, np.ndarray], layers: int, b: Block) -> tuple[np.ndarray, list]:
-    """The logit of each graph, and what the way back needs."""
-    owner, each = np.repeat(np.arange(len(b.sizes)), b.sizes), 1 / b.sizes[:, None]
-    h, kept = p["atom"][b.atoms], []
-    logit = (_summed(h, owner, len(b.sizes)) * each) @ p["head"][0] + p["bias"]
+def _places(to: np.ndarray, wide: int) -> np.ndarray:
+    """For each number of rows that are `wide`, its place among those of their sums."""
+    return (to[:, None] * wide + np.arange(wide)).ravel()
+
+
+def _summed(values: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the rows of values that go to each of n rows."""
+    return np.bincount(places, values.ravel(), n * values.shape[1]).reshape(n, -1)
+
+
+def _counted(row: np.ndarray, kind: np.ndarray, rows: int, kinds: int) -> np.ndarray:
+    """How often each kind occurs in each row."""
+    return np.bincount(row * kinds + kind, minlength=rows * kinds).reshape(rows, kinds).astype(float)
+
+
+def forward(p: dict[str, np.ndarray], layers: int, b: Block) -> tuple[np.ndarray, tuple[list, list]]:
+    """The logit of each graph, and what the way back needs: what came into and out of each layer, and the graphs' means of all layers."""
+    graphs, (kinds, wide) = len(b.sizes), p["bond0"].shape if layers else (0, p["atom"].shape[1])
+    owner, to, each = _places(np.repeat(np.arange(graphs), b.sizes), wide), _places(b.dst, wide), 1 / b.sizes[:, None]
+    bonds = _counted(b.dst, b.bond, len(b.atoms), kinds)
+    h, kept = p["atom"].take(b.atoms, axis=0), []
+    means = [_summed(h, owner, graphs) * each]
+    logit = means[0] @ p["head"][0] + p["bias"]
     for k in range(layers):
-        z = (1 + p[f"eps{k}"]) * h + _summed(h[b.src] + p[f"bond{k}"][b.bond], b.dst, len(h))
+        z = (1 + p[f"eps{k}"]) * h + _summed(h.take(b.src, axis=0), to, len(h)) + bonds @ p[f"bond{k}"]
         mid = np.maximum(z @ p[f"in{k}"] + p[f"in_bias{k}"], 0)
         out = np.maximum(mid @ p[f"out{k}"] + p[f"out_bias{k}"], 0)
         kept.append((h, z, mid, out))
         h = out
-        logit = logit + (_summed(h, owner, len(b.sizes)) * each) @ p["head"][k + 1]
-    return logit, kept
+        means.append(_summed(h, owner, graphs) * each)
+        logit = logit + means[-1] @ p["head"][k + 1]
+    return logit, (kept, means)
 
 
 def gradient(shape: Shape, flat: np.ndarray, b: Block, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The gradient of the weighted sum of the graphs' log losses, and the logits."""
-    p, owner, each = shape.split(flat), np.repeat(np.arange(len(b.sizes)), b.sizes), 1 / b.sizes[:, None]
-    logit, kept = forward(p, shape.layers, b)
+    p, owner = shape.split(flat), np.repeat(np.arange(len(b.sizes)), b.sizes)
+    logit, (kept, means) = forward(p, shape.layers, b)
     back = np.zeros(shape.size)
     g = shape.split(back)
     slope = weight * (1 / (1 + np.exp(-np.clip(logit, -500, 500))) - y)
-    at_nodes = (slope[:, None] * each)[owner]
+    at_nodes = (slope / b.sizes)[owner][:, None]
     g["bias"][...] = slope.sum()
-    mean = lambda h: (_summed(h, owner, len(b.sizes)) * each).T @ slope
+    to, bonds = _places(b.src, shape.hidden), _counted(b.dst, b.bond, len(b.atoms), shape.bonds)
     down = np.zeros((len(b.atoms), shape.hidden))
     for k in range(shape.layers - 1, -1, -1):
         h, z, mid, out = kept[k]
-        g["head"][k + 1] = mean(out)
+        g["head"][k + 1] = means[k + 1].T @ slope
         d = (down + at_nodes * p["head"][k + 1]) * (out > 0)
         g[f"out{k}"][...], g[f"out_bias{k}"][...] = mid.T @ d, d.sum(axis=0)
         d = (d @ p[f"out{k}"].T) * (mid > 0)
         g[f"in{k}"][...], g[f"in_bias{k}"][...] = z.T @ d, d.sum(axis=0)
         d = d @ p[f"in{k}"].T
-        g[f"eps{k}"][...] = (d * h).sum()
-        g[f"bond{k}"][...] = _summed(d[b.dst], b.bond, shape.bonds)
-        down = (1 + p[f"eps{k}"]) * d + _summed(d[b.dst], b.src, len(h))
-    first = p["atom"][b.atoms]
-    g["head"][0] = mean(first)
-    g["atom"][...] = _summed(down + at_nodes * p["head"][0], b.atoms, shape.atoms)
+        g[f"eps{k}"][...] = np.vdot(d, h)
+        g[f"bond{k}"][...] = bonds.T @ d
+        down = (1 + p[f"eps{k}"]) * d + _summed(d.take(b.dst, axis=0), to, len(h))
+    g["head"][0] = means[0].T @ slope
+    g["atom"][...] = _counted(np.arange(len(b.atoms)), b.atoms, len(b.atoms), shape.atoms).T @ (down + at_nodes * p["head"][0])
     return back, logit
 
 
-BLOCKS = "block long, ids array<long>, y array<int>, part array<int>, atoms array<int>, sizes array<int>, src array<int>, dst array<int>, bond array<int>"
+#: Whole numbers of nodes and edges are 32-bit integers in bytes, which pass between Spark and Python as they are.
+BLOCKS = "block long, ids array<long>, y array<int>, part array<int>, atoms binary, sizes binary, src binary, dst binary, bond binary"
+
+
+def parts(nodes: DataFrame, adjacent: DataFrame) -> DataFrame:
+    """graph_id, u, v and kind: a row for each node (v is null, kind its atom) and for each way of each bond."""
+    of_nodes = nodes.select("graph_id", F.col("node_id").cast("long").alias("u"), F.lit(None).cast("long").alias("v"), F.col("atom_type").cast("int").alias("kind"))
+    of_bonds = adjacent.select("graph_id", F.col("src").cast("long").alias("u"), F.col("dst").cast("long").alias("v"), F.col("bond_type").cast("int").alias("kind"))
+    return of_nodes.unionByName(of_bonds).where("graph_id is not null")
 
 
 def blocks(nodes: DataFrame, adjacent: DataFrame, graphs: DataFrame, fixed: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The graphs in blocks. nodes: graph_id, node_id, atom_type; adjacent: graph_id, src, dst, bond_type, both ways; graphs: graph_id
     and perhaps y (0 or 1) and split (train, valid or other). Graphs without nodes are left out."""
+    return blocks_of(lambda block: parts(nodes, adjacent).withColumn("block", block), graphs, fixed)
+
+
+def blocks_of(dealt: Callable[[Column], DataFrame], graphs: DataFrame, fixed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """As `blocks`, of what `dealt` makes of the number of a graph_id's block: the `parts` with this column. If it deals rows out by
+    this number before it derives the parts, nothing is shuffled again."""
     y = F.col("y") if "y" in graphs.columns else F.lit(0)
     part = F.when(F.col("split") == "train", 0).when(F.col("split") == "valid", 1).otherwise(2) if "split" in graphs.columns else F.lit(2)
-    own = nodes.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "atom_type"))).alias("nodes"))
-    edges = adjacent.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "bond_type"))).alias("edges"))
-    rows = graphs.select("graph_id", y.cast("int").alias("y"), part.alias("part")).join(own, "graph_id").join(edges, "graph_id", "left")
-    place = lambda end: F.transform("edges", lambda e: (F.array_position(F.transform("nodes", lambda n: n["node_id"]), e[end]) - 1).cast("int")).alias(end)
-    rows = rows.select("graph_id", "y", "part", F.transform("nodes", lambda n: n["atom_type"]).alias("atoms"), place("src"), place("dst"), F.transform("edges", lambda e: e["bond_type"]).alias("bond"))
-    rows = fixed(rows)
-    count = max(1, -(-rows.count() // BLOCK))
+    rows = fixed(graphs.where("graph_id is not null").select("graph_id", y.cast("int").alias("y"), part.alias("part")))
+    block = F.pmod(F.xxhash64("graph_id"), F.lit(max(1, -(-rows.count() // BLOCK))))
     names = [c.split()[0] for c in BLOCKS.split(", ")]
 
-    def gather(table: pa.Table) -> pa.Table:
-        table = table.sort_by("graph_id")
-        flat = lambda c: table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-        many = lambda c: np.array([0 if v is None else v for v in pa.compute.list_value_length(table[c]).to_pylist()])
-        sizes, counts = many("atoms"), many("src")
-        shift = np.repeat(np.cumsum(sizes) - sizes, counts)
-        made = [table["block"][0].as_py(), table["graph_id"].to_numpy(), table["y"].to_numpy(), table["part"].to_numpy(), flat("atoms"), sizes, flat("src") + shift, flat("dst") + shift, flat("bond")]
-        kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 7]
+    def gather(graphs: pa.Table, parts: pa.Table) -> pa.Table:
+        graphs = graphs.sort_by([("graph_id", "ascending"), ("part", "ascending"), ("y", "ascending")])
+        ids, is_node = graphs["graph_id"].to_numpy(), pa.compute.is_null(parts["v"])
+        of, u, atoms = (parts.filter(is_node)[c].to_numpy() for c in ("graph_id", "u", "kind"))
+        order = np.lexsort((atoms, u, of))
+        of, u, atoms = of[order], u[order], atoms[order]
+        first, last = np.searchsorted(of, ids), np.searchsorted(of, ids, "right")
+        graphs, ids, first, last = graphs.filter(last > first), *(x[last > first] for x in (ids, first, last))
+        # An edge's ends by their places among the nodes, which are ordered by graph, then node.
+        edge_of, *ends, bond = (parts.filter(pa.compute.invert(is_node))[c].to_numpy() for c in ("graph_id", "u", "v", "kind"))
+        known_ids, known = np.unique(ids), np.unique(u)
+        key = lambda graph, node: np.searchsorted(known_ids, graph) * len(known) + np.searchsorted(known, node)
+        kept = np.isin(of, known_ids)
+        at = key(of[kept], u[kept])
+        whole = np.flatnonzero(kept)
+        own = np.isin(edge_of, known_ids)
+        edge_of, bond, (src, dst) = edge_of[own], bond[own], (whole[np.searchsorted(at, key(edge_of[own], x[own].astype(np.int64)))] if own.any() else np.zeros(0, np.int64) for x in ends)
+        order = np.lexsort((bond, dst, src))
+        edge_of, src, dst, bond = edge_of[order], src[order], dst[order], bond[order]
+        sizes, low, high = last - first, np.searchsorted(edge_of, ids), np.searchsorted(edge_of, ids, "right")
+        shift = np.cumsum(sizes) - sizes - first
+        edges, moved = _ranges(low, high), np.repeat(shift, high - low)
+        numbers = [atoms[_ranges(first, last)], sizes, src[edges] + moved, dst[edges] + moved, bond[edges]]
+        if not len(ids):
+            return pa.table([pa.array([], t) for t in kinds], names=names)
+        made = [parts["block"][0].as_py(), ids, graphs["y"].to_numpy(), graphs["part"].to_numpy(), *[x.astype(np.int32).tobytes() for x in numbers]]
         return pa.table([pa.array([v], t) for v, t in zip(made, kinds)], names=names)
 
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("graph_id"), F.lit(count)))
-    return fixed(placed.groupBy("block").applyInArrow(gather, BLOCKS))
+    kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 2, *[pa.binary()] * 5]
+    return fixed(rows.withColumn("block", block).groupBy("block").cogroup(dealt(block).groupBy("block")).applyInArrow(gather, BLOCKS))
+
+
+def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The numbers from each first to before its last."""
+    count = last - first
+    return np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)
 
 
-def _read(row: dict) -> Block:
-    return Block(*[np.array(row[c], np.int64) for c in ("atoms", "sizes", "src", "dst", "bond")])
+def _read(batch: pa.RecordBatch, row: int) -> tuple[Block, dict[str, np.ndarray]]:
+    """A block, and the numbers, labels and parts of its graphs."""
+    numbers = [np.frombuffer(batch.column(c)[row].as_buffer(), np.int32) for c in ("atoms", "sizes", "src", "dst", "bond")]
+    return Block(*[x.astype(np.int64) for x in numbers]), {c: batch.column(c)[row].values.to_numpy() for c in ("ids", "y", "part")}
 
 
 STEP = "block long, loss double, graphs double, valid_loss double, valid_graphs double, gradient binary"
@@ -164,12 +224,16 @@ def step(of: DataFrame, shape: Shape, flat: np.ndarray, weights: tuple[float, fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                y, part = np.array(row["y"]), np.array(row["part"])
+            for row in range(batch.num_rows):
+                block, of_graphs = _read(batch, row)
+                y, part = of_graphs["y"], of_graphs["part"]
                 weight = np.where(y == 1, weights[1], weights[0])
-                back, logit = gradient(shape, held.value, _read(row), y, weight * (part == 0))
+                back, logit = np.zeros(shape.size), np.zeros(len(y))
+                for own, piece in pieces(block, PIECE):
+                    more, logit[own] = gradient(shape, held.value, piece, y[own], (weight * (part == 0))[own])
+                    back += more
                 loss = weight * np.logaddexp(0, np.where(y == 1, -logit, logit))
-                told = [row["block"], *[float(x[part == k].sum()) for k in (0, 1) for x in (loss, weight)], back.tobytes()]
+                told = [batch.column("block")[row].as_py(), *[float(x[part == k].sum()) for k in (0, 1) for x in (loss, weight)], back.tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([v]) for v in told], names=names)
 
     def add(table: pa.Table) -> pa.Table:
@@ -178,7 +242,7 @@ def step(of: DataFrame, shape: Shape, flat: np.ndarray, weights: tuple[float, fl
         sums = [pa.array([float(np.sum(table[c].to_numpy()))]) for c in names[1:-1]]
         return pa.table([table["block"].slice(0, 1), *sums, pa.array([total.tobytes()])], names=names)
 
-    parts = of.mapInArrow(run, STEP).groupBy(F.pmod("block", F.lit(SUMS))).applyInArrow(add, STEP).orderBy("block").collect()
+    parts = sorted(of.mapInArrow(run, STEP).groupBy(F.pmod("block", F.lit(SUMS))).applyInArrow(add, STEP).collect())
     held.destroy()
     total = [sum(r[c] for r in parts) for c in names[1:-1]]
     back = np.sum([np.frombuffer(r["gradient"]) for r in parts], axis=0) if parts else np.zeros(shape.size)
@@ -208,9 +272,11 @@ def predict(of: DataFrame, shape: Shape, flat: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                logit, _ = forward(shape.split(held.value), shape.layers, _read(row))
+            for row in range(batch.num_rows):
+                block, of_graphs = _read(batch, row)
+                p = shape.split(held.value)
+                logit = np.concatenate([forward(p, shape.layers, piece)[0] for _, piece in pieces(block, PIECE)])
                 p = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
-                yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["graph_id", "probability", "hard"])
+                yield pa.RecordBatch.from_arrays([pa.array(of_graphs["ids"], pa.int64()), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["graph_id", "probability", "hard"])
 
     return of.mapInArrow(run, "graph_id long, probability double, hard int")

@@ -99,3 +99,41 @@ def test_edge_cases(spark):
     assert teacher.predict(unlabelled, SHAPE, flat).agg(F.sum("hard")).first()[0] is not None
     assert (teacher.fit(unlabelled, SHAPE, 1)[0] == SHAPE.start(1)).all()
     assert teacher.predict(teacher.blocks(nodes.limit(0), near, graphs, fixed), SHAPE, flat).count() == 0
+
+
+def test_pieces_add_up():
+    """Runs of graphs of any size give the gradient and the logits of the whole block."""
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(1, 7, 40)
+    first = np.cumsum(sizes) - sizes
+    edges = np.array(sorted(e for f, n in zip(first, sizes) for i in range(n - 1) for e in ((f + i, f + i + 1), (f + i + 1, f + i))))
+    block = teacher.Block(rng.integers(0, 9, sizes.sum()), sizes, edges[:, 0], edges[:, 1], rng.integers(0, 4, len(edges)))
+    flat, y, weight = rng.normal(0, 0.5, SHAPE.size), rng.integers(0, 2, 40), rng.random(40)
+    back, logit = teacher.gradient(SHAPE, flat, block, y, weight)
+    for nodes in (1, 10, 64, 10**6):
+        runs = [(own, teacher.gradient(SHAPE, flat, piece, y[own], weight[own])) for own, piece in teacher.pieces(block, nodes)]
+        assert np.allclose(sum(g for _, (g, _) in runs), back, rtol=1e-12, atol=1e-13)
+        assert np.allclose(np.concatenate([found for _, (_, found) in runs]), logit, rtol=1e-12, atol=1e-13)
+        assert (nodes == 10**6) == (len(runs) == 1)
+
+
+def test_lines_are_shuffled_once(spark, tmp_path):
+    """Blocks of the sample graphs are those of their nodes and bonds, and no step of theirs but the first deals lines out."""
+    from hyperclause.plans import derived
+
+    r = random.Random(8)
+    orders = [(k, r.choice(("1-URGENT", "5-LOW"))) for k in range(1, 60)]
+    lines = [(k if r.random() > 0.02 else None, n + 1, r.randrange(200), 1, 1.0, 1.0, "1995-01-01", r.choice("NAR")) for k, _ in orders for n in range(r.randrange(8))]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate string, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    plans = []
+
+    def fixed(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.checkpoint()
+
+    graphs = derived.graphs(spark, str(tmp_path))
+    got = teacher.blocks_of(lambda block: derived.parts(spark, str(tmp_path), block), graphs, fixed).collect()
+    want = teacher.blocks(derived.nodes(spark, str(tmp_path)), encoding.adjacency(derived.bonds(spark, str(tmp_path))), graphs, lambda df: df.checkpoint()).collect()
+    assert got == want and len(got) == 1 and got[0].ids == sorted({k for k, *_ in lines if k is not None})
+    assert plans[-1].count("Exchange ") == 2  # of the graphs and of the lines
