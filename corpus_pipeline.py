@@ -3,6 +3,7 @@
 1. quality: documents that the quality classifier rejects (a score under 0.7) go.
 2. language: documents whose language can't be told (no letters, or a posterior under 0.5) go.
 3. near_duplicates: of each group of near copies (a similarity of 0.8 of their five-word shingles) the document with the least id stays.
+   Candidates are the groups of op3's fingerprints, and sets that share min-hashes; the similarity of each is checked.
 4. decontamination: documents with a passage of a benchmark item go.
 5. packing: what is left is tokenised and packed into sequences of 4096 tokens: a row for each piece, with its ids.
 

@@ -1,12 +1,15 @@
 """Near copies by deletion-variant signatures at a Jaccard similarity: the near-duplicate operator for long shingles.
 
 A text is the set of its shingles of WORDS words (lower-cased, split at white space; a shorter text is one shingle). Texts
-of equal sets are one node. As in `simhash`, a signature is cut into few segments, of which one differs in one place at
-most; each segment is indexed with every single place deleted; sets meet in an equality join and are verified. The places
-hold min-hashes instead of single bits: two sets of similarity s agree in a place with probability s, in a bit of a
-fingerprint only with about 1 - acos(2s / (1 + s)) / pi, where unrelated texts agree in half. At 0.8 some ten of 64 bits
-differ, so no segment of a useful length would. Of SEGMENTS segments of PLACES min-hashes one has a difference at most with
-probability 1 - (1 - s^PLACES - PLACES s^(PLACES - 1) (1 - s))^SEGMENTS: 0.9996 at 0.8, more above.
+of equal sets are one node. Candidates come from two kinds of keys, and all are verified by their exact similarity:
+
+* The groups of `simhash`: 64-bit fingerprints of three-word shingles, segments whole or with one bit deleted, equality
+  join, links at two differing bits. A group is a key of the sets of its texts.
+* At a similarity of 0.8 some ten of 64 bits differ, where unrelated texts meet too (a bit agrees with about
+  1 - acos(2s / (1 + s)) / pi), so no segment of a useful length would find those. For them each segment of a second
+  signature is indexed with every single place deleted, in the same way; its places hold min-hashes, of which two sets of
+  similarity s agree in a share of s. Of SEGMENTS segments of PLACES min-hashes one has a difference at most with
+  probability 1 - (1 - s^PLACES - PLACES s^(PLACES - 1) (1 - s))^SEGMENTS: 0.9996 at 0.8, more above.
 
 In a key that up to SMALL sets share all pairs are candidates. In a crowded one the candidates are the pairs with its
 centre, the set that shares the most crowded keys with others. All candidates are verified by their exact similarity. Then
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import LOWER_TABLE, SPACE_TABLE, annotated, fixed, mixed, ragged, run_hashes, text_slices, words
-from .simhash import components
+from .simhash import components, fingerprint_bits, linked
 
 WORDS, SIMILARITY = 5, 0.8
 SEGMENTS, PLACES = 9, 7
@@ -99,7 +102,7 @@ def _rows(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _marked(df: DataFrame, width: int) -> DataFrame:
-    """doc_id, set, n (its shingles), keys and odd (its parities) of each row."""
+    """doc_id, set, n (its shingles), keys, odd (its parities) and fp (its fingerprint) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in text_slices(batches):
@@ -108,9 +111,18 @@ def _marked(df: DataFrame, width: int) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(np.where(n > 0, SEGMENTS * PLACES, 0))])
             keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(variants(h, places).reshape(-1).view(np.int64)))
             odd = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * PARITIES, pa.int32()), pa.array(parities(h, places).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(set_ids(h, places).view(np.int64)), pa.array(n, pa.int64()), keys, odd], names=["doc_id", "set", "n", "keys", "odd"])
+            fp = pa.array(fingerprint_bits(data, offsets).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(set_ids(h, places).view(np.int64)), pa.array(n, pa.int64()), keys, odd, fp], names=["doc_id", "set", "n", "keys", "odd", "fp"])
+
+    return df.mapInArrow(run, "doc_id long, set long, n long, keys array<long>, odd array<long>, fp long")
+
 
-    return df.mapInArrow(run, "doc_id long, set long, n long, keys array<long>, odd array<long>")
+def _alike(marked: DataFrame) -> DataFrame:
+    """set, n and key: a key for each group of fingerprints, linked as `simhash` links them, of the texts of a set."""
+    told = fixed(marked.where("doc_id is not null and n > 0").select("set", "n", "fp").distinct())
+    groups = linked(told.select("fp").distinct()).withColumnRenamed("node", "fp")
+    key = F.xxhash64(F.coalesce("root", "fp"), F.lit("fingerprint"))
+    return fixed(told.join(groups, "fp", "left").select("set", "n", key.alias("key")).distinct())
 
 
 def _shingles(df: DataFrame, width: int) -> DataFrame:
@@ -189,7 +201,7 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     texts = _rows(df, doc_id, text)
     marked = fixed(_marked(texts, width))
     groups = fixed(marked.where("doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("least"), *[F.first(x).alias(x) for x in ("n", "keys", "odd")]))
-    pairs, stars, crowded = _met(groups.select("set", "n", F.explode("keys").alias("key")), similarity)
+    pairs, stars, crowded = _met(groups.select("set", "n", F.explode("keys").alias("key")).unionByName(_alike(marked)), similarity)
     candidates = fixed(pairs.unionByName(stars).distinct())
     crowded = fixed(crowded)
     nodes = candidates.select(F.col("a").alias("set")).unionByName(candidates.select(F.col("b").alias("set"))).unionByName(crowded.select("set")).distinct()

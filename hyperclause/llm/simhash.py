@@ -28,37 +28,42 @@ WORDS = 3
 SMALL = 16
 
 
+def fingerprint_bits(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The fingerprints of the texts of a slice."""
+    data = LOWER_TABLE[data]
+    starts, ends, first = words(data, offsets, ~SPACE_TABLE[data])
+    # The words of the slice with one space between: shingles are ranges of it.
+    lengths = ends - starts
+    begin = np.cumsum(lengths + 1) - lengths - 1
+    joined = np.full(int((lengths + 1).sum()), 32, np.uint8)
+    keep = ~SPACE_TABLE[data]
+    spaced = np.zeros(len(joined), bool)
+    spaced[(begin + lengths)] = True
+    joined[~spaced] = data[keep]
+    raw, end = joined.tobytes(), begin + lengths
+    count = np.diff(first)
+    shingles = np.where(count >= WORDS, count - WORDS + 1, np.minimum(count, 1))
+    heads = np.concatenate([[0], np.cumsum(shingles)])
+    order = np.arange(heads[-1]) + np.repeat(first[:-1] - heads[:-1], shingles)
+    last = order + np.repeat(np.minimum(np.maximum(count, 1), WORDS) - 1, shingles)
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(raw[a:b], SEED) for a, b in zip(begin[order].tolist(), end[last].tolist())], np.uint64)
+    out = np.zeros(len(count), np.uint64)
+    for d in np.flatnonzero(shingles):
+        own = hashes[heads[d] : heads[d + 1]]
+        votes = np.zeros(64, np.int64)
+        for k in range(0, len(own), 1 << 16):  # whole texts, in bounded pieces
+            votes += np.unpackbits(own[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[d] = np.packbits(votes * 2 > len(own), bitorder="little").view(np.uint64)[0]
+    return out
+
+
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and fp (long: the 64 bits) of every row; a text without words, or null, has 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in text_slices(batches):
-            data = LOWER_TABLE[data]
-            starts, ends, first = words(data, offsets, ~SPACE_TABLE[data])
-            # The words of the slice with one space between: shingles are ranges of it.
-            lengths = ends - starts
-            begin = np.cumsum(lengths + 1) - lengths - 1
-            joined = np.full(int((lengths + 1).sum()), 32, np.uint8)
-            keep = ~SPACE_TABLE[data]
-            spaced = np.zeros(len(joined), bool)
-            spaced[(begin + lengths)] = True
-            joined[~spaced] = data[keep]
-            raw, end = joined.tobytes(), begin + lengths
-            count = np.diff(first)
-            shingles = np.where(count >= WORDS, count - WORDS + 1, np.minimum(count, 1))
-            heads = np.concatenate([[0], np.cumsum(shingles)])
-            order = np.arange(heads[-1]) + np.repeat(first[:-1] - heads[:-1], shingles)
-            last = order + np.repeat(np.minimum(np.maximum(count, 1), WORDS) - 1, shingles)
-            digest = xxhash.xxh64_intdigest
-            hashes = np.array([digest(raw[a:b], SEED) for a, b in zip(begin[order].tolist(), end[last].tolist())], np.uint64)
-            out = np.zeros(len(count), np.uint64)
-            for d in np.flatnonzero(shingles):
-                own = hashes[heads[d] : heads[d + 1]]
-                votes = np.zeros(64, np.int64)
-                for k in range(0, len(own), 1 << 16):  # whole texts, in bounded pieces
-                    votes += np.unpackbits(own[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                out[d] = np.packbits(votes * 2 > len(own), bitorder="little").view(np.uint64)[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprint_bits(data, offsets).view(np.int64))], names=["doc_id", "fp"])
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())]))
@@ -156,6 +161,12 @@ def components(pairs: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def linked(fps: DataFrame) -> DataFrame:
+    """node and root of every fingerprint that is linked with another. fps: one column, fp, of distinct values."""
+    # Few bytes, but each row is multiplied: spread over all tasks rather than by size.
+    return components(links(fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")))
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp (long) and component_id (the least doc_id reachable over links of two differing bits or fewer) of every row.
 
@@ -165,9 +176,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     marked = fixed(fingerprints(df, doc_id, text))
     known = marked.where(F.col("doc_id").isNotNull())
     groups = fixed(known.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    # Few bytes, but each row is multiplied: spread over all tasks rather than by size.
-    spread = groups.select("fp").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    roots = components(links(spread))
+    roots = linked(groups.select("fp"))
     placed = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = placed.join(named, "root").select("fp", "component_id")

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hyperclause.llm import near_copies
+from hyperclause.llm import near_copies, simhash
 
 
 def shingles(text):
@@ -61,3 +62,21 @@ def test_recall_at_the_least_similarity(spark):
     assert 0.8 <= len(shingles(docs[0][1]) & shingles(docs[1][1])) / len(shingles(docs[0][1]) | shingles(docs[1][1])) < 0.81
     got = {r.doc_id: r.component_id for r in near_copies.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert sum(got[2 * k + 1] == 2 * k for k in range(300)) >= 298
+
+
+def test_fingerprints_find_what_min_hashes_miss(spark):
+    """Texts at a similarity of 0.81 that share no key of min-hashes, but a fingerprint: a phrase that is repeated decides its bits."""
+    r = random.Random(6076)
+    word = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    cycle, shared = " ".join(word(7) * 300), word(86)
+    texts = [" ".join([cycle, *shared, *own]) for own in (word(11), word(11))]
+    other = " ".join([cycle, *word(97)])  # the same fingerprint, but not similar
+    for small in texts:
+        assert 0.8 <= len(shingles(small) & shingles(texts[0])) / len(shingles(small) | shingles(texts[0]))
+    found = simhash.fingerprints(spark.createDataFrame([*enumerate(texts), (2, other)], "doc_id long, text string")).collect()
+    assert len({row.fp for row in found}) == 1
+    raw = [t.encode() for t in texts]
+    keys = near_copies.variants(*near_copies.shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 5))
+    assert not set(keys[0]) & set(keys[1])
+    got = near_copies.near_copies(spark.createDataFrame([(5, texts[0]), (9, texts[1]), (3, other)], "doc_id long, text string")).collect()
+    assert {row.doc_id: row.component_id for row in got} == {5: 5, 9: 5, 3: 3}
