@@ -11,11 +11,12 @@ built by Spark from the automata and broadcast, and the tables are made once in
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,65 +133,120 @@ def fired_words(nodes: DataFrame, built: Index, negation: str = "complement") ->
     return nodes.select("graph_id", "node_id", F.col("hv").cast("array<long>").alias("hv")).mapInArrow(run, f"graph_id {kinds['graph_id']}, node_id {kinds['node_id']}, fired array<long>")
 
 
-#: Clauses of a block and nodes of a chunk: what a task holds at once.
-BLOCK, NODES = 8192, 2048
+#: Clauses of a block and nodes of a chunk: what a task holds at once. Nodes whose clauses are given at once.
+BLOCK, NODES, GIVEN = 8192, 4096, 256
+#: Rows that are packed together before they are shuffled, and chunks that a task reads of each block, about.
+PACKED, BESIDE = 1 << 20, 64
 
 
-def _met(nodes: DataFrame, ta: DataFrame, spec: Spec, threshold: int, negation: str, work, schema: str) -> DataFrame:
+def _packed(rows: DataFrame, key: str, schema: str, pack: Callable[[pa.Table], list]) -> DataFrame:
+    """key and what `pack` makes of its rows: a row for each key of every PACKED rows of the input."""
+    kinds = pa.schema([(key, pa.int64()), *[(c.split()[0], {"binary": pa.binary(), "array<long>": pa.list_(pa.int64())}[c.split()[1]]) for c in schema.split(", ")]])
+
+    def pieces(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).sort_by(key)
+        keys = table[key].to_numpy()
+        starts = np.flatnonzero(np.diff(keys, prepend=-1))
+        for a, b in zip(starts, [*starts[1:], len(keys)]):
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([[int(keys[a])], *([x] for x in pack(table.slice(a, b - a)))], kinds)], schema=kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= PACKED:
+                yield from pieces(held)
+                held, n = [], 0
+        if n:
+            yield from pieces(held)
+
+    return rows.mapInArrow(run, f"{key} long, {schema}")
+
+
+def _met(nodes: DataFrame, ta: DataFrame, spec: Spec, threshold: int, negation: str, work: Callable[..., Iterator[dict]], schema: str, empty: bool = True) -> DataFrame:
     """What `work` gives of every block of clauses and every chunk of nodes: work(first clause, graph_id, node_id, words of fired clauses).
-    Neither the index nor the nodes are ever in one place: a task builds the bitmaps of a block and holds a chunk of nodes."""
+    Neither the index nor the nodes are ever in one place: a task holds the bitmaps of a block and a chunk of nodes. Both sides are packed
+    and written once, and each task reads its part of either, so that what lies on disk grows with their sum, not with their product.
+    empty: whether clauses that include nothing, which always hold, count."""
     if negation not in ("complement", "offset"):
         raise ValueError("negation is `complement` or `offset`")
     count, chunks = -(-spec.clauses // BLOCK), max(1, -(-nodes.count() // NODES))
-    inside = F.least(F.lit(BLOCK), F.lit(spec.clauses) - F.col("block") * BLOCK)
-    rows = included(ta, threshold).withColumn("block", F.floor(F.col("clause") / BLOCK)).withColumn("own", F.col("clause") % BLOCK)
-    place = (F.col("k") * spec.leaf_or + F.col("m")) * F.ceil(inside / 64) + F.floor(F.col("own") / 64)
-    literal = F.col("feature") + F.when(F.col("n") >= spec.leaf_and, spec.features).otherwise(0)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("own") % 64).cast("int"))
-    entries = rows.select("block", literal.cast("int").alias("literal"), place.cast("int").alias("place"), bit.alias("bit"))
-    entries = entries.groupBy("block", "literal", "place").agg(F.bit_or("bit").alias("bits"))
-    entries = entries.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))) if chunks > 1 else entries.withColumn("chunk", F.lit(0))
-    placed = nodes.select("graph_id", "node_id", F.col("hv").cast("array<long>").alias("hv"), F.pmod(F.xxhash64("graph_id"), F.lit(chunks)).cast("int").alias("chunk"))
-    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
+    cores = nodes.sparkSession.sparkContext.defaultParallelism
+    left = min(count, 4 * cores)
+    right = min(chunks, max(-(-chunks // BESIDE), -(-4 * cores // left)))
     planes, need = spec.inner_or * spec.leaf_or, spec.features * (1 if negation == "complement" else 2)
+    width = -(-need // 32)
+    kind = np.int32 if 2 * spec.features * planes * BLOCK < 1 << 31 else np.int64
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not right.num_rows:
-            return pa.table(work(0, pa.array([], pa.int64()), pa.array([], pa.int64()), np.zeros((0, 1), np.uint64)))
-        block = right["block"][0].as_py()
-        own = replace(spec, clauses=min(BLOCK, spec.clauses - block * BLOCK))
-        bitmaps = np.zeros((2 * spec.features, planes * -(-own.clauses // 64)), np.int64)
-        bitmaps[left["literal"].to_numpy(), left["place"].to_numpy()] = left["bits"].to_numpy()
-        hv = right["hv"].combine_chunks()
-        words = hv.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)
-        if hv.null_count or len(words) % len(hv) or len(words) // len(hv) * 32 < need:
+    literal = F.col("feature") + F.when(F.col("n") >= spec.leaf_and, spec.features).otherwise(0)
+    code = (literal.cast("long") * planes + F.col("k") * spec.leaf_or + F.col("m")) * BLOCK + F.col("clause") % BLOCK
+    rows = included(ta, threshold).where(F.col("clause").between(0, spec.clauses - 1))
+    codes = _packed(rows.select(F.floor(F.col("clause") / BLOCK).alias("block"), code.alias("code")), "block", "codes binary", lambda t: [t["code"].to_numpy().astype(kind).tobytes()])
+    every = nodes.sparkSession.range(count).select(F.col("id").alias("block"), F.lit(b"").alias("codes"))  # blocks without automata too
+    blocks = codes.unionByName(every).repartition(left, "block").groupBy("block").agg(F.collect_list("codes").alias("codes"))
+
+    def own_nodes(t: pa.Table) -> list:
+        hv = t["hv"].combine_chunks()
+        sizes = pa.compute.list_value_length(hv).fill_null(0).to_numpy()
+        if (sizes < width).any():
             raise ValueError(f"a node has no vector of {need} bits")
-        x = np.unpackbits(words.view(np.uint8).reshape(len(hv), -1), axis=1, bitorder="little")
-        fired = _Evaluator(Index(own, bitmaps.view(np.uint64)), negation).rows(x)
-        return pa.table(work(block * BLOCK, right["graph_id"].combine_chunks().cast(pa.int64()), right["node_id"].combine_chunks().cast(pa.int64()), fired))
+        at = (np.cumsum(sizes) - sizes)[:, None] + np.arange(width)
+        words = hv.flatten().to_numpy(zero_copy_only=False)[at].astype(np.uint32)
+        return [t["graph_id"].combine_chunks(), t["node_id"].combine_chunks(), words.tobytes()]
+
+    placed = nodes.select(F.col("graph_id").cast("long").alias("graph_id"), F.col("node_id").cast("long").alias("node_id"), F.col("hv").cast("array<long>").alias("hv"), F.pmod(F.xxhash64("graph_id"), F.lit(chunks)).cast("long").alias("chunk"))
+    parts = _packed(placed, "chunk", "graph array<long>, node array<long>, words binary", own_nodes)
+    parts = parts.repartition(right, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("graph", "node", "words")).alias("nodes"))
+
+    def engine_of(block: int, pieces: list[bytes]) -> tuple[_Evaluator, np.ndarray]:
+        own = replace(spec, clauses=min(BLOCK, spec.clauses - block * BLOCK))
+        codes = np.concatenate([np.frombuffer(x, kind) for x in pieces]).astype(np.int64)
+        bitmaps = np.zeros((2 * spec.features, planes, -(-BLOCK // 64)), np.uint64)
+        np.bitwise_or.at(bitmaps.reshape(-1), codes // BLOCK * bitmaps.shape[2] + codes % BLOCK // 64, np.uint64(1) << (codes % BLOCK % 64).astype(np.uint64))
+        bitmaps = bitmaps[:, :, : -(-own.clauses // 64)]
+        counted = ~np.zeros(bitmaps.shape[2], np.uint64) if empty else np.bitwise_or.reduce(bitmaps, axis=(0, 1))
+        return _Evaluator(Index(own, bitmaps.reshape(len(bitmaps), -1)), negation), counted
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, engine, counted = None, None, None
+        for batch in batches:
+            for i, block in enumerate(batch.column(0).to_pylist()):
+                if block != known:
+                    known, (engine, counted) = block, engine_of(block, batch.column(1)[i].as_py())
+                held = batch.column(2)[i].values
+                words = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in held.field("words")]).reshape(-1, width * 4)
+                fired = engine.rows(np.unpackbits(words, axis=1, bitorder="little")) & counted
+                for rows in work(block * BLOCK, *(held.field(c).flatten() for c in ("graph", "node")), fired):
+                    yield pa.RecordBatch.from_pydict(rows)
 
-    return entries.groupBy("block", "chunk").cogroup(placed.groupBy("block", "chunk")).applyInArrow(run, schema)
+    # Every block meets every chunk: a task goes through the chunks of its part for each of its blocks.
+    return blocks.hint("shuffle_replicate_nl").crossJoin(parts).select("block", "codes", "nodes").mapInArrow(run, schema)
 
 
-def held_clauses(nodes: DataFrame, ta: DataFrame, spec: Spec, threshold: int, negation: str = "complement") -> DataFrame:
+def held_clauses(nodes: DataFrame, ta: DataFrame, spec: Spec, threshold: int, negation: str = "complement", empty: bool = True) -> DataFrame:
     """graph_id, node_id and clause of every clause that holds at a node, for machines of any size. nodes and ta: as `fired_words` and
-    `index` take them."""
+    `index` take them. empty: whether clauses that include nothing, which always hold, are given."""
 
-    def work(first: int, graph: pa.Array, node: pa.Array, fired: np.ndarray) -> dict:
-        row, clause = np.nonzero(np.unpackbits(fired.view(np.uint8), axis=1, bitorder="little"))
-        return {"graph_id": graph.take(pa.array(row)), "node_id": node.take(pa.array(row)), "clause": pa.array(clause + first, pa.int64())}
+    def work(first: int, graph: pa.Array, node: pa.Array, fired: np.ndarray) -> Iterator[dict]:
+        for a in range(0, len(fired), GIVEN):
+            row, clause = np.nonzero(np.unpackbits(fired[a : a + GIVEN].view(np.uint8), axis=1, bitorder="little"))
+            at = pa.array(row + a)
+            yield {"graph_id": graph.take(at), "node_id": node.take(at), "clause": pa.array(clause + first, pa.int64())}
 
-    return _met(nodes, ta, spec, threshold, negation, work, "graph_id long, node_id long, clause long")
+    return _met(nodes, ta, spec, threshold, negation, work, "graph_id long, node_id long, clause long", empty)
 
 
 def graph_votes(nodes: DataFrame, ta: DataFrame, spec: Spec, threshold: int, negation: str = "complement") -> DataFrame:
     """graph_id and votes (long, not clipped): even clauses that hold at any node of a graph, less odd ones. For machines of any size."""
 
-    def work(first: int, graph: pa.Array, node: pa.Array, fired: np.ndarray) -> dict:
-        graphs, of = np.unique(graph.to_numpy(zero_copy_only=False), return_inverse=True)
-        every = np.zeros((len(graphs), fired.shape[1]), np.uint64)
-        np.bitwise_or.at(every, of, fired)
+    def work(first: int, graph: pa.Array, node: pa.Array, fired: np.ndarray) -> Iterator[dict]:
+        graphs = graph.dictionary_encode("encode")
+        of = graphs.indices.to_numpy()
+        order = np.argsort(of, kind="stable")
+        every = np.bitwise_or.reduceat(fired[order], np.flatnonzero(np.diff(of[order], prepend=-1)), axis=0)  # a graph lies in one chunk
         count = lambda mask: np.bitwise_count(every & np.uint64(mask)).sum(axis=1, dtype=np.int64)
-        return {"graph_id": pa.array(graphs, pa.int64()), "votes": pa.array(count(0x5555555555555555) - count(0xAAAAAAAAAAAAAAAA), pa.int64())}
+        yield {"graph_id": graphs.dictionary, "votes": pa.array(count(0x5555555555555555) - count(0xAAAAAAAAAAAAAAAA), pa.int64())}
 
     return _met(nodes, ta, spec, threshold, negation, work, "graph_id long, votes long").groupBy("graph_id").agg(F.sum("votes").alias("votes"))

@@ -55,10 +55,10 @@ _SQL = f"""lit AS (
 
 @query("cl07_indexed_clauses", f"WITH {_SQL} SELECT vec_id // 4 AS graph_id, CAST(vec_id % 4 AS INTEGER) AS node_id, CAST(clause AS INTEGER) AS clause FROM fired")
 def cl07_indexed(spark, sf_dir):
-    """Every clause that holds at a node. Clause 0, which no part has, includes nothing and always holds; it is left out."""
+    """Every clause that holds at a node. Numbers that no part has, as 0, include nothing and always hold; they are left out."""
     ta, spec = _machine(spark, sf_dir)
-    rows = clause_index.held_clauses(_nodes(spark, sf_dir), ta, spec, spec.states).select("graph_id", F.col("node_id").cast("int").alias("node_id"), F.col("clause").cast("int").alias("clause"))
-    return rows.join(read(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("clause")), "clause", "left_semi")
+    rows = clause_index.held_clauses(_nodes(spark, sf_dir), ta, spec, spec.states, empty=False)
+    return rows.select(F.col("clause").cast("int").alias("clause"), "graph_id", F.col("node_id").cast("int").alias("node_id"))
 
 
 @query("cl10_indexed_sums", f"WITH {_SQL}, g AS (SELECT DISTINCT vec_id // 4 AS graph_id, clause FROM fired), a AS (SELECT DISTINCT vec_id // 4 AS graph_id FROM embeddings) SELECT graph_id, CAST(greatest(-2000, least(2000, coalesce((SELECT sum(CASE WHEN clause % 2 = 0 THEN 1 ELSE -1 END) FROM g WHERE g.graph_id = a.graph_id), 0) + (SELECT coalesce(sum(CASE WHEN c % 2 = 0 THEN 1 ELSE -1 END), 0) FROM range((SELECT max(p_partkey) + 2 - max(p_partkey) % 2 FROM part)) t(c) WHERE c NOT IN (SELECT p_partkey FROM part)))) AS INTEGER) AS class_sum FROM a")
