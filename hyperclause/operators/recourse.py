@@ -10,6 +10,7 @@ that see the edit.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -88,7 +89,7 @@ def machine_candidates(rows: DataFrame, score: MachineScore, atom_types: int, mo
                 continue
             n, m = (encoding.sizes(whole.column(f"__{c}")) for c in ("id", "u"))
             for batch in encoding.slices(whole, (n + 2 * m) * (k + 1)):
-                graph, number, edits = _ranked(batch, known, k, trees, spec, negation, atom_types, bond_types, most)
+                graph, number, edits, _ = _ranked(batch, known, k, trees, spec, negation, atom_types, bond_types, most)
                 if flips is not None:
                     owner, _ = encoding.counts_to_rows(encoding.sizes(batch.column("__u")))
                     number = _steps(graph, edits, (owner, *(encoding.flat(batch.column(f"__{c}")) for c in ("u", "v"))), flips)
@@ -100,8 +101,8 @@ def machine_candidates(rows: DataFrame, score: MachineScore, atom_types: int, mo
     return rows.where("graph_id is not null").mapInArrow(run, f"graph_id {kind}, {name} int, op string, i int, j int, new_value int")
 
 
-def _ranked(batch: pa.RecordBatch, known: dict, k: int, trees: list, spec: clauses.Spec, negation: str, atom_types: int, bond_types: int, most: int) -> tuple[np.ndarray, np.ndarray, pa.RecordBatch]:
-    """The candidates of the graphs of a batch in order: each one's graph (its row), its ordinal, and the edits."""
+def _ranked(batch: pa.RecordBatch, known: dict, k: int, trees: list, spec: clauses.Spec, negation: str, atom_types: int, bond_types: int, most: int) -> tuple[np.ndarray, np.ndarray, pa.RecordBatch, np.ndarray]:
+    """The candidates of the graphs of a batch in order: each one's graph (its row), its ordinal, and the edits; what holds at the nodes."""
     column = lambda c: batch.column(f"__{c}")
     owner, _ = encoding.counts_to_rows(encoding.sizes(column("id")))
     of_bond, _ = encoding.counts_to_rows(encoding.sizes(column("u")))
@@ -148,7 +149,175 @@ def _ranked(batch: pa.RecordBatch, known: dict, k: int, trees: list, spec: claus
     kept = ordinal <= most
     number = lambda x, null: pa.array(x[kept].astype(np.int32), mask=null[kept].astype(bool))
     edits = pa.RecordBatch.from_arrays([pa.array(OPS).take(pa.array(op[kept])), pa.array(i[kept].astype(np.int32)), number(j, no_j), number(value, no_value)], names=EDIT)
-    return graph[kept], ordinal[kept], edits
+    return graph[kept], ordinal[kept], edits, fired[own]
+
+
+class _Graphs:
+    """The graphs of a batch as flat arrays, which edits change; fired: the clauses that hold at each node, in words."""
+
+    def __init__(self, batch: pa.RecordBatch, fired: np.ndarray) -> None:
+        column, sizes = lambda c: batch.column(f"__{c}"), lambda c: encoding.sizes(batch.column(f"__{c}"))
+        self.rows, self.fired = batch.num_rows, fired
+        self.owner, self.of = encoding.counts_to_rows(sizes("id"))[0], encoding.counts_to_rows(sizes("u"))[0]
+        self.id, self.atom, self.u, self.v, self.bond_type = (encoding.flat(column(c)) for c in ("id", "atom", "u", "v", "bond_type"))
+
+    def sums(self, spec: clauses.Spec) -> np.ndarray:
+        every = np.zeros((self.rows, self.fired.shape[1]), np.int64)
+        np.bitwise_or.at(every, self.owner, self.fired)
+        return clauses.class_sums(every, spec)
+
+    def applicable(self, graph: np.ndarray, edits: pa.RecordBatch) -> np.ndarray:
+        """Which edits have their bond (or, to add one, don't)."""
+        op, i, j, _, pair = _columns(edits)
+        (asked, there), _ = encoding.places_of([graph, self.of], [i, self.u])
+        (asked, there), _ = encoding.places_of([asked, there], [j, self.v])
+        held = np.isin(asked, there) & pair
+        return (((op == "remove_bond") | (op == "swap_bond_order")) & held) | ((op == "add_bond") & ~held) | (op == "swap_atom")
+
+    def tried(self, graph: np.ndarray, edits: pa.RecordBatch, machine: tuple) -> np.ndarray:
+        """The class sum of each edit's variant. Edits come by graph."""
+        if not len(graph):
+            return np.zeros(0, np.int64)
+        lists = lambda values, of: pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(self.rows + 1)), pa.int32()), values if isinstance(values, pa.Array) else pa.array(values))
+        words = self.fired.shape[1]
+        fired = pa.ListArray.from_arrays(pa.array(np.arange(len(self.fired) + 1) * words, pa.int32()), pa.array(self.fired.reshape(-1)))
+        own = {"ordinal": lists(graph, graph), **{c: lists(edits.column(c), graph) for c in EDIT}}
+        own |= {"id": lists(self.id, self.owner), "atom": lists(self.atom, self.owner), "at": lists(self.id, self.owner), "fired": lists(fired, self.owner)}
+        own |= {c: lists(getattr(self, c), self.of) for c in ("u", "v", "bond_type")}
+        return _tried(pa.RecordBatch.from_arrays(list(own.values()), names=[f"__{c}" for c in own]), *machine)[1]
+
+    def apply(self, graph: np.ndarray, edits: pa.RecordBatch, machine: tuple) -> None:
+        """One edit at most for a graph."""
+        op, i, j, value, pair = _columns(edits)
+        at = np.full(self.rows, -1)
+        at[graph] = np.arange(len(graph))
+        node, bond = at[self.owner], at[self.of]
+        swapped = (node >= 0) & (op[node] == "swap_atom") & (self.id == i[node])
+        self.atom = np.where(swapped, value[node], self.atom)
+        here = (bond >= 0) & pair[bond] & (self.u == i[bond]) & (self.v == j[bond])
+        self.bond_type = np.where(here & (op[bond] == "swap_bond_order"), value[bond], self.bond_type)
+        stays, added = ~(here & (op[bond] == "remove_bond")), (op == "add_bond") & pair
+        parts = [(self.of, graph), (self.u, np.minimum(i, j)), (self.v, np.maximum(i, j)), (self.bond_type, value)]
+        order = np.argsort(np.concatenate([self.of[stays], graph[added]]), kind="stable")
+        self.of, self.u, self.v, self.bond_type = (np.concatenate([a[stays], b[added]])[order] for a, b in parts)
+        known, k, trees, spec, negation = machine
+        (own, pu, pv), places = encoding.places_of([self.owner, self.of, self.of], [self.id, self.u, self.v])
+        edge = np.empty(len(self.u), np.int64)
+        edge[np.lexsort((self.bond_type, self.v, self.u, self.of))] = np.arange(len(self.u))
+        types = np.full(places, -1)
+        types[own] = self.atom
+        both = lambda a, b: np.concatenate([a, b])
+        anew = at[self.owner] >= 0
+        bonds = [both(pu, pv), both(pv, pu), both(self.bond_type, self.bond_type), both(edge, edge)]
+        hv = encoding.majorities(types, *bonds, own[anew], known, k, spec.features * (1 if negation == "complement" else 2))
+        self.fired = self.fired.copy()
+        self.fired[anew] = clauses.fired_rows(trees, hv, spec, negation)
+
+
+def _columns(edits: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """op, i, j and new_value (-1: null), and whether both ends are there."""
+    op, (i, j, value) = np.array(edits.column("op").to_pylist(), object), (edits.column(c) for c in EDIT[1:])
+    pair = i.is_valid().to_numpy(zero_copy_only=False) & j.is_valid().to_numpy(zero_copy_only=False)
+    return op, *(x.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for x in (i, j, value)), pair
+
+
+def _best(graph: np.ndarray, ordinal: np.ndarray, sums: np.ndarray, target: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What `best_steps` takes: the places of these edits; of all edits the margin after, and whether they flip. target and margin: by graph."""
+    after, flipped = np.where(target[graph] == 1, sums, -sums), (sums > 0) != (target[graph] == 1)
+    order = np.lexsort((ordinal, after, ~flipped, graph))
+    first = order[np.unique(graph[order], return_index=True)[1]]
+    return first[flipped[first] | (after[first] < margin[graph[first]])], after, flipped
+
+
+def _machine_pass(rows: DataFrame, score: MachineScore, atom_types: int, most: int, bond_types: int, schema: str, give: Callable[..., dict]) -> DataFrame:
+    """What `give` gives of the graphs of each batch: give(graphs, graph, ordinal, edits, machine), by graph (a row's place) and columns."""
+    spec, k, negation = score.spec, score.k, score.negation
+    machine = encoding.codes(score.book), k, score.model.first()["clauses"], spec, negation  # the size of the machine
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            if not whole.num_rows:
+                continue
+            n, m = (encoding.sizes(whole.column(f"__{c}")) for c in ("id", "u"))
+            for batch in encoding.slices(whole, np.minimum(most, n + 2 * m) * (n + m) * (k + 1)):
+                graph, ordinal, edits, fired = _ranked(batch, *machine, atom_types, bond_types, most)
+                of, *columns = give(_Graphs(batch, fired), graph, ordinal, edits, machine)
+                yield pa.RecordBatch.from_arrays([batch.column("graph_id").take(pa.array(of)), *columns], names=["graph_id", *(c.split()[0] for c in schema.split(", "))])
+
+    return rows.where("graph_id is not null").mapInArrow(run, f"graph_id {rows.schema['graph_id'].dataType.simpleString()}, {schema}")
+
+
+@dataclass(frozen=True)
+class Own:
+    """The edits that `machine_candidates` finds in graphs that are gathered in rows."""
+
+    rows: Callable[[], DataFrame]
+    atom_types: int
+    bond_types: int = 0
+
+
+_EDIT_TYPES = "op string, i int, j int, new_value int"
+
+
+def machine_trials(rows: DataFrame, score: MachineScore, atom_types: int, most: int = 50, bond_types: int = 0) -> DataFrame:
+    """What `trials` gives of the candidates that `machine_candidates` gives of such rows, in the same pass: a candidate is never written."""
+
+    def give(graphs: _Graphs, graph: np.ndarray, ordinal: np.ndarray, edits: pa.RecordBatch, machine: tuple) -> tuple:
+        return graph, pa.array(ordinal, pa.int32()), *edits.columns, pa.array(graphs.tried(graph, edits, machine), pa.int32())
+
+    return _machine_pass(rows, score, atom_types, most, bond_types, f"ordinal int, {_EDIT_TYPES}, class_sum int", give)
+
+
+def machine_steps(rows: DataFrame, score: MachineScore, atom_types: int, most: int = 50, bond_types: int = 0) -> DataFrame:
+    """What `best_steps` gives of these trials, for the class that the machine predicts."""
+
+    def give(graphs: _Graphs, graph: np.ndarray, ordinal: np.ndarray, edits: pa.RecordBatch, machine: tuple) -> tuple:
+        now = graphs.sums(machine[3])
+        best, after, flipped = _best(graph, ordinal, graphs.tried(graph, edits, machine), (now > 0).astype(np.int64), np.abs(now))
+        return graph[best], pa.array(ordinal[best], pa.int32()), *edits.take(pa.array(best, pa.int64())).columns, pa.array(after[best], pa.int32()), pa.array(flipped[best])
+
+    return _machine_pass(rows, score, atom_types, most, bond_types, f"ordinal int, {_EDIT_TYPES}, margin int, flipped boolean", give)
+
+
+def machine_trace(rows: DataFrame, score: MachineScore, atom_types: int, most: int = 50, bond_types: int = 0) -> DataFrame:
+    """What `trace` gives of these trials and steps: a row for each graph that has candidates."""
+
+    def give(graphs: _Graphs, graph: np.ndarray, ordinal: np.ndarray, edits: pa.RecordBatch, machine: tuple) -> tuple:
+        now = graphs.sums(machine[3])
+        best, _, flipped = _best(graph, ordinal, graphs.tried(graph, edits, machine), (now > 0).astype(np.int64), np.abs(now))
+        of = np.unique(graph)
+        counts = (np.bincount(x, minlength=graphs.rows)[of] for x in (graph, graph[flipped], graph[best]))
+        return of, *(pa.array(x, pa.int64()) for x in counts)
+
+    return _machine_pass(rows, score, atom_types, most, bond_types, "tried long, flips long, committed long", give)
+
+
+def machine_search(rows: DataFrame, score: MachineScore, atom_types: int, max_flips: int = 3, most: int = 50, bond_types: int = 0, target: int = 1) -> DataFrame:
+    """What `search` gives of the graphs that the machine predicts to be of class `target`, whose edits are `machine_candidates`: all rounds
+    are taken where a graph is gathered, and nothing is passed on between them."""
+
+    def give(graphs: _Graphs, graph: np.ndarray, ordinal: np.ndarray, edits: pa.RecordBatch, machine: tuple) -> tuple:
+        now = graphs.sums(machine[3])
+        leaves, margin, done = np.full(graphs.rows, target), np.abs(now), np.zeros(graphs.rows, bool)
+        step_of, open_ = np.zeros(len(graph), np.int64), (now > 0) == (target == 1)
+        for step in range(1, max_flips + 1):
+            usable = np.flatnonzero(open_[graph] & (step_of == 0) & graphs.applicable(graph, edits))
+            if not len(usable):
+                break
+            own = edits.take(pa.array(usable))
+            best, after, flipped = _best(graph[usable], ordinal[usable], graphs.tried(graph[usable], own, machine), leaves, margin)
+            step_of[usable[best]] = step
+            open_ = np.zeros(graphs.rows, bool)
+            goes_on = best[~flipped[best]]
+            done[graph[usable[best[flipped[best]]]]] = True
+            open_[graph[usable[goes_on]]] = True
+            margin[graph[usable[goes_on]]] = after[goes_on]
+            if step < max_flips and len(goes_on):
+                graphs.apply(graph[usable[goes_on]], own.take(pa.array(goes_on)), machine)
+        kept = np.flatnonzero((step_of > 0) & done[graph])
+        return graph[kept], pa.array(step_of[kept], pa.int32()), *edits.take(pa.array(kept)).columns
+
+    return _machine_pass(rows, score, atom_types, most, bond_types, f"step int, {_EDIT_TYPES}", give)
 
 
 def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -379,12 +548,17 @@ def best_steps(tried: DataFrame, state: DataFrame) -> DataFrame:
     return best.select("graph_id", "b.*").where(F.col("flipped") | (F.col("margin") < F.col("now"))).drop("now")
 
 
-def search(nodes: DataFrame, bonds: DataFrame, edits: DataFrame, state: DataFrame, score: Score, fixed: Callable[[DataFrame], DataFrame], max_flips: int = 3, most: int = 50, valid: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+def search(nodes: DataFrame, bonds: DataFrame, edits: DataFrame | Own, state: DataFrame, score: Score, fixed: Callable[[DataFrame], DataFrame], max_flips: int = 3, most: int = 50, valid: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """graph_id, step and edit of every committed edit of the graphs that flip within max_flips; graphs that don't have no row.
 
     All graphs take a round together; a graph stops when it flips or when no candidate helps. fixed: writes a small table
     and reads it again, so that plans don't grow with the rounds. valid: the variants (graph_id) that may be committed. score: a
-    function of nodes and bonds, or a MachineScore."""
+    function of nodes and bonds, or a MachineScore. edits may be a machine's `Own`, of the graphs that it predicts positive: then nothing
+    else is read, and all rounds are taken in one pass (`machine_search`)."""
+    if isinstance(edits, Own):
+        if valid is not None or not isinstance(score, MachineScore):
+            raise ValueError("a machine's own candidates are scored by it, and all of them are valid")
+        return machine_search(edits.rows(), score, edits.atom_types, max_flips, most, edits.bond_types)
     if max_flips < 1:
         return edits.where(F.lit(False)).select("graph_id", F.lit(1).alias("step"), *EDIT)
     open_, committed = state, None

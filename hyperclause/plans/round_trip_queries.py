@@ -12,7 +12,7 @@ from . import derived, machine
 from .core_queries import BASE
 from .derived import read
 from .registry import query
-from .search_queries import _STEP, _fixed, _near, _state, _tried, shared_folder
+from .search_queries import _STEP, _fixed, _near, _score, shared_folder
 
 
 def _folder(spark) -> str:
@@ -55,11 +55,7 @@ def snk03(spark, sf_dir):
 @query("rc08_search_trace", f"{_STEP} SELECT t.graph_id, count(*) AS tried, count(*) FILTER (WHERE t.flipped) AS flips, CAST(count(DISTINCT s.graph_id) AS BIGINT) AS committed FROM t LEFT JOIN step s ON s.graph_id = t.graph_id GROUP BY t.graph_id")
 def rc08(spark, sf_dir):
     """Of each graph's first round: the edits tried, those that flip, and whether one was committed."""
-    fixed = _fixed(spark)
-    fired = fixed(machine.fired(spark, sf_dir))
-    tried, state = fixed(_tried(spark, sf_dir, fired)), fixed(_state(spark, sf_dir, fired))
-    flips = tried.join(state, "graph_id").withColumn("flips", (F.col("class_sum") > 0).cast("int") != F.col("target"))
-    return recourse.trace(recourse.best_steps(tried, state), flips)
+    return recourse.machine_trace(derived.gathered(spark, sf_dir), _score(spark), derived.ATOMS)
 
 
 @query("flt07_graph_slices", f"{BASE}, p AS (SELECT graph_id, row_number() OVER (ORDER BY graph_id) - 1 AS position, count(*) OVER () AS n FROM graphs) SELECT 'last' AS slice, CAST(position - (n - 50) AS INTEGER) AS new_position, graph_id FROM p WHERE position >= n - 50 UNION ALL SELECT 'back', CAST((n - 3 - position) // 7 AS INTEGER), graph_id FROM p WHERE position <= n - 3 AND position > 10 AND (n - 3 - position) % 7 = 0")

@@ -127,12 +127,7 @@ _TRIED = f"{FIRED}, {_CANDIDATES}, {_VARIANTS}, {_again(FIRED[_first:].replace(_
 
 @query("rc06_tried_edits", f"{_TRIED} SELECT c.graph_id, ordinal, op, i, j, new_value, class_sum FROM candidate c JOIN summed_v s ON s.graph_id = c.graph_id * 51 + ordinal")
 def rc06_tried(spark, sf_dir):
-    return _tried(spark, sf_dir, _fixed(spark)(machine.fired(spark, sf_dir)))
-
-
-def _tried(spark, sf_dir, fired):
-    edits = _fixed(spark)(_candidates(spark, sf_dir))
-    return _score(spark).trials(derived.nodes(spark, sf_dir), derived.bonds(spark, sf_dir), edits, fired)
+    return recourse.machine_trials(derived.gathered(spark, sf_dir), _score(spark), derived.ATOMS)
 
 
 _STEP = f"""{_TRIED}, t AS (
@@ -145,8 +140,7 @@ _STEP = f"""{_TRIED}, t AS (
 
 @query("rc06_first_step", f"{_STEP} SELECT * FROM step")
 def rc06_first(spark, sf_dir):
-    fired = _fixed(spark)(machine.fired(spark, sf_dir))  # read for the candidates, the trials and the state
-    return recourse.best_steps(_tried(spark, sf_dir, fired), _state(spark, sf_dir, fired))
+    return recourse.machine_steps(derived.gathered(spark, sf_dir), _score(spark), derived.ATOMS)
 
 
 def _score(spark):
@@ -178,10 +172,8 @@ def _fixed(spark):
 @query("rc06_search")
 def rc06_search(spark, sf_dir):
     """Up to three rounds for every graph that is predicted positive."""
-    fixed = _fixed(spark)
-    state = fixed(_state(spark, sf_dir).where("target = 1"))
-    edits = fixed(_candidates(spark, sf_dir).join(state.select("graph_id"), "graph_id", "left_semi"))
-    return recourse.search(derived.nodes(spark, sf_dir), derived.bonds(spark, sf_dir), edits, state, _score(spark), fixed, max_flips=3)
+    own = recourse.Own(lambda: derived.gathered(spark, sf_dir), derived.ATOMS)
+    return recourse.search(None, None, own, None, _score(spark), _fixed(spark), max_flips=3)
 
 
 @query("rc02_removed_bonds", f"{BASE}, {machine.ADJACENCY_SQL}, e AS (SELECT graph_id, u, v, edge_id FROM numbered) SELECT b.graph_id, CAST(e.edge_id AS INTEGER) AS ordinal, b.u, b.v, b.bond_type FROM bonds b JOIN e ON e.graph_id = b.graph_id WHERE NOT (e.u = b.u AND e.v = b.v)")
