@@ -144,21 +144,26 @@ def frontier_neighbourhoods(nodes: DataFrame, adjacent: DataFrame, book: DataFra
     """What `neighbourhoods` gives, for graphs that are too large for a row: nothing of a graph is gathered.
 
     Each hop joins the last hop's nodes with their bonds, keeps of the ways to a node the first, and takes out what was met before by
-    an anti-join. Rows are dealt out by node, so one graph may be all there is. Ways are compared by the numbers of their bonds from
-    the root on, which is the order of parents, then of bonds. fixed: writes what a hop has met and reads it again."""
+    anti-joins. Rows are dealt out by node, so one graph may be all there is. Ways are compared by the numbers of their bonds from
+    the root on, which is the order of parents, then of bonds. The first hop is the bonds of the nodes, and the last is read once, so
+    neither is written; fixed: writes what a hop between them has met and reads it again."""
     if not 0 <= k <= 7:
         raise ValueError("k is from 0 to 7")
-    none = F.array().cast("array<long>")
-    found = last = nodes.select("graph_id", F.col("node_id").alias("root"), "node_id", F.lit(0).alias("hop"), F.lit(0).cast("long").alias("way"), none.alias("path"))
-    bonds = adjacent.select(F.col("graph_id").alias("__g"), "src", "dst", F.col("bond_type").cast("long").alias("bond"), F.col("edge_id").cast("long").alias("edge"))
+    keys, none = ["graph_id", "root", "node_id"], F.array().cast("array<long>")
+    found = nodes.select("graph_id", F.col("node_id").alias("root"), "node_id", F.lit(0).alias("hop"), F.lit(0).cast("long").alias("way"))
+    bonds = adjacent.where("src <> dst").select(F.col("graph_id").alias("__g"), "src", "dst", F.col("bond_type").cast("long").alias("bond"), F.col("edge_id").cast("long").alias("edge"))
+    last, before = found.withColumn("path", none), []
     for hop in range(1, k + 1):
-        stepped = last.join(bonds, (F.col("graph_id") == F.col("__g")) & (F.col("node_id") == F.col("src")))
+        stepped = last.join(bonds, (F.col("graph_id") == F.col("__g")) & (F.col("node_id") == F.col("src"))).where("dst <> root")
         stepped = stepped.select("graph_id", "root", F.col("dst").alias("node_id"), F.struct(F.concat("path", F.array("edge")).alias("path"), (F.col("way") * 256 + F.col("bond")).alias("way")).alias("by"))
-        met = stepped.groupBy("graph_id", "root", "node_id").agg(F.min("by").alias("by")).join(found.select("graph_id", "root", "node_id"), ["graph_id", "root", "node_id"], "left_anti")
-        last = fixed(met.select("graph_id", "root", "node_id", F.lit(hop).alias("hop"), "by.way", "by.path"))
-        found = found.unionByName(last)
-    rows = found.join(nodes.select("graph_id", "node_id", "atom_type"), ["graph_id", "node_id"])
-    return _chained(rows, book, k, ["graph_id"]).drop("atom_type")
+        met = stepped.groupBy(*keys).agg(F.min("by").alias("by"))
+        for earlier in before:
+            met = met.join(earlier.select(*keys), keys, "left_anti")
+        last = met.select(*keys, F.lit(hop).alias("hop"), "by.way", "by.path")
+        last = fixed(last) if 1 < hop < k else last
+        before.append(last)
+        found = found.unionByName(last.drop("path"))
+    return _chained(found.withColumn("atom_type", F.lit(None).cast("int")), book, k, ["graph_id"]).drop("atom_type")
 
 
 def _word(w: int, k: int) -> Column:
