@@ -320,17 +320,21 @@ def tr19_layer(spark, sf_dir):
     return pooled.select("graph_id", *[F.round(F.col("vector")[derived.ATOMS + i], 9).alias(f"b{i}") for i in range(derived.ATOMS)])
 
 
+#: Fingerprints as the reference's forest reads them.
+RADIUS, PLACES = 2, 2048
+
+
 @query("enc22_fingerprints")
 def enc22(spark, sf_dir):
-    return encoding.circular_fingerprints(derived.nodes(spark, sf_dir), _near(spark, sf_dir), 2, 2048).select("graph_id", F.size("bits").alias("n"), F.array_join(F.transform("bits", lambda b: b.cast("string")), ",").alias("bits"))
+    return encoding.circular_fingerprints(derived.nodes(spark, sf_dir), _near(spark, sf_dir), RADIUS, PLACES).select("graph_id", F.size("bits").alias("n"), F.array_join(F.transform("bits", lambda b: b.cast("string")), ",").alias("bits"))
 
 
 @query("tr23_forest_labels")
 def tr23(spark, sf_dir):
-    prints = encoding.circular_fingerprints(derived.nodes(spark, sf_dir), _near(spark, sf_dir), 1, 64).join(derived.graphs(spark, sf_dir), "graph_id")
+    prints = encoding.circular_fingerprints(derived.nodes(spark, sf_dir), _near(spark, sf_dir), RADIUS, PLACES).join(derived.graphs(spark, sf_dir), "graph_id")
     prints = _fixed(spark)(prints)  # read for the fit, which goes over it several times, and the labels
-    model = training.fit_forest(prints, 64)
-    return training.teacher_labels(model, training.sparse(prints, 64))
+    model = training.fit_forest(prints, PLACES)
+    return training.teacher_labels(model, training.sparse(prints, PLACES))
 
 
 # Molecules
