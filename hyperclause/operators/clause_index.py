@@ -5,7 +5,8 @@ of its false literals; what is left alive are the leaves that hold, and the tree
 an AND's branch, AND over these, OR, AND. A node costs the same however its clauses are cut, and no tree is walked.
 
 Leaves that read the same features (branch j, place l) form a group. In a group's bitmap there is a plane of one bit a clause for
-each (k, m), so a fold is a word operation. The bitmaps of several neighbouring features are combined beforehand into a table by their
+each (k, m), so a fold is a word operation. Machines of any size (`held_clauses`, `graph_votes`) are cut into blocks of clauses, and there a
+literal has a bitmap of the nodes of a chunk at which it is true, so that a leaf is the AND of its literals' bitmaps. The bitmaps of several neighbouring features are combined beforehand into a table by their
 values, so one lookup stands for up to eight features. Index and tables have the size of the machine, not of the data: the index is
 built by Spark from the automata and broadcast, and the tables are made once in a task."""
 
@@ -133,8 +134,8 @@ def fired_words(nodes: DataFrame, built: Index, negation: str = "complement") ->
     return nodes.select("graph_id", "node_id", F.col("hv").cast("array<long>").alias("hv")).mapInArrow(run, f"graph_id {kinds['graph_id']}, node_id {kinds['node_id']}, fired array<long>")
 
 
-#: Clauses of a block and nodes of a chunk: what a task holds at once. Nodes whose clauses are given at once.
-BLOCK, NODES, GIVEN = 8192, 4096, 256
+#: Clauses of a block and nodes of a chunk: what a task holds at once. Clauses that are folded together; rows that are given at once, about.
+BLOCK, NODES, TOGETHER, GIVEN = 8192, 4096, 64, 1 << 16
 #: Rows that are packed together before they are shuffled, and chunks that a task reads of each block, about.
 PACKED, BESIDE = 1 << 20, 64
 
@@ -165,11 +166,48 @@ def _packed(rows: DataFrame, key: str, schema: str, pack: Callable[[pa.Table], l
     return rows.mapInArrow(run, f"{key} long, {schema}")
 
 
-def _met(nodes: DataFrame, ta: DataFrame, spec: Spec, threshold: int, negation: str, work: Callable[..., Iterator[dict]], schema: str, empty: bool = True) -> DataFrame:
-    """What `work` gives of every block of clauses and every chunk of nodes: work(first clause, graph_id, node_id, words of fired clauses).
-    Neither the index nor the nodes are ever in one place: a task holds the bitmaps of a block and a chunk of nodes. Both sides are packed
-    and written once, and each task reads its part of either, so that what lies on disk grows with their sum, not with their product.
-    empty: whether clauses that include nothing, which always hold, count."""
+class _Block:
+    """The trees of a block of clauses: for `together` clauses at a time and the first, second and further literals of leaves, which leaves
+    have one and which it is. spec: of these clauses alone. codes: (literal * planes + plane) * block + clause of each literal included."""
+
+    def __init__(self, spec: Spec, codes: np.ndarray, block: int, together: int) -> None:
+        self.spec, self.together, self.leaves = spec, together, spec.root * spec.inner_or * spec.inner_and * spec.leaf_or
+        (literal, plane), clause = divmod(codes // block, spec.inner_or * spec.leaf_or), codes % block
+        (j, l), (k, m) = divmod(literal % spec.features // spec.leaf_and, spec.inner_and), divmod(plane, spec.leaf_or)  # noqa: E741
+        leaf = (((clause * spec.root + j) * spec.inner_or + k) * spec.inner_and + l) * spec.leaf_or + m
+        order = np.argsort(leaf, kind="stable")
+        leaf, literal = leaf[order], literal[order]
+        first = np.flatnonzero(np.diff(leaf, prepend=-1))
+        nth = np.arange(len(leaf)) - np.repeat(first, np.diff(first, append=len(leaf)))
+        part = leaf // (self.leaves * together)
+        order = np.lexsort((nth, part))
+        part, nth, self.leaf, self.literal = part[order], nth[order], leaf[order] - part[order] * self.leaves * together, literal[order]
+        cuts = np.flatnonzero(np.diff(part, prepend=-1) | np.diff(nth, prepend=-1))
+        self.runs: list[list[tuple[int, int]]] = [[] for _ in range(-(-spec.clauses // together))]
+        for a, b in zip(cuts, [*cuts[1:], len(part)]):
+            self.runs[part[a]].append((int(a), int(b)))
+        self.some = np.zeros(spec.clauses, bool)
+        self.some[clause] = True
+
+    def held(self, x: np.ndarray, negation: str) -> Iterator[tuple[int, np.ndarray]]:
+        """The first of some clauses, and for each of them at which nodes it holds (0 or 1). x: [node, bit]."""
+        s, n = self.spec, len(x)
+        true = np.packbits(np.ascontiguousarray(np.pad(x, ((0, -n % 64), (0, 0))).T), axis=1, bitorder="little").view(np.uint64)
+        true = np.concatenate([true, ~true]) if negation == "complement" else true
+        for i, runs in enumerate(self.runs):
+            size = min(self.together, s.clauses - i * self.together)
+            alive = np.full((size * self.leaves, true.shape[1]), ~np.uint64(0))
+            for a, b in runs:
+                alive[self.leaf[a:b]] &= true[self.literal[a:b]]
+            alive = alive.reshape(size, s.root, s.inner_or, s.inner_and, s.leaf_or, -1)
+            held = np.bitwise_and.reduce(np.bitwise_or.reduce(np.bitwise_and.reduce(np.bitwise_or.reduce(alive, axis=4), axis=3), axis=2), axis=1)
+            yield i * self.together, np.unpackbits(held.view(np.uint8), axis=1, bitorder="little")[:, :n]
+
+
+def _met(nodes: DataFrame, ta: DataFrame, spec: Spec, threshold: int, negation: str, work: Callable[..., Iterator[dict]], schema: str) -> DataFrame:
+    """What `work` gives of every block of clauses and every chunk of nodes: work(first clause, graph_id, node_id, block, bits of the nodes).
+    Neither the machine nor the nodes are ever in one place: a task holds a block of clauses and a chunk of nodes. Both sides are packed
+    and written once, and each task reads its part of either, so that what lies on disk grows with their sum, not with their product."""
     if negation not in ("complement", "offset"):
         raise ValueError("negation is `complement` or `offset`")
     count, chunks = -(-spec.clauses // BLOCK), max(1, -(-nodes.count() // NODES))
@@ -200,25 +238,17 @@ def _met(nodes: DataFrame, ta: DataFrame, spec: Spec, threshold: int, negation:
     parts = _packed(placed, "chunk", "graph array<long>, node array<long>, words binary", own_nodes)
     parts = parts.repartition(right, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("graph", "node", "words")).alias("nodes"))
 
-    def engine_of(block: int, pieces: list[bytes]) -> tuple[_Evaluator, np.ndarray]:
-        own = replace(spec, clauses=min(BLOCK, spec.clauses - block * BLOCK))
-        codes = np.concatenate([np.frombuffer(x, kind) for x in pieces]).astype(np.int64)
-        bitmaps = np.zeros((2 * spec.features, planes, -(-BLOCK // 64)), np.uint64)
-        np.bitwise_or.at(bitmaps.reshape(-1), codes // BLOCK * bitmaps.shape[2] + codes % BLOCK // 64, np.uint64(1) << (codes % BLOCK % 64).astype(np.uint64))
-        bitmaps = bitmaps[:, :, : -(-own.clauses // 64)]
-        counted = ~np.zeros(bitmaps.shape[2], np.uint64) if empty else np.bitwise_or.reduce(bitmaps, axis=(0, 1))
-        return _Evaluator(Index(own, bitmaps.reshape(len(bitmaps), -1)), negation), counted
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, engine, counted = None, None, None
+        known, own = None, None
         for batch in batches:
             for i, block in enumerate(batch.column(0).to_pylist()):
                 if block != known:
-                    known, (engine, counted) = block, engine_of(block, batch.column(1)[i].as_py())
+                    codes = np.concatenate([np.frombuffer(x, kind) for x in batch.column(1)[i].as_py()]).astype(np.int64)
+                    known, own = block, _Block(replace(spec, clauses=min(BLOCK, spec.clauses - block * BLOCK)), codes, BLOCK, TOGETHER)
                 held = batch.column(2)[i].values
                 words = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in held.field("words")]).reshape(-1, width * 4)
-                fired = engine.rows(np.unpackbits(words, axis=1, bitorder="little")) & counted
-                for rows in work(block * BLOCK, *(held.field(c).flatten() for c in ("graph", "node")), fired):
+                x = np.unpackbits(words, axis=1, count=need, bitorder="little")
+                for rows in work(block * BLOCK, *(held.field(c).flatten() for c in ("graph", "node")), own, x):
                     yield pa.RecordBatch.from_pydict(rows)
 
     # Every block meets every chunk: a task goes through the chunks of its part for each of its blocks.
@@ -229,24 +259,37 @@ def held_clauses(nodes: DataFrame, ta: DataFrame, spec: Spec, threshold: int, ne
     """graph_id, node_id and clause of every clause that holds at a node, for machines of any size. nodes and ta: as `fired_words` and
     `index` take them. empty: whether clauses that include nothing, which always hold, are given."""
 
-    def work(first: int, graph: pa.Array, node: pa.Array, fired: np.ndarray) -> Iterator[dict]:
-        for a in range(0, len(fired), GIVEN):
-            row, clause = np.nonzero(np.unpackbits(fired[a : a + GIVEN].view(np.uint8), axis=1, bitorder="little"))
-            at = pa.array(row + a)
-            yield {"graph_id": graph.take(at), "node_id": node.take(at), "clause": pa.array(clause + first, pa.int64())}
+    def work(first: int, graph: pa.Array, node: pa.Array, block: _Block, x: np.ndarray) -> Iterator[dict]:
+        def rows() -> dict:
+            at, clause = (np.concatenate(c) for c in zip(*found))
+            return {"graph_id": graph.take(pa.array(at)), "node_id": node.take(pa.array(at)), "clause": pa.array(clause + first, pa.int64())}
+
+        found, n = [], 0
+        for start, held in block.held(x, negation):
+            held = held if empty else held & block.some[start : start + len(held), None]
+            clause, at = np.nonzero(held)
+            found.append((at, clause + start))
+            n += len(at)
+            if n >= GIVEN:
+                yield rows()
+                found, n = [], 0
+        if n:
+            yield rows()
 
-    return _met(nodes, ta, spec, threshold, negation, work, "graph_id long, node_id long, clause long", empty)
+    return _met(nodes, ta, spec, threshold, negation, work, "graph_id long, node_id long, clause long")
 
 
 def graph_votes(nodes: DataFrame, ta: DataFrame, spec: Spec, threshold: int, negation: str = "complement") -> DataFrame:
     """graph_id and votes (long, not clipped): even clauses that hold at any node of a graph, less odd ones. For machines of any size."""
 
-    def work(first: int, graph: pa.Array, node: pa.Array, fired: np.ndarray) -> Iterator[dict]:
+    def work(first: int, graph: pa.Array, node: pa.Array, block: _Block, x: np.ndarray) -> Iterator[dict]:
         graphs = graph.dictionary_encode("encode")
         of = graphs.indices.to_numpy()
         order = np.argsort(of, kind="stable")
-        every = np.bitwise_or.reduceat(fired[order], np.flatnonzero(np.diff(of[order], prepend=-1)), axis=0)  # a graph lies in one chunk
-        count = lambda mask: np.bitwise_count(every & np.uint64(mask)).sum(axis=1, dtype=np.int64)
-        yield {"graph_id": graphs.dictionary, "votes": pa.array(count(0x5555555555555555) - count(0xAAAAAAAAAAAAAAAA), pa.int64())}
+        starts, votes = np.flatnonzero(np.diff(of[order], prepend=-1)), np.zeros(len(graphs.dictionary), np.int64)
+        for start, held in block.held(x[order], negation):  # blocks and what is folded together begin with an even clause
+            any_ = np.maximum.reduceat(held, starts, axis=1)  # a graph lies in one chunk
+            votes += any_[::2].sum(axis=0, dtype=np.int64) - any_[1::2].sum(axis=0, dtype=np.int64)
+        yield {"graph_id": graphs.dictionary, "votes": pa.array(votes, pa.int64())}
 
     return _met(nodes, ta, spec, threshold, negation, work, "graph_id long, votes long").groupBy("graph_id").agg(F.sum("votes").alias("votes"))

@@ -23,7 +23,8 @@ def _machine(spark, sf_dir):
     parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"))
     last = parts.agg(F.max("key")).first()[0] or 0
     spec = clause_index.WideSpec(clauses=int(last) + 2 - int(last) % 2, leaf_and=LEAF_AND, threshold=2000, **_SHAPE)
-    rows = parts.select(F.col("key").cast("int").alias("clause"), "key")
+    # A part is some hundred bytes of automata: a file of parts is too much for one task.
+    rows = parts.repartition(spark.sparkContext.defaultParallelism).select(F.col("key").cast("int").alias("clause"), "key")
     for name, size in zip("jklm", _SHAPE.values()):
         rows = rows.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
     leaf = ((F.col("j") * 2 + F.col("k")) * 2 + F.col("l")) * 2 + F.col("m")

@@ -17,6 +17,7 @@ def test_blocks_and_chunks_are_written_once(spark, monkeypatch, empty):
     monkeypatch.setattr(clause_index, "NODES", 7)
     monkeypatch.setattr(clause_index, "PACKED", 40)
     monkeypatch.setattr(clause_index, "GIVEN", 3)
+    monkeypatch.setattr(clause_index, "TOGETHER", 10)
     spec = clause_index.WideSpec(clauses=150)
     ta = clauses.hashed_states(clauses.addresses(spark, spec), 1, 150, 3).where("clause % 5 <> 1 and clause < 130").localCheckpoint()
     rows = [(None if i % 9 == 0 else i // 3, i % 3, [i * 5 % 256, *range(i % 2)]) for i in range(60)]  # graphs without a number, vectors longer than what is read

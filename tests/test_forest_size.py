@@ -5,6 +5,7 @@ import os
 
 import pytest
 
+import __spark_entry__  # noqa: F401  importing registers the queries
 from hyperclause.operators import training
 from hyperclause.plans import registry
 
